@@ -28,12 +28,12 @@ def gtfs_seconds(value: Column) -> Column:
 
 def gtfs_time(seconds: Column) -> Column:
     """Seconds to ``HH:MM:SS``, hours padded to two digits and not wrapped."""
-    return F.format_string(
+    return F.when(seconds.isNotNull(), F.format_string(
         "%02d:%02d:%02d",
         F.floor(seconds / 3600).cast("int"),
         F.floor(F.pmod(seconds, F.lit(3600)) / 60).cast("int"),
         F.pmod(seconds, F.lit(60)).cast("int"),
-    )
+    ))
 
 
 def service_date(value: Column) -> Column:

@@ -90,7 +90,7 @@ def resolve_stops(queries: DataFrame, stops: DataFrame) -> DataFrame:
     """Resolve needles to stop ids: by stop_code, else by stop_id.
 
     Returns one row per (query, stop_id) with ``matched_by`` and ``ambiguous``;
-    a station also yields its platforms. A needle nothing matches gives one row
+    a station also yields its platforms (``direct`` is false for those). A needle nothing matches gives one row
     with status STOP_NOT_FOUND and a NULL stop_id. Distinct needles are
     resolved once, so many queries for one stop cost one lookup.
     """
@@ -115,13 +115,16 @@ def resolve_stops(queries: DataFrame, stops: DataFrame) -> DataFrame:
         *KEY, "needle", "stop_id", "is_station",
         F.when(F.col("tier") == 1, "stop_code").otherwise("stop_id").alias("matched_by"),
         (F.when(F.col("tier") == 1, F.col("n1")).otherwise(F.col("n2")) > 1).alias("ambiguous"))
-    own = matched.drop("is_station")
+    own = matched.drop("is_station").withColumn("direct", F.lit(True))
     if "parent_station" in stops.columns:
         children = stops.filter(F.col("parent_station") != "").select(
             *KEY, F.col("parent_station").alias("stop_id"), F.col("stop_id").alias("child_id"))
         platforms = matched.filter("is_station").join(children, [*KEY, "stop_id"]).select(
-            *KEY, "needle", F.col("child_id").alias("stop_id"), "matched_by", "ambiguous")
-        own = own.unionByName(platforms).distinct()
+            *KEY, "needle", F.col("child_id").alias("stop_id"), "matched_by", "ambiguous",
+            F.lit(False).alias("direct"))
+        own = own.unionByName(platforms).groupBy(
+            *KEY, "needle", "stop_id", "matched_by", "ambiguous").agg(
+            F.max("direct").alias("direct"))
     return needles.join(own, [*KEY, "needle"], "left").withColumn(
         "status", F.when(F.col("stop_id").isNull(), "STOP_NOT_FOUND").otherwise("FOUND"))
 

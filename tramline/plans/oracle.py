@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tramline.operators import profile
 from tramline.plans import oracle_views as v
 
 ORACLE: dict[str, str] = {}
@@ -11,3 +12,454 @@ SELECT query_id, feed_id, stop_id, route_id, route_short_name, route_long_name,
   headsign, direction_id, trip_id, stop_sequence, service_id, service_date, gtfs_time,
   departure_epoch, {v.local_iso('departure_epoch', 'zone')} AS departure_local, minutes_away,
   after_midnight, rank, total FROM departures WHERE rank <= 50""")
+
+_T = {"a": ["agency", "calendar", "calendar_dates", "feed_info", "routes", "stop_times", "stops",
+            "trips"]}
+
+
+def _counts(side: str, tables=None) -> str:
+    return " UNION ALL ".join(
+        f"SELECT feed_id, snapshot_id, '{t}' AS table_name, count(*) AS n FROM {t}_{side} "
+        "GROUP BY ALL" for t in (tables or _T["a"]))
+
+
+ORACLE["feed_gate"] = v.sql(f"""
+SELECT feed_id, snapshot_id, sum(n)::BIGINT AS total_rows,
+  coalesce(sum(CASE WHEN table_name = 'stops' THEN n END), 0)::BIGINT AS stop_rows,
+  CASE WHEN coalesce(sum(CASE WHEN table_name = 'stops' THEN n END), 0) = 0 THEN 'NO_STOPS' ELSE ''
+    END AS reason,
+  coalesce(sum(CASE WHEN table_name = 'stops' THEN n END), 0) > 0 AS accepted
+FROM ({_counts('a')} UNION ALL {_counts('b')} UNION ALL
+  SELECT feed_id, 'C', table_name, n FROM ({_counts('b')}) WHERE table_name <> 'stops')
+GROUP BY 1, 2""")
+
+ORACLE["optional_columns"] = v.sql(
+    "SELECT feed_id, snapshot_id, stop_id, stop_name, '' AS platform_code, '' AS stop_desc "
+    "FROM stops_a")
+
+ORACLE["stop_search"] = v.sql("""
+SELECT feed_id, term, stop_id, stop_code, stop_name FROM stops_a,
+  (SELECT unnest(['red', 'RING', '_', 'll w']) AS term)
+WHERE contains(lower(stop_name), lower(term))""")
+
+ORACLE["stop_search_by_code"] = v.sql("""
+SELECT feed_id, stop_id, stop_code FROM stops_a s WHERE EXISTS (
+  SELECT 1 FROM board_queries q WHERE q.feed_id = s.feed_id AND q.needle = s.stop_code)""")
+
+ORACLE["stop_search_by_route"] = v.sql("""
+SELECT DISTINCT s.feed_id, t.route_id, s.stop_id, s.stop_name FROM stops_a s
+JOIN stop_times_a st ON st.feed_id = s.feed_id AND st.stop_id = s.stop_id
+JOIN trips_a t ON t.feed_id = st.feed_id AND t.trip_id = st.trip_id""")
+
+_TYPE_NAME = ("CASE trim({0}) WHEN '0' THEN 'tram/streetcar' WHEN '1' THEN 'subway' WHEN '2' THEN "
+              "'rail' WHEN '3' THEN 'bus' WHEN '11' THEN 'trolleybus' ELSE 'type ' || {0} END")
+
+ORACLE["route_search"] = v.sql(f"""
+SELECT r.feed_id, term, r.route_id, route_short_name, route_long_name, route_type,
+  {_TYPE_NAME.format('route_type')} AS route_type_name, coalesce(n, 0) AS trip_count
+FROM routes_a r CROSS JOIN (SELECT unnest(['nation_1', 'l2', '%']) AS term)
+LEFT JOIN (SELECT feed_id, route_id, count(*) AS n FROM trips_a GROUP BY ALL) t
+  ON t.feed_id = r.feed_id AND t.route_id = r.route_id
+WHERE contains(lower(concat_ws(' ', r.route_id, route_short_name, route_long_name, route_type,
+  route_color)), lower(term))""")
+
+ORACLE["boardable_filter"] = v.sql("""
+SELECT feed_id, snapshot_id, count(*) AS calls, any_value(n) AS stops FROM stop_times_a
+JOIN (SELECT feed_id, count(*) AS n FROM stops_a WHERE location_type IN ('', '0') GROUP BY 1)
+  USING (feed_id)
+WHERE departure_time <> '' AND pickup_type <> '1' GROUP BY 1, 2""")
+
+ORACLE["gtfs_time_parse"] = v.sql(f"""
+SELECT departure_time, s AS seconds, {v.clock('s')} AS formatted, n FROM (
+  SELECT departure_time, {v.seconds('departure_time')} AS s, count(*) AS n FROM stop_times_a
+  GROUP BY 1)""")
+
+ORACLE["service_day_instant"] = v.sql(f"""
+SELECT feed_id, service_date, s AS day_start, {v.local_iso('s', 'zone')} AS day_start_local,
+  {v.local_iso('s + 93600', 'zone')} AS t26_local
+FROM (SELECT DISTINCT feed_id, service_date, zone, {v.noon_start('service_date', 'zone')} AS s
+  FROM services JOIN zones USING (feed_id))""")
+
+ORACLE["service_calendar"] = v.sql(
+    "SELECT feed_id, service_id, service_date, origin FROM services")
+
+ORACLE["candidate_service_dates"] = v.sql(f"""
+SELECT query_id, unnest(generate_series({v.wall('at_epoch', 'zone')}::DATE - 2,
+  {v.wall('at_epoch + window_minutes * 60', 'zone')}::DATE, INTERVAL 1 DAY))::DATE AS service_date
+FROM board_queries JOIN zones USING (feed_id)""")
+
+ORACLE["service_day_candidates"] = v.sql(f"""
+SELECT query_id, service_date, day_start, s AS gtfs_seconds,
+  CASE WHEN s BETWEEN 0 AND 172799 THEN {v.clock('s')} END AS gtfs_time,
+  s BETWEEN 0 AND 107999 AS plausible, s >= 86400 AS after_midnight
+FROM (SELECT *, (at_epoch - day_start)::INTEGER AS s FROM (
+  SELECT query_id, at_epoch, service_date, {v.noon_start('service_date', 'zone')} AS day_start FROM (
+    SELECT query_id, at_epoch, zone, unnest([{v.wall('at_epoch', 'zone')}::DATE - 1,
+      {v.wall('at_epoch', 'zone')}::DATE])::DATE AS service_date
+    FROM board_queries JOIN zones USING (feed_id))))""")
+
+ORACLE["late_night"] = v.sql(f"""
+SELECT feed_id, rank, trip_id, stop_id, departure_time, route_id, service_id, total_calls,
+  distinct_trips, {v.clock('mx')} AS max_time
+FROM (SELECT c.feed_id, row_number() OVER (PARTITION BY c.feed_id ORDER BY seconds DESC, c.trip_id,
+    stop_sequence, stop_id, departure_time)::INTEGER AS rank, c.trip_id, stop_id, departure_time,
+    t.route_id, t.service_id, count(*) OVER (PARTITION BY c.feed_id) AS total_calls,
+    max(seconds) OVER (PARTITION BY c.feed_id) AS mx
+  FROM (SELECT *, {v.seconds('departure_time')} AS seconds FROM stop_times_a) c
+  JOIN trips_a t ON t.feed_id = c.feed_id AND t.trip_id = c.trip_id WHERE seconds >= 86400)
+JOIN (SELECT c.feed_id, count(DISTINCT c.trip_id) AS distinct_trips FROM stop_times_a c
+  JOIN trips_a t ON t.feed_id = c.feed_id AND t.trip_id = c.trip_id
+  WHERE {v.seconds('departure_time')} >= 86400 GROUP BY 1) USING (feed_id)
+WHERE rank <= 50""")
+
+ORACLE["feed_coverage"] = v.sql(f"""
+SELECT feed_id, today, service_start, service_end, (service_end - today)::INTEGER AS days_remaining,
+  service_end < today AS expired, service_end - today < 7 AS warn, feed_version
+FROM (SELECT DISTINCT feed_id, {v.wall('at_epoch', 'zone')}::DATE AS today FROM board_queries
+  JOIN zones USING (feed_id))
+JOIN (SELECT feed_id, min(lo) AS service_start, max(hi) AS service_end FROM (
+  SELECT feed_id, {v.ymd('start_date')} AS lo, {v.ymd('end_date')} AS hi FROM calendar_a UNION ALL
+  SELECT feed_id, {v.ymd('date')}, {v.ymd('date')} FROM calendar_dates_a) GROUP BY 1) USING (feed_id)
+JOIN (SELECT feed_id, feed_version FROM feed_info_a) USING (feed_id)""")
+
+ORACLE["stop_resolve_join"] = v.sql("""
+SELECT n.feed_id, n.needle, r.stop_id, r.matched_by, r.ambiguous,
+  CASE WHEN r.stop_id IS NULL THEN 'STOP_NOT_FOUND' ELSE 'FOUND' END AS status
+FROM needles n LEFT JOIN resolved r ON r.feed_id = n.feed_id AND r.needle = n.needle""")
+
+_CALLS = ("SELECT feed_id, trip_id, stop_id, stop_sequence, departure_time, seconds, route_id, "
+          "service_id, trip_headsign, direction_id, route_short_name, route_type FROM ")
+ORACLE["calls_join"] = v.sql(_CALLS + "calls")
+
+v.VIEWS["calls_left_a"] = v.VIEWS["calls"].replace("JOIN routes_a", "LEFT JOIN routes_a")
+v.VIEWS["calls_left_a"] = v.VIEWS["calls_left_a"].replace("r.route_short_name", "r.route_short_name")
+v.VIEWS["calls_left_b"] = v.VIEWS["calls_left_a"].replace("_a ", "_b ")
+ORACLE["calls_left_join"] = v.sql(_CALLS + "calls_left_b")
+
+ORACLE["serving_join"] = v.sql("""
+SELECT DISTINCT feed_id, stop_id, route_id, CASE WHEN route_short_name <> '' THEN route_short_name
+  ELSE route_id END AS badge
+FROM stop_times_a JOIN trips_a USING (feed_id, trip_id) JOIN routes_a USING (feed_id, route_id)""")
+
+ORACLE["window_range_join"] = v.sql("""
+SELECT query_id, count(*) AS n, min(departure_epoch) AS first, max(departure_epoch) AS last
+FROM board_hits GROUP BY 1""")
+
+ORACLE["presence_joins"] = v.sql("""
+SELECT feed_id, stop_id, CASE WHEN a.stop_code IS NULL THEN 'added' WHEN b.stop_code IS NULL
+  THEN 'removed' ELSE 'common' END AS side
+FROM stops_a a FULL JOIN stops_b b USING (feed_id, stop_id)""")
+
+ORACLE["network_departures"] = v.sql("""
+SELECT feed_id, service_date, stop_id, stop_sequence, trip_id, route_id, route_short_name,
+  CASE WHEN stop_headsign <> '' THEN stop_headsign ELSE trip_headsign END AS headsign, direction_id,
+  service_id, seconds, departure_epoch, seconds >= 86400 AS after_midnight
+FROM events_on_days JOIN board_dates USING (feed_id, service_date)""")
+
+ORACLE["explain_empty"] = v.sql(f"""
+SELECT feed_id, query_id, needle, matched_by, platforms, services, calls, today,
+  CASE WHEN platforms = 0 THEN 'STOP_NOT_FOUND' WHEN local_date > feed_end THEN 'FEED_EXPIRED'
+    WHEN services = 0 THEN 'NO_SERVICE_THAT_DAY' WHEN calls = 0 THEN 'STOP_NEVER_SERVED'
+    WHEN today = 0 THEN 'NO_SERVICE_AT_STOP_TODAY' ELSE 'WINDOW_TOO_NARROW' END AS verdict
+FROM (
+  SELECT q.feed_id, q.query_id, q.needle, f.matched_by, q.local_date, i.feed_end,
+    coalesce(f.platforms, 0) AS platforms, coalesce(a.n, 0) AS services,
+    coalesce(f.calls, 0)::BIGINT AS calls, coalesce(t.n, 0) AS today
+  FROM (SELECT q.*, zone, {v.wall('at_epoch', 'zone')}::DATE AS local_date FROM board_queries q
+        JOIN zones z ON z.feed_id = q.feed_id) q
+  LEFT JOIN (SELECT r.feed_id, r.needle, min(r.matched_by) AS matched_by, count(*) AS platforms,
+      sum(n) AS calls FROM resolved r LEFT JOIN (SELECT feed_id, stop_id, count(*) AS n
+        FROM stop_times_a GROUP BY ALL) s ON s.feed_id = r.feed_id AND s.stop_id = r.stop_id
+      GROUP BY ALL) f ON f.feed_id = q.feed_id AND f.needle = q.needle
+  LEFT JOIN (SELECT feed_id, {v.ymd('feed_end_date')} AS feed_end FROM feed_info_a) i
+    ON i.feed_id = q.feed_id
+  LEFT JOIN (SELECT feed_id, service_date, count(*) AS n FROM services GROUP BY ALL) a
+    ON a.feed_id = q.feed_id AND a.service_date = q.local_date
+  LEFT JOIN (
+    SELECT w.feed_id, w.needle, w.local_date, count(*) AS n FROM (
+      SELECT DISTINCT q.feed_id, q.needle, zone, {v.wall('at_epoch', 'zone')}::DATE AS local_date
+      FROM board_queries q JOIN zones z ON z.feed_id = q.feed_id) w
+    JOIN resolved r ON r.feed_id = w.feed_id AND r.needle = w.needle
+    JOIN events_on_days e ON e.feed_id = w.feed_id AND e.stop_id = r.stop_id
+      AND e.service_date BETWEEN w.local_date - 2 AND w.local_date + 1
+    WHERE e.departure_epoch BETWEEN {v.midnight('w.local_date', 'w.zone')}
+      AND {v.midnight('w.local_date + 1', 'w.zone')}
+    GROUP BY ALL) t ON t.feed_id = q.feed_id AND t.needle = q.needle AND t.local_date = q.local_date
+)""")
+
+_COLS = {
+    "agency": ["agency_id", "agency_name", "agency_timezone"],
+    "calendar": v.demo.CALENDAR_COLUMNS,
+    "calendar_dates": ["service_id", "date", "exception_type"],
+    "feed_info": ["feed_publisher_name", "feed_start_date", "feed_end_date", "feed_version"],
+    "routes": ["route_id", "route_short_name", "route_long_name", "route_type", "route_color"],
+    "stop_times": ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence",
+                   "pickup_type", "drop_off_type", "stop_headsign"],
+    "stops": ["stop_id", "stop_code", "stop_name", "stop_lat", "stop_lon", "location_type",
+              "parent_station", "wheelchair_boarding"],
+    "trips": ["trip_id", "route_id", "service_id", "trip_headsign", "direction_id", "shape_id"],
+}
+v.VIEWS["column_values"] = " UNION ALL ".join(
+    f"SELECT feed_id, snapshot_id, '{t}' AS table_name, '{c}' AS column_name, {c} AS value, "
+    f"count(*) AS n FROM {t}_a GROUP BY ALL" for t, cs in _COLS.items() for c in cs)
+v.VIEWS["profile"] = """
+SELECT feed_id, snapshot_id, table_name, column_name, sum(n)::BIGINT AS rows,
+  sum(CASE WHEN value <> '' THEN n ELSE 0 END)::BIGINT AS non_empty, count(*) AS "distinct",
+  sum(length(value) * n)::BIGINT AS text_bytes,
+  coalesce(array_to_string(list_sort(list(value ORDER BY value) FILTER (value <> ''))[1:3], '|'), '')
+    AS samples
+FROM column_values GROUP BY ALL"""
+
+ORACLE["feed_profile"] = v.sql("""
+SELECT feed_id, snapshot_id, table_name, column_name, rows, non_empty,
+  round(1 - non_empty / rows, 4) AS null_rate, "distinct", text_bytes, non_empty = 0 AS always_empty,
+  samples FROM profile""")
+
+ORACLE["feed_features"] = v.sql("""
+SELECT feed_id, 'A' AS snapshot_id, feature,
+  CASE WHEN t.rows IS NULL THEN false WHEN col = '' THEN t.rows > 0
+    ELSE coalesce(p.non_empty > 0, false) END AS present,
+  CASE WHEN t.rows IS NULL THEN f.table_name || '.txt absent' WHEN col = '' THEN t.rows || ' rows'
+    WHEN p.non_empty IS NULL THEN 'column ' || col || ' absent'
+    ELSE p.non_empty || ' non-empty values' END AS reason
+FROM zones z CROSS JOIN (VALUES """ + ", ".join(
+    str(x) for x in profile.FEATURES) + """) AS f(feature, table_name, col)
+LEFT JOIN (SELECT feed_id, table_name, max(rows) AS rows FROM profile GROUP BY ALL) t
+  USING (feed_id, table_name)
+LEFT JOIN (SELECT feed_id, table_name, column_name AS col, non_empty FROM profile) p
+  USING (feed_id, table_name, col)""")
+
+ORACLE["feed_absent_files"] = v.sql(f"""
+SELECT feed_id, snapshot_id, table_name FROM zones, (SELECT unnest({profile.OPTIONAL_FILES})
+  AS table_name) WHERE table_name NOT IN ({', '.join(repr(t) for t in _T['a'])})""")
+
+ORACLE["feed_stats"] = v.sql(f"""
+SELECT feed_id, snapshot_id, CASE table_name WHEN 'agency' THEN 'agencies'
+  WHEN 'calendar' THEN 'calendar_rows' WHEN 'calendar_dates' THEN 'calendar_dates_rows'
+  ELSE table_name END AS metric, n AS value FROM ({_counts('a')}) WHERE table_name <> 'feed_info'
+UNION ALL SELECT feed_id, snapshot_id, 'routes: ' || {_TYPE_NAME.format('route_type')}, count(*)
+  FROM routes_a GROUP BY ALL
+UNION ALL SELECT feed_id, snapshot_id, 'service_ids', count(DISTINCT service_id) FROM trips_a
+  GROUP BY ALL""")
+
+ORACLE["entity_summary"] = v.sql(f"""
+SELECT feed_id, route_id, direction_id, count(DISTINCT trip_id) AS trips,
+  array_to_string(list_sort(list_distinct(list(trip_headsign)))[1:10], '|') AS headsigns,
+  {v.clock('min(s)')} AS first_departure, {v.clock('max(s)')} AS last_departure
+FROM trips_a LEFT JOIN (SELECT feed_id, trip_id, {v.seconds('departure_time')} AS s
+  FROM stop_times_a WHERE departure_time <> '') USING (feed_id, trip_id)
+GROUP BY feed_id, route_id, direction_id""")
+
+ORACLE["route_services"] = v.sql(
+    "SELECT feed_id, route_id, service_id, count(*) AS trips FROM trips_a GROUP BY ALL")
+
+ORACLE["stop_detail"] = v.sql("""
+SELECT s.feed_id, s.stop_id, stop_code, stop_name, coalesce(c.n, 0) AS calls,
+  coalesce(r.n, 0) AS routes, coalesce(r.ids, '') AS route_ids
+FROM stops_a s
+LEFT JOIN (SELECT feed_id, stop_id, count(*) AS n FROM stop_times_a GROUP BY ALL) c
+  ON c.feed_id = s.feed_id AND c.stop_id = s.stop_id
+LEFT JOIN (SELECT feed_id, stop_id, count(DISTINCT route_id) AS n,
+    array_to_string(list_sort(list_distinct(list(route_id))), '|') AS ids
+  FROM stop_times_a JOIN trips_a USING (feed_id, trip_id) JOIN routes_a USING (feed_id, route_id)
+  GROUP BY ALL) r ON r.feed_id = s.feed_id AND r.stop_id = s.stop_id""")
+
+ORACLE["sign_number"] = v.sql("""
+SELECT *, CASE WHEN max(CASE WHEN field = 'stop_code' THEN coverage END) OVER w > 0.9
+    AND bool_or(field = 'stop_code' AND is_unique) OVER w THEN 'stop_code'
+  WHEN sum(CASE WHEN field = 'stop_code' THEN example_hits END) OVER w > 0 THEN 'stop_code'
+  WHEN sum(CASE WHEN field = 'stop_id' THEN example_hits END) OVER w > 0 THEN 'stop_id'
+  ELSE 'unknown' END AS verdict
+FROM (
+  SELECT feed_id, field, count(*) AS total, count(*) FILTER (value <> '') AS non_empty,
+    round(count(*) FILTER (value <> '') / count(*), 4) AS coverage,
+    count(DISTINCT value) AS "distinct",
+    count(DISTINCT value) = count(*) FILTER (value <> '') AS is_unique,
+    round(count(*) FILTER (regexp_full_match(value, '[0-9]+')) / count(*) FILTER (value <> ''), 4)
+      AS numeric_share,
+    coalesce(array_to_string(list_sort(list_distinct(list(length(value))
+      FILTER (regexp_full_match(value, '[0-9]+')))), '|'), '') AS lengths,
+    count(*) FILTER (value = '15111') AS example_hits
+  FROM (SELECT feed_id, 'stop_code' AS field, stop_code AS value FROM stops_a UNION ALL
+        SELECT feed_id, 'stop_id', stop_id FROM stops_a) GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY feed_id)""")
+
+# ------------------------------------------------------------------------ diffs --
+_DIFF_FILES = """
+SELECT feed_id, table_name, rows_a, rows_b, rows_b - rows_a AS delta,
+  round((rows_b - rows_a) / nullif(rows_a, 0), 4) AS pct_change,
+  CASE WHEN rows_a IS NULL THEN 'added' WHEN rows_b IS NULL THEN 'removed'
+    WHEN rows_a = rows_b THEN 'unchanged' ELSE 'changed' END AS status
+FROM (SELECT feed_id, table_name, n AS rows_a FROM ({a})) FULL JOIN
+     (SELECT feed_id, table_name, n AS rows_b FROM ({b})) USING (feed_id, table_name)"""
+
+ORACLE["diff_files"] = v.sql(_DIFF_FILES.format(
+    a=_counts("a"), b=_counts("b", [t for t in _T["a"] if t != "feed_info"])
+    + " UNION ALL SELECT feed_id, snapshot_id, 'shapes', count(*) FROM stops_b GROUP BY ALL"))
+
+v.VIEWS["route_pairs"] = """
+SELECT feed_id, route_id, a.route_id IS NULL AS no_a, b.route_id IS NULL AS no_b,
+  [{'f': 'route_short_name', 'a': a.route_short_name, 'b': b.route_short_name},
+   {'f': 'route_long_name', 'a': a.route_long_name, 'b': b.route_long_name},
+   {'f': 'route_type', 'a': a.route_type, 'b': b.route_type}] AS fs,
+  coalesce(b.route_type, a.route_type) AS route_type
+FROM routes_a a FULL JOIN routes_b b USING (feed_id, route_id)"""
+
+v.VIEWS["d_routes"] = """
+SELECT feed_id, route_id, CASE WHEN no_a THEN 'added' ELSE 'removed' END AS change, route_type,
+  false AS type_changed, '' AS field, '' AS value_a, '' AS value_b
+FROM route_pairs WHERE no_a OR no_b
+UNION ALL
+SELECT feed_id, route_id, 'changed', route_type, list_contains([x.f FOR x IN fs IF x.a <> x.b],
+  'route_type'), f.f, f.a, f.b
+FROM (SELECT *, unnest(fs) AS f FROM route_pairs WHERE NOT no_a AND NOT no_b) WHERE f.a <> f.b"""
+ORACLE["diff_routes"] = v.sql("SELECT * FROM d_routes")
+
+v.VIEWS["d_stops"] = """
+SELECT feed_id, stop_id, change, coalesce(cb, ca) AS stop_code, coalesce(na, '') AS name_a,
+  coalesce(nb, '') AS name_b, CASE WHEN change = 'moved' THEN round(m, 1) END AS moved_m
+FROM (SELECT *, unnest(list_filter([CASE WHEN na IS NULL THEN 'added' WHEN nb IS NULL THEN 'removed'
+      END, CASE WHEN na <> nb THEN 'renamed' END,
+      CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND (lat1 IS NULL OR lon1 IS NULL OR lat2 IS NULL
+        OR lon2 IS NULL) THEN 'coordinates_missing' END,
+      CASE WHEN m > 25 THEN 'moved' END], lambda x: x IS NOT NULL)) AS change
+  FROM (SELECT *, 2 * 6371008.8 * asin(sqrt((pow(sin((radians(lat2) - radians(lat1)) / 2), 2)
+      + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS m
+    FROM (SELECT feed_id, stop_id, a.stop_code AS ca, b.stop_code AS cb, a.stop_name AS na,
+      b.stop_name AS nb, try_cast(a.stop_lat AS DOUBLE) AS lat1, try_cast(a.stop_lon AS DOUBLE) AS lon1,
+      try_cast(b.stop_lat AS DOUBLE) AS lat2, try_cast(b.stop_lon AS DOUBLE) AS lon2
+      FROM stops_a a FULL JOIN stops_b b USING (feed_id, stop_id))))"""
+ORACLE["diff_stops"] = v.sql("SELECT * FROM d_stops")
+
+_SURVIVAL_COLS = []
+for _f, _p in (("stop_id", "id"), ("stop_code", "code")):
+    _SURVIVAL_COLS += [
+        f"count(*) FILTER (f = '{_f}' AND ina) AS {_p}_in_a",
+        f"count(*) FILTER (f = '{_f}' AND inb) AS {_p}_in_b",
+        f"count(*) FILTER (f = '{_f}' AND ina AND inb) AS {_p}_survived",
+        f"count(*) FILTER (f = '{_f}' AND ina AND NOT inb) AS {_p}_lost",
+        f"count(*) FILTER (f = '{_f}' AND inb AND NOT ina) AS {_p}_gained"]
+v.VIEWS["d_survival"] = f"""
+SELECT *, least(id_rate, code_rate) AS worst_rate, least(id_rate, code_rate) IS NOT NULL AS measured,
+  coalesce(least(id_rate, code_rate) >= 0.98, false) AS meets_floor
+FROM (SELECT *, round(id_survived / nullif(id_in_a, 0), 4) AS id_rate,
+    round(code_survived / nullif(code_in_a, 0), 4) AS code_rate
+  FROM (SELECT feed_id, {', '.join(_SURVIVAL_COLS)} FROM (
+    SELECT feed_id, f, value, bool_or(side = 'a') AS ina, bool_or(side = 'b') AS inb FROM (
+      SELECT feed_id, 'stop_id' AS f, stop_id AS value, 'a' AS side FROM stops_a UNION ALL
+      SELECT feed_id, 'stop_code', stop_code, 'a' FROM stops_a UNION ALL
+      SELECT feed_id, 'stop_id', stop_id, 'b' FROM stops_b UNION ALL
+      SELECT feed_id, 'stop_code', stop_code, 'b' FROM stops_b) WHERE value <> '' GROUP BY ALL)
+    GROUP BY 1))"""
+ORACLE["id_survival"] = v.sql("SELECT * FROM d_survival")
+
+
+def _span(side):
+    return f"""(SELECT feed_id, min(lo) AS start_{side}, max(hi) AS end_{side} FROM (
+  SELECT feed_id, {v.ymd('start_date')} AS lo, {v.ymd('end_date')} AS hi FROM calendar_{side}
+  UNION ALL SELECT feed_id, {v.ymd('date')}, {v.ymd('date')} FROM calendar_dates_{side}) GROUP BY 1)"""
+
+
+v.VIEWS["d_shift"] = f"""SELECT *, (start_b - start_a)::INTEGER AS start_shift,
+  (end_b - end_a)::INTEGER AS end_shift FROM {_span('a')} FULL JOIN {_span('b')} USING (feed_id)"""
+
+_IDS = ("(SELECT DISTINCT feed_id, service_id, 1 AS p{0} FROM (SELECT feed_id, service_id FROM "
+        "calendar_{0} UNION ALL SELECT feed_id, service_id FROM calendar_dates_{0}))")
+_FS = ", ".join(f"{{'f': '{f}', 'a': a.{f}, 'b': b.{f}}}" for f in v.demo.CALENDAR_COLUMNS[1:])
+v.VIEWS["d_calendar"] = f"""
+SELECT feed_id, CASE WHEN pa IS NULL THEN 'service_added' ELSE 'service_removed' END AS change,
+  service_id, '' AS field, '' AS value_a, '' AS value_b
+FROM {_IDS.format('a')} FULL JOIN {_IDS.format('b')} USING (feed_id, service_id)
+WHERE pa IS NULL OR pb IS NULL
+UNION ALL
+SELECT feed_id, 'field_changed', service_id, f.f, f.a, f.b FROM (
+  SELECT feed_id, service_id, unnest([{_FS}]) AS f FROM calendar_a a JOIN calendar_b b
+  USING (feed_id, service_id)) WHERE f.a <> f.b
+UNION ALL
+SELECT feed_id, 'exception_removed', service_id, date, exception_type, '' FROM (
+  SELECT feed_id, service_id, date, exception_type FROM calendar_dates_a EXCEPT
+  SELECT feed_id, service_id, date, exception_type FROM calendar_dates_b)
+UNION ALL
+SELECT feed_id, 'exception_added', service_id, date, exception_type, '' FROM (
+  SELECT feed_id, service_id, date, exception_type FROM calendar_dates_b EXCEPT
+  SELECT feed_id, service_id, date, exception_type FROM calendar_dates_a)
+UNION ALL
+SELECT feed_id, 'window_shift', '', 'end', end_a::VARCHAR, end_b::VARCHAR FROM d_shift
+  WHERE end_a IS DISTINCT FROM end_b
+UNION ALL
+SELECT feed_id, 'window_shift', '', 'start', start_a::VARCHAR, start_b::VARCHAR FROM d_shift
+  WHERE start_a IS DISTINCT FROM start_b"""
+ORACLE["diff_calendar"] = v.sql("SELECT * FROM d_calendar")
+
+
+def _bag(side_a: str, side_b: str, keys: str, fields: list[str]) -> str:
+    rec = "{'t': trip_id, " + ", ".join(f"'{f}': {f}" for f in fields) + "}"
+    changed = ", ".join(f"CASE WHEN a.{f} <> b.{f} THEN '{f}' END" for f in fields)
+    return f"""
+SELECT {keys}, greatest(n_b - n_a, 0) AS added, greatest(n_a - n_b, 0) AS removed, changed_fields,
+  {', '.join(f'coalesce(b.{f}, a.{f}) AS {f}' for f in fields)}
+FROM (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN '' ELSE concat_ws(',', {changed}) END
+    AS changed_fields
+  FROM (SELECT {keys}, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side = 'b') AS n_b,
+      min({rec}) FILTER (side = 'a') AS a, min({rec}) FILTER (side = 'b') AS b
+    FROM (SELECT *, 'a' AS side FROM ({side_a}) UNION ALL BY NAME
+          SELECT *, 'b' AS side FROM ({side_b})) GROUP BY {keys}))
+WHERE n_a <> n_b OR changed_fields <> ''"""
+
+
+_CALL_SIDE = ("SELECT feed_id, stop_id, departure_time, route_id, direction_id, trip_id, "
+              "trip_headsign AS headsign, CASE WHEN pickup_type = '' THEN '0' ELSE pickup_type END "
+              "AS pickup_type FROM calls_left_{0}")
+ORACLE["diff_schedule"] = v.sql(_bag(
+    _CALL_SIDE.format("a"), _CALL_SIDE.format("b"),
+    "feed_id, stop_id, departure_time, route_id, direction_id", ["headsign", "pickup_type"]))
+
+_TRIP_SIDE = ("SELECT feed_id, route_id, direction_id, trip_id, trip_headsign AS headsign, "
+              + v.clock("min(seconds)") + " AS first_departure, " + v.clock("max(seconds)")
+              + " AS last_departure, count(*)::VARCHAR AS calls FROM calls_left_{0} "
+              "WHERE seconds IS NOT NULL "
+              "GROUP BY feed_id, route_id, direction_id, trip_id, trip_headsign, service_id")
+ORACLE["diff_route_schedule"] = v.sql(_bag(
+    _TRIP_SIDE.format("a"), _TRIP_SIDE.format("b"),
+    "feed_id, route_id, direction_id, first_departure", ["headsign", "last_departure", "calls"]))
+
+v.VIEWS["d_files"] = _DIFF_FILES.format(a=_counts("a"), b=_counts("b"))
+_R = {k: f"count(DISTINCT CASE WHEN {c} THEN route_id END)" for k, c in {
+    "removed": "change = 'removed'", "added": "change = 'added'", "changed": "change = 'changed'",
+    "rail": "change = 'removed' AND trim(route_type) IN ('0','1','2','5','7','12')",
+    "retyped": "type_changed"}.items()}
+v.VIEWS["d_findings"] = f"""
+SELECT feed_id, CASE WHEN meets_floor THEN 'routine' ELSE 'alarming' END AS severity,
+  'stop_ids' AS dimension, CASE WHEN meets_floor THEN '' WHEN measured
+    THEN 'below the survival floor: ' END || code_lost || ' code(s) and ' || id_lost
+    || ' id(s) retired' AS detail
+FROM d_survival WHERE NOT meets_floor OR code_lost > 0 OR id_lost > 0
+UNION ALL SELECT feed_id, CASE WHEN status = 'removed' AND table_name IN ('stops','trips',
+    'stop_times','calendar') THEN 'alarming' ELSE 'notable' END, 'files',
+  table_name || CASE status WHEN 'added' THEN '.txt appeared (' || rows_b || ' rows)'
+    ELSE '.txt disappeared (was ' || rows_a || ' rows)' END
+  FROM d_files WHERE status IN ('added', 'removed')
+UNION ALL SELECT feed_id, 'alarming', 'routes', {_R['rail']} || ' rail route(s) removed'
+  FROM d_routes GROUP BY 1 HAVING {_R['rail']} > 0
+UNION ALL SELECT feed_id, 'notable', 'routes', {_R['removed']} || ' route(s) removed'
+  FROM d_routes GROUP BY 1 HAVING {_R['rail']} = 0 AND {_R['removed']} > 0
+UNION ALL SELECT feed_id, 'notable', 'routes', {_R['added']} || ' route(s) added'
+  FROM d_routes GROUP BY 1 HAVING {_R['added']} > 0
+UNION ALL SELECT feed_id, 'alarming', 'routes', {_R['retyped']} || ' route(s) changed type'
+  FROM d_routes GROUP BY 1 HAVING {_R['retyped']} > 0
+UNION ALL SELECT feed_id, 'routine', 'routes', {_R['changed']} || ' route(s) renamed'
+  FROM d_routes GROUP BY 1 HAVING {_R['retyped']} = 0 AND {_R['changed']} > 0
+UNION ALL SELECT feed_id, CASE WHEN round(count(*) / any_value(id_survived), 4) > 0.01 THEN 'notable'
+    ELSE 'routine' END, 'stops', count(*) || ' stop(s) moved; furthest '
+    || round(max(moved_m))::INTEGER || ' m'
+  FROM d_stops JOIN d_survival USING (feed_id) WHERE change = 'moved' GROUP BY 1
+UNION ALL SELECT feed_id, CASE WHEN end_shift > 0 THEN 'routine' ELSE 'alarming' END, 'calendar',
+    'service ends ' || abs(end_shift) || ' day(s) ' || CASE WHEN end_shift > 0 THEN 'later'
+    ELSE 'earlier' END FROM d_shift WHERE end_shift <> 0
+UNION ALL SELECT feed_id, 'routine', 'calendar', count(*) FILTER (change = 'service_removed')
+    || ' service id(s) removed, ' || count(*) FILTER (change = 'service_added') || ' added'
+  FROM d_calendar GROUP BY 1 HAVING count(*) FILTER (change IN ('service_removed',
+    'service_added')) > 0"""
+ORACLE["diff_findings"] = v.sql("""
+SELECT *, CASE severity WHEN 'alarming' THEN 0 WHEN 'notable' THEN 1 WHEN 'opportunity' THEN 2
+  ELSE 3 END AS severity_rank FROM d_findings""")

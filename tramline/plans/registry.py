@@ -11,9 +11,11 @@ from tramline import KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators import departures as dep
+from tramline.operators import diffs, profile
 from tramline.operators import stops as st
 from tramline.session import configure
-from tramline.sources.demo import Demo, INSTANTS
+from tramline.sources import feeds
+from tramline.sources.demo import Demo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,3 +38,266 @@ BOARD_COLUMNS = ["query_id", "feed_id", "stop_id", "route_id", "route_short_name
 @query
 def departures(d: Demo) -> DataFrame:
     return dep.departures(d.board_queries(), d).select(*BOARD_COLUMNS)
+
+
+# ------------------------------------------------------ sources, projections --
+@query
+def feed_gate(d: Demo) -> DataFrame:
+    """Every feed of both snapshots, and one copy that lost its stops."""
+    counts = feeds.row_counts(d.tables()).unionByName(feeds.row_counts(d.at("B").tables()))
+    lost = counts.filter("snapshot_id = 'B' and table_name <> 'stops'").withColumn(
+        "snapshot_id", F.lit("C"))
+    return feeds.feed_gate(counts.unionByName(lost))
+
+
+@query
+def optional_columns(d: Demo) -> DataFrame:
+    return feeds.with_optional(d.stops(), ["stop_id", "stop_name", "platform_code", "stop_desc"])
+
+
+# ------------------------------------------------------- search and predicates --
+SEARCH_TERMS = ["red", "RING", "_", "ll w"]
+
+
+@query
+def stop_search(d: Demo) -> DataFrame:
+    return st.stop_search(d.stops(), SEARCH_TERMS).select(
+        "feed_id", "term", "stop_id", "stop_code", "stop_name")
+
+
+@query
+def stop_search_by_code(d: Demo) -> DataFrame:
+    codes = d.board_queries().select(*KEY, F.col("needle").alias("code")).distinct()
+    return st.stops_by_code(d.stops(), codes).select("feed_id", "stop_id", "stop_code")
+
+
+@query
+def stop_search_by_route(d: Demo) -> DataFrame:
+    pairs = st.serving_pairs(d.stop_times(), d.trips())
+    return st.stops_on_routes(d.stops(), pairs).select(
+        "feed_id", "route_id", "stop_id", "stop_name")
+
+
+@query
+def route_search(d: Demo) -> DataFrame:
+    return st.route_search(d.routes(), d.trips(), ["nation_1", "l2", "%"]).select(
+        "feed_id", "term", "route_id", "route_short_name", "route_long_name", "route_type",
+        "route_type_name", "trip_count")
+
+
+@query
+def boardable_filter(d: Demo) -> DataFrame:
+    calls = st.boardable_calls(d.stop_times()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("calls"))
+    stops = st.boardable_stops(d.stops()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("stops"))
+    return calls.join(stops, KEY)
+
+
+# ------------------------------------------------------------ time and calendar --
+@query
+def gtfs_time_parse(d: Demo) -> DataFrame:
+    secs = times.gtfs_seconds(F.col("departure_time"))
+    return d.stop_times().groupBy("departure_time").agg(F.count(F.lit(1)).alias("n")).select(
+        "departure_time", secs.alias("seconds"), times.gtfs_time(secs).alias("formatted"), "n")
+
+
+@query
+def service_day_instant(d: Demo) -> DataFrame:
+    days = cal.service_calendar(d.calendar(), d.calendar_dates()).select(
+        *KEY, "service_date").distinct()
+    zoned = cal.zoned_days(days, d.zones())
+    start = F.col("day_start")
+    return zoned.select(
+        "feed_id", "service_date", start.alias("day_start"),
+        times.local_iso(start, F.col("zone")).alias("day_start_local"),
+        times.local_iso(start + 26 * 3600, F.col("zone")).alias("t26_local"))
+
+
+@query
+def service_calendar(d: Demo) -> DataFrame:
+    return cal.service_calendar(d.calendar(), d.calendar_dates()).select(
+        "feed_id", "service_id", "service_date", "origin")
+
+
+@query
+def candidate_service_dates(d: Demo) -> DataFrame:
+    return cal.candidate_dates(d.board_queries(), d.zones()).select("query_id", "service_date")
+
+
+@query
+def service_day_candidates(d: Demo) -> DataFrame:
+    return cal.service_day_candidates(d.board_queries(), d.zones()).select(
+        "query_id", "service_date", "day_start", "gtfs_seconds", "gtfs_time", "plausible",
+        "after_midnight")
+
+
+@query
+def late_night(d: Demo) -> DataFrame:
+    totals, top = cal.late_night(d.stop_times(), d.trips(), "24:00:00", 50)
+    return top.select(*KEY, "rank", "trip_id", "stop_id", "departure_time", "route_id",
+                      "service_id").join(
+        totals.select(*KEY, "total_calls", "distinct_trips", "max_time"), KEY).drop("snapshot_id")
+
+
+@query
+def feed_coverage(d: Demo) -> DataFrame:
+    """Coverage as of each day the board queries fall on, in the agency's zone."""
+    days = d.board_queries().select(*KEY, "at_epoch").distinct().join(d.zones(), KEY).select(
+        *KEY, times.local_date(F.col("at_epoch"), F.col("zone")).alias("today")).distinct()
+    return cal.feed_coverage(d.calendar(), d.calendar_dates(), days, d.feed_info()).select(
+        "feed_id", "today", "service_start", "service_end", "days_remaining", "expired", "warn",
+        "feed_version")
+
+
+# ------------------------------------------------------------------------ joins --
+CALL_COLUMNS = ["feed_id", "trip_id", "stop_id", "stop_sequence", "departure_time", "seconds",
+                "route_id", "service_id", "trip_headsign", "direction_id", "route_short_name",
+                "route_type"]
+
+
+@query
+def stop_resolve_join(d: Demo) -> DataFrame:
+    return st.resolve_stops(d.board_queries(), d.stops()).select(
+        "feed_id", "needle", "stop_id", "matched_by", "ambiguous", "status")
+
+
+@query
+def calls_join(d: Demo) -> DataFrame:
+    return st.calls(d.stop_times(), d.trips(), d.routes()).select(*CALL_COLUMNS)
+
+
+@query
+def calls_left_join(d: Demo) -> DataFrame:
+    """Trips of snapshot B name routes that B dropped; the left join keeps them."""
+    b = d.at("B")
+    return st.calls(b.stop_times(), b.trips(), b.routes(), "left").select(*CALL_COLUMNS)
+
+
+@query
+def serving_join(d: Demo) -> DataFrame:
+    return st.serving(d.stop_times(), d.trips(), d.routes()).select(
+        "feed_id", "stop_id", "route_id", "badge")
+
+
+@query
+def window_range_join(d: Demo) -> DataFrame:
+    """Departures per query, counted: the window join without rank or limit."""
+    return dep.all_departures(d.board_queries(), d).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("departure_epoch").alias("first"),
+        F.max("departure_epoch").alias("last"))
+
+
+@query
+def presence_joins(d: Demo) -> DataFrame:
+    both = diffs.presence(d.stops(), d.at("B").stops(), ["stop_id"], ["stop_code"])
+    return both.select("feed_id", "stop_id", "side")
+
+
+@query
+def network_departures(d: Demo) -> DataFrame:
+    dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date")
+    return dep.network_departures(d, dates.distinct()).drop("snapshot_id")
+
+
+@query
+def explain_empty(d: Demo) -> DataFrame:
+    return dep.explain_empty(d.board_queries(), d).drop("snapshot_id")
+
+
+# ---------------------------------------------------------------------- profile --
+@query
+def feed_profile(d: Demo) -> DataFrame:
+    return profile.feed_profile(d.tables())
+
+
+@query
+def feed_features(d: Demo) -> DataFrame:
+    return profile.feed_features(profile.feed_profile(d.tables()), d.zones())
+
+
+@query
+def feed_absent_files(d: Demo) -> DataFrame:
+    return profile.absent_files(feeds.row_counts(d.tables()), d.zones())
+
+
+@query
+def feed_stats(d: Demo) -> DataFrame:
+    return profile.feed_stats(d.tables())
+
+
+@query
+def entity_summary(d: Demo) -> DataFrame:
+    return profile.route_summary(d.trips(), d.stop_times()).drop("snapshot_id")
+
+
+@query
+def route_services(d: Demo) -> DataFrame:
+    return profile.route_services(d.trips()).drop("snapshot_id")
+
+
+@query
+def stop_detail(d: Demo) -> DataFrame:
+    pairs = st.serving(d.stop_times(), d.trips(), d.routes())
+    return profile.stop_summary(d.stops(), d.stop_times(), pairs).drop("snapshot_id")
+
+
+@query
+def sign_number(d: Demo) -> DataFrame:
+    return profile.sign_number(d.stops()).drop("snapshot_id")
+
+
+# ------------------------------------------------------------------------ diffs --
+@query
+def diff_files(d: Demo) -> DataFrame:
+    """Snapshot B also lost feed_info and gained a shapes table made from its stops."""
+    b = d.at("B")
+    after = b.tables()
+    after["shapes"] = after["stops"].select(*KEY, F.col("stop_id").alias("shape_id"))
+    del after["feed_info"]
+    return diffs.diff_files(feeds.row_counts(d.tables()), feeds.row_counts(after))
+
+
+@query
+def diff_routes(d: Demo) -> DataFrame:
+    return diffs.diff_routes(d.routes(), d.at("B").routes())
+
+
+@query
+def diff_stops(d: Demo) -> DataFrame:
+    return diffs.diff_stops(d.stops(), d.at("B").stops())
+
+
+@query
+def id_survival(d: Demo) -> DataFrame:
+    return diffs.id_survival(d.stops(), d.at("B").stops())
+
+
+@query
+def diff_calendar(d: Demo) -> DataFrame:
+    b = d.at("B")
+    return diffs.diff_calendar(d.calendar(), d.calendar_dates(), b.calendar(), b.calendar_dates())
+
+
+def _all_calls(d: Demo) -> DataFrame:
+    return st.calls(d.stop_times(), d.trips(), d.routes(), "left")
+
+
+@query
+def diff_schedule(d: Demo) -> DataFrame:
+    return diffs.diff_schedule(_all_calls(d), _all_calls(d.at("B")))
+
+
+@query
+def diff_route_schedule(d: Demo) -> DataFrame:
+    return diffs.diff_route_schedule(_all_calls(d), _all_calls(d.at("B")))
+
+
+@query
+def diff_findings(d: Demo) -> DataFrame:
+    b = d.at("B")
+    return diffs.diff_findings(
+        diffs.diff_files(feeds.row_counts(d.tables()), feeds.row_counts(b.tables())),
+        diffs.diff_routes(d.routes(), b.routes()),
+        diffs.diff_stops(d.stops(), b.stops()),
+        diffs.id_survival(d.stops(), b.stops()),
+        diffs.window_shift(d.calendar(), d.calendar_dates(), b.calendar(), b.calendar_dates()),
+        diffs.diff_calendar(d.calendar(), d.calendar_dates(), b.calendar(), b.calendar_dates()))

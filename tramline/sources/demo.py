@@ -220,3 +220,97 @@ class Demo:
             F.unix_seconds("i.at").alias("at_epoch"),
             F.lit(90).alias("window_minutes"),
             F.when(F.col("i.n") == 4, F.col("route_7")).alias("route_filter"))
+
+    # ------------------------------------------------------------ realtime --
+    def _updates(self) -> DataFrame:
+        """Events as trip updates: one entity per event, one capture per feed and day.
+
+        Times are moved 1009 days on, so that captures surround the November
+        board queries.
+        """
+        e = F.col("event_id")
+        trip = e * 2
+        # NTZ in the files; the session zone is UTC.
+        fetched = F.unix_seconds(F.col("ts").cast("timestamp")) + 1009 * 86_400
+        return self.raw("events").select(
+            F.concat(F.lit("F"), (trip % FEEDS).cast("string")).alias("feed_id"),
+            F.concat(F.lit("C"), F.floor(fetched / 86_400).cast("string")).alias("capture_id"),
+            e.alias("entity_pos"), F.concat(F.lit("T"), trip.cast("string")).alias("trip_id"),
+            fetched.alias("seen_epoch"), "event_type", "value",
+            ((F.col("value") * 10).cast("int") - 240).alias("delay"))
+
+    def trip_updates(self) -> DataFrame:
+        kind = F.col("event_type")
+        return self._updates().select(
+            "feed_id", "capture_id", "entity_pos", "trip_id", "seen_epoch",
+            F.when((kind == "view") & (F.col("entity_pos") % 2 == 0), "20261101").otherwise("")
+            .alias("start_date"),
+            F.when(kind == "signup", "CANCELED").otherwise("SCHEDULED").alias("trip_relationship"),
+            F.when(kind.isin("view", "signup"), F.col("delay")).alias("trip_delay"))
+
+    def stop_updates(self) -> DataFrame:
+        """One stop update per distinct call of the trip, named by id, number or both.
+
+        Views carry none, so that the trip delay applies.
+        """
+        from pyspark.sql import Window
+
+        calls = self.stop_times().select(
+            "feed_id", "trip_id", "stop_id", "stop_sequence",
+            times.gtfs_seconds(F.col("departure_time")).alias("seconds")).filter(
+            F.col("seconds").isNotNull()).distinct()
+        # A trip's calls: a handful of rows.
+        order = Window.partitionBy("feed_id", "trip_id").orderBy("stop_sequence", "stop_id")
+        calls = calls.withColumn("stu_pos", (F.row_number().over(order) - 1).cast("int"))
+        kind, e, pos = F.col("event_type"), F.col("entity_pos"), F.col("stu_pos")
+        start = F.when(F.col("feed_id") == "F0", 1_793_512_800).when(
+            F.col("feed_id") == "F1", 1_793_509_200).otherwise(1_793_516_400)
+        at = F.when(F.col("value") > 300, F.lit(9_000_000_000)).otherwise(
+            start + F.col("seconds") + F.col("delay"))
+        return (self._updates().filter(kind != "view").join(calls, ["feed_id", "trip_id"]).select(
+            "feed_id", "capture_id", "entity_pos", "stu_pos", "trip_id",
+            F.when((e + pos) % 3 == 1, "").otherwise(F.col("stop_id")).alias("stop_id"),
+            F.when((e + pos) % 3 == 0, "").otherwise(F.col("stop_sequence"))
+            .alias("stop_sequence"),
+            F.when((kind == "error") & (pos % 2 == 0), "SKIPPED").otherwise("SCHEDULED")
+            .alias("relationship"),
+            F.when((e % 5 != 4), F.when(e % 50 == 3, F.lit(90_000)).otherwise(
+                F.col("delay") + 30 * pos)).cast("int").alias("event_delay"),
+            F.when(kind == "purchase", at).cast("bigint").alias("event_time")))
+
+    def captures(self) -> DataFrame:
+        return self._updates().groupBy("feed_id", "capture_id").agg(
+            F.max("seen_epoch").alias("fetched_epoch"), F.count(F.lit(1)).alias("entities"))
+
+    def headers(self) -> DataFrame:
+        """One header per event: kind by event type, header time k seconds before fetch."""
+        t = F.unix_seconds(F.col("ts").cast("timestamp"))
+        k = F.get_json_object("props", "$.k").cast("bigint")
+        kind = F.col("event_type")
+        return self.raw("events").select(
+            F.concat(F.lit("F"), (F.col("event_id") % FEEDS).cast("string")).alias("feed_id"),
+            F.concat(F.lit("H"), F.col("event_id").cast("string")).alias("capture_id"),
+            F.when(kind == "click", "trip_updates").when(kind == "view", "vehicle_positions")
+            .otherwise("alerts").alias("entity_kind"),
+            F.col("ts"), t.alias("fetched_epoch"), (t - k * 5).alias("header_ts"),
+            (1000 + k).alias("bytes"), (k % 7).alias("entities"))
+
+    def field_paths(self) -> DataFrame:
+        """(feed, capture_id, path, wire_type) as the decoder emits them."""
+        kind, p = F.col("event_type"), F.col("event_id") % 11
+
+        def row(path, wire, cond=None):
+            cell = F.struct(F.lit(path).alias("path"), F.lit(wire).alias("wire_type"))
+            return cell if cond is None else F.when(cond, cell)
+
+        cells = F.array_compact(F.array(
+            row("header", "length-delimited"), row("header.timestamp", "varint"),
+            row("entity", "length-delimited"),
+            row("entity.trip_update", "length-delimited", kind != "view"),
+            row("entity.trip_update.delay", "varint", kind == "signup"),
+            row("entity.trip_update.delay", "fixed32", (kind == "signup") & (p == 3)),
+            row("entity.?7", "varint", p == 0)))
+        return self.raw("events").select(
+            F.concat(F.lit("F"), (F.col("event_id") % FEEDS).cast("string")).alias("feed_id"),
+            F.concat(F.lit("H"), F.col("event_id").cast("string")).alias("capture_id"),
+            F.explode(cells).alias("c")).select("feed_id", "capture_id", "c.*")
