@@ -10,6 +10,7 @@ from tramline.functions import times
 from tramline.operators import departures as dep
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
+from tramline.session import materialize
 
 BOARD_LIMIT = 50
 # Rows numbered per task when counting repeats of one pairing key.
@@ -24,7 +25,7 @@ def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updat
     stop code is carried only when the needle names a single one.
     """
     rows = dep.departures(queries, feed, limit)
-    live = rt.overlay(rows, trip_updates, stop_updates, captures)
+    live = rt.overlay(rows, queries, trip_updates, stop_updates, captures)
     resolved = st.resolve_stops(queries, feed.stops())
     codes = (resolved.filter("direct").select(*KEY, "needle", "stop_id")
              .join(feed.stops().select(*KEY, "stop_id", F.trim("stop_code").alias("code")),
@@ -47,8 +48,10 @@ def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updat
     # At most `limit` rows per board reach this window.
     order = Window.partitionBy("query_id").orderBy(
         "shown_epoch", "route", "trip_id", "stop_sequence", "stop_id", "service_date", "headsign")
-    shown = shown.withColumn("position", F.row_number().over(order))
-    empty = (queries.join(shown.select("query_id").distinct(), "query_id", "left_anti"))
+    # Written once: the boards are both the result and what decides emptiness.
+    shown = materialize(shown.withColumn("position", F.row_number().over(order)), "boards")
+    empty = materialize(queries.join(shown.select("query_id").distinct(), "query_id",
+                                     "left_anti"), "empty-boards")
     why = dep.explain_empty(empty, feed).select("query_id", F.col("verdict").alias("reason"))
     return shown.unionByName(why, allowMissingColumns=True)
 

@@ -9,6 +9,7 @@ from tramline import KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators import stops as st
+from tramline.session import materialize
 
 # Width of the second-of-service-day bucket in the window join. It turns the
 # band condition into an equi key, so a stop holding a large share of all calls
@@ -83,13 +84,19 @@ def shaped(hits: DataFrame) -> DataFrame:
         (F.col("seconds") >= times.DAY).alias("after_midnight"), "zone", "at_epoch")
 
 
-def all_departures(queries: DataFrame, feed) -> DataFrame:
+def resolved_stops(queries: DataFrame, feed) -> DataFrame:
+    """The resolution of the queries' needles, written once: it prunes the calls
+    and also keys the window join."""
+    return materialize(st.resolve_stops(queries, feed.stops()), "resolved")
+
+
+def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None) -> DataFrame:
     """Every departure of every query, without rank or limit.
 
     ``feed`` has the tables stops, stop_times, trips, routes, calendar,
     calendar_dates and zones as methods.
     """
-    resolved = st.resolve_stops(queries, feed.stops())
+    resolved = resolved_stops(queries, feed) if resolved is None else resolved
     zones = feed.zones()
     dates = cal.candidate_dates(queries, zones).select(*KEY, "service_date").distinct()
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
@@ -111,7 +118,12 @@ def rank_and_limit(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def departures(queries: DataFrame, feed, limit: int = 50) -> DataFrame:
-    return rank_and_limit(all_departures(queries, feed), limit)
+    """Ranked departures per query.
+
+    The hits are written once, since both the totals and the ranking read them;
+    they are a small share of the calls they were found in.
+    """
+    return rank_and_limit(materialize(all_departures(queries, feed), "hits"), limit)
 
 
 def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:
@@ -139,7 +151,7 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
     """
     zones = feed.zones()
     q = queries.withColumn("needle", F.trim("needle"))
-    resolved = st.resolve_stops(q, feed.stops())
+    resolved = resolved_stops(q, feed)
     found = resolved.groupBy(*KEY, "needle").agg(
         F.count("stop_id").alias("platforms"), F.min("matched_by").alias("matched_by"))
 
@@ -166,7 +178,7 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
         ((times.midnight(F.date_add("local_date", 1), F.col("zone"))
           - times.midnight(F.col("local_date"), F.col("zone"))) / 60)
         .cast("int").alias("window_minutes"))
-    today = (all_departures(whole.drop("local_date"), feed).groupBy("query_id")
+    today = (all_departures(whole.drop("local_date"), feed, resolved).groupBy("query_id")
              .agg(F.count(F.lit(1)).alias("today")))
     today = whole.join(today, "query_id").select(*KEY, "needle", "local_date", "today")
 

@@ -64,7 +64,9 @@ def feed_health(headers: DataFrame, as_of: DataFrame, kinds: list[str],
     return (wanted.join(newest, [*on, "entity_kind"], "left").join(spread, on, "left").select(
         *on, "entity_kind", F.col("h").isNotNull().alias("available"),
         F.col("h.capture_id").alias("capture_id"), F.col("h.header_ts").alias("header_ts"),
-        age.alias("age_seconds"), F.coalesce(age > STALE_SECONDS, F.lit(False)).alias("stale"),
+        age.alias("age_seconds"),
+        (F.col("h.fetched_epoch") - F.col("h.header_ts")).alias("age_at_fetch"),
+        (F.col("as_of") - F.col("h.fetched_epoch")).alias("fetched_ago"), F.coalesce(age > STALE_SECONDS, F.lit(False)).alias("stale"),
         F.col("h.bytes").alias("bytes"), F.col("h.entities").alias("entities"),
         "header_spread"))
 
@@ -119,16 +121,18 @@ def _first_by(stop_updates: DataFrame, winners: DataFrame, key: str, name: str,
             .agg(F.min(record).alias(name)))
 
 
-def overlay(departures: DataFrame, trip_updates: DataFrame, stop_updates: DataFrame,
-            captures: DataFrame, on: list[str] = FEED) -> DataFrame:
+def overlay(departures: DataFrame, queries: DataFrame, trip_updates: DataFrame,
+            stop_updates: DataFrame, captures: DataFrame, on: list[str] = FEED) -> DataFrame:
     """Departures with prediction, status and delay from the capture known then.
 
+    ``queries`` gives the instants (feed, at_epoch) the departures were asked for.
+
     The stop update is the first in feed order whose stop_id or stop_sequence
     matches: two equi joins and the smaller position, never an OR join. A trip
     update naming a start date only applies to that service date, and a
     canceled trip is reported as such.
     """
-    known = asof_capture(departures, captures, on)
+    known = asof_capture(queries, captures, on)
     winners = latest_update(trip_updates, on)
     by_stop = _first_by(stop_updates, winners, "stop_id", "by_stop", on)
     by_seq = _first_by(stop_updates, winners, "stop_sequence", "by_seq", on)

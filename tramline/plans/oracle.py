@@ -463,3 +463,236 @@ UNION ALL SELECT feed_id, 'routine', 'calendar', count(*) FILTER (change = 'serv
 ORACLE["diff_findings"] = v.sql("""
 SELECT *, CASE severity WHEN 'alarming' THEN 0 WHEN 'notable' THEN 1 WHEN 'opportunity' THEN 2
   ELSE 3 END AS severity_rank FROM d_findings""")
+
+# --------------------------------------------------------------------- realtime --
+v.VIEWS["updates"] = """
+SELECT 'F' || (event_id * 2 % 3) AS feed_id, 'C' || (seen // 86400) AS capture_id,
+  event_id AS entity_pos, 'T' || event_id * 2 AS trip_id, seen AS seen_epoch, event_type, value,
+  trunc(value * 10)::INTEGER - 240 AS delay
+FROM (SELECT *, floor(epoch(ts))::BIGINT + 1009 * 86400 AS seen FROM events)"""
+
+v.VIEWS["trip_updates"] = """
+SELECT feed_id, capture_id, entity_pos, trip_id,
+  CASE WHEN event_type = 'view' AND entity_pos % 2 = 0 THEN '20261101' ELSE '' END AS start_date,
+  CASE WHEN event_type = 'signup' THEN 'CANCELED' ELSE 'SCHEDULED' END AS trip_relationship,
+  CASE WHEN event_type IN ('view', 'signup') THEN delay END AS trip_delay FROM updates"""
+
+v.VIEWS["stop_updates"] = f"""
+SELECT feed_id, capture_id, entity_pos, pos AS stu_pos, trip_id,
+  CASE WHEN (entity_pos + pos) % 3 = 1 THEN '' ELSE stop_id END AS stop_id,
+  CASE WHEN (entity_pos + pos) % 3 = 0 THEN '' ELSE stop_sequence END AS stop_sequence,
+  CASE WHEN event_type = 'error' AND pos % 2 = 0 THEN 'SKIPPED' ELSE 'SCHEDULED' END AS relationship,
+  (CASE WHEN entity_pos % 5 <> 4 THEN CASE WHEN entity_pos % 50 = 3 THEN 90000
+    ELSE delay + 30 * pos END END)::INTEGER AS event_delay,
+  CASE WHEN event_type = 'purchase' THEN CASE WHEN value > 300 THEN 9000000000 ELSE
+    CASE feed_id WHEN 'F0' THEN 1793512800 WHEN 'F1' THEN 1793509200 ELSE 1793516400 END
+      + seconds + delay END END AS event_time
+FROM updates JOIN (SELECT *, (row_number() OVER (PARTITION BY feed_id, trip_id
+    ORDER BY stop_sequence, stop_id) - 1)::INTEGER AS pos
+  FROM (SELECT DISTINCT feed_id, trip_id, stop_id, stop_sequence,
+      {v.seconds('departure_time')} AS seconds FROM stop_times_a) WHERE seconds IS NOT NULL)
+  USING (feed_id, trip_id) WHERE event_type <> 'view'"""
+
+v.VIEWS["captures"] = """SELECT feed_id, capture_id, max(seen_epoch) AS fetched_epoch,
+  count(*) AS entities FROM updates GROUP BY 1, 2"""
+
+v.VIEWS["headers"] = """
+SELECT 'F' || (event_id % 3) AS feed_id, 'H' || event_id AS capture_id, ts,
+  CASE event_type WHEN 'click' THEN 'trip_updates' WHEN 'view' THEN 'vehicle_positions'
+    ELSE 'alerts' END AS entity_kind, t AS fetched_epoch, t - k * 5 AS header_ts,
+  1000 + k AS bytes, k % 7 AS entities
+FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, json_extract_string(props, '$.k')::BIGINT AS k
+  FROM events)"""
+
+v.VIEWS["field_paths"] = """
+SELECT feed_id, capture_id, c.p AS path, c.w AS wire_type FROM (
+  SELECT 'F' || (event_id % 3) AS feed_id, 'H' || event_id AS capture_id, unnest(list_filter([
+    {'p': 'header', 'w': 'length-delimited'}, {'p': 'header.timestamp', 'w': 'varint'},
+    {'p': 'entity', 'w': 'length-delimited'},
+    CASE WHEN event_type <> 'view' THEN {'p': 'entity.trip_update', 'w': 'length-delimited'} END,
+    CASE WHEN event_type = 'signup' THEN {'p': 'entity.trip_update.delay', 'w': 'varint'} END,
+    CASE WHEN event_type = 'signup' AND event_id % 11 = 3
+      THEN {'p': 'entity.trip_update.delay', 'w': 'fixed32'} END,
+    CASE WHEN event_id % 11 = 0 THEN {'p': 'entity.?7', 'w': 'varint'} END],
+    lambda x: x IS NOT NULL)) AS c FROM events)"""
+
+v.VIEWS["census"] = """
+SELECT feed_id, path, count(DISTINCT capture_id) AS present,
+  round(count(DISTINCT capture_id) / any_value(n), 4) AS presence_rate,
+  array_to_string(list_sort(list_distinct(list(wire_type))), '|') AS wire_types,
+  NOT contains(path, '?') AS modelled
+FROM field_paths JOIN (SELECT feed_id, count(*) AS n FROM headers GROUP BY 1) USING (feed_id)
+GROUP BY feed_id, path"""
+ORACLE["rt_field_census"] = v.sql("SELECT * FROM census")
+
+v.VIEWS["health"] = """
+SELECT z.feed_id, entity_kind, h.capture_id IS NOT NULL AS available, h.capture_id, h.header_ts,
+  as_of - h.header_ts AS age_seconds, h.fetched_epoch - h.header_ts AS age_at_fetch,
+  as_of - h.fetched_epoch AS fetched_ago, coalesce(as_of - h.header_ts > 300, false) AS stale, h.bytes,
+  h.entities, max(h.header_ts) OVER (PARTITION BY z.feed_id)
+    - min(h.header_ts) OVER (PARTITION BY z.feed_id) AS header_spread
+FROM (SELECT feed_id, max(fetched_epoch) + 60 AS as_of FROM headers GROUP BY 1) z
+CROSS JOIN (SELECT unnest(['trip_updates', 'vehicle_positions', 'alerts', 'shapes']) AS entity_kind)
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY feed_id, entity_kind
+    ORDER BY fetched_epoch DESC, capture_id DESC) AS rn FROM headers) h
+  USING (feed_id, entity_kind) WHERE rn = 1 OR rn IS NULL"""
+ORACLE["rt_feed_health"] = v.sql("SELECT * FROM health")
+
+v.VIEWS["winners"] = """SELECT * FROM (SELECT *, row_number() OVER (
+  PARTITION BY feed_id, capture_id, trip_id ORDER BY entity_pos DESC) AS rn FROM trip_updates)
+  WHERE rn = 1"""
+ORACLE["rt_latest_update"] = v.sql(
+    "SELECT feed_id, capture_id, trip_id, entity_pos, start_date, trip_relationship, trip_delay "
+    "FROM winners")
+
+v.VIEWS["matched_updates"] = """
+SELECT query_id, d.feed_id, rank, d.trip_id, d.stop_id, d.stop_sequence, service_date,
+  departure_epoch, minutes_away, a.capture_id, headsign, route_id, route_short_name, gtfs_time,
+  d.zone, w.trip_id IS NOT NULL AND (w.start_date = '' OR
+    w.start_date = strftime(service_date, '%Y%m%d')) AS realtime,
+  w.trip_relationship, w.trip_delay, w.entity_pos
+FROM (SELECT * FROM departures WHERE rank <= 50) d
+LEFT JOIN (SELECT q.feed_id, q.at_epoch, arg_max(c.capture_id, c.fetched_epoch) AS capture_id
+    FROM (SELECT DISTINCT feed_id, at_epoch FROM board_queries) q
+    JOIN captures c ON c.feed_id = q.feed_id AND c.fetched_epoch <= q.at_epoch GROUP BY 1, 2) a
+  ON a.feed_id = d.feed_id AND a.at_epoch = d.at_epoch
+LEFT JOIN winners w ON w.feed_id = d.feed_id AND w.capture_id = a.capture_id
+  AND w.trip_id = d.trip_id"""
+
+v.VIEWS["first_stu"] = """
+SELECT * FROM (SELECT m.query_id, m.rank, s.relationship, s.event_delay, s.event_time,
+    row_number() OVER (PARTITION BY m.query_id, m.rank ORDER BY s.stu_pos) AS rn
+  FROM matched_updates m JOIN stop_updates s ON s.feed_id = m.feed_id
+    AND s.capture_id = m.capture_id AND s.entity_pos = m.entity_pos
+  WHERE m.realtime AND (s.stop_id = m.stop_id OR s.stop_sequence = m.stop_sequence)) WHERE rn = 1"""
+
+v.VIEWS["overlaid"] = """
+SELECT *, CASE WHEN live AND ok THEN departure_epoch + derived END AS predicted_epoch,
+  CASE WHEN NOT realtime THEN 'SCHEDULED_ONLY' WHEN canceled THEN 'CANCELED'
+    WHEN rel = 'SKIPPED' THEN 'SKIPPED' WHEN measured AND NOT ok THEN 'IMPLAUSIBLE_DELAY'
+    WHEN measured THEN rel WHEN rel = 'SCHEDULED' THEN 'NO_PREDICTION' ELSE rel END AS status,
+  CASE WHEN live THEN coalesce(derived, e) END AS delay_seconds,
+  CASE WHEN live AND ok THEN CASE WHEN e IS NOT NULL THEN 'absolute_time' ELSE 'delay' END END
+    AS delay_basis,
+  CASE WHEN live AND ok THEN (minutes_away + round_even(derived / 60, 0))::INTEGER END
+    AS minutes_predicted
+FROM (SELECT *, coalesce(abs(derived) <= 43200, false) AS ok,
+    realtime AND NOT canceled AND rel <> 'SKIPPED' AND measured AS live
+  FROM (SELECT *, e IS NOT NULL OR dl IS NOT NULL AS measured,
+      coalesce(trip_relationship = 'CANCELED', false) AS canceled,
+      CASE WHEN e IS NULL THEN dl WHEN e BETWEEN -3000000000 AND 6000000000
+        THEN e - departure_epoch END AS derived
+    FROM (SELECT m.*, f.event_time AS e,
+        (CASE WHEN f.rn = 1 THEN f.event_delay ELSE m.trip_delay END)::BIGINT AS dl,
+        CASE WHEN f.rn = 1 THEN f.relationship WHEN m.trip_delay IS NOT NULL THEN 'SCHEDULED'
+          ELSE 'NO_DATA' END AS rel
+      FROM matched_updates m LEFT JOIN first_stu f USING (query_id, rank))))"""
+ORACLE["rt_overlay"] = v.sql("""
+SELECT query_id, rank, trip_id, stop_id, stop_sequence, service_date, departure_epoch, minutes_away,
+  capture_id, realtime, status, delay_seconds, delay_basis, predicted_epoch, minutes_predicted
+FROM overlaid""")
+
+ORACLE["rt_match_rate"] = v.sql("""
+SELECT query_id, count(*) AS inspected, count(*) FILTER (realtime) AS matched,
+  round(count(*) FILTER (realtime) / count(*), 4) AS match_rate FROM overlaid GROUP BY 1""")
+
+v.VIEWS["join_rate"] = """
+SELECT feed_id, count(*) AS rt_trips, count(t.trip_id) AS resolved,
+  round(count(t.trip_id) / count(*), 4) AS join_rate
+FROM (SELECT DISTINCT feed_id, trip_id FROM trip_updates) u
+LEFT JOIN (SELECT DISTINCT feed_id, trip_id FROM trips_a) t USING (feed_id, trip_id) GROUP BY 1"""
+ORACLE["rt_join_rate"] = v.sql("SELECT * FROM join_rate")
+
+# ----------------------------------------------------------------------- boards --
+v.VIEWS["explained"] = ORACLE["explain_empty"][ORACLE["explain_empty"].rindex("\nSELECT feed_id, query_id"):]
+ORACLE["expected_board"] = v.sql("""
+SELECT query_id, CASE WHEN coalesce(route_short_name, '') <> '' THEN route_short_name
+    ELSE route_id END AS route, headsign, coalesce(predicted_epoch, departure_epoch) AS shown_epoch,
+  departure_epoch AS scheduled_epoch, predicted_epoch,
+  coalesce(minutes_predicted, minutes_away) AS minutes_away, realtime, status, trip_id, stop_id,
+  coalesce(c.code, '') AS stop_code, route_id, service_date, gtfs_time, stop_sequence,
+  NULL::VARCHAR AS reason, row_number() OVER (PARTITION BY query_id ORDER BY
+    coalesce(predicted_epoch, departure_epoch), CASE WHEN coalesce(route_short_name, '') <> ''
+    THEN route_short_name ELSE route_id END, trip_id, stop_sequence, stop_id, service_date, headsign)
+    ::INTEGER AS position
+FROM overlaid LEFT JOIN (
+  SELECT q.query_id, min(s.stop_code) AS code FROM board_queries q
+  JOIN matches m ON m.feed_id = q.feed_id AND m.needle = q.needle
+  JOIN stops_a s ON s.feed_id = m.feed_id AND s.stop_id = m.stop_id
+  WHERE s.stop_code <> '' GROUP BY 1 HAVING count(DISTINCT s.stop_code) = 1) c USING (query_id)
+UNION ALL BY NAME
+SELECT query_id, verdict AS reason FROM explained e WHERE NOT EXISTS (
+  SELECT 1 FROM departures d WHERE d.query_id = e.query_id)""")
+
+v.VIEWS["board_e"] = f"""
+SELECT feed_id, query_id AS board_id, rank AS position, route_id, route_short_name AS route, headsign,
+  {v.local_iso('departure_epoch', 'zone')} AS departure, minutes_away::VARCHAR AS minutes_away,
+  'SCHEDULED_ONLY' AS status, 'false' AS realtime, stop_id, service_date::VARCHAR AS service_date,
+  substr(trip_id, 2)::BIGINT AS t, substr(stop_id, 2)::BIGINT AS s, departure_epoch, gtfs_time,
+  CASE WHEN substr(stop_id, 2)::BIGINT % 2 = 0 THEN trip_id END AS trip_id,
+  strftime({v.wall('departure_epoch', 'zone')}, '%H:%M') AS hhmm, zone
+FROM departures WHERE rank <= 50"""
+v.VIEWS["board_o1"] = f"""
+SELECT feed_id, board_id, position, t, nullif(CASE WHEN s % 5 = 0 THEN NULL WHEN t % 7 = 0
+    THEN route_id ELSE route END, '') AS route,
+  CASE WHEN t % 23 = 0 THEN upper(headsign) WHEN t % 29 = 0 THEN 'Depot' ELSE headsign END AS headsign,
+  CASE WHEN s % 11 = 0 THEN 'soon' WHEN t % 19 = 0 THEN 'late' WHEN t % 13 = 0 THEN 'gtfs'
+    ELSE 'iso' END AS form,
+  minutes_away || '.0' AS minutes_away, stop_id, trip_id,
+  CASE WHEN s % 11 = 0 THEN NULL WHEN t % 19 = 0
+    THEN strftime({v.wall('departure_epoch + 60', 'zone')}, '%H:%M')
+    WHEN t % 13 = 0 THEN lpad((split_part(gtfs_time, ':', 1)::INTEGER % 24)::VARCHAR, 2, '0') || ':'
+      || split_part(gtfs_time, ':', 2) ELSE hhmm END AS hhmm
+FROM board_e WHERE t % 17 <> 0"""
+v.VIEWS["board_o"] = """SELECT * FROM board_o1 UNION ALL
+SELECT * REPLACE (position + 1000 AS position) FROM board_o1 WHERE t % 31 = 0"""
+v.VIEWS["board_modes"] = """
+SELECT board_id, CASE WHEN ne > 0 AND no > 0 AND ide AND ido THEN 'trip_id'
+  WHEN ne > 0 AND no > 0 AND te AND tou AND re AND ro THEN 'departure_route'
+  WHEN te AND tou THEN 'departure' ELSE 'position' END AS mode
+FROM (SELECT board_id, count(*) AS ne, count(trip_id) = count(*) AND count(DISTINCT trip_id) = count(*)
+    AS ide, count(hhmm) = count(*) AS te, true AS re FROM board_e GROUP BY 1)
+LEFT JOIN (SELECT board_id, count(*) AS no, count(trip_id) = count(*) AND count(DISTINCT trip_id)
+    = count(*) AS ido, count(hhmm) = count(*) AS tou, count(route) = count(*) AS ro
+  FROM board_o GROUP BY 1) USING (board_id)"""
+v.VIEWS["board_modes"] = v.VIEWS["board_modes"].replace("AND tou THEN 'departure'",
+                                                       "AND coalesce(tou, true) THEN 'departure'")
+
+
+def _side(table: str, route: str) -> str:
+    key = (f"CASE mode WHEN 'trip_id' THEN trip_id WHEN 'departure_route' THEN hhmm || '|' || {route} "
+           "WHEN 'departure' THEN hhmm ELSE position::VARCHAR END")
+    return (f"(SELECT *, row_number() OVER (PARTITION BY board_id, pair_key ORDER BY position) AS "
+            f"occurrence FROM (SELECT *, {key} AS pair_key FROM {table} JOIN board_modes "
+            "USING (board_id)))")
+
+
+def _ck(x: str) -> str:
+    text = f"lower(trim({x}::VARCHAR))"
+    return f"coalesce(try_cast({text} AS DOUBLE)::VARCHAR, {text})"
+
+
+_ROUTE_E = "coalesce(nullif(e.route, ''), e.route_id)"
+v.VIEWS["board_pairs"] = f"""
+SELECT coalesce(e.feed_id, o.feed_id) AS feed_id, coalesce(e.board_id, o.board_id) AS board_id,
+  coalesce(e.mode, o.mode) AS mode, coalesce(e.pair_key, o.pair_key) AS pair_key,
+  coalesce(e.occurrence, o.occurrence) AS occurrence,
+  CASE WHEN e.position IS NULL OR o.position IS NULL THEN '' ELSE concat_ws(',',
+    CASE WHEN {_ck(_ROUTE_E)} <> {_ck('o.route')} AND {_ck('e.route_id')} <> {_ck('o.route')}
+      THEN 'route' END,
+    CASE WHEN {_ck('e.headsign')} <> {_ck('o.headsign')} THEN 'headsign' END,
+    CASE WHEN o.form = 'soon' OR e.hhmm <> o.hhmm THEN 'departure' END) END AS differing,
+  e.position AS expected_position, o.position AS observed_position
+FROM {_side('board_e', _ck("coalesce(nullif(route, ''), route_id)"))} e
+FULL JOIN {_side('board_o', _ck('route'))} o
+  ON e.board_id = o.board_id AND e.pair_key = o.pair_key AND e.occurrence = o.occurrence"""
+v.VIEWS["reconciled"] = """
+SELECT feed_id, board_id, mode, pair_key, occurrence, CASE WHEN observed_position IS NULL
+    THEN 'missing' WHEN expected_position IS NULL THEN 'extra' WHEN differing <> '' THEN 'differing'
+    ELSE 'matched' END AS outcome, differing, expected_position, observed_position FROM board_pairs"""
+ORACLE["board_reconcile"] = v.sql("SELECT * FROM reconciled")
+ORACLE["board_reconcile_summary"] = v.sql("""
+SELECT feed_id, board_id, mode, count(*) FILTER (outcome IN ('matched', 'differing')) AS matched,
+  count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'extra') AS extra,
+  count(*) FILTER (outcome = 'differing') AS differing,
+  count(*) FILTER (outcome <> 'matched') = 0 AS agrees FROM reconciled GROUP BY 1, 2, 3""")

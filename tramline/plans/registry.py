@@ -11,7 +11,8 @@ from tramline import KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators import departures as dep
-from tramline.operators import diffs, profile
+from tramline.operators import boards, diffs, profile
+from tramline.operators import realtime as rt
 from tramline.operators import stops as st
 from tramline.session import configure
 from tramline.sources import feeds
@@ -301,3 +302,106 @@ def diff_findings(d: Demo) -> DataFrame:
         diffs.id_survival(d.stops(), b.stops()),
         diffs.window_shift(d.calendar(), d.calendar_dates(), b.calendar(), b.calendar_dates()),
         diffs.diff_calendar(d.calendar(), d.calendar_dates(), b.calendar(), b.calendar_dates()))
+
+
+# --------------------------------------------------------------------- realtime --
+RT_KINDS = ["trip_updates", "vehicle_positions", "alerts", "shapes"]
+
+
+@query
+def rt_field_census(d: Demo) -> DataFrame:
+    return rt.field_census(d.field_paths(), d.headers())
+
+
+def _health(d: Demo) -> DataFrame:
+    as_of = d.headers().groupBy("feed_id").agg((F.max("fetched_epoch") + 60).alias("as_of"))
+    return rt.feed_health(d.headers(), as_of, RT_KINDS)
+
+
+@query
+def rt_feed_health(d: Demo) -> DataFrame:
+    return _health(d)
+
+
+@query
+def rt_latest_update(d: Demo) -> DataFrame:
+    return rt.latest_update(d.trip_updates()).drop("seen_epoch")
+
+
+def _overlaid(d: Demo) -> DataFrame:
+    queries = d.board_queries()
+    return rt.overlay(dep.departures(queries, d), queries, d.trip_updates(), d.stop_updates(),
+                      d.captures())
+
+
+@query
+def rt_overlay(d: Demo) -> DataFrame:
+    return _overlaid(d).select(
+        "query_id", "rank", "trip_id", "stop_id", "stop_sequence", "service_date",
+        "departure_epoch", "minutes_away", "capture_id", "realtime", "status", "delay_seconds",
+        "delay_basis", "predicted_epoch", "minutes_predicted")
+
+
+@query
+def rt_match_rate(d: Demo) -> DataFrame:
+    return rt.match_rate(_overlaid(d))
+
+
+@query
+def rt_join_rate(d: Demo) -> DataFrame:
+    return rt.join_rate(d.trip_updates(), d.trips())
+
+
+# ----------------------------------------------------------------------- boards --
+@query
+def expected_board(d: Demo) -> DataFrame:
+    return boards.expected_board(
+        d.board_queries(), d, d.trip_updates(), d.stop_updates(), d.captures()).drop("zone")
+
+
+def _board_sides(d: Demo) -> tuple[DataFrame, DataFrame]:
+    """Every departure board against a copy of it with deterministic faults.
+
+    Boards differ in what they carry, so that every way of pairing occurs.
+    """
+    rows = dep.departures(d.board_queries(), d)
+    t = F.substring("trip_id", 2, 20).cast("bigint")
+    s = F.substring("stop_id", 2, 20).cast("bigint")
+    base = rows.select(
+        "feed_id", F.col("query_id").alias("board_id"), F.col("rank").alias("position"),
+        "route_id", F.col("route_short_name").alias("route"), "headsign",
+        F.col("departure_local").alias("departure"), "minutes_away",
+        F.lit("SCHEDULED_ONLY").alias("status"), F.lit("false").alias("realtime"),
+        "stop_id", "service_date", t.alias("t"), s.alias("s"), "departure_epoch", "gtfs_time",
+        F.when(s % 2 == 0, F.col("trip_id")).alias("trip_id"))
+    t, s = F.col("t"), F.col("s")
+    clock = F.when(t % 13 == 0, F.concat(F.lit(" "), "gtfs_time")).when(
+        t % 13 == 1, F.date_format(F.timestamp_seconds("departure_epoch"),
+                                   "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.col("departure"))
+    late = F.date_format(F.timestamp_seconds(F.col("departure_epoch") + 60),
+                         "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    observed = base.filter(t % 17 != 0).select(
+        "feed_id", "board_id", "position",
+        F.when(s % 5 == 0, None).when(t % 7 == 0, F.col("route_id")).otherwise(F.col("route"))
+        .alias("route"),
+        F.when(t % 23 == 0, F.upper("headsign")).when(t % 29 == 0, F.lit("Depot"))
+        .otherwise(F.col("headsign")).alias("headsign"),
+        F.when(s % 11 == 0, F.lit("soon")).when(t % 19 == 0, late).otherwise(clock)
+        .alias("departure"),
+        F.concat("minutes_away", F.lit(".0")).alias("minutes_away"),
+        F.initcap("realtime").alias("realtime"), "stop_id", "trip_id", "t")
+    repeats = observed.filter(F.col("t") % 31 == 0).withColumn(
+        "position", F.col("position") + 1000)
+    return base, observed.unionByName(repeats)
+
+
+@query
+def board_reconcile(d: Demo) -> DataFrame:
+    expected, observed = _board_sides(d)
+    return boards.reconcile(expected, observed, d.zones())
+
+
+@query
+def board_reconcile_summary(d: Demo) -> DataFrame:
+    expected, observed = _board_sides(d)
+    return boards.reconcile_summary(boards.reconcile(expected, observed, d.zones()))

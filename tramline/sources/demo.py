@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions import times
+from tramline.session import scratch_path
 
 # Fixed values of the demo feeds.
 FEEDS = 3
@@ -43,8 +44,17 @@ def inline(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
 
+# Tables imported by a session, by (application, folder, snapshot, table).
+_IMPORTED: dict[tuple[str, str, str, str], str] = {}
+
+
 class Demo:
-    """Lazily built views for one data folder and one snapshot."""
+    """The demo feeds of one data folder and one snapshot.
+
+    Schedule tables and realtime items are imported once per session into the
+    shared folder, as a feed is before it is queried; operators then scan
+    stored columns, with statistics, instead of re-deriving them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, snapshot: str = "A"):
         self.spark, self.dir, self.snapshot = spark, sf_dir.rstrip("/"), snapshot
@@ -55,6 +65,16 @@ class Demo:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _import(self, name: str, build, *spread: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, self.snapshot, name)
+        df = build()
+        if key not in _IMPORTED:
+            path = scratch_path(self.spark, f"{name}-{self.snapshot}")
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(parts, *spread).write.parquet(path)
+            _IMPORTED[key] = path
+        return self.spark.read.schema(df.schema).parquet(_IMPORTED[key])
+
     def _keyed(self, df: DataFrame, feed) -> DataFrame:
         return df.withColumns({"feed_id": feed, "snapshot_id": F.lit(self.snapshot)})
 
@@ -69,6 +89,9 @@ class Demo:
 
     # ------------------------------------------------------------ schedule --
     def stops(self) -> DataFrame:
+        return self._import("stops", self._stops, "feed_id", "stop_id")
+
+    def _stops(self) -> DataFrame:
         k, b = F.col("p_partkey"), self.snapshot == "B"
         code = F.when(k % 97 == 0, "").otherwise(
             (k + 10_000 - F.when(k % 211 == 1, 1).otherwise(0)).cast("string"))
@@ -119,6 +142,9 @@ class Demo:
         ))
 
     def trips(self) -> DataFrame:
+        return self._import("trips", self._trips, "feed_id", "trip_id")
+
+    def _trips(self) -> DataFrame:
         k, c, b = F.col("o_orderkey"), F.col("o_custkey"), self.snapshot == "B"
         p = F.substring("o_orderpriority", 1, 1)
         raw = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -139,6 +165,9 @@ class Demo:
         )
 
     def stop_times(self) -> DataFrame:
+        return self._import("stop_times", self._stop_times, "feed_id", "trip_id")
+
+    def _stop_times(self) -> DataFrame:
         o, p, n, b = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), \
             self.snapshot == "B"
         raw = self.raw("lineitem").select(
@@ -240,6 +269,9 @@ class Demo:
             ((F.col("value") * 10).cast("int") - 240).alias("delay"))
 
     def trip_updates(self) -> DataFrame:
+        return self._import("trip_updates", self._trip_updates, "feed_id", "trip_id")
+
+    def _trip_updates(self) -> DataFrame:
         kind = F.col("event_type")
         return self._updates().select(
             "feed_id", "capture_id", "entity_pos", "trip_id", "seen_epoch",
@@ -249,6 +281,9 @@ class Demo:
             F.when(kind.isin("view", "signup"), F.col("delay")).alias("trip_delay"))
 
     def stop_updates(self) -> DataFrame:
+        return self._import("stop_updates", self._stop_updates, "feed_id", "trip_id")
+
+    def _stop_updates(self) -> DataFrame:
         """One stop update per distinct call of the trip, named by id, number or both.
 
         Views carry none, so that the trip delay applies.
@@ -314,3 +349,56 @@ class Demo:
             F.concat(F.lit("F"), (F.col("event_id") % FEEDS).cast("string")).alias("feed_id"),
             F.concat(F.lit("H"), F.col("event_id").cast("string")).alias("capture_id"),
             F.explode(cells).alias("c")).select("feed_id", "capture_id", "c.*")
+
+    # --------------------------------------------------------------- pages --
+    def pages(self) -> DataFrame:
+        return self.raw("pages").select(
+            F.col("page_id").cast("string").alias("page_key"), "page_id", "url", "html")
+
+    def page_captures(self) -> DataFrame:
+        """Two captures per page that differ in noise only, and in content for every ninth.
+
+        Every tenth page was captured once, every seventeenth never.
+        """
+        k = F.col("page_id")
+        version = F.explode(F.when(k % 17 == 3, F.array().cast("array<int>")).when(
+            k % 10 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))))
+        v = F.col("version")
+        noise = F.concat(F.lit("<article><p>Served 2026-10-0"), v.cast("string"),
+                         F.lit("T08:00:00Z by "),
+                         F.md5(F.concat_ws("-", k.cast("string"), v.cast("string"))),
+                         F.lit(" style.css?ver=1."), v.cast("string"), F.lit("</p>"))
+        news = F.concat(F.lit("<p>Fares: $2.50 - $5.00 from September 7, 2026</p>"
+                              "<p>MetroBus: Sunday schedule</p><a href=\"/pdfs/P"),
+                        (k % 5).cast("string"),
+                        F.lit("/r.pdf\">PDF</a><a href=\"https://x.example/?pickId=Q"),
+                        (k % 3).cast("string"), F.lit("\">next</a></article>"))
+        html = F.replace("html", F.lit("<article>"), noise)
+        html = F.when((v == 2) & (k % 9 == 0), F.replace(html, F.lit("</article>"), news)) \
+            .otherwise(html)
+        return self.pages().withColumn("version", version).select(
+            "page_key", "page_id", "url", "version",
+            (F.lit(1_790_000_000) + k + v * 86_400).alias("fetched_epoch"), html.alias("html"),
+            ((k % 13 != 5) | (v == 1)).alias("extraction_ok"))
+
+    def expected_pages(self) -> DataFrame:
+        k = F.col("page_id")
+        return self.pages().select("page_key", F.when(k % 4 == 0, "alarming").when(
+            k % 4 == 1, "notable").otherwise("routine").alias("severity"))
+
+    def snapshots(self) -> DataFrame:
+        """Catalogue rows of the raw pages: digest, size, time, pin; every fifth stored twice."""
+        k = F.col("page_id")
+        copies = F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1)))
+                           .otherwise(F.array(F.lit(0))))
+        sha = F.sha2(F.col("html").cast("binary"), 256)
+        return self.pages().withColumn("copy", copies).select(
+            F.concat_ws("-", F.lit("web"), k.cast("string"), F.col("copy").cast("string"),
+                        F.substring(sha, 1, 6)).alias("capture_ref"),
+            F.lit("web").alias("kind"),
+            F.concat(F.lit("src"), (k % 20).cast("string")).alias("source"),
+            F.when(k % 40 == 7, F.lit("0" * 64)).otherwise(sha).alias("sha256"),
+            sha.alias("actual_sha256"), F.octet_length("html").alias("bytes"),
+            (F.lit(1_790_000_000) + k * 60 + F.col("copy") * 30).alias("fetched_epoch"),
+            F.when((k % 25 == 0) & (F.col("copy") == 0), F.concat(F.lit("pin-"), k.cast("string")))
+            .alias("pin"))
