@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,8 +102,6 @@ def nfkc(text: Column) -> Column:
 
     Spark has no built-in for either; everything else stays in the JVM.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         import html

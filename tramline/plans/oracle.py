@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tramline.operators import profile
+from tramline.functions import text as tx
+from tramline.operators import artifacts, profile, quality
 from tramline.plans import oracle_views as v
 
 ORACLE: dict[str, str] = {}
@@ -74,6 +75,9 @@ SELECT departure_time, s AS seconds, {v.clock('s')} AS formatted, n FROM (
   SELECT departure_time, {v.seconds('departure_time')} AS s, count(*) AS n FROM stop_times_a
   GROUP BY 1)""")
 
+ORACLE["time_histogram"] = v.sql(
+    "SELECT length(departure_time)::INTEGER AS length, count(*) AS calls FROM stop_times_a GROUP BY 1")
+
 ORACLE["service_day_instant"] = v.sql(f"""
 SELECT feed_id, service_date, s AS day_start, {v.local_iso('s', 'zone')} AS day_start_local,
   {v.local_iso('s + 93600', 'zone')} AS t26_local
@@ -696,3 +700,470 @@ SELECT feed_id, board_id, mode, count(*) FILTER (outcome IN ('matched', 'differi
   count(*) FILTER (outcome = 'missing') AS missing, count(*) FILTER (outcome = 'extra') AS extra,
   count(*) FILTER (outcome = 'differing') AS differing,
   count(*) FILTER (outcome <> 'matched') = 0 AS agrees FROM reconciled GROUP BY 1, 2, 3""")
+
+# ------------------------------------------------------------------------ pages --
+ORACLE["page_scan"] = ("SELECT page_id, url, octet_length(encode(html))::INTEGER AS bytes, "
+                       "sha256(html) AS sha256 FROM pages")
+
+v.VIEWS["page_captures"] = """
+SELECT page_id::VARCHAR AS page_key, page_id, url, v AS version,
+  1790000000 + page_id + v * 86400 AS fetched_epoch,
+  CASE WHEN v = 2 AND page_id % 9 = 0 THEN replace(h, '</article>', '<p>Fares: $2.50 - $5.00 from '
+    || 'September 7, 2026</p><p>MetroBus: Sunday schedule</p><a href="/pdfs/P' || (page_id % 5)
+    || '/r.pdf">PDF</a><a href="https://x.example/?pickId=Q' || (page_id % 3)
+    || '">next</a></article>') ELSE h END AS html,
+  page_id % 13 <> 5 OR v = 1 AS extraction_ok
+FROM (SELECT *, replace(html, '<article>', '<article><p>Served 2026-10-0' || v || 'T08:00:00Z by '
+    || md5(page_id || '-' || v) || ' style.css?ver=1.' || v || '</p>') AS h
+  FROM (SELECT *, unnest(CASE WHEN page_id % 17 = 3 THEN []::INT[] WHEN page_id % 10 = 0 THEN [1]
+    ELSE [1, 2] END) AS v FROM pages))"""
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _page_text(html: str, chrome: bool) -> str:
+    """The text chain in RE2; opaque tokens are found by cutting the text into runs."""
+    tags = tx.DROP_TAGS + (tx.CHROME_TAGS if chrome else [])
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    out = f"regexp_replace({out}, {_lit(tx._whole(tags))}, chr(10), 'g')"
+    inline = "|".join(tx.INLINE_TAGS)
+    out = f"regexp_replace({out}, '(?is)</?(?:{inline})\\b[^>]*>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]+>', chr(10), 'g')"
+    for entity, char in tx.ENTITIES:
+        out = f"replace({out}, {_lit(entity)}, {_lit(char)})"
+    out = f"replace({out}, chr(160), ' ')"
+    for code in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF):
+        out = f"replace({out}, chr({code}), '')"
+    for pattern, mask in tx.NOISE:
+        out = f"regexp_replace({out}, {_lit(pattern)}, '{mask}', 'g')"
+    run = "[A-Za-z0-9_][A-Za-z0-9_-]*[A-Za-z0-9_]"
+    out = (f"array_to_string(list_transform(regexp_extract_all({out}, '(?s){run}|.'), lambda x: "
+           "CASE WHEN length(x) >= 24 AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]') "
+           "THEN '[nonce]' ELSE x END), '')")
+    out = f"regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace({out}, ' ?(?:\\n ?)+', chr(10), 'g'), ' ' || chr(10))"
+
+
+v.VIEWS["norm"] = f"""
+SELECT *, sha256(text) AS content_hash FROM (SELECT page_key, page_id, version, fetched_epoch, html,
+  extraction_ok, 'single_article' AS strategy,
+  {_page_text("regexp_extract(html, '(?is)<article\\b.*</article\\s*>')", True)} AS text
+  FROM page_captures)"""
+
+ORACLE["page_normalize"] = v.sql("""
+SELECT page_key, version, strategy, content_hash, octet_length(encode(html))::INTEGER AS bytes_raw,
+  octet_length(encode(text))::INTEGER AS bytes_text,
+  round(octet_length(encode(text)) / octet_length(encode(html)), 4) AS signal_ratio,
+  len(string_split_regex(text, '[ \\n]+'))::INTEGER AS word_count,
+  len(string_split(text, chr(10)))::INTEGER AS line_count, false AS noarchive, false AS nosnippet
+FROM norm""")
+
+v.VIEWS["two_captures"] = """
+SELECT page_key, max(CASE WHEN rn = 1 THEN content_hash END) AS h1,
+  max(CASE WHEN rn = 2 THEN content_hash END) AS h2, max(CASE WHEN rn = 1 THEN text END) AS t1,
+  max(CASE WHEN rn = 2 THEN text END) AS t2, bool_or(rn = 1 AND extraction_ok) AS ok,
+  max(fetched_epoch) AS last_fetched, max(n) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY fetched_epoch DESC) AS rn,
+  count(*) OVER (PARTITION BY page_key) AS n FROM norm) GROUP BY 1"""
+
+v.VIEWS["drift"] = """
+SELECT page_key, severity, CASE severity WHEN 'alarming' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END
+    AS severity_rank,
+  CASE WHEN h1 IS NULL THEN 'never_captured' WHEN NOT ok THEN 'extraction_failed'
+    WHEN h1 <> h2 THEN 'changed' WHEN h2 IS NULL THEN 'single_capture' ELSE 'unchanged' END AS status,
+  coalesce(h1 <> h2, false) AS changed, coalesce(n, 0) AS captures, h1 AS current_hash,
+  h2 AS previous_hash, last_fetched
+FROM (SELECT page_id::VARCHAR AS page_key, CASE page_id % 4 WHEN 0 THEN 'alarming' WHEN 1
+  THEN 'notable' ELSE 'routine' END AS severity FROM pages) LEFT JOIN two_captures USING (page_key)"""
+ORACLE["page_drift"] = v.sql("SELECT * FROM drift")
+
+ORACLE["page_line_delta"] = v.sql("""
+SELECT page_key, sum(greatest(net, 0))::BIGINT AS lines_added,
+  sum(greatest(-net, 0))::BIGINT AS lines_removed
+FROM (SELECT page_key, line, sum(s) AS net FROM (
+  SELECT page_key, unnest(string_split(t1, chr(10))) AS line, 1 AS s FROM two_captures WHERE h1 <> h2
+  UNION ALL SELECT page_key, unnest(string_split(t2, chr(10))), -1 FROM two_captures
+    WHERE h1 <> h2) GROUP BY 1, 2) WHERE net <> 0 GROUP BY 1""")
+
+_MONTH = ("lpad((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({0}, 1, 3))) + 2) // 3"
+          "::BIGINT, 2, '0')")
+
+
+def _month(x: str) -> str:
+    return (f"lpad(((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({x}, 1, 3))) + 2) "
+            "// 3)::VARCHAR, 2, '0')")
+
+
+def _rx(x: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({x}, {_lit(pattern)}, {group})"
+
+
+def _printed_date(x: str) -> str:
+    w, s = tx.DATE_WORDS, tx.DATE_SLASH
+    sy = _rx(x, s, 3)
+    return f"""CASE WHEN {_rx(x, tx.DATE_ISO, 0)} <> '' THEN {_rx(x, tx.DATE_ISO, 0)}
+  WHEN {_rx(x, w, 3)} <> '' THEN {_rx(x, w, 3)} || '-' || {_month(_rx(x, w, 1))} || '-'
+    || lpad({_rx(x, w, 2)}, 2, '0')
+  WHEN {sy} <> '' THEN CASE WHEN {sy}::INTEGER < 100 THEN ({sy}::INTEGER + 2000)::VARCHAR
+    ELSE lpad({sy}, 4, '0') END || '-' || lpad({_rx(x, s, 1)}, 2, '0') || '-'
+    || lpad({_rx(x, s, 2)}, 2, '0') END"""
+
+
+def _service(x: str) -> str:
+    whens = " ".join(f"WHEN contains(lower(trim({x})), '{n}') THEN '{t}'" for n, t in tx.SERVICE_TYPES)
+    return f"CASE WHEN trim({x}) = '' THEN 'unknown' {whens} ELSE 'unrecognised' END"
+
+
+def _mode(x: str) -> str:
+    bus, rail = (f"regexp_matches({x}, {_lit(p)})" for p in (tx.BUS, tx.RAIL))
+    return f"CASE WHEN {rail} AND NOT {bus} THEN 'rail' WHEN {bus} AND NOT {rail} THEN 'bus' END"
+
+
+v.VIEWS["facts"] = f"""
+SELECT page_key, version, line_no, cents, is_range, date_iso, nullif(phrase, '') AS phrase,
+  CASE WHEN phrase <> '' THEN {_service('phrase')} END AS service_type, mode
+FROM (SELECT page_key, version, line_no,
+    CASE WHEN len(ms) > 0 THEN array_to_string(list_transform(ms, lambda m:
+      (regexp_replace(m, '[$, \\t]', '', 'g')::DECIMAL(18,2) * 100)::BIGINT::VARCHAR), '|')
+      WHEN regexp_matches(line, {_lit(tx.FREE_CELL)}) THEN '0' END AS cents,
+    len(ms) > 1 AS is_range, {_printed_date('line')} AS date_iso,
+    lower(regexp_replace(regexp_extract(line, {_lit(tx.SERVICE_PHRASE)}), '\\s+', ' ', 'g')) AS phrase,
+    {_mode('line')} AS mode
+  FROM (SELECT *, regexp_extract_all(line, {_lit(tx.MONEY)}) AS ms FROM (
+    SELECT page_key, version, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_no
+    FROM (SELECT page_key, version, string_split(text, chr(10)) AS ls FROM norm))))
+WHERE cents IS NOT NULL OR date_iso IS NOT NULL OR phrase <> ''"""
+ORACLE["page_extract"] = v.sql("SELECT * EXCLUDE (version) FROM facts WHERE version = 2")
+
+_FIELD = ("(SELECT page_key, 'lines[' || line_no || '].' || c AS path, val FROM (UNPIVOT (SELECT page_key,"
+          " line_no, cents, date_iso, phrase, mode FROM facts WHERE version = {0}) ON cents, date_iso, "
+          "phrase, mode INTO NAME c VALUE val))")
+ORACLE["page_field_delta"] = v.sql(f"""
+SELECT page_key, path, a.val AS value_a, b.val AS value_b, CASE WHEN a.val IS NULL THEN 'added'
+  WHEN b.val IS NULL THEN 'removed' ELSE 'changed' END AS status
+FROM {_FIELD.format(1)} a FULL JOIN {_FIELD.format(2)} b USING (page_key, path)
+WHERE a.val IS DISTINCT FROM b.val""")
+
+_PICK = " ".join(
+    f"WHEN {_rx('url', p, 1)} <> ''{' AND pdf' if pdf else ''} THEN "
+    f"{{'s': '{n}', 'i': {_rx('url', p, 1)}}}" for n, p, pdf in tx.PICKS)
+ORACLE["page_schedule_ids"] = v.sql(f"""
+SELECT page_key, f.i AS schedule_id, min(f.s) AS strategy, count(*) AS url_count FROM (
+  SELECT page_key, CASE {_PICK} END AS f FROM (
+    SELECT *, contains(lower(url), '.pdf') AS pdf FROM (
+      SELECT DISTINCT page_key, unnest(list_concat(regexp_extract_all(html, {_lit(tx.URL_ATTRIBUTE)}, 1),
+        regexp_extract_all(html, {_lit(tx.URL_IN_TEXT)}))) AS url FROM page_captures WHERE version = 2)
+    WHERE NOT regexp_matches(url, '^(#|javascript:|mailto:|tel:)')))
+WHERE f IS NOT NULL GROUP BY 1, 2""")
+
+ORACLE["price_normalize"] = f"""
+SELECT p_partkey, cell, CASE WHEN free THEN 0 WHEN ok AND dec <= 2 THEN
+    (regexp_replace(cell, '[$, \\t]', '', 'g')::DECIMAL(18,2) * 100)::BIGINT END AS cents,
+  CASE WHEN free THEN '' WHEN NOT ok THEN 'NOT_A_PRICE' WHEN dec > 2 THEN 'TOO_MANY_DECIMALS' ELSE ''
+    END AS problem
+FROM (SELECT *, lower(cell) = 'free' AS free, regexp_matches(cell, {_lit(tx.PRICE_CELL)}) AS ok,
+    length(regexp_extract(cell, {_lit(tx.PRICE_CELL)}, 2)) AS dec
+  FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'Free'
+      WHEN p_partkey % 11 = 0 THEN '$' || p || '-$9' WHEN p_partkey % 13 = 0 THEN p || '9'
+      WHEN p_partkey % 5 = 0 THEN '$1,' || lpad((p_partkey % 1000)::VARCHAR, 3, '0')
+      ELSE '$ ' || p END AS cell
+    FROM (SELECT p_partkey, p_retailprice::DECIMAL(12,2)::VARCHAR AS p FROM part)))"""
+
+ORACLE["holiday_normalize"] = f"""
+SELECT o_orderkey, printed, CASE o_orderkey % 6 WHEN 3 THEN try_cast('2026-' || strftime(d, '%m-%d')
+    AS DATE) WHEN 5 THEN try_cast('2026-' || strftime(d, '%m-%d') AS DATE)
+  WHEN 2 THEN try_cast('20' || strftime(d, '%y-%m-%d') AS DATE) ELSE d END AS day,
+  {_service('words')} AS service, {_mode('words')} AS mode
+FROM (SELECT o_orderkey, d, CASE o_orderkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%d')
+    WHEN 1 THEN strftime(d, '%Y%m%d')
+    WHEN 2 THEN strftime(d, '%-m/%-d/%y') WHEN 3 THEN strftime(d, '%-m/%-d')
+    WHEN 4 THEN strftime(d, '%A, %B %-d, %Y') ELSE strftime(d, '%b. %-d') END AS printed,
+    o_orderpriority || CASE o_orderkey % 4 WHEN 0 THEN ' Sunday schedule' WHEN 1 THEN ' No Service'
+      WHEN 2 THEN ' MetroLink weekend service' ELSE '' END AS words
+  FROM (SELECT *, o_orderdate::DATE AS d FROM orders))"""
+
+# ---------------------------------------------------------------------- quality --
+_CHECK_SQL = {
+    "stop_code_present": """SELECT feed_id, round(avg(CASE WHEN stop_code <> '' THEN 1.0 ELSE 0.0 END),
+      4)::DOUBLE AS x, x::VARCHAR AS observed, x >= 0.99 AS ok FROM stops_a
+      WHERE location_type IN ('', '0') GROUP BY 1""",
+    "stop_code_unique": """SELECT feed_id, count(*) FILTER (n > 1) AS x, x::VARCHAR AS observed,
+      x <= 0 AS ok FROM (SELECT feed_id, stop_code, count(*) AS n FROM stops_a WHERE stop_code <> ''
+      GROUP BY ALL) GROUP BY 1""",
+    "stop_code_format": """SELECT feed_id, round(avg(CASE WHEN regexp_matches(stop_code,
+      '^[0-9]{4,5}$') THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS x, x::VARCHAR AS observed, x >= 0.99 AS ok
+      FROM stops_a WHERE stop_code <> '' GROUP BY 1""",
+    "feed_not_expiring": f"""SELECT feed_id, (max({v.ymd('end_date')}) - DATE '$TODAY')::INTEGER AS x,
+      x::VARCHAR AS observed, x >= 7 AS ok FROM calendar_a GROUP BY 1""",
+    "no_frequencies_file": "SELECT feed_id, 0 AS x, '0' AS observed, true AS ok FROM zones",
+    "max_time_bounded": f"""SELECT feed_id, max({v.seconds('departure_time')}) AS x,
+      {v.clock('max(' + v.seconds('departure_time') + ')')} AS observed, x < 100800 AND
+      count(*) FILTER ({v.seconds('departure_time')} IS NULL) = 0 AS ok
+      FROM stop_times_a WHERE departure_time <> '' GROUP BY 1""",
+    "timezone_unchanged": """SELECT feed_id, agency_timezone AS observed,
+      agency_timezone = 'America/Chicago' AS ok FROM agency_a""",
+    "no_fare_files": "SELECT feed_id, '' AS observed, true AS ok FROM zones",
+    "stop_ids_stable": """SELECT b.feed_id, round(avg(CASE WHEN a.stop_code IS NULL THEN 0.0 ELSE 1.0
+      END), 4)::DOUBLE AS x, x::VARCHAR AS observed, x >= 0.98 AS ok
+      FROM (SELECT DISTINCT feed_id, stop_code FROM stops_b WHERE stop_code <> '') b LEFT JOIN
+      (SELECT DISTINCT feed_id, stop_code FROM stops_a) a USING (feed_id, stop_code) GROUP BY 1""",
+    "rail_route_ids_stable": """SELECT feed_id, '-' || count(*) FILTER (a.route_id IS NULL) || '/+' ||
+      count(*) FILTER (b.route_id IS NULL) AS observed,
+      count(*) FILTER (a.route_id IS NULL OR b.route_id IS NULL) = 0 AS ok
+      FROM (SELECT * FROM routes_b WHERE trim(route_type) IN ('0','1','2')) b FULL JOIN
+      (SELECT * FROM routes_a WHERE trim(route_type) IN ('0','1','2')) a USING (feed_id, route_id)
+      GROUP BY 1""",
+    "rt_fresh": """SELECT feed_id, max(age_at_fetch) AS x, x::VARCHAR AS observed,
+      x <= 300 AND bool_and(available) AS ok FROM health WHERE entity_kind <> 'shapes' GROUP BY 1
+      HAVING min(fetched_ago) <= 300""",
+    "rt_join_rate": """SELECT feed_id, join_rate::VARCHAR AS observed, join_rate >= 0.95 AS ok
+      FROM join_rate""",
+    "rt_wire_shape": """SELECT feed_id, coalesce(max(presence_rate) FILTER (NOT modelled), 0.0) AS x,
+      x::VARCHAR AS observed, x <= 0.05 AS ok FROM census GROUP BY 1""",
+    "fares_unchanged": """SELECT feed_id, h1[1:12] AS observed, h1 = h2 AS ok FROM zones, two_captures
+      WHERE page_key = '1'""",
+    "holidays_unchanged": "SELECT feed_id, '' AS observed, NULL::BOOLEAN AS ok FROM zones",
+    "terms_unchanged": """SELECT feed_id, h1[1:12] AS observed, false AS ok FROM zones, two_captures
+      WHERE page_key = '4'""",
+}
+
+
+def _suite(today: str, optional: bool) -> str:
+    parts = []
+    for name, severity, category, expected in quality.ASSUMPTIONS:
+        body = _CHECK_SQL[name].replace("$TODAY", today)
+        if category != "static" and not optional:
+            body = "SELECT feed_id, '' AS observed, NULL::BOOLEAN AS ok FROM zones"
+        failed = "opportunity" if severity == "opportunity" else "fail"
+        parts.append(f"""SELECT z.feed_id, '{name}' AS id, CASE WHEN ok IS NULL THEN 'skip' WHEN ok
+  THEN 'pass' ELSE '{failed}' END AS status, CASE WHEN ok IS NOT NULL THEN observed END AS observed,
+  '{expected}' AS expected, '{severity}' AS severity, '{category}' AS category,
+  {quality.CATEGORY_RANK[category]} AS category_rank
+FROM zones z LEFT JOIN (SELECT feed_id, observed, ok FROM ({body})) USING (feed_id)""")
+    return " UNION ALL ".join(parts)
+
+
+v.VIEWS["suite"] = _suite("2026-11-01", True)
+ORACLE["assumptions"] = v.sql("SELECT * FROM suite")
+ORACLE["assumptions_static_only"] = v.sql(_suite("2026-12-28", False))
+
+ORACLE["feed_status"] = v.sql(f"""
+SELECT feed_id, CASE max(rank) WHEN 2 THEN 'broken' WHEN 1 THEN 'attention' ELSE 'ok' END AS status,
+  {', '.join(f"count(*) FILTER (area = '{a}' AND rank > 0) AS {a}_findings" for a in quality.AREAS)},
+  'snapshots' AS not_checked
+FROM (SELECT feed_id, 1 AS rank, 'feed' AS area FROM zones
+  UNION ALL SELECT feed_id, CASE WHEN status = 'fail' THEN 2 ELSE 0 END, 'assertions' FROM suite
+  UNION ALL SELECT feed_id, CASE WHEN NOT available OR stale THEN 1 ELSE 0 END, 'realtime' FROM health
+    WHERE entity_kind <> 'shapes'
+  UNION ALL SELECT 'F' || (page_key::INTEGER % 3), CASE WHEN status IN ('changed',
+    'extraction_failed') THEN 1 ELSE 0 END, 'drift' FROM drift
+  UNION ALL SELECT feed_id, 1, 'snapshots' FROM zones)
+GROUP BY 1""")
+
+# -------------------------------------------------------------------- artifacts --
+v.VIEWS["snapshots"] = """
+SELECT 'web-' || page_id || '-' || c || '-' || sha256(html)[1:6] AS capture_ref, 'web' AS kind,
+  'src' || (page_id % 20) AS source, CASE WHEN page_id % 40 = 7 THEN repeat('0', 64)
+    ELSE sha256(html) END AS sha256, sha256(html) AS actual,
+  octet_length(encode(html))::INTEGER AS bytes, 1790000000 + page_id * 60 + c * 30 AS fetched_epoch,
+  CASE WHEN page_id % 25 = 0 AND c = 0 THEN 'pin-' || page_id END AS pin
+FROM (SELECT *, unnest(CASE WHEN page_id % 5 = 0 THEN [0, 1] ELSE [0] END) AS c FROM pages)"""
+
+ORACLE["snapshot_manifest"] = """
+SELECT 'web-' || strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') || '-'
+  || sha256(html)[1:6] AS capture_ref, 'web' AS kind, 'src' || (page_id % 20) AS source,
+  sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes, t AS fetched_epoch,
+  CASE WHEN page_id % 25 = 0 THEN 'pin-' || page_id END AS pin
+FROM (SELECT *, 1790000000 + page_id * 60 AS t FROM pages)"""
+ORACLE["snapshot_latest"] = v.sql("""
+SELECT kind, source, fetched_epoch, capture_ref, sha256, bytes FROM (SELECT *, row_number() OVER (
+  PARTITION BY kind, source ORDER BY fetched_epoch DESC, capture_ref DESC) AS rn FROM snapshots)
+WHERE rn = 1""")
+ORACLE["snapshot_duplicates"] = v.sql("""
+SELECT kind, source, sha256, count(*) AS copies, sum(bytes)::BIGINT AS bytes,
+  arg_min(capture_ref, fetched_epoch) AS first_ref FROM snapshots GROUP BY 1, 2, 3
+HAVING count(*) > 1""")
+ORACLE["snapshot_retention"] = v.sql("""
+SELECT capture_ref, source, bytes FROM (SELECT *, row_number() OVER (PARTITION BY kind, source
+  ORDER BY fetched_epoch DESC, capture_ref) AS rn FROM snapshots) WHERE rn > 5 AND pin IS NULL""")
+ORACLE["snapshot_integrity"] = v.sql(
+    "SELECT capture_ref, sha256 = actual AS intact FROM snapshots")
+
+v.VIEWS["stop_badges"] = """
+SELECT feed_id, stop_id, array_to_string(list(badge ORDER BY CASE WHEN regexp_full_match(badge,
+  '[0-9]+') THEN 0 ELSE 1 END, try_cast(badge AS BIGINT), badge), '|') AS routes
+FROM (SELECT DISTINCT feed_id, stop_id, CASE WHEN route_short_name <> '' THEN route_short_name
+    ELSE route_id END AS badge
+  FROM stop_times_a JOIN trips_a USING (feed_id, trip_id) JOIN routes_a USING (feed_id, route_id))
+GROUP BY 1, 2"""
+v.VIEWS["code_index"] = """
+SELECT s.feed_id, s.stop_code AS code, s.stop_id, s.stop_name, s.parent_station, s.location_type,
+  n - 1 AS shadowed, coalesce(b.routes, '') AS routes
+FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, stop_code ORDER BY stop_id) AS rn,
+  count(*) OVER (PARTITION BY feed_id, stop_code) AS n FROM stops_a WHERE stop_code <> '') s
+LEFT JOIN stop_badges b ON b.feed_id = s.feed_id AND b.stop_id = s.stop_id WHERE rn = 1"""
+ORACLE["stops_index"] = v.sql("SELECT * FROM code_index")
+ORACLE["stops_index_report"] = v.sql("""
+SELECT feed_id, sum(n)::BIGINT AS stops, count(*) FILTER (stop_code <> '') AS codes,
+  count(*) FILTER (stop_code <> '' AND n > 1) AS shared_codes,
+  coalesce(sum(n) FILTER (stop_code = ''), 0)::BIGINT AS without_code
+FROM (SELECT feed_id, stop_code, count(*) AS n FROM stops_a GROUP BY 1, 2) GROUP BY 1""")
+
+_PLAN = " ".join(
+    f"WHEN table_name = '{t}' THEN column_name IN ({', '.join(repr(c) for c in p['balanced'])})"
+    for t, p in artifacts.COLUMN_PLAN.items())
+ORACLE["compact_decisions"] = v.sql(f"""
+SELECT feed_id, table_name, column_name, reason = '' AS kept, reason,
+  CASE WHEN reason <> '' THEN text_bytes + rows ELSE 0 END AS bytes_saved
+FROM (SELECT *, CASE WHEN non_empty = 0 THEN 'empty_on_every_row' WHEN NOT (CASE {_PLAN} ELSE true END)
+  THEN 'not_in_strategy' ELSE '' END AS reason FROM profile)""")
+
+_KEPT = """
+kept_services AS (SELECT DISTINCT feed_id, service_id FROM services
+  WHERE service_date BETWEEN DATE '2026-01-01' AND DATE '2026-01-30'),
+k_trips AS (SELECT t.* FROM trips_a t SEMI JOIN kept_services USING (feed_id, service_id)),
+k_stop_times AS (SELECT s.* FROM stop_times_a s SEMI JOIN k_trips USING (feed_id, trip_id)),
+k_stops AS (SELECT s.* FROM stops_a s WHERE (feed_id, stop_id) IN (
+    SELECT feed_id, stop_id FROM k_stop_times) OR (feed_id, stop_id) IN (
+    SELECT feed_id, parent_station FROM stops_a SEMI JOIN k_stop_times USING (feed_id, stop_id))),
+k_calendar AS (SELECT c.* FROM calendar_a c SEMI JOIN kept_services USING (feed_id, service_id)),
+k_calendar_dates AS (SELECT c.* FROM calendar_dates_a c SEMI JOIN kept_services
+  USING (feed_id, service_id)),
+k_agency AS (SELECT * FROM agency_a), k_routes AS (SELECT * FROM routes_a),
+k_feed_info AS (SELECT * FROM feed_info_a)"""
+
+
+def _kept(select) -> str:
+    body = " UNION ALL ".join(select(t) for t in _T["a"])
+    head = v.sql(_KEPT + body)
+    ctes, _, _ = head.rpartition(_KEPT)
+    return ctes.rstrip() + "," + _KEPT + "\n" + body
+
+
+ORACLE["compact_prune"] = _kept(
+    lambda t: f"SELECT feed_id, '{t}' AS table_name, count(*) AS rows FROM k_{t} GROUP BY 1")
+
+
+def _sink_columns(t: str) -> list[str]:
+    plan = artifacts.COLUMN_PLAN.get(t, {}).get("balanced")
+    return _COLS[t] if plan is None else [c for c in plan if c in _COLS[t]]
+
+
+def _sized(t: str, columns: list[str], prefix: str) -> str:
+    size = " + ".join(f"length({c})" for c in columns)
+    return (f"SELECT feed_id, '{t}' AS table_name, count(*) AS rows, sum({size})::BIGINT AS characters "
+            f"FROM {prefix} GROUP BY 1")
+
+
+ORACLE["compact_sink"] = _kept(lambda t: _sized(t, _sink_columns(t), f"k_{t}"))
+ORACLE["gtfs_scan"] = v.sql(" UNION ALL ".join(_sized(t, _COLS[t], f"{t}_a") for t in _T["a"]))
+
+
+def _json(fields: list[tuple[str, str, bool]]) -> str:
+    """JSON text with sorted keys; the flag marks text fields."""
+    parts = [f"'\"{k}\":' || " + (f"to_json({x})::VARCHAR" if text else f"{x}::VARCHAR")
+             for k, x, text in sorted(fields)]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+_INDEX_JSON = _json([(c, c, c != "shadowed") for c in
+                     ("feed_id", "code", "stop_id", "stop_name", "parent_station", "location_type",
+                      "shadowed", "routes")] + [("snapshot_id", "'A'", True)])
+v.VIEWS["index_json"] = f"SELECT feed_id, code, {_INDEX_JSON} AS json FROM code_index"
+ORACLE["json_artifact_sink"] = v.sql(
+    "SELECT feed_id, code, json, sha256(json) AS sha256 FROM index_json")
+_ROUTE_JSON = _json([(c, c, True) for c in ("feed_id", "snapshot_id", *_COLS["routes"])])
+ORACLE["artifact_manifest"] = v.sql(f"""
+SELECT 'stops_index' AS name, count(*) AS rows, sum(octet_length(encode(json)) + 1)::BIGINT AS bytes,
+  true AS hashed FROM index_json
+UNION ALL SELECT 'routes', count(*), sum(octet_length(encode({_ROUTE_JSON})) + 1)::BIGINT, true
+FROM routes_a""")
+
+_GF = artifacts.GOLDEN_FIELDS
+v.VIEWS["g_fresh"] = f"""
+SELECT query_id AS case_id, rank AS position, route_short_name, headsign,
+  {v.local_iso('departure_epoch', 'zone')} AS departure_local, gtfs_time, service_date::VARCHAR
+  AS service_date, trip_id, direction_id, after_midnight::VARCHAR AS after_midnight,
+  substr(trip_id, 2)::BIGINT AS t FROM departures WHERE rank <= 200"""
+v.VIEWS["g_pairs"] = """
+SELECT case_id, position, t % 41 <> 0 AS golden, CASE WHEN t % 41 = 0 THEN 'x' ELSE concat_ws(', ',
+  CASE WHEN t % 86 = 0 AND direction_id <> '9' THEN 'direction_id' END,
+  CASE WHEN t % 43 = 0 AND headsign <> 'Depot' THEN 'headsign' END) END AS diff FROM g_fresh"""
+v.VIEWS["g_errors"] = """
+SELECT q.query_id AS case_id, 'StopNotFound' AS actual_error, CASE WHEN q.query_id LIKE '%/3' THEN NULL
+  WHEN q.query_id LIKE '%/2' THEN 'FeedExpired' ELSE 'StopNotFound' END AS expected_error
+FROM board_queries q WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.feed_id = q.feed_id
+  AND r.needle = q.needle)"""
+ORACLE["golden_regression"] = v.sql("""
+SELECT case_id, reason IS NULL AS matches, expected_count, actual_count, expected_error, actual_error,
+  reason
+FROM (SELECT q.query_id AS case_id, coalesce(p.g, 0) AS expected_count, coalesce(p.f, 0)
+    AS actual_count, e.expected_error, e.actual_error,
+    CASE WHEN e.expected_error IS DISTINCT FROM e.actual_error THEN CASE
+        WHEN e.expected_error IS NULL THEN 'expected departures but got ' || e.actual_error
+        ELSE 'error type changed' END
+      WHEN p.g <> p.f THEN 'count changed: ' || p.g || ' -> ' || p.f
+      WHEN first IS NOT NULL THEN 'departure ' || (first.position - 1) || ' differs on: '
+        || first.diff END AS reason
+  FROM board_queries q
+  LEFT JOIN (SELECT case_id, count(*) FILTER (golden) AS g, count(*) AS f,
+      min({'position': position, 'diff': diff}) FILTER (diff <> '') AS first
+    FROM g_pairs GROUP BY 1) p ON p.case_id = q.query_id
+  LEFT JOIN g_errors e ON e.case_id = q.query_id)""")
+
+ORACLE["feed_sql"] = v.sql("""
+SELECT feed_id, service_id, route_id, count(*) AS calls, count(DISTINCT stop_id) AS stops
+FROM stop_times_a JOIN trips_a USING (feed_id, trip_id) GROUP BY ALL""")
+ORACLE["paginate"] = v.sql("""
+SELECT feed_id, row, stop_id, stop_name, total, total > 150 AS has_more,
+  CASE WHEN total > 150 THEN 150 END AS next_offset
+FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY stop_name, stop_id)::INTEGER AS row,
+  count(*) OVER (PARTITION BY feed_id) AS total FROM stops_a) WHERE row BETWEEN 101 AND 150""")
+
+# ---------------------------------------------------------- landing and streams --
+ORACLE["rt_capture_scan"] = v.sql("""
+SELECT feed_id, capture_id, trip_id, stu_pos, stop_id, stop_sequence, relationship, event_delay,
+  event_time FROM stop_updates""")
+ORACLE["rt_capture_trips"] = v.sql("""
+SELECT feed_id, capture_id, trip_id, start_date, trip_relationship, trip_delay FROM trip_updates""")
+
+ORACLE["stream_freshness"] = v.sql("""
+SELECT w AS window_start, feed_id, entity_kind, count(*) AS captures,
+  max(fetched_epoch - header_ts) AS worst_age,
+  round(avg(CASE WHEN fetched_epoch - header_ts > 300 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS stale_share,
+  max(bytes) AS max_bytes,
+  round((max(fetched_epoch) - min(fetched_epoch)) / nullif(count(*) - 1, 0), 4) AS mean_gap
+FROM (SELECT *, fetched_epoch // 3600 * 3600 AS w, (SELECT max(fetched_epoch) FROM headers) AS latest
+  FROM headers) WHERE w + 3600 <= latest - 600 GROUP BY 1, 2, 3""")
+
+ORACLE["stream_latest_trip_state"] = """
+SELECT feed_id, trip_id, s.h AS header_ts, s.e AS entity_pos, s.d AS delay, s.t AS seen_epoch, last_seen
+FROM (SELECT *, max(last_seen) OVER (PARTITION BY feed_id) AS feed_seen FROM (
+  SELECT 'F' || (user_id % 3) AS feed_id, 'T' || user_id AS trip_id, max({'h': t - k * 60,
+    'e': event_id, 'd': trunc(value * 10)::INTEGER - 240, 't': t}) AS s, max(t) AS last_seen
+  FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, json_extract_string(props, '$.k')::BIGINT AS k
+    FROM events) GROUP BY 1, 2)) WHERE last_seen >= feed_seen - 7200"""
+
+ORACLE["stream_live_board"] = v.sql("""
+SELECT feed_id, service_date, trip_id, stop_id, stop_sequence, departure_epoch, capture_id, entity,
+  stu_pos, realtime, CASE WHEN NOT realtime THEN 'SCHEDULED_ONLY'
+    WHEN trip_relationship = 'CANCELED' THEN 'CANCELED' WHEN relationship = 'SKIPPED' THEN 'SKIPPED'
+    WHEN e IS NULL AND dl IS NULL THEN 'NO_PREDICTION'
+    WHEN NOT coalesce(abs(dv) <= 43200, false) THEN 'IMPLAUSIBLE_DELAY' ELSE relationship END AS status,
+  CASE WHEN live THEN coalesce(dv, e) END AS delay_seconds,
+  CASE WHEN live AND abs(dv) <= 43200 THEN departure_epoch + dv END AS predicted_epoch
+FROM (SELECT *, realtime AND trip_relationship <> 'CANCELED' AND relationship <> 'SKIPPED'
+    AND (e IS NOT NULL OR dl IS NOT NULL) AS live,
+    CASE WHEN e IS NULL THEN dl WHEN e BETWEEN -3000000000 AND 6000000000
+      THEN e - departure_epoch END AS dv
+  FROM (SELECT n.feed_id, n.service_date, n.trip_id, n.stop_id, n.stop_sequence, n.departure_epoch,
+      u.capture_id, u.entity_pos AS entity, u.stu_pos, t.start_date = '' OR t.start_date
+        = strftime(n.service_date, '%Y%m%d') AS realtime, t.trip_relationship, u.relationship,
+      u.event_time AS e, u.event_delay::BIGINT AS dl
+    FROM (SELECT e.* FROM events_on_days e JOIN board_dates USING (feed_id, service_date)) n
+    JOIN stop_updates u ON u.feed_id = n.feed_id AND u.trip_id = n.trip_id
+      AND (u.stop_id = n.stop_id OR u.stop_sequence = n.stop_sequence)
+    JOIN trip_updates t ON t.feed_id = u.feed_id AND t.capture_id = u.capture_id
+      AND t.entity_pos = u.entity_pos))""")

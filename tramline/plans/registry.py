@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline import KEY
-from tramline.functions import times
+from tramline.functions import text, times
 from tramline.operators import calendar as cal
 from tramline.operators import departures as dep
-from tramline.operators import boards, diffs, profile
+from tramline.operators import artifacts, boards, diffs, pages, profile, quality
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
-from tramline.session import configure
-from tramline.sources import feeds
+from tramline.session import configure, materialize, scratch_path
+from tramline.sources import captures, feeds
 from tramline.sources.demo import Demo
+from tramline.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,6 +102,13 @@ def gtfs_time_parse(d: Demo) -> DataFrame:
         "departure_time", secs.alias("seconds"), times.gtfs_time(secs).alias("formatted"), "n")
 
 
+@query
+def time_histogram(d: Demo) -> DataFrame:
+    """Calls by length of the departure time, the published baseline query."""
+    return d.stop_times().groupBy(F.length("departure_time").alias("length")).agg(
+        F.count(F.lit(1)).alias("calls"))
+
+
 @query
 def service_day_instant(d: Demo) -> DataFrame:
     days = cal.service_calendar(d.calendar(), d.calendar_dates()).select(
@@ -405,3 +413,389 @@ def board_reconcile(d: Demo) -> DataFrame:
 def board_reconcile_summary(d: Demo) -> DataFrame:
     expected, observed = _board_sides(d)
     return boards.reconcile_summary(boards.reconcile(expected, observed, d.zones()))
+
+
+# ------------------------------------------------------------------------ pages --
+@query
+def page_scan(d: Demo) -> DataFrame:
+    pages = captures.page_scan(d.spark, f"{d.dir}/pages.parquet")
+    return pages.select("page_id", "url", F.octet_length("html").alias("bytes"),
+                        F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
+def _normalized(d: Demo) -> DataFrame:
+    return pages.normalize_pages(d.page_captures(), fold=False)
+
+
+@query
+def page_normalize(d: Demo) -> DataFrame:
+    return _normalized(d).select(
+        "page_key", "version", "strategy", "content_hash", "bytes_raw", "bytes_text",
+        "signal_ratio", "word_count", "line_count", "noarchive", "nosnippet")
+
+
+@query
+def page_normalize_folded(d: Demo) -> DataFrame:
+    """With compatibility folding and every HTML entity decoded (no SQL twin)."""
+    return pages.normalize_pages(d.page_captures()).select("page_key", "version", "content_hash")
+
+
+@query
+def page_drift(d: Demo) -> DataFrame:
+    return pages.page_drift(d.expected_pages(), _normalized(d))
+
+
+@query
+def page_line_delta(d: Demo) -> DataFrame:
+    return pages.line_delta(_normalized(d))
+
+
+@query
+def page_extract(d: Demo) -> DataFrame:
+    newest = _normalized(d).filter("version = 2")
+    return pages.page_facts(newest)
+
+
+@query
+def page_schedule_ids(d: Demo) -> DataFrame:
+    return pages.schedule_ids(d.page_captures().filter("version = 2"))
+
+
+@query
+def page_field_delta(d: Demo) -> DataFrame:
+    """Facts of both versions as dotted paths, and how they differ."""
+    def fields(version: int) -> DataFrame:
+        facts = pages.page_facts(_normalized(d).filter(F.col("version") == version))
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
+                                    for c in ("cents", "date_iso", "phrase", "mode")]))
+        return facts.select("page_key", "line_no", cells.alias("x")).filter("x.v IS NOT NULL") \
+            .select("page_key", F.concat(F.lit("lines["), F.col("line_no").cast("string"),
+                                         F.lit("]."), "x.c").alias("path"),
+                    F.col("x.v").alias("value"))
+
+    return pages.field_delta(fields(1), fields(2))
+
+
+@query
+def price_normalize(d: Demo) -> DataFrame:
+    """Printed prices of every part, in the spellings price tables use."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    cell = (F.when(k % 7 == 0, "Free").when(k % 11 == 0, F.concat(F.lit("$"), price, F.lit("-$9")))
+            .when(k % 13 == 0, F.concat(price, F.lit("9"))).when(
+                k % 5 == 0, F.concat(F.lit("$1,"), F.lpad((k % 1000).cast("string"), 3, "0")))
+            .otherwise(F.concat(F.lit("$ "), price)))
+    rows = d.raw("part").select("p_partkey", cell.alias("cell"))
+    return rows.withColumn("p", text.price_cell(F.col("cell"))).select("p_partkey", "cell", "p.*")
+
+
+@query
+def holiday_normalize(d: Demo) -> DataFrame:
+    """Printed dates and service wording made from every order."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    printed = (F.when(k % 6 == 0, F.date_format(day, "yyyy-MM-dd"))
+               .when(k % 6 == 1, F.date_format(day, "yyyyMMdd"))
+               .when(k % 6 == 2, F.date_format(day, "M/d/yy"))
+               .when(k % 6 == 3, F.date_format(day, "M/d"))
+               .when(k % 6 == 4, F.date_format(day, "EEEE, MMMM d, yyyy"))
+               .otherwise(F.concat(F.date_format(day, "MMM"), F.lit(". "), F.dayofmonth(day))))
+    words = F.concat(F.col("o_orderpriority"), F.when(k % 4 == 0, " Sunday schedule").when(
+        k % 4 == 1, " No Service").when(k % 4 == 2, " MetroLink weekend service").otherwise(""))
+    return d.raw("orders").select(
+        "o_orderkey", printed.alias("printed"), words.alias("words")).select(
+        "o_orderkey", "printed", text.holiday_date(F.col("printed"), F.lit(2026)).alias("day"),
+        text.service_type(F.col("words")).alias("service"),
+        text.mode_of(F.col("words")).alias("mode"))
+
+
+# ---------------------------------------------------------------------- quality --
+def _suite(d: Demo) -> DataFrame:
+    newest = pages.newest_two(_normalized(d))
+    named = {"1": "fares", "2": "holidays", "4": "developer_terms"}
+    label = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("page_key")]
+    hashes = newest.select(label.alias("page_key"), F.col("now.content_hash")
+                           .alias("content_hash")).filter("page_key IS NOT NULL")
+    # Recorded: the first capture of the fares page, none for holidays, a wrong one for terms.
+    recorded = newest.select(label.alias("page_key"), F.when(
+        F.col("page_key") == "1", F.col("before.content_hash")).when(
+        F.col("page_key") == "4", "0" * 64).otherwise("").alias("expected_hash")).filter(
+        "page_key IS NOT NULL")
+    tables = d.tables()
+    today = d.zones().select(*KEY, F.lit("2026-11-01").cast("date").alias("today"))
+    return quality.assumptions(quality.Inputs(
+        tables=tables, feeds=today, baseline=d.at("B").tables(), rt_health=_health(d),
+        rt_join=rt.join_rate(d.trip_updates(), d.trips()),
+        rt_census=rt.field_census(d.field_paths(), d.headers()),
+        page_hashes=hashes, recorded=recorded))
+
+
+@query
+def assumptions(d: Demo) -> DataFrame:
+    return _suite(d).drop("snapshot_id")
+
+
+@query
+def assumptions_static_only(d: Demo) -> DataFrame:
+    """Without optional inputs their checks are skips, never passes."""
+    today = d.zones().select(*KEY, F.lit("2026-12-28").cast("date").alias("today"))
+    return quality.assumptions(quality.Inputs(tables=d.tables(), feeds=today)).drop("snapshot_id")
+
+
+@query
+def feed_status(d: Demo) -> DataFrame:
+    today = d.zones().select(*KEY, F.lit("2026-12-28").cast("date").alias("today"))
+    drift = pages.page_drift(d.expected_pages(), _normalized(d)).select(
+        F.concat(F.lit("F"), (F.col("page_key").cast("int") % 3).cast("string")).alias("feed_id"),
+        "status")
+    return quality.feed_status(
+        d.zones(), cal.feed_coverage(d.calendar(), d.calendar_dates(), today), _suite(d),
+        _health(d).filter("entity_kind <> 'shapes'"), drift, None)
+
+
+# -------------------------------------------------------------------- artifacts --
+@query
+def snapshot_manifest(d: Demo) -> DataFrame:
+    k = F.col("page_id")
+    given = d.pages().select(
+        F.lit("web").alias("kind"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("source"),
+        F.col("html").cast("binary").alias("content"),
+        (F.lit(1_790_000_000) + k * 60).alias("fetched_epoch"))
+    pins = d.snapshots().filter("pin IS NOT NULL").select("pin", F.concat_ws(
+        "-", F.lit("web"), F.date_format(F.timestamp_seconds("fetched_epoch"),
+                                         "yyyyMMdd'T'HHmmss'Z'"),
+        F.substring("actual_sha256", 1, 6)).alias("capture_ref"))
+    return captures.snapshot_manifest(given, pins)
+
+
+@query
+def snapshot_latest(d: Demo) -> DataFrame:
+    return artifacts.snapshot_latest(d.snapshots())
+
+
+@query
+def snapshot_duplicates(d: Demo) -> DataFrame:
+    return artifacts.snapshot_duplicates(d.snapshots())
+
+
+@query
+def snapshot_retention(d: Demo) -> DataFrame:
+    return artifacts.retention(d.snapshots(), 5).select("capture_ref", "source", "bytes")
+
+
+@query
+def snapshot_integrity(d: Demo) -> DataFrame:
+    return artifacts.integrity(d.snapshots()).select("capture_ref", "intact")
+
+
+@query
+def stops_index(d: Demo) -> DataFrame:
+    pairs = st.serving(d.stop_times(), d.trips(), d.routes())
+    return artifacts.stops_index(d.stops(), pairs).drop("snapshot_id")
+
+
+@query
+def stops_index_report(d: Demo) -> DataFrame:
+    return artifacts.index_report(d.stops()).drop("snapshot_id")
+
+
+@query
+def compact_decisions(d: Demo) -> DataFrame:
+    return artifacts.prune_decisions(profile.feed_profile(d.tables()), "balanced").drop("snapshot_id")
+
+
+def _compacted(d: Demo) -> dict[str, DataFrame]:
+    return artifacts.compact(d.tables(), "balanced", days=30)
+
+
+@query
+def compact_prune(d: Demo) -> DataFrame:
+    return feeds.row_counts(_compacted(d)).drop("snapshot_id")
+
+
+@query
+def compact_sink(d: Demo) -> DataFrame:
+    """Write the pruned feed clustered, read it back, and count rows and text."""
+    path = scratch_path(d.spark, "compact")
+    tables = _compacted(d)
+    artifacts.compact_sink(tables, path)
+    out = None
+    for name, df in sorted(tables.items()):
+        back = d.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        size = sum(F.length(F.coalesce(c, F.lit(""))) for c in back.columns if c not in KEY)
+        part = back.groupBy("feed_id").agg(F.count(F.lit(1)).alias("rows"),
+                                           F.sum(size).alias("characters")).select(
+            "feed_id", F.lit(name).alias("table_name"), "rows", "characters")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def json_artifact_sink(d: Demo) -> DataFrame:
+    pairs = st.serving(d.stop_times(), d.trips(), d.routes())
+    index = artifacts.stops_index(d.stops(), pairs)
+    return artifacts.json_rows(index, ["feed_id", "code"])
+
+
+@query
+def artifact_manifest(d: Demo) -> DataFrame:
+    """Write two JSON artifacts and total their manifest."""
+    root = scratch_path(d.spark, "artifacts")
+    pairs = st.serving(d.stop_times(), d.trips(), d.routes())
+    index = artifacts.stops_index(d.stops(), pairs)
+    artifacts.json_artifact_sink(index, ["feed_id", "code"], f"{root}/stops_index")
+    artifacts.json_artifact_sink(d.routes(), ["feed_id", "route_id"], f"{root}/routes")
+    files = artifacts.artifact_manifest(d.spark, {
+        "stops_index": f"{root}/stops_index", "routes": f"{root}/routes"})
+    return files.groupBy("name").agg(
+        F.sum("rows").cast("bigint").alias("rows"), F.sum("bytes").alias("bytes"),
+        F.min((F.length("sha256") == 64)).alias("hashed"))
+
+
+@query
+def golden_regression(d: Demo) -> DataFrame:
+    """Today's boards against a recording with deterministic differences."""
+    queries = d.board_queries()
+    rows = artifacts.golden_rows(dep.departures(queries, d, 200))
+    t = F.substring("trip_id", 2, 20).cast("bigint")
+    golden = rows.filter(t % 41 != 0).withColumn("headsign", F.when(t % 43 == 0, "Depot").otherwise(
+        F.col("headsign"))).withColumn("direction_id", F.when(t % 86 == 0, "9").otherwise(
+            F.col("direction_id")))
+    unresolved = st.resolve_stops(queries, d.stops()).filter("stop_id IS NULL").select(
+        *KEY, "needle").join(queries.select(*KEY, "needle", "query_id"), [*KEY, "needle"]).select(
+        F.col("query_id").alias("case_id"), F.lit("StopNotFound").alias("error"))
+    recorded = unresolved.filter(~F.col("case_id").endswith("/3")).withColumn(
+        "error", F.when(F.col("case_id").endswith("/2"), "FeedExpired").otherwise(F.col("error")))
+    return artifacts.golden_regression(
+        queries.select(F.col("query_id").alias("case_id")), golden, rows, recorded, unresolved)
+
+
+@query
+def feed_sql(d: Demo) -> DataFrame:
+    rows, truncated = artifacts.feed_sql(d.spark, d.tables(), """
+        SELECT feed_id, service_id, route_id, count(*) AS calls, count(DISTINCT stop_id) AS stops
+        FROM stop_times JOIN trips USING (feed_id, trip_id)
+        GROUP BY feed_id, service_id, route_id""")
+    return rows
+
+
+@query
+def paginate(d: Demo) -> DataFrame:
+    return artifacts.paginate(d.stops(), ["feed_id"], ["stop_name", "stop_id"], 100, 50).select(
+        "feed_id", "row", "stop_id", "stop_name", "total", "has_more", "next_offset")
+
+
+# ---------------------------------------------------------------------- landing --
+@query
+def gtfs_scan(d: Demo) -> DataFrame:
+    """Write the feeds as text files with a byte order mark and shuffled columns, scan them."""
+    root = scratch_path(d.spark, "landed")
+    tables = d.tables()
+    out = None
+    for name, df in sorted(tables.items()):
+        columns = [c for c in df.columns if c not in KEY]
+        path = f"{root}/{name}"
+        (df.select(*KEY, *[F.col(c).alias(("\ufeff" if i == 0 else "") + c)
+                           for i, c in enumerate(sorted(columns))])
+         .write.partitionBy(*KEY).options(header=True, emptyValue="", ignoreLeadingWhiteSpace=False,
+                                             ignoreTrailingWhiteSpace=False).csv(path))
+        back = feeds.gtfs_scan(d.spark, path, columns, "*.csv").select(
+            *KEY, *[F.col(c) for c in columns])
+        size = sum(F.length(c) for c in columns)
+        part = back.groupBy("feed_id").agg(F.count(F.lit(1)).alias("rows"),
+                                           F.sum(size).alias("characters")).select(
+            "feed_id", F.lit(name).alias("table_name"), "rows", "characters")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _decoded(d: Demo) -> DataFrame:
+    """The realtime items as protobuf captures of at most 500 entities, decoded again."""
+    number = F.when(F.col("relationship") == "SKIPPED", 1).otherwise(0)
+    item = F.struct(
+        F.nullif(F.col("stop_sequence"), F.lit("")).cast("bigint").alias("stop_sequence"),
+        F.nullif(F.col("stop_id"), F.lit("")).alias("stop_id"),
+        F.struct(F.col("event_delay").alias("delay"), F.col("event_time").alias("time"))
+        .alias("departure"), number.alias("schedule_relationship"))
+    key = ["feed_id", "capture_id", "entity_pos"]
+    # The stop updates of one trip: a handful.
+    stops = d.stop_updates().groupBy(*key).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("stu_pos", item.alias("u")))), lambda x: x["u"])
+        .alias("stop_time_update"))
+    trip = F.struct("trip_id", F.nullif(F.col("start_date"), F.lit("")).alias("start_date"),
+                    F.when(F.col("trip_relationship") == "CANCELED", 3).otherwise(0)
+                    .alias("schedule_relationship"))
+    entities = d.trip_updates().join(stops, key, "left").select(
+        F.concat_ws("/", "feed_id", "capture_id",
+                    F.floor(F.col("entity_pos") / 1500).cast("string")).alias("capture_id"),
+        "entity_pos", F.to_json(F.struct(
+            F.col("entity_pos").cast("string").alias("id"),
+            F.struct(trip.alias("trip"), "stop_time_update", F.col("trip_delay").alias("delay"))
+            .alias("trip_update"))).alias("entity"))
+    return captures.decode_captures(captures.encode_entities(entities))
+
+
+@query
+def rt_capture_scan(d: Demo) -> DataFrame:
+    path = F.split("path", "/")
+    return captures.stop_updates(_decoded(d)).select(
+        path[0].alias("feed_id"), path[1].alias("capture_id"), "trip_id", "stu_pos", "stop_id",
+        "stop_sequence", "relationship", "event_delay", "event_time")
+
+
+@query
+def rt_capture_trips(d: Demo) -> DataFrame:
+    path = F.split("path", "/")
+    return captures.trip_updates(_decoded(d)).select(
+        path[0].alias("feed_id"), path[1].alias("capture_id"), "trip_id", "start_date",
+        "trip_relationship", "trip_delay")
+
+
+# -------------------------------------------------------------------- streaming --
+class _StreamDemo(Demo):
+    """The demo views over the event stream instead of the event table."""
+
+    def raw(self, name: str) -> DataFrame:
+        table = super().raw(name)
+        if name != "events":
+            return table
+        return self.spark.readStream.schema(table.schema).option(
+            "pathGlobFilter", "events.parquet").parquet(self.dir)
+
+
+@query
+def stream_freshness(d: Demo) -> DataFrame:
+    live = _StreamDemo(d.spark, d.dir).headers().withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.run_available(jobs.freshness(live), "freshness")
+
+
+def _trip_stream(d: Demo) -> DataFrame:
+    """Updates of recurring trips (one per user), arriving out of header order."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    seen = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return d.raw("events").select(
+        F.concat(F.lit("F"), (F.col("user_id") % 3).cast("string")).alias("feed_id"),
+        F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("trip_id"),
+        (seen - k * 60).alias("header_ts"), F.col("event_id").alias("entity_pos"),
+        ((F.col("value") * 10).cast("int") - 240).alias("delay"), seen.alias("seen_epoch"))
+
+
+@query
+def stream_latest_trip_state(d: Demo) -> DataFrame:
+    return jobs.TripState(d.spark).run(_trip_stream(_StreamDemo(d.spark, d.dir)))
+
+
+@query
+def stream_live_board(d: Demo) -> DataFrame:
+    """Streamed stop updates against every departure on the board dates."""
+    items = d.stop_updates()
+    path = items.inputFiles()[0].rsplit("/", 1)[0]
+    stream = d.spark.readStream.schema(items.schema).parquet(path)
+    dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date").distinct()
+    static = materialize(dep.network_departures(d, dates).withColumn("minutes_away", F.lit(0)),
+                         "network")
+    status = d.trip_updates().select("feed_id", "capture_id", "entity_pos", "start_date",
+                                     "trip_relationship", "trip_delay")
+    board = jobs.live_board(stream, status, static).select(
+        "feed_id", "service_date", "trip_id", "stop_id", "stop_sequence", "departure_epoch",
+        "capture_id", "entity", "stu_pos", "realtime", "status", "delay_seconds",
+        "predicted_epoch")
+    return jobs.run_available(board, "live-board")

@@ -18,9 +18,11 @@ def with_optional(df: DataFrame | None, columns: list[str]) -> DataFrame | None:
         else F.lit("").alias(c) for c in columns])
 
 
-def gtfs_scan(spark: SparkSession, root: str, table: str, columns: list[str],
+def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str,
               max_columns: int = 64) -> DataFrame:
-    """One table of every feed below ``root/feed_id=*/snapshot_id=*/<table>.txt``.
+    """One table of every feed: ``root/feed_id=*/snapshot_id=*/<files>``.
+
+    ``files`` names the table's file, such as ``stops.txt``, or a pattern.
 
     Feeds order their columns differently, so a positional schema would misread
     them: each line is cut into cells and every requested column is looked up in
@@ -28,7 +30,7 @@ def gtfs_scan(spark: SparkSession, root: str, table: str, columns: list[str],
     or cell is ``''``; a byte order mark is dropped. GTFS forbids line breaks
     inside values, so large files split freely over tasks.
     """
-    lines = (spark.read.option("basePath", root).text(f"{root}/*/*/{table}.txt")
+    lines = (spark.read.option("basePath", root).text(f"{root}/*/*/{files}")
              .select(*KEY, F.regexp_replace("value", "[\\r]$", "").alias("value"),
                      F.col("_metadata.file_path").alias("file_path"),
                      F.col("_metadata.file_block_start").alias("block"),
