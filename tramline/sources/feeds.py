@@ -118,3 +118,59 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
             *KEY, F.lit(name).alias("table_name"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Columns the operators read, per table.
+TABLES = {
+    "agency": ["agency_id", "agency_name", "agency_url", "agency_timezone"],
+    "stops": ["stop_id", "stop_code", "stop_name", "stop_lat", "stop_lon", "location_type",
+              "parent_station", "wheelchair_boarding"],
+    "routes": ["route_id", "route_short_name", "route_long_name", "route_type", "route_color"],
+    "trips": ["route_id", "service_id", "trip_id", "trip_headsign", "direction_id"],
+    "stop_times": ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence",
+                   "pickup_type", "drop_off_type", "stop_headsign"],
+    "calendar": ["service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
+                 "sunday", "start_date", "end_date"],
+    "calendar_dates": ["service_id", "date", "exception_type"],
+    "feed_info": ["feed_publisher_name", "feed_publisher_url", "feed_lang", "feed_start_date",
+                  "feed_end_date", "feed_version"],
+}
+
+
+class Feed:
+    """The tables of any number of feeds and snapshots, as the operators take them.
+
+    Absent tables read as empty and absent columns as ``''``; further tables
+    (fares, shapes, frequencies...) are kept as given.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+        self.given = tables
+        self._tables = dict(tables)
+        for name, columns in TABLES.items():
+            if name in tables:
+                extra = [c for c in tables[name].columns if c not in columns and c not in KEY]
+                self._tables[name] = with_optional(tables[name], [*columns, *extra])
+            else:
+                self._tables[name] = spark.createDataFrame(
+                    [], ", ".join(f"{c} string" for c in [*KEY, *columns]))
+
+    @classmethod
+    def scan(cls, spark: SparkSession, root: str, extra: dict[str, list[str]] | None = None) -> "Feed":
+        """Read unpacked feeds below ``root/feed_id=*/snapshot_id=*/``."""
+        tables = {name: gtfs_scan(spark, root, columns, f"{name}.txt")
+                  for name, columns in {**TABLES, **(extra or {})}.items()}
+        return cls(spark, tables)
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._tables:
+            raise AttributeError(name)
+        return lambda: self._tables[name]
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: self._tables[n] for n in self.given}
+
+    def zones(self) -> DataFrame:
+        """(feed_id, snapshot_id, zone): the zone of the feed's agency."""
+        return self._tables["agency"].filter("agency_timezone <> ''").groupBy(*KEY).agg(
+            F.min(F.trim("agency_timezone")).alias("zone"))
