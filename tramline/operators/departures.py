@@ -25,9 +25,9 @@ def headsign():
     return F.when(own != "", own).otherwise(F.coalesce("trip_headsign", F.lit("")))
 
 
-def boardable(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
+def boardable(stop_times: DataFrame, trips: DataFrame,
               targets: DataFrame | None = None) -> DataFrame:
-    """Boardable calls with parsed seconds, joined to trips and routes.
+    """Boardable calls with parsed seconds, joined to their trips.
 
     ``targets`` (feed, snapshot, stop_id) prunes the calls before the trip join,
     so only the calls of asked stops are shuffled.
@@ -35,35 +35,60 @@ def boardable(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
     rows = st.boardable_calls(stop_times)
     if targets is not None:
         rows = rows.join(targets, [*KEY, "stop_id"], "left_semi")
-    return st.calls(rows, trips, routes).filter(F.col("seconds").isNotNull())
+    return st.trip_calls(rows, trips).filter(F.col("seconds").isNotNull()).drop(
+        "departure_time", "pickup_type")
 
 
-def query_days(queries: DataFrame, resolved: DataFrame, services: DataFrame,
-               zones: DataFrame) -> DataFrame:
-    """(query, stop_id, service_id, service_date, bucket) a call must match.
+def window_slots(instants: DataFrame, services: DataFrame, zones: DataFrame,
+                 span: DataFrame) -> DataFrame:
+    """What each distinct (at_epoch, window_minutes) may board: service and seconds.
 
-    Each query is spread over its candidate dates, the services active on them
-    and the buckets its window touches: the equi keys of the window join.
+    Every instant is spread over its candidate dates and the services active on
+    them, and its window becomes a range [from_s, to_s] of GTFS seconds there.
+    All time-zone work is done here, once per instant instead of once per query
+    or call. ``span`` (feed, snapshot, lo, hi) is the range of call seconds;
+    dates outside it are dropped (mostly the two days back).
     """
-    days = cal.candidate_dates(queries.withColumn("needle", F.trim("needle")), zones)
+    spans = instants.select(*KEY, "at_epoch", "window_minutes").distinct()
+    days = cal.candidate_dates(spans, zones).join(span, KEY)
     days = days.withColumn("day_start", times.day_start(F.col("service_date"), F.col("zone")))
     days = days.withColumns({
-        "from_s": F.col("at_epoch") - F.col("day_start"),
-        "to_s": F.col("at_epoch") + F.col("window_minutes") * 60 - F.col("day_start")})
-    first = F.greatest(F.floor(F.col("from_s") / BUCKET_SECONDS), F.lit(0))
-    last = F.floor(F.col("to_s") / BUCKET_SECONDS)
-    days = days.filter(F.col("to_s") >= 0).withColumn("bucket", F.explode(F.sequence(first, last)))
+        "from_s": F.greatest(F.col("at_epoch") - F.col("day_start"), F.col("lo")),
+        "to_s": F.least(F.col("at_epoch") + F.col("window_minutes") * 60 - F.col("day_start"),
+                        F.col("hi"))}).filter(F.col("from_s") <= F.col("to_s"))
+    return days.join(services.select(*KEY, "service_id", "service_date"),
+                     [*KEY, "service_date"]).drop("lo", "hi")
+
+
+def query_days(queries: DataFrame, resolved: DataFrame, slots: DataFrame) -> DataFrame:
+    """(query, stop_id, service_id, service_date, bucket) a call must match.
+
+    The buckets a window touches are, with stop and service, the equi keys of
+    the window join.
+    """
+    first, last = (F.floor(F.col(c) / BUCKET_SECONDS) for c in ("from_s", "to_s"))
+    slots = slots.withColumn("bucket", F.explode(F.sequence(first, last)))
     found = resolved.filter(F.col("stop_id").isNotNull()).select(*KEY, "needle", "stop_id")
-    return (days.join(services.select(*KEY, "service_id", "service_date"),
-                      [*KEY, "service_date"])
-            .join(found, [*KEY, "needle"]))
+    return (queries.withColumn("needle", F.trim("needle")).join(found, [*KEY, "needle"])
+            .join(slots, [*KEY, "at_epoch", "window_minutes"]))
+
+
+def call_span(stop_times: DataFrame) -> DataFrame:
+    """Earliest and latest call second per (feed, snapshot)."""
+    secs = times.gtfs_seconds(F.col("departure_time"))
+    return stop_times.groupBy(*KEY).agg(F.min(secs).cast("bigint").alias("lo"),
+                                        F.max(secs).cast("bigint").alias("hi"))
+
 
+def window_join(days: DataFrame, calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """Calls whose instant lies in [at, at + window], both ends included.
 
-def window_join(days: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls whose instant lies in [at, at + window], both ends included."""
+    Routes join the hits, which are few, rather than travelling with all calls.
+    """
     keyed = calls.withColumn("bucket", F.floor(F.col("seconds") / BUCKET_SECONDS))
     hits = days.join(keyed, [*KEY, "stop_id", "service_id", "bucket"]).filter(
         F.col("seconds").between(F.col("from_s"), F.col("to_s")))
+    hits = st.with_route(hits, routes)
     if "route_filter" in days.columns:
         hits = hits.filter(F.col("route_filter").isNull()
                            | (F.col("route_filter") == F.col("route_id"))
@@ -101,8 +126,9 @@ def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None)
     dates = cal.candidate_dates(queries, zones).select(*KEY, "service_date").distinct()
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
     targets = resolved.filter(F.col("stop_id").isNotNull()).select(*KEY, "stop_id").distinct()
-    rows = boardable(feed.stop_times(), feed.trips(), feed.routes(), targets)
-    return shaped(window_join(query_days(queries, resolved, services, zones), rows))
+    rows = boardable(feed.stop_times(), feed.trips(), targets)
+    slots = window_slots(queries, services, zones, call_span(feed.stop_times()))
+    return shaped(window_join(query_days(queries, resolved, slots), rows, feed.routes()))
 
 
 def rank_and_limit(rows: DataFrame, limit: int) -> DataFrame:
@@ -134,7 +160,7 @@ def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:
     """
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
     days = cal.zoned_days(services, feed.zones())
-    rows = boardable(feed.stop_times(), feed.trips(), feed.routes())
+    rows = st.with_route(boardable(feed.stop_times(), feed.trips()), feed.routes())
     instant = F.col("day_start") + F.col("seconds")
     return rows.join(days, [*KEY, "service_id"]).select(
         *KEY, "service_date", "stop_id", "stop_sequence", "trip_id", "route_id",
@@ -143,6 +169,35 @@ def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:
         (F.col("seconds") >= times.DAY).alias("after_midnight"))
 
 
+def departures_per_local_day(days: DataFrame, feed, targets: DataFrame) -> DataFrame:
+    """(stop_id, local_date, n): departures between two local midnights, both included.
+
+    A local day lasts 23 or 25 hours on a clock change. Counted from the calls
+    of the target stops on the service dates that can reach the asked days, so
+    the work is calls x days, however many queries ask.
+    """
+    day = days.select(
+        *KEY, "local_date", times.midnight(F.col("local_date"), F.col("zone")).alias("at_epoch"),
+        ((times.midnight(F.date_add("local_date", 1), F.col("zone"))
+          - times.midnight(F.col("local_date"), F.col("zone"))) / 60).cast("int")
+        .alias("window_minutes")).distinct()
+    zones = feed.zones()
+    reach = cal.candidate_dates(day, zones).select(*KEY, "service_date").distinct()
+    services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), reach)
+    slots = window_slots(day, services, zones, call_span(feed.stop_times())).join(
+        day, [*KEY, "at_epoch", "window_minutes"]).select(
+        *KEY, "service_id", "local_date", "from_s", "to_s")
+    stops = targets.select(*KEY, "stop_id").distinct()
+    # Calls of one stop, service and second are alike here: count them first.
+    routed = boardable(feed.stop_times(), feed.trips(), stops).join(
+        feed.routes().select(*KEY, "route_id"), [*KEY, "route_id"], "left_semi")
+    rows = routed.groupBy(*KEY, "stop_id", "service_id", "seconds").agg(
+        F.count(F.lit(1)).alias("calls"))
+    return (rows.join(slots, [*KEY, "service_id"])
+            .filter(F.col("seconds").between(F.col("from_s"), F.col("to_s")))
+            .groupBy(*KEY, "stop_id", "local_date").agg(F.sum("calls").alias("n")))
+
+
 def explain_empty(queries: DataFrame, feed) -> DataFrame:
     """The first failing check of each query, else WINDOW_TOO_NARROW.
 
@@ -155,8 +210,9 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
     found = resolved.groupBy(*KEY, "needle").agg(
         F.count("stop_id").alias("platforms"), F.min("matched_by").alias("matched_by"))
 
-    local = q.join(zones, KEY).withColumn(
+    instants = q.select(*KEY, "at_epoch").distinct().join(zones, KEY).withColumn(
         "local_date", times.local_date(F.col("at_epoch"), F.col("zone")))
+    local = q.join(instants, [*KEY, "at_epoch"])
     ends = feed.feed_info().groupBy(*KEY).agg(
         F.max(times.service_date(F.col("feed_end_date"))).alias("feed_end"))
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates())
@@ -168,19 +224,9 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
     ever = targets.join(per_stop, [*KEY, "stop_id"]).groupBy(*KEY, "needle").agg(
         F.sum("n").alias("calls"))
 
-    # The whole local day, which lasts 23 or 25 hours on a DST change. One
-    # window per (needle, day), however many queries ask for it.
-    days = local.select(*KEY, "needle", "local_date", "zone").distinct()
-    whole = days.select(
-        *KEY, F.concat_ws("|", *KEY, "needle", F.col("local_date").cast("string"))
-        .alias("query_id"), "needle", "local_date",
-        times.midnight(F.col("local_date"), F.col("zone")).alias("at_epoch"),
-        ((times.midnight(F.date_add("local_date", 1), F.col("zone"))
-          - times.midnight(F.col("local_date"), F.col("zone"))) / 60)
-        .cast("int").alias("window_minutes"))
-    today = (all_departures(whole.drop("local_date"), feed, resolved).groupBy("query_id")
-             .agg(F.count(F.lit(1)).alias("today")))
-    today = whole.join(today, "query_id").select(*KEY, "needle", "local_date", "today")
+    asked = instants.select(*KEY, "local_date", "zone").distinct()
+    today = (targets.join(departures_per_local_day(asked, feed, targets), [*KEY, "stop_id"])
+             .groupBy(*KEY, "needle", "local_date").agg(F.sum("n").alias("today")))
 
     rows = (local.join(found, [*KEY, "needle"], "left").join(ends, KEY, "left")
             .join(active, [*KEY, "local_date"], "left")

@@ -149,9 +149,8 @@ def serving(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataF
         [*KEY, "route_id"]).withColumn("badge", badge)
 
 
-def calls(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
-          how: str = "inner") -> DataFrame:
-    """stop_times x trips x routes; ``how='left'`` keeps trips without a route row."""
+def trip_calls(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
+    """stop_times x trips with the columns a departure needs, and parsed seconds."""
     optional = {"stop_headsign": "", "pickup_type": "0"}
     st = stop_times.withColumns({c: F.lit(v) for c, v in optional.items()
                                  if c not in stop_times.columns})
@@ -162,6 +161,15 @@ def calls(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
                     "pickup_type", "stop_headsign",
                     times.gtfs_seconds(F.col("departure_time")).alias("seconds"))
             .join(tr.select(*KEY, "trip_id", "route_id", "service_id", "trip_headsign",
-                            "direction_id"), [*KEY, "trip_id"])
-            .join(routes.select(*KEY, "route_id", "route_short_name", "route_long_name",
-                                "route_type"), [*KEY, "route_id"], how))
+                            "direction_id"), [*KEY, "trip_id"]))
+
+
+def with_route(rows: DataFrame, routes: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(routes.select(*KEY, "route_id", "route_short_name", "route_long_name",
+                                   "route_type"), [*KEY, "route_id"], how)
+
+
+def calls(stop_times: DataFrame, trips: DataFrame, routes: DataFrame,
+          how: str = "inner") -> DataFrame:
+    """stop_times x trips x routes; ``how='left'`` keeps trips without a route row."""
+    return with_route(trip_calls(stop_times, trips), routes, how)

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # HotSpot does not compile methods above 8000 bytes of bytecode; such stages
+    # run faster as separate, compiled projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

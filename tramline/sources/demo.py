@@ -65,13 +65,16 @@ class Demo:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _import(self, name: str, build, *spread: str) -> DataFrame:
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        """The raw columns spread by key, so that the import is not one task."""
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+    def _import(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, self.snapshot, name)
         df = build()
         if key not in _IMPORTED:
             path = scratch_path(self.spark, f"{name}-{self.snapshot}")
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df.repartition(parts, *spread).write.parquet(path)
+            df.write.parquet(path)
             _IMPORTED[key] = path
         return self.spark.read.schema(df.schema).parquet(_IMPORTED[key])
 
@@ -89,7 +92,7 @@ class Demo:
 
     # ------------------------------------------------------------ schedule --
     def stops(self) -> DataFrame:
-        return self._import("stops", self._stops, "feed_id", "stop_id")
+        return self._import("stops", self._stops)
 
     def _stops(self) -> DataFrame:
         k, b = F.col("p_partkey"), self.snapshot == "B"
@@ -103,7 +106,8 @@ class Demo:
         if b:
             name = F.when(k % 41 == 0, F.concat(name, F.lit(" Plaza"))).otherwise(name)
             lat_text = F.when(k % 89 == 0, "").otherwise(lat_text)
-        df = self.raw("part").select(
+        df = self._spread(self.raw("part").select("p_partkey", "p_name", "p_size"),
+                          "p_partkey").select(
             F.concat(F.lit("S"), k.cast("string")).alias("stop_id"),
             code.alias("stop_code"),
             name.alias("stop_name"),
@@ -142,12 +146,13 @@ class Demo:
         ))
 
     def trips(self) -> DataFrame:
-        return self._import("trips", self._trips, "feed_id", "trip_id")
+        return self._import("trips", self._trips)
 
     def _trips(self) -> DataFrame:
         k, c, b = F.col("o_orderkey"), F.col("o_custkey"), self.snapshot == "B"
         p = F.substring("o_orderpriority", 1, 1)
-        raw = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+        raw = self._spread(self.raw("orders").select(
+            "o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
         if b:
             raw = raw.filter(k % 53 != 0)
         headsign = F.concat(F.lit("Dest "), (c % 7).cast("string"))
@@ -165,13 +170,13 @@ class Demo:
         )
 
     def stop_times(self) -> DataFrame:
-        return self._import("stop_times", self._stop_times, "feed_id", "trip_id")
+        return self._import("stop_times", self._stop_times)
 
     def _stop_times(self) -> DataFrame:
         o, p, n, b = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), \
             self.snapshot == "B"
-        raw = self.raw("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+        raw = self._spread(self.raw("lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"), "l_orderkey")
         if b:
             raw = raw.filter((o % 53 != 0) & (p % 53 != 0))
         secs = 14_400 + (o * 613 + n * 300) % 79_200
@@ -269,7 +274,7 @@ class Demo:
             ((F.col("value") * 10).cast("int") - 240).alias("delay"))
 
     def trip_updates(self) -> DataFrame:
-        return self._import("trip_updates", self._trip_updates, "feed_id", "trip_id")
+        return self._import("trip_updates", self._trip_updates)
 
     def _trip_updates(self) -> DataFrame:
         kind = F.col("event_type")
@@ -281,7 +286,7 @@ class Demo:
             F.when(kind.isin("view", "signup"), F.col("delay")).alias("trip_delay"))
 
     def stop_updates(self) -> DataFrame:
-        return self._import("stop_updates", self._stop_updates, "feed_id", "trip_id")
+        return self._import("stop_updates", self._stop_updates)
 
     def _stop_updates(self) -> DataFrame:
         """One stop update per distinct call of the trip, named by id, number or both.
