@@ -13,7 +13,7 @@ from tramline.session import configure  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[4]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+               .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "4g")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))

@@ -67,7 +67,7 @@ class Demo:
 
     def _spread(self, df: DataFrame, key: str) -> DataFrame:
         """The raw columns spread by key, so that the import is not one task."""
-        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+        return df.repartition(key)
 
     def _import(self, name: str, build) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, self.snapshot, name)
