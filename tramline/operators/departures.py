@@ -43,14 +43,13 @@ def window_slots(instants: DataFrame, services: DataFrame, zones: DataFrame,
                  span: DataFrame) -> DataFrame:
     """What each distinct (at_epoch, window_minutes) may board: service and seconds.
 
-    Every instant is spread over its candidate dates and the services active on
+    ``instants`` lists them. Every instant is spread over its candidate dates and the services active on
     them, and its window becomes a range [from_s, to_s] of GTFS seconds there.
     All time-zone work is done here, once per instant instead of once per query
     or call. ``span`` (feed, snapshot, lo, hi) is the range of call seconds;
     dates outside it are dropped (mostly the two days back).
     """
-    spans = instants.select(*KEY, "at_epoch", "window_minutes").distinct()
-    days = cal.candidate_dates(spans, zones).join(span, KEY)
+    days = cal.candidate_dates(instants, zones).join(span, KEY)
     days = days.withColumn("day_start", times.day_start(F.col("service_date"), F.col("zone")))
     days = days.withColumns({
         "from_s": F.greatest(F.col("at_epoch") - F.col("day_start"), F.col("lo")),
@@ -123,11 +122,12 @@ def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None)
     """
     resolved = resolved_stops(queries, feed) if resolved is None else resolved
     zones = feed.zones()
-    dates = cal.candidate_dates(queries, zones).select(*KEY, "service_date").distinct()
+    spans = queries.select(*KEY, "at_epoch", "window_minutes").distinct()
+    dates = cal.candidate_dates(spans, zones).select(*KEY, "service_date").distinct()
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
     targets = resolved.filter(F.col("stop_id").isNotNull()).select(*KEY, "stop_id").distinct()
     rows = boardable(feed.stop_times(), feed.trips(), targets)
-    slots = window_slots(queries, services, zones, call_span(feed.stop_times()))
+    slots = window_slots(spans, services, zones, call_span(feed.stop_times()))
     return shaped(window_join(query_days(queries, resolved, slots), rows, feed.routes()))
 
 
@@ -184,8 +184,7 @@ def departures_per_local_day(days: DataFrame, feed, targets: DataFrame) -> DataF
     zones = feed.zones()
     reach = cal.candidate_dates(day, zones).select(*KEY, "service_date").distinct()
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), reach)
-    slots = window_slots(day, services, zones, call_span(feed.stop_times())).join(
-        day, [*KEY, "at_epoch", "window_minutes"]).select(
+    slots = window_slots(day, services, zones, call_span(feed.stop_times())).select(
         *KEY, "service_id", "local_date", "from_s", "to_s")
     stops = targets.select(*KEY, "stop_id").distinct()
     # Calls of one stop, service and second are alike here: count them first.

@@ -221,9 +221,8 @@ class Demo:
             [("Demo", "20260101", end, f"demo-{self.snapshot}")]))
 
     def zones(self) -> DataFrame:
-        """(feed_id, snapshot_id, zone): one row per feed."""
-        return self.agency().groupBy("feed_id", "snapshot_id").agg(
-            F.min("agency_timezone").alias("zone"))
+        """(feed_id, snapshot_id, zone): every feed has one agency."""
+        return self.agency().select("feed_id", "snapshot_id", F.col("agency_timezone").alias("zone"))
 
     def tables(self) -> dict[str, DataFrame]:
         return {"agency": self.agency(), "calendar": self.calendar(),
