@@ -108,7 +108,7 @@ def test_line_delta_is_a_bag(spark):
 
 
 def test_facts(spark):
-    df = spark.createDataFrame([("p", "Pass $2.50 - $1,005\nFree\nSept 7, 2026 no service on MetroLink\n"
+    df = spark.createDataFrame([("p", "Pass $2.50 - $1,005\nFree\nSept 7, 2026 no service on light rail\n"
                                       "9/7/26\nSeptember 7")], "page_key string, text string")
     got = [tuple(r) for r in pages.page_facts(df).orderBy("line_no").select(
         "line_no", "cents", "is_range", "date_iso", "service_type", "mode").collect()]

@@ -1,6 +1,5 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.mini import queries, rows
@@ -29,7 +28,7 @@ def stu(delay=None, time=None, stop="S1", seq="1", pos=0, rel="SCHEDULED"):
     return ("M", "c", 0, pos, stop, seq, rel, delay, time)
 
 
-@pytest.mark.parametrize("updates, status, delay, minutes", [
+CHAIN = [
     ([stu(delay=120)], "SCHEDULED", 120, 15),
     ([stu(delay=-180)], "SCHEDULED", -180, 10),
     ([stu(delay=0)], "SCHEDULED", 0, 13),
@@ -46,10 +45,22 @@ def stu(delay=None, time=None, stop="S1", seq="1", pos=0, rel="SCHEDULED"):
     ([stu(delay=60, stop="", seq="1")], "SCHEDULED", 60, 14),   # by number only
     ([stu(delay=60, stop="S2", seq="2")], "NO_DATA", None, None),
     ([stu(delay=60, stop="S2", seq="1", pos=0), stu(delay=600, pos=1)], "SCHEDULED", 60, 14),
-])
-def test_prediction_chain(spark, feed, updates, status, delay, minutes):
-    r = overlay(spark, feed, updates)
-    assert (r.realtime, r.status, r.delay_seconds, r.minutes_predicted) == (True, status, delay, minutes)
+]
+
+
+def test_prediction_chain(spark, feed):
+    """Each case is a query a second later with a capture of its own."""
+    start = int(datetime.fromisoformat("2026-08-05T11:46:01-05:00").timestamp())
+    at = [datetime.fromtimestamp(start + i, timezone.utc).isoformat() for i in range(len(CHAIN))]
+    q = queries(spark, *[(str(i), "15111", at[i], 90) for i in range(len(CHAIN))])
+    tus = [("M", f"c{i}", 0, "T_WK_1200", "", "SCHEDULED", None) for i in range(len(CHAIN))]
+    stus = [(u[0], f"c{i}", *u[2:]) for i, case in enumerate(CHAIN) for u in case[0]]
+    caps = [("M", f"c{i}", start + i) for i in range(len(CHAIN))]
+    out = rt.overlay(dep.departures(q, feed), q, spark.createDataFrame(tus, TU),
+                     spark.createDataFrame(stus, SU), spark.createDataFrame(caps, CAP))
+    got = {int(r.query_id): (r.realtime, r.status, r.delay_seconds, r.minutes_predicted)
+           for r in out.filter("trip_id = 'T_WK_1200'").collect()}
+    assert got == {i: (True, *case[1:]) for i, case in enumerate(CHAIN)}
 
 
 def test_trip_level_fallback_cancel_and_start_date(spark, feed):
@@ -96,19 +107,24 @@ E = {"route": "11", "route_id": "R11", "headsign": "Main", "departure": "2026-08
      "stop_id": "S1", "stop_code": "15111", "trip_id": "T1", "minutes_away": "13", "realtime": "false"}
 
 
-def reconcile(spark, feed, expected, observed):
+def reconcile(spark, feed, *boards_):
+    """Outcomes per board of (expected, observed) record lists."""
     cols = sorted({*E, "board_id", "feed_id", "position"})
     schema = ", ".join(f"{c} {'int' if c == 'position' else 'string'}" for c in cols)
 
-    def df(records):
-        full = [{"feed_id": "M", "board_id": "b", "position": i, **r} for i, r in enumerate(records)]
+    def df(side):
+        full = [{"feed_id": "M", "board_id": str(b), "position": i, **r}
+                for b, pair in enumerate(boards_) for i, r in enumerate(pair[side])]
         return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in full], schema)
 
-    out = boards.reconcile(df(expected), df(observed), feed.zones())
-    return rows(out.select("mode", "outcome", "differing"), "mode", "outcome", "differing")
+    out = boards.reconcile(df(0), df(1), feed.zones())
+    got = {}
+    for b, *rest in rows(out, "board_id", "mode", "outcome", "differing"):
+        got.setdefault(int(b), []).append(tuple(rest))
+    return [got[b] for b in range(len(boards_))]
 
 
-@pytest.mark.parametrize("observed, want", [
+RECONCILE = [
     ([E], [("trip_id", "matched", "")]),
     ([{**E, "headsign": " MAIN "}], [("trip_id", "matched", "")]),
     ([{**E, "minutes_away": "13.0", "realtime": "False"}], [("trip_id", "matched", "")]),
@@ -122,16 +138,19 @@ def reconcile(spark, feed, expected, observed):
     ([{**E, "departure": "soon", "trip_id": None}], [("position", "differing", "departure")]),
     ([], [("departure", "missing", "")]),
     ([E, {**E, "trip_id": "T2"}], [("trip_id", "extra", ""), ("trip_id", "matched", "")]),
-])
-def test_reconcile(spark, feed, observed, want):
-    assert reconcile(spark, feed, [E], observed) == want
+]
+
+
+def test_reconcile(spark, feed):
+    assert reconcile(spark, feed, *[([E], observed) for observed, _ in RECONCILE]) == [
+        want for _, want in RECONCILE]
 
 
 def test_reconcile_pairs_repeats_in_order_and_past_midnight(spark, feed):
     late = {**E, "departure": "24:12:00", "trip_id": None}
     shown = {**E, "departure": "2026-08-06T00:12:00-05:00", "trip_id": None}
-    assert reconcile(spark, feed, [late, late], [shown]) == [
-        ("departure_route", "matched", ""), ("departure_route", "missing", "")]
+    assert reconcile(spark, feed, ([late, late], [shown])) == [[
+        ("departure_route", "matched", ""), ("departure_route", "missing", "")]]
 
 
 def test_occurrence_numbers_span_chunks(spark, monkeypatch):

@@ -709,7 +709,7 @@ v.VIEWS["page_captures"] = """
 SELECT page_id::VARCHAR AS page_key, page_id, url, v AS version,
   1790000000 + page_id + v * 86400 AS fetched_epoch,
   CASE WHEN v = 2 AND page_id % 9 = 0 THEN replace(h, '</article>', '<p>Fares: $2.50 - $5.00 from '
-    || 'September 7, 2026</p><p>MetroBus: Sunday schedule</p><a href="/pdfs/P' || (page_id % 5)
+    || 'September 7, 2026</p><p>Bus: Sunday schedule</p><a href="/pdfs/P' || (page_id % 5)
     || '/r.pdf">PDF</a><a href="https://x.example/?pickId=Q' || (page_id % 3)
     || '">next</a></article>') ELSE h END AS html,
   page_id % 13 <> 5 OR v = 1 AS extraction_ok
@@ -881,7 +881,7 @@ FROM (SELECT o_orderkey, d, CASE o_orderkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%
     WHEN 2 THEN strftime(d, '%-m/%-d/%y') WHEN 3 THEN strftime(d, '%-m/%-d')
     WHEN 4 THEN strftime(d, '%A, %B %-d, %Y') ELSE strftime(d, '%b. %-d') END AS printed,
     o_orderpriority || CASE o_orderkey % 4 WHEN 0 THEN ' Sunday schedule' WHEN 1 THEN ' No Service'
-      WHEN 2 THEN ' MetroLink weekend service' ELSE '' END AS words
+      WHEN 2 THEN ' light rail weekend service' ELSE '' END AS words
   FROM (SELECT *, o_orderdate::DATE AS d FROM orders))"""
 
 # ---------------------------------------------------------------------- quality --

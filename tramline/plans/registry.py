@@ -499,7 +499,7 @@ def holiday_normalize(d: Demo) -> DataFrame:
                .when(k % 6 == 4, F.date_format(day, "EEEE, MMMM d, yyyy"))
                .otherwise(F.concat(F.date_format(day, "MMM"), F.lit(". "), F.dayofmonth(day))))
     words = F.concat(F.col("o_orderpriority"), F.when(k % 4 == 0, " Sunday schedule").when(
-        k % 4 == 1, " No Service").when(k % 4 == 2, " MetroLink weekend service").otherwise(""))
+        k % 4 == 1, " No Service").when(k % 4 == 2, " light rail weekend service").otherwise(""))
     return d.raw("orders").select(
         "o_orderkey", printed.alias("printed"), words.alias("words")).select(
         "o_orderkey", "printed", text.holiday_date(F.col("printed"), F.lit(2026)).alias("day"),

@@ -373,7 +373,7 @@ class Demo:
                          F.md5(F.concat_ws("-", k.cast("string"), v.cast("string"))),
                          F.lit(" style.css?ver=1."), v.cast("string"), F.lit("</p>"))
         news = F.concat(F.lit("<p>Fares: $2.50 - $5.00 from September 7, 2026</p>"
-                              "<p>MetroBus: Sunday schedule</p><a href=\"/pdfs/P"),
+                              "<p>Bus: Sunday schedule</p><a href=\"/pdfs/P"),
                         (k % 5).cast("string"),
                         F.lit("/r.pdf\">PDF</a><a href=\"https://x.example/?pickId=Q"),
                         (k % 3).cast("string"), F.lit("\">next</a></article>"))
