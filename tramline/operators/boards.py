@@ -10,7 +10,7 @@ from tramline.functions import times
 from tramline.operators import departures as dep
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
-from tramline.session import materialize
+from tramline.session import written
 
 BOARD_LIMIT = 50
 # Rows numbered per task when counting repeats of one pairing key.
@@ -49,8 +49,8 @@ def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updat
     order = Window.partitionBy("query_id").orderBy(
         "shown_epoch", "route", "trip_id", "stop_sequence", "stop_id", "service_date", "headsign")
     # Written once: the boards are both the result and what decides emptiness.
-    shown = materialize(shown.withColumn("position", F.row_number().over(order)), "boards")
-    empty = materialize(queries.join(shown.select("query_id").distinct(), "query_id",
+    shown = written(shown.withColumn("position", F.row_number().over(order)), "boards")
+    empty = written(queries.join(shown.select("query_id").distinct(), "query_id",
                                      "left_anti"), "empty-boards")
     why = dep.explain_empty(empty, feed).select("query_id", F.col("verdict").alias("reason"))
     return shown.unionByName(why, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from tramline import KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators import stops as st
-from tramline.session import materialize
+from tramline.session import written
 
 # Width of the second-of-service-day bucket in the window join. It turns the
 # band condition into an equi key, so a stop holding a large share of all calls
@@ -111,7 +111,7 @@ def shaped(hits: DataFrame) -> DataFrame:
 def resolved_stops(queries: DataFrame, feed) -> DataFrame:
     """The resolution of the queries' needles, written once: it prunes the calls
     and also keys the window join."""
-    return materialize(st.resolve_stops(queries, feed.stops()), "resolved")
+    return written(st.resolve_stops(queries, feed.stops()), "resolved")
 
 
 def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None) -> DataFrame:
@@ -149,7 +149,7 @@ def departures(queries: DataFrame, feed, limit: int = 50) -> DataFrame:
     The hits are written once, since both the totals and the ranking read them;
     they are a small share of the calls they were found in.
     """
-    return rank_and_limit(materialize(all_departures(queries, feed), "hits"), limit)
+    return rank_and_limit(written(all_departures(queries, feed), "hits"), limit)
 
 
 def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from tramline.operators import departures as dep
 from tramline.operators import artifacts, boards, diffs, pages, profile, quality
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
-from tramline.session import configure, materialize, scratch_path
+from tramline.session import configure, written, shared_path
 from tramline.sources import captures, feeds
 from tramline.sources.demo import Demo
 from tramline.streaming import jobs
@@ -614,7 +614,7 @@ def compact_prune(d: Demo) -> DataFrame:
 @query
 def compact_sink(d: Demo) -> DataFrame:
     """Write the pruned feed clustered, read it back, and count rows and text."""
-    path = scratch_path(d.spark, "compact")
+    path = shared_path(d.spark, "compact")
     tables = _compacted(d)
     artifacts.compact_sink(tables, path)
     out = None
@@ -638,7 +638,7 @@ def json_artifact_sink(d: Demo) -> DataFrame:
 @query
 def artifact_manifest(d: Demo) -> DataFrame:
     """Write two JSON artifacts and total their manifest."""
-    root = scratch_path(d.spark, "artifacts")
+    root = shared_path(d.spark, "artifacts")
     pairs = st.serving(d.stop_times(), d.trips(), d.routes())
     index = artifacts.stops_index(d.stops(), pairs)
     artifacts.json_artifact_sink(index, ["feed_id", "code"], f"{root}/stops_index")
@@ -687,7 +687,7 @@ def paginate(d: Demo) -> DataFrame:
 @query
 def gtfs_scan(d: Demo) -> DataFrame:
     """Write the feeds as text files with a byte order mark and shuffled columns, scan them."""
-    root = scratch_path(d.spark, "landed")
+    root = shared_path(d.spark, "landed")
     tables = d.tables()
     out = None
     for name, df in sorted(tables.items()):
@@ -790,7 +790,7 @@ def stream_live_board(d: Demo) -> DataFrame:
     path = items.inputFiles()[0].rsplit("/", 1)[0]
     stream = d.spark.readStream.schema(items.schema).parquet(path)
     dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date").distinct()
-    static = materialize(dep.network_departures(d, dates).withColumn("minutes_away", F.lit(0)),
+    static = written(dep.network_departures(d, dates).withColumn("minutes_away", F.lit(0)),
                          "network")
     status = d.trip_updates().select("feed_id", "capture_id", "entity_pos", "start_date",
                                      "trip_relationship", "trip_delay")

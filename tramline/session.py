@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. The zone is needed for right results (noon-minus-12h
 # arithmetic is done on UTC timestamps); the rest lets AQE split hot join keys
@@ -17,9 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # HotSpot does not compile methods above 8000 bytes of bytecode; such stages
-    # run faster as separate, compiled projections.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,37 +25,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a folder of this machine: on a
-    cluster the executors would not see it.
-    """
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors
+    share; where that is unset, a folder below the session's warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    global _LOCAL_ROOT
-    if _LOCAL_ROOT is None:
-        _LOCAL_ROOT = tempfile.mkdtemp(prefix="tramline-")
-    return _LOCAL_ROOT
-
-
-_LOCAL_ROOT: str | None = None
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
-    """Write ``df`` once to the shared folder and read it back.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
 
-    Used where a costly intermediate feeds several branches. A written table
-    survives lost executors, unlike a cached or locally checkpointed one.
+    Cuts the lineage where a costly result feeds several branches or a loop; the
+    files survive lost executors, unlike a cached or locally checkpointed frame.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

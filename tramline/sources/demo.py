@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions import times
-from tramline.session import scratch_path
+from tramline.session import shared_path
 
 # Fixed values of the demo feeds.
 FEEDS = 3
@@ -73,7 +73,7 @@ class Demo:
         key = (self.spark.sparkContext.applicationId, self.dir, self.snapshot, name)
         df = build()
         if key not in _IMPORTED:
-            path = scratch_path(self.spark, f"{name}-{self.snapshot}")
+            path = shared_path(self.spark, f"{name}-{self.snapshot}")
             df.write.parquet(path)
             _IMPORTED[key] = path
         return self.spark.read.schema(df.schema).parquet(_IMPORTED[key])
