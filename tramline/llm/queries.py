@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tramline.llm import exact_dedup
+from tramline.llm import bpe, exact_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents; the largest doc_id of each stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
