@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, exact_dedup
+from tramline.llm import bpe, exact_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of each document without passages of 50 words that an earlier one has."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents; the largest doc_id of each stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -28,6 +34,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
