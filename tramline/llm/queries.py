@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import bpe, exact_dedup, ngram_join, substring_dedup
+from tramline.llm import bpe, exact_dedup, lm_score, ngram_join, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal log probability of each document under a subword lattice."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"),
+                                    public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -38,6 +44,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_bpe": op3_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
