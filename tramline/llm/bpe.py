@@ -24,27 +24,35 @@ from pyspark.sql import functions as F
 
 from tramline.llm.words import slabs, texts_of
 
-LEAF_CHARS = 16384
+LEAF_CHARS = 32768
 WINDOW_TOKENS = 8
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 
-_BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_MARK = "\x01"
 
 
 class Piece:
-    """Tokens of a part of a text: ids and the character range of each."""
+    """A text with its ids."""
 
-    def __init__(self, text: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.text, self.ids, self.starts, self.ends = text, ids, starts, ends
+    def __init__(self, text: str, ids: np.ndarray):
+        self.text, self.ids = text, ids
+
+
+class Tokens:
+    """Consecutive tokens with the character range of each in the whole text."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.ids, self.starts, self.ends = ids, starts, ends
 
     def clean(self, i: int) -> bool:
         """Whether token i shares no character with its neighbours."""
         return ((i == 0 or self.ends[i - 1] <= self.starts[i])
                 and (i + 1 == len(self.ids) or self.starts[i + 1] >= self.ends[i]))
 
-    def keys(self, lo: int, hi: int, shift: int = 0) -> dict[tuple[int, int, int], int]:
-        return {(int(self.starts[i]) + shift, int(self.ends[i]) + shift, int(self.ids[i])): i
-                for i in range(lo, hi) if self.clean(i)}
+    def places(self) -> dict[tuple[int, int, int], int]:
+        return {(int(self.starts[i]), int(self.ends[i]), int(self.ids[i])): i
+                for i in range(len(self.ids)) if self.clean(i)}
 
 
 class Encoder:
@@ -55,78 +63,94 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.decoder is not None:
+            raise ValueError("Only tokenizers that decode to tokens joined by a space are supported.")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokens = [self.tokenizer.id_to_token(i) or ""
+        self.tokens = [(self.tokenizer.id_to_token(i) or "").encode()
                        for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = added
-        self.split_added = re.compile("(" + "|".join(map(re.escape, added)) + ")" if added else r"(?!)")
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark = self.direct(_MARK, 0).ids.tolist()
         self.memo: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def direct(self, text: str) -> Piece:
+    def direct(self, text: str, at: int) -> Tokens:
+        """The tokens of a text that starts at character ``at``."""
         e = self.tokenizer.encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-        return Piece(text, np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
+        spans = np.array(e.offsets, np.int64).reshape(-1, 2) + at
+        return Tokens(np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words that the memo lacks."""
+        """Encode words that the memo lacks, many in one call, parted by a one-token mark."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         new = [w for w in words if w not in self.memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new],
-                                                              add_special_tokens=False)):
-            ids = e.ids
-            self.memo[w] = (np.array(ids, np.int32).tobytes(),
-                            self.tokenizer.decode(ids, skip_special_tokens=False).encode())
+        if len(self.mark) != 1:
+            parts, odd = [], new
+        else:
+            odd = [w for w in new if _MARK.encode() in w]
+            parts = [w for w in new if _MARK.encode() not in w] if odd else new
+        for at in range(0, len(parts), 2000):
+            some = parts[at:at + 2000]
+            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join([w.decode() for w in some]),
+                                                 add_special_tokens=False).ids, np.int32)
+            for w, found in zip(some, np.split(ids, np.flatnonzero(ids == self.mark[0]))):
+                self._keep(w, found if w is some[0] else found[1:])
+        for w in odd:
+            self._keep(w, self.direct(w.decode(), 0).ids)
+
+    def _keep(self, word: bytes, ids: np.ndarray) -> None:
+        tokens = self.tokens
+        self.memo[word] = (ids.tobytes(), b" ".join([tokens[i] for i in ids.tolist()]))
 
     def short(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids (as int32 bytes) and decoded text of a text whose words are in the memo."""
         found = [self.memo[w] for w in text.split()]
         return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
 
-    def leaf(self, text: str) -> Piece:
-        """A leaf's tokens, word by word."""
-        ids, starts, ends = [], [], []
-        for m in _BLANK.finditer(text):
-            p = self.direct_word(m.group())
-            ids.append(p.ids)
-            starts.append(p.starts + m.start())
-            ends.append(p.ends + m.start())
-        if not ids:
-            none = np.zeros(0, np.int64)
-            return Piece(text, np.zeros(0, np.int32), none, none)
-        return Piece(text, np.concatenate(ids), np.concatenate(starts), np.concatenate(ends))
-
-    @lru_cache(maxsize=50_000)  # noqa: B019  an encoder lives as long as its worker
-    def direct_word(self, word: str) -> Piece:
-        return self.direct(word)
+    def tail(self, text: str, k: int) -> Tokens:
+        """At least the last k tokens of a text (all, if fewer), read back to a space."""
+        size = 16 * k
+        while True:
+            space = _SPACE.search(text, len(text) - size) if size < len(text) else None
+            at = space.end() if space else 0
+            if space or size >= len(text):
+                found = self.direct(text[at:], at)
+                if len(found.ids) >= k or at == 0:
+                    return found
+            size *= 2
+
+    def head(self, text: str, k: int, shift: int) -> Tokens:
+        """At least the first k tokens of a text (all, if fewer), read up to a space."""
+        size = 16 * k
+        while True:
+            space = _SPACE.search(text, size)
+            end = space.start() if space else len(text)
+            found = self.direct(text[:end], shift)
+            if len(found.ids) >= k or end == len(text):
+                return found
+            size *= 2
 
     def join(self, a: Piece, b: Piece) -> Piece:
         """The tokens of two neighbouring pieces' text."""
         text, cut, k = a.text + b.text, len(a.text), WINDOW_TOKENS
         while True:
-            whole_left, whole_right = k >= len(a.ids), k >= len(b.ids)
-            lo = 0 if whole_left else int(a.starts[-k])
-            hi = len(text) if whole_right else cut + int(b.ends[k - 1])
-            w = self.direct(text[lo:hi])
-            w = Piece(w.text, w.ids, w.starts + lo, w.ends + lo)
-            i, j, i2, j2 = 0, 0, len(b.ids), len(w.ids)
-            if not whole_left:
-                old = a.keys(len(a.ids) - k, len(a.ids))
-                same = [(j, old[key]) for key, j in w.keys(0, len(w.ids)).items() if key in old]
-                if same:
-                    j, i = min(same)
-            if not whole_right:
-                old = b.keys(0, k, cut)
-                same2 = [(j, old[key]) for key, j in w.keys(0, len(w.ids)).items() if key in old]
-                if same2:
-                    j2, i2 = max(same2)
-            if (whole_left or same) and (whole_right or same2) and j <= j2:
-                return Piece(text, *(np.concatenate([left[:i], middle[j:j2], right[i2:]])
-                                     for left, middle, right in (
-                                         (a.ids, w.ids, b.ids), (a.starts, w.starts, b.starts + cut),
-                                         (a.ends, w.ends, b.ends + cut))))
+            left, right = self.tail(a.text, k), self.head(b.text, k, cut)
+            all_left, all_right = k >= len(a.ids), k >= len(b.ids)
+            if len(left.ids) > k:
+                left = Tokens(left.ids[-k:], left.starts[-k:], left.ends[-k:])
+            if len(right.ids) > k:
+                right = Tokens(right.ids[:k], right.starts[:k], right.ends[:k])
+            lo = 0 if all_left else int(left.starts[0])
+            hi = len(text) if all_right else int(right.ends[-1])
+            window = self.direct(text[lo:hi], lo)
+            places = window.places()
+            before = [(places[p], i) for p, i in left.places().items() if p in places]
+            after = [(places[p], i) for p, i in right.places().items() if p in places]
+            j, i = (0, -len(left.ids)) if all_left else min(before, default=(None, None))
+            j2, i2 = (len(window.ids), len(right.ids)) if all_right else max(after, default=(None, None))
+            if j is not None and j2 is not None and j <= j2:
+                kept = len(a.ids) - len(left.ids) + i if not all_left else 0
+                return Piece(text, np.concatenate([a.ids[:kept], window.ids[j:j2], b.ids[i2:]]))
             k *= 2
 
     def tree(self, pieces: list[Piece]) -> Piece:
@@ -135,8 +159,14 @@ class Encoder:
                       for i in range(0, len(pieces), 2)]
         return pieces[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    def leaf(self, text: str) -> Piece:
+        """A leaf's ids; its words may be cut at either end."""
+        raw = text.encode()
+        self.learn(set(raw.split()))
+        return Piece(text, np.frombuffer(self.short(raw)[0], np.int32))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b" ".join([self.tokens[i] for i in ids.tolist()])
 
 
 @lru_cache(maxsize=2)
@@ -172,13 +202,9 @@ def _encode_leaves(path: str) -> Callable:
         for batch in batches:
             for row in range(0, batch.num_rows, 64):
                 part = batch.slice(row, 64)
-                done = [enc.leaf(t) for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), part.column(3),
-                     pa.array([p.ids.tobytes() for p in done], pa.binary()),
-                     pa.array([p.starts.astype(np.int32).tobytes() for p in done], pa.binary()),
-                     pa.array([p.ends.astype(np.int32).tobytes() for p in done], pa.binary())],
-                    names=["sha", "segment", "place", "leaf", "ids", "starts", "ends"])
+                ids = [enc.leaf(t).ids.tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())],
+                                                 names=["sha", "segment", "place", "leaf", "ids"])
     return run
 
 
@@ -189,16 +215,13 @@ def _join_leaves(path: str) -> Callable:
         rows = sorted(group.to_pylist(), key=lambda r: (r["segment"], r["place"]))
         segments: dict[int, list[Piece]] = {}
         for r in rows:
-            segments.setdefault(r["segment"], []).append(Piece(
-                r["leaf"], np.frombuffer(r["ids"], np.int32),
-                np.frombuffer(r["starts"], np.int32).astype(np.int64),
-                np.frombuffer(r["ends"], np.int32).astype(np.int64)))
+            segments.setdefault(r["segment"], []).append(Piece(r["leaf"], np.frombuffer(r["ids"], np.int32)))
         ids = np.concatenate([
             np.array([enc.added[whole]], np.int32) if (whole := "".join(x.text for x in p)) in enc.added
             else enc.tree(p).ids for p in segments.values()])
         return pa.table({"sha": pa.array([rows[0]["sha"]], pa.binary()),
                          "ids": pa.array([ids], pa.list_(pa.int32())),
-                         "decoded": pa.array([enc.decode(ids)], pa.string())})
+                         "decoded": pa.array([enc.decode(ids)], pa.binary()).cast(pa.string())})
     return run
 
 
@@ -231,8 +254,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             F.sequence(F.lit(0), F.floor((F.length("part") - 1) / leaf_chars).cast("int")),
             lambda i: F.substring("part", i * leaf_chars + 1, F.lit(leaf_chars)))).alias("place", "leaf"))
         .repartition("sha", "segment", "place"))
-    encoded = leaves.mapInArrow(_encode_leaves(path), "sha binary, segment int, place int, leaf string, "
-                                "ids binary, starts binary, ends binary")
+    encoded = leaves.mapInArrow(_encode_leaves(path),
+                                "sha binary, segment int, place int, leaf string, ids binary")
     joined = encoded.groupBy("sha").applyInArrow(_join_leaves(path), "sha binary, ids array<int>, decoded string")
     long = long.select("id", "sha").join(joined, "sha").select("id", "ids", "decoded")
     return short.unionByName(long).withColumnRenamed("id", id_col)
