@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import ann, bpe, exact_dedup, lm_score, ngram_join, substring_dedup, toxicity
+from tramline.llm import ann, bpe, exact_dedup, lm_score, ngram_join, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL: rules, else a listing of the pages of ad hosts."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    return url_filter.judge(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"),
+                            listed.where(F.col("host").contains("ads-")))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marginal log probability of each document under a subword lattice."""
     return lm_score.score_documents(table(spark, sf_dir, "documents"),
@@ -55,6 +67,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_lm_score": op2_lm_score,
     "op3_bpe": op3_bpe,
     "op5_ngram_join": op5_ngram_join,
@@ -68,6 +81,20 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_url_filter": """
+        WITH p AS (SELECT row_number() OVER () AS n, page_id,
+                          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+                   FROM pages),
+             r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+             fit AS (SELECT n, max_by(h || r.p, length(h || r.p)) AS rule, max_by(v, length(h || r.p)) AS verdict
+                     FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY n),
+             listed AS (SELECT DISTINCT host, path FROM p WHERE contains(host, 'ads-'))
+        SELECT p.page_id, p.host, p.path, fit.rule,
+               coalesce(fit.verdict, CASE WHEN listed.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM p LEFT JOIN fit USING (n) LEFT JOIN listed ON p.host = listed.host AND p.path = listed.path""",
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
