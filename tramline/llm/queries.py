@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import ann, bpe, exact_dedup, lm_score, ngram_join, substring_dedup, toxicity, url_filter
+from tramline.llm import ann, bpe, exact_dedup, line_dedup, lm_score, ngram_join, packing, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +39,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that an earlier line makes redundant."""
+    out = line_dedup.duplicate_lines(table(spark, sf_dir, "documents"))
+    numbers = F.transform("removed", lambda i: i.cast("string"))
+    return out.withColumn("removed", F.array_join(numbers, ","))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and number of links of each document."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each document's tokens in training sequences of four lengths."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of each document without passages of 50 words that an earlier one has."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -70,7 +82,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_score": op2_lm_score,
     "op3_bpe": op3_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
@@ -95,6 +109,27 @@ ORACLE = {
         SELECT p.page_id, p.host, p.path, fit.rule,
                coalesce(fit.verdict, CASE WHEN listed.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
         FROM p LEFT JOIN fit USING (n) LEFT JOIN listed ON p.host = listed.host AND p.path = listed.path""",
+    "op4_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INT AS line_no
+                   FROM documents),
+             n AS (SELECT doc_id, line_no, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
+             f AS (SELECT norm, string_split(norm, ' ') AS w, min((doc_id, line_no)) AS place
+                   FROM n WHERE norm <> '' GROUP BY norm),
+             v AS (SELECT norm, place, len(w) AS n, i,
+                          list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))) AS rest
+                   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
+             k AS (SELECT norm, place, (n, i, rest) AS key FROM v
+                   UNION ALL SELECT norm, place, (n - 1, 0, rest) FROM v
+                   UNION ALL SELECT norm, place, (len(w), 0, w) FROM f WHERE len(w) >= 5),
+             near AS (SELECT DISTINCT norm FROM (SELECT norm, place, min(place) OVER (PARTITION BY key) AS low FROM k)
+                      WHERE low < place),
+             gone AS (SELECT n.doc_id, list_sort(list(n.line_no)) AS removed
+                      FROM n JOIN f USING (norm) LEFT JOIN near USING (norm)
+                      WHERE near.norm IS NOT NULL OR (n.doc_id, n.line_no) <> f.place GROUP BY n.doc_id)
+        SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines,
+               len(coalesce(removed, [])) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed
+        FROM documents d LEFT JOIN gone USING (doc_id)""",
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
