@@ -1,8 +1,82 @@
-"""Corpus cleaning in stages (being built)."""
-STAGES = []
+"""Corpus cleaning in stages: each reads what its predecessor wrote.
+
+Toxic documents go, then exact copies, near copies, passages repeated across documents;
+what is left is packed into training sequences. All stages but the last return the
+columns of ``documents``; documents that a stage empties keep their row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tramline.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
+from tramline.session import shared_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity classifier does not reject. Rows that share an id go
+    together if one is rejected; rows without an id stay unless such a row is rejected."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rejected = toxicity.toxicity_scores(docs, labels).where("predicted = 1").select("doc_id").distinct()
+    return docs.alias("d").join(rejected.alias("r"), _same("d", "r"), "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (the largest id)."""
+    groups = exact_dedup.exact_groups(docs)
+    gone = groups.where("NOT kept").select("doc_id", "text_sha256").distinct()
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                             "abcdefghijklmnopqrstuvwxyz"), 256)
+    d = docs.withColumn("__sha", sha).alias("d")
+    return d.join(gone.alias("r"), _same("d", "r") & (F.col("d.__sha") == F.col("r.text_sha256")),
+                  "left_anti").drop("__sha")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates (the smallest id)."""
+    classes = ngram_join.near_duplicates(docs)
+    gone = classes.where("NOT doc_id <=> class_id").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("r"), _same("d", "r"), "left_anti")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without passages that start in a document with a smaller id. Texts that
+    lose nothing stay as they are; the others' words are joined by one space."""
+    cut = substring_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's place in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("substring_dedup", drop_repeats),
+    ("best_fit_packing", pack),
+]
+
+#: Not expressible in SQL (a trained classifier, a packing heuristic); the tests hold
+#: every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    root = shared_path(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -145,6 +145,35 @@ def _subtrees(group: pa.Table) -> pa.Table:
     return pa.concat_tables([settled.select(names), found])
 
 
+def _ranges(runs: list[dict] | None, width: int) -> list[list[int]]:
+    """Word ranges covered by the windows that start in the runs, in order, apart."""
+    out: list[list[int]] = []
+    for r in sorted(runs or (), key=lambda r: r["start"]):
+        end = r["start"] + r["n"] + width - 1
+        if out and r["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([r["start"], end])
+    return out
+
+
+def _cut(width: int, at: int) -> Callable:
+    """Rows with their repeats cut from the column ``at``; the last column has the runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if runs:
+                    words = texts[i].encode().split()
+                    for a, b in reversed(_ranges(runs, width)):
+                        del words[a:b]
+                    texts[i] = b" ".join(words).decode()
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+    return run
+
+
 def _without(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +182,7 @@ def _without(width: int) -> Callable:
                 n_words, n_removed, kept, spans = [], [], [], []
                 for text, found in zip(texts[first:last], runs[first:last]):
                     words = text.split()
-                    ranges = []
-                    for r in sorted(found or (), key=lambda r: r["start"]):
-                        end = r["start"] + r["n"] + width - 1
-                        if ranges and r["start"] <= ranges[-1][1]:
-                            ranges[-1][1] = max(ranges[-1][1], end)
-                        else:
-                            ranges.append([r["start"], end])
+                    ranges = _ranges(found, width)
                     gone = sum(b - a for a, b in ranges)
                     for a, b in reversed(ranges):
                         del words[a:b]
@@ -175,18 +198,9 @@ def _without(width: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   width: int = WIDTH) -> DataFrame:
-    """One row per input row: id_col, n_words, n_removed (long), kept (the words that
-    stay, joined by one space), spans (array of start, end: removed words).
-
-    A word goes if it is covered by ``width`` consecutive words that also start in a
-    document with a smaller id. Ids must be integers. A null id is neither smaller nor
-    larger than another, so such rows lose nothing and cost others nothing; rows that
-    share an id don't count for each other. Null texts have no words. Other columns
-    are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+def repeated_runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """id, h, runs (array of start, n) of repeated suffixes for rows of id, text, h, where h
+    is xxhash64 of the text."""
     known = rows.where("id IS NOT NULL")
     grams = written(known.mapInArrow(_grams(width), "gram long, id long"), "grams")
     repeated = (grams.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b"))
@@ -195,16 +209,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     .agg(F.collect_list("gram").alias("grams")), "marks")
     suffixes = marks.agg(F.sum(F.size("grams"))).first()[0] or 0  # about width / 4 suffixes share a gram
     buckets = max(1, suffixes * (width // 4 + 1) // BUCKET_SUFFIXES)
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    runs = (keyed.join(marks, "id")
+    return (rows.join(marks, "id")
             .select("id", "h", "text", "grams")
             .mapInArrow(_suffixes(width, buckets),
                         "bucket int, gram long, id long, h long, start int, n int, prints binary")
             .groupBy("bucket").applyInArrow(_subtrees, "id long, h long, start int, n int")
             .groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
-    k, r = keyed.alias("k"), runs.alias("r")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   width: int = WIDTH) -> DataFrame:
+    """One row per input row: id_col, n_words, n_removed (long), kept (the words that
+    stay, joined by one space), spans (array of start, end: removed words).
+
+    A word goes if it is covered by ``width`` consecutive words that also start in a
+    document with a smaller id. Ids must be integers. A null id is neither smaller nor
+    larger than another, so such rows lose nothing and cost others nothing; rows that
+    share an id don't count for each other. Null texts have no words. Other columns
+    are not read.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    k, r = keyed.alias("k"), repeated_runs(keyed, width).alias("r")
     out = (k.join(r, (F.col("k.id") == F.col("r.id")) & (F.col("k.h") == F.col("r.h")), "left")
            .select("k.id", "k.text", "r.runs")
            .mapInArrow(_without(width), "id long, n_words long, n_removed long, kept string, "
                        "spans array<struct<start int, end int>>"))
     return out.withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """All rows and columns of ``docs``. Texts that hold repeats (see remove_repeats) lose
+    them and keep the other words joined by one space; others stay as they are."""
+    d = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    runs = repeated_runs(rows.withColumn("h", F.xxhash64("text")), width).withColumnRenamed("runs", "__runs").alias("r")
+    joined = d.alias("d").join(runs, (F.col(f"d.{id_col}") == F.col("r.id")) & (F.col("d.__h") == F.col("r.h")), "left")
+    return (joined.select(*(f"d.`{c}`" for c in docs.columns), "r.__runs")
+            .mapInArrow(_cut(width, docs.columns.index(text_col)), docs.schema))
