@@ -5,7 +5,8 @@ Documents with the same words form one class and are compared once. Each class g
 Matched prefixes are shortened until pairs at the threshold meet in some tree with the
 target recall. Classes below one trie node are compared by their whole signatures,
 with a margin no true pair misses in practice, which links them into small candidate
-components; inside these every pair is verified on its exact shingle sets. Nodes with
+components (a byte of each min-hash is kept, so a 256th agree by chance, which only
+adds candidates); inside these every pair is verified on its exact shingle sets. Nodes with
 more than ``BLOCK`` classes link to their smallest class without that filter, and
 components with more are verified in pairs of blocks, so no task holds a whole hot
 group and no pair is lost; what leaves a task are counts and spanning edges, not pairs.
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.bloom import BlockedBloom
 from tramline.llm.graph import components
 from tramline.llm.words import Words, mix, slabs, texts_of, windows
 from tramline.session import written
@@ -79,7 +81,7 @@ def _signed(width: int, depth: int) -> Callable:
                     for level in s.reshape(TREES, LONGEST)[:, :depth].T:
                         p = mix(p * np.uint64(0x9E3779B97F4A7C15) + level)
                     keys.append(_key(texts[first + k].split()))
-                    signs.append(s.tobytes())
+                    signs.append(s.astype(np.uint8).tobytes())
                     prefixes.append(p.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(keys, pa.binary()),
@@ -117,7 +119,7 @@ def _alike(least: float) -> Callable:
     """Edges between classes of one trie node whose signatures agree in enough places."""
     def run(group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_pylist()
-        signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint32).reshape(len(nodes), -1)
+        signs = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(len(nodes), -1)
         need, edges = least * signs.shape[1], []
         for members in _groups(group.column("prefix").to_numpy()):
             s, pairs = signs[members], []
@@ -219,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Verification: the shingles of every class in a candidate component.
     members = written(near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("of")), "root")
                       .join(classes.select("node", "first", "size"), "node"), "members")
-    m, d = members.alias("m"), rows.alias("d")
+    wanted = BlockedBloom(members, "first") if members.where("first IS NULL").isEmpty() else None
+    m, d = members.alias("m"), (wanted.possible(rows, "id") if wanted else rows).alias("d")
     cells = (m.join(d, F.col("m.first").eqNullSafe(F.col("d.id"))).select("d.text", "m.node")
              .mapInArrow(_shingled(shingle), "node binary, shingles binary"))
     n_rows = members.count()
