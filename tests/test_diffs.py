@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tests.mini import TABLES, edit, feed as make, rows
 from tramline.operators import diffs
@@ -7,112 +6,107 @@ from tramline.operators import stops as st
 from tramline.sources import feeds
 
 
-def test_moved_threshold_is_in_metres(spark, feed):
-    def change(old, new):
-        return rows(diffs.diff_stops(feed.stops(), make(spark, **edit("stops", old, new)).stops()),
-                    "stop_id", "change")
+def test_moves_are_measured_in_metres(spark, feed):
+    def moves(old, new):
+        return rows(diffs.diff_stops(feed.stops(), make(spark, **edit("stops", old, new)).stops()), "stop_id", "change")
 
-    # 24 m and 26 m north of S1, then the same degrees to the east (22% fewer metres).
-    assert change("38.6270,-90.1994", "38.627216,-90.1994") == []
-    assert change("38.6270,-90.1994", "38.627234,-90.1994") == [("S1", "moved")]
-    assert change("38.6270,-90.1994", "38.6270,-90.199166") == []
+    # A degree of latitude is 111.2 km: 0.00021 is 23 m, 0.00024 is 27 m. A degree of
+    # longitude at 37.7 N is 88 km: 0.00027 is 24 m, 0.0003 is 26 m.
+    assert moves("37.7400,-25.6700", "37.74021,-25.6700") == []
+    assert moves("37.7400,-25.6700", "37.74024,-25.6700") == [("gate", "moved")]
+    assert moves("37.7400,-25.6700", "37.7400,-25.67027") == []
+    assert moves("37.7400,-25.6700", "37.7400,-25.6703") == [("gate", "moved")]
 
 
-def test_renamed_and_moved_are_independent(spark, feed):
-    b = make(spark, **edit("stops", "Quiet Ln,38.6290", "Loud Ln,38.6390"))
+def test_stop_changes_are_told_apart(spark, feed):
+    b = make(spark, **edit("stops", "Town Hall,37.7450", "City Hall,37.7550"))
     out = {r.change: r.moved_m for r in diffs.diff_stops(feed.stops(), b.stops()).collect()}
-    assert out["renamed"] is None and out["moved"] == pytest.approx(1111.9, abs=0.2)
+    assert out["renamed"] is None and out["moved"] == pytest.approx(1111.9, abs=0.3)
+    b = make(spark, **edit("stops", "Lighthouse Point,37.7600", "Lighthouse Point,"))
+    assert rows(diffs.diff_stops(feed.stops(), b.stops()), "stop_id", "change") == [("light", "coordinates_missing")]
 
 
-def test_missing_coordinates_are_counted_apart(spark, feed):
-    b = make(spark, **edit("stops", "Quiet Ln,38.6290", "Quiet Ln,"))
-    assert rows(diffs.diff_stops(feed.stops(), b.stops()), "stop_id", "change") == [
-        ("S3", "coordinates_missing")]
+def test_route_changes(spark, feed):
+    b = make(spark, routes=TABLES["routes"].replace("hill,T,Hill Tram,0", "cable,K,Cable Car,5")
+             .replace("7,Coast Road,3", "7,Shore Road,0"))
+    assert rows(diffs.diff_routes(feed.routes(), b.routes()), "route_id", "change", "field", "type_changed") == [
+        ("cable", "added", "", False), ("coast", "changed", "route_long_name", True),
+        ("coast", "changed", "route_type", True), ("hill", "removed", "", False)]
 
 
-def test_routes_added_removed_changed(spark, feed):
-    b = make(spark, routes=TABLES["routes"].replace("MLR,RED,Red Line,0", "MLB,BLU,Blue Line,0")
-             .replace("Chippewa,3", "Chippewa Ave,2"))
-    got = rows(diffs.diff_routes(feed.routes(), b.routes()), "route_id", "change", "field", "type_changed")
-    assert got == [("MLB", "added", "", False), ("MLR", "removed", "", False),
-                   ("R11", "changed", "route_long_name", True), ("R11", "changed", "route_type", True)]
-
-
-def survival(a, b):
-    return diffs.id_survival(a, b).first()
-
-
-def test_survival_counts_from_the_older_feed(spark, feed):
-    b = make(spark, **edit("stops", "S3,15113", "S3,25113"))
-    r = survival(feed.stops(), b.stops())
-    assert (r.id_rate, r.code_rate, r.code_lost, r.code_gained, r.meets_floor) == (1.0, 0.8, 1, 1, False)
-
-
-def test_unmeasured_survival_never_passes(spark, feed):
-    r = survival(feed.stops().drop("stop_code"), feed.stops())
+def test_survival_of_ids_and_codes(spark, feed):
+    b = make(spark, **edit("stops", "quay,440", "quay,449"))
+    r = diffs.id_survival(feed.stops(), b.stops()).first()
+    assert (r.id_rate, r.code_lost, r.code_gained, r.meets_floor) == (1.0, 1, 1, False)
+    assert r.code_rate == pytest.approx(6 / 7, abs=1e-4)
+    r = diffs.id_survival(feed.stops().drop("stop_code"), feed.stops()).first()
     assert (r.id_rate, r.measured, r.meets_floor) == (1.0, False, False)
 
 
 def test_calendar_changes(spark, feed):
-    b = make(spark, calendar=TABLES["calendar"].replace("20260930", "20261231").replace("SA,", "SX,"),
-             calendar_dates="service_id,date,exception_type\nWK,20260907,2")
-    got = rows(diffs.diff_calendar(feed.calendar(), feed.calendar_dates(), b.calendar(),
-                                   b.calendar_dates()), "change", "service_id", "field")
-    assert got == [("exception_removed", "SU", "20260907"), ("field_changed", "SU", "end_date"),
-                   ("field_changed", "WK", "end_date"), ("service_added", "SX", ""),
-                   ("service_removed", "SA", ""), ("window_shift", "", "end")]
+    b = make(spark, calendar=TABLES["calendar"].replace("20271031", "20271130").replace("rest,0", "idle,0"),
+             calendar_dates="service_id,date,exception_type\nwork,20270610,2\nfeast,20270711,1")
+    got = rows(diffs.diff_calendar(feed.calendar(), feed.calendar_dates(), b.calendar(), b.calendar_dates()),
+               "change", "service_id", "field")
+    assert ("window_shift", "", "end") in got and ("field_changed", "work", "end_date") in got
+    assert {g for g in got if g[0].startswith("service")} == {("service_added", "idle", ""), ("service_removed", "rest", "")}
+    assert {g for g in got if g[0].startswith("exception")} == {
+        ("exception_added", "feast", "20270711"), ("exception_removed", "feast", "20270710"),
+        ("exception_removed", "rest", "20270610")}
 
 
 def calls(f):
     return st.calls(f.stop_times(), f.trips(), f.routes(), "left")
 
 
-def test_retimed_call_is_one_added_and_one_removed(spark, feed):
-    b = make(spark, **edit("stop_times", "T_WK_1200,12:10:00,12:10:00", "T_WK_1200,12:11:00,12:11:00"))
-    got = rows(diffs.diff_schedule(calls(feed), calls(b)), "departure_time", "added", "removed")
-    assert got == [("12:10:00", 0, 1), ("12:11:00", 1, 0)]
+def test_schedule_changes(spark, feed):
+    def changes(f, *columns):
+        return rows(diffs.diff_schedule(calls(feed), calls(f)), *columns)
 
+    b = make(spark, **edit("stop_times", "h2,08:59:00,08:59:00", "h2,09:01:00,09:01:00"))
+    assert changes(b, "departure_time", "added", "removed") == [("08:59:00", 0, 1), ("09:01:00", 1, 0)]
+    b = make(spark, trips=TABLES["trips"].replace("Lighthouse", "Cape"),
+             **edit("stop_times", "quay,1,0,0", "quay,1,1,0"))
+    assert changes(b, "stop_id", "departure_time", "changed_fields") == [
+        ("gate", "08:40:00", "headsign"), ("hall", "08:52:00", "headsign"),
+        ("light", "09:05:00", "headsign"), ("quay", "11:00:00", "pickup_type")]
 
-def test_new_trip_ids_alone_are_no_change(spark, feed):
-    b = make(spark, trips=TABLES["trips"].replace("T_", "X_"),
-             stop_times=TABLES["stop_times"].replace("T_", "X_"))
-    assert diffs.diff_schedule(calls(feed), calls(b)).count() == 0
-    assert diffs.diff_route_schedule(calls(feed), calls(b)).count() == 0
 
+def test_renumbered_trips_alone_are_no_change(spark, feed):
+    def renumber(text):
+        for old in ("c1", "c9", "r1", "h1", "h2", "s1"):
+            text = text.replace(f"{old},", f"2027-{old},")
+        return text
 
-def test_headsign_and_pickup_are_details(spark, feed):
-    b = make(spark, **edit("stop_times", "S1,1,0,0\nT_WK_1200", "S1,1,1,0\nT_WK_1200"),
-             trips=TABLES["trips"].replace("Shiloh-Scott", "Airport"))
-    got = rows(diffs.diff_schedule(calls(feed), calls(b)), "stop_id", "departure_time", "changed_fields")
-    assert got == [("S1", "12:00:00", "pickup_type"), ("S1", "12:05:00", "headsign"),
-                   ("ST1P", "12:15:00", "headsign")]
+    b = make(spark, trips=renumber(TABLES["trips"]), stop_times=renumber(TABLES["stop_times"]))
+    assert diffs.diff_schedule(calls(feed), calls(b)).count() == 0
+    assert diffs.diff_route_schedule(calls(feed), calls(b)).count() == 0
 
 
-def test_files(spark, feed):
-    b = make(spark, drop=("feed_info",), frequencies="trip_id,start_time\nT_WK_1200,06:00:00")
+def test_files_come_and_go(spark, feed):
+    b = make(spark, drop=("feed_info",), frequencies="trip_id,start_time\nh1,07:00:00")
     out = diffs.diff_files(feeds.row_counts(feed.tables()), feeds.row_counts(b.tables()))
     got = {r.table_name: (r.status, r.pct_change) for r in out.collect()}
-    assert got["feed_info"] == ("removed", None) and got["frequencies"] == ("added", None)
-    assert got["stops"] == ("unchanged", 0.0)
-
-
-def findings(spark, a, b):
-    out = diffs.diff_findings(
-        diffs.diff_files(feeds.row_counts(a.tables()), feeds.row_counts(b.tables())),
-        diffs.diff_routes(a.routes(), b.routes()), diffs.diff_stops(a.stops(), b.stops()),
-        diffs.id_survival(a.stops(), b.stops()),
-        diffs.window_shift(a.calendar(), a.calendar_dates(), b.calendar(), b.calendar_dates()),
-        diffs.diff_calendar(a.calendar(), a.calendar_dates(), b.calendar(), b.calendar_dates()))
-    return rows(out, "severity", "dimension", "detail")
-
-
-def test_findings_rank_what_matters(spark, feed):
-    b = make(spark, frequencies="trip_id,start_time\nT,06:00:00",
-             fare_rules="fare_id\nF", routes="\n".join(TABLES["routes"].split("\n")[:2]),
-             calendar=TABLES["calendar"].replace("20260930", "20260831"))
-    assert findings(spark, feed, feed) == []
-    assert findings(spark, feed, b) == [
-        ("alarming", "calendar", "service ends 23 day(s) earlier"),
-        ("alarming", "files", "frequencies.txt appeared (1 rows)"),
+    assert (got["feed_info"], got["frequencies"], got["trips"]) == (("removed", None), ("added", None), ("unchanged", 0.0))
+
+
+def test_findings(spark, feed):
+    def findings(b):
+        a = feed
+        return rows(diffs.diff_findings(
+            diffs.diff_files(feeds.row_counts(a.tables()), feeds.row_counts(b.tables())),
+            diffs.diff_routes(a.routes(), b.routes()), diffs.diff_stops(a.stops(), b.stops()),
+            diffs.id_survival(a.stops(), b.stops()),
+            diffs.window_shift(a.calendar(), a.calendar_dates(), b.calendar(), b.calendar_dates()),
+            diffs.diff_calendar(a.calendar(), a.calendar_dates(), b.calendar(), b.calendar_dates())),
+            "severity", "dimension", "detail")
+
+    assert findings(feed) == []
+    b = make(spark, frequencies="trip_id,start_time\nh1,07:00:00\nh2,07:00:00", fare_attributes="fare_id\nday",
+             routes=TABLES["routes"].replace("\nhill,T,Hill Tram,0,AA0000", ""),
+             calendar=TABLES["calendar"].replace("20271031", "20271001"))
+    assert findings(b) == [
+        ("alarming", "calendar", "service ends 30 day(s) earlier"),
+        ("alarming", "files", "frequencies.txt appeared (2 rows)"),
         ("alarming", "routes", "1 rail route(s) removed"),
-        ("opportunity", "files", "fare_rules.txt appeared (1 rows)")]
+        ("opportunity", "files", "fare_attributes.txt appeared (1 rows)")]

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tramline import KEY
 from tramline.operators import calendar as cal
 
-PAGE_CAP = 500
-SQL_ROW_CAP = 1_000
 
 
 # --------------------------------------------------------------- snapshots --
@@ -307,25 +305,21 @@ def golden_regression(cases: DataFrame, golden: DataFrame, fresh: DataFrame,
 
 
 # ------------------------------------------------------------ SQL and paging --
-def feed_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str,
-             cap: int = SQL_ROW_CAP) -> tuple[DataFrame, DataFrame]:
-    """An ad-hoc SELECT over the feed's tables: at most ``cap`` rows, and whether
-    one more existed. The statement is Spark SQL over temporary views."""
+def feed_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
+    """An ad-hoc SELECT, in Spark SQL, over temporary views of the feed's tables."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    rows = spark.sql(query)
-    truncated = rows.limit(cap + 1).agg((F.count(F.lit(1)) > cap).alias("truncated"))
-    return rows.limit(cap), truncated
+    return spark.sql(query)
 
 
-def paginate(df: DataFrame, group: list[str], order: list, offset: int = 0, limit: int = 50,
-             cap: int = PAGE_CAP) -> DataFrame:
-    """One page per group in a total order, with total, has_more and next_offset.
+def paginate(df: DataFrame, group: list[str], order: list, offset: int = 0,
+             limit: int = 50) -> DataFrame:
+    """One page of ``limit`` rows per group in a total order, with total, has_more and next_offset.
 
     Totals are aggregated apart from the ranking, so the rank bound is applied
     before the shuffle and a group is never sorted whole.
     """
-    size, offset = max(1, min(limit, cap)), max(0, offset)
+    size, offset = max(1, limit), max(0, offset)
     window = Window.partitionBy(*group).orderBy(*order)
     page = df.withColumn("row", F.row_number().over(window)).filter(
         F.col("row") <= offset + size).filter(F.col("row") > offset)

@@ -10,21 +10,19 @@ from tramline.functions import times
 from tramline.operators import departures as dep
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
-from tramline.session import written
 
-BOARD_LIMIT = 50
 # Rows numbered per task when counting repeats of one pairing key.
 CHUNK = 10_000
 
 
 def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updates: DataFrame,
-                   captures: DataFrame, limit: int = BOARD_LIMIT) -> DataFrame:
+                   captures: DataFrame) -> DataFrame:
     """Rows in the order a rider should see them; an empty board gives its reason.
 
-    The schedule is cut to ``limit`` first, then predictions reorder it. The
-    stop code is carried only when the needle names a single one.
+    Predictions reorder the whole board. The stop code is carried only when the
+    needle names a single one.
     """
-    rows = dep.departures(queries, feed, limit)
+    rows = dep.departures(queries, feed)
     live = rt.overlay(rows, queries, trip_updates, stop_updates, captures)
     resolved = st.resolve_stops(queries, feed.stops())
     codes = (resolved.filter("direct").select(*KEY, "needle", "stop_id")
@@ -45,13 +43,10 @@ def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updat
         "status", "trip_id", "stop_id", F.coalesce("stop_code", F.lit("")).alias("stop_code"),
         "route_id", "service_date", "gtfs_time", "stop_sequence", "zone",
         F.lit(None).cast("string").alias("reason"))
-    # At most `limit` rows per board reach this window.
     order = Window.partitionBy("query_id").orderBy(
         "shown_epoch", "route", "trip_id", "stop_sequence", "stop_id", "service_date", "headsign")
-    # Written once: the boards are both the result and what decides emptiness.
-    shown = written(shown.withColumn("position", F.row_number().over(order)), "boards")
-    empty = written(queries.join(shown.select("query_id").distinct(), "query_id",
-                                     "left_anti"), "empty-boards")
+    shown = shown.withColumn("position", F.row_number().over(order))
+    empty = queries.join(shown.select("query_id").distinct(), "query_id", "left_anti")
     why = dep.explain_empty(empty, feed).select("query_id", F.col("verdict").alias("reason"))
     return shown.unionByName(why, allowMissingColumns=True)
 

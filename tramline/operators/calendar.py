@@ -118,8 +118,9 @@ def feed_coverage(calendar: DataFrame, calendar_dates: DataFrame, as_of: DataFra
 
 
 def late_night(stop_times: DataFrame, trips: DataFrame, threshold: str = "24:00:00",
-               limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Calls at or past ``threshold``: per-feed totals, and the latest ``limit``.
+               limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Calls at or past ``threshold``: per-feed totals, and all of them; with ``limit``
+    the latest ones, ranked.
 
     Compared on parsed seconds, so unpadded values are ranked rightly.
     """
@@ -137,6 +138,8 @@ def late_night(stop_times: DataFrame, trips: DataFrame, threshold: str = "24:00:
                                  F.max("latest").alias("max_seconds"),
                                  F.count(F.lit(1)).alias("distinct_trips"))
               .withColumn("max_time", times.gtfs_time(F.col("max_seconds"))))
+    if limit is None:
+        return totals, calls
     order = Window.partitionBy(*KEY).orderBy(
         F.desc("seconds"), "trip_id", "stop_sequence", "stop_id", "departure_time")
     top = calls.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

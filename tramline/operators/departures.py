@@ -9,7 +9,6 @@ from tramline import KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators import stops as st
-from tramline.session import written
 
 # Width of the second-of-service-day bucket in the window join. It turns the
 # band condition into an equi key, so a stop holding a large share of all calls
@@ -109,9 +108,8 @@ def shaped(hits: DataFrame) -> DataFrame:
 
 
 def resolved_stops(queries: DataFrame, feed) -> DataFrame:
-    """The resolution of the queries' needles, written once: it prunes the calls
-    and also keys the window join."""
-    return written(st.resolve_stops(queries, feed.stops()), "resolved")
+    """The resolution of the queries' needles."""
+    return st.resolve_stops(queries, feed.stops())
 
 
 def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None) -> DataFrame:
@@ -131,25 +129,25 @@ def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None)
     return shaped(window_join(query_days(queries, resolved, slots), rows, feed.routes()))
 
 
-def rank_and_limit(rows: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` departures per query with the query's total.
-
-    The total is an aggregate, not a window count, so that the rank filter is
-    applied before the shuffle and no query's rows are gathered whole.
-    """
-    totals = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+def ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Departures with their rank on the query's board; the first ``limit`` if given."""
     order = Window.partitionBy("query_id").orderBy(*ORDER)
-    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return top.join(totals, "query_id")
+    rows = rows.withColumn("rank", F.row_number().over(order))
+    return rows if limit is None else rows.filter(F.col("rank") <= limit)
 
 
-def departures(queries: DataFrame, feed, limit: int = 50) -> DataFrame:
-    """Ranked departures per query.
+def departures(queries: DataFrame, feed, limit: int | None = None) -> DataFrame:
+    """Every departure of each query, ranked, with the query's total.
 
-    The hits are written once, since both the totals and the ranking read them;
-    they are a small share of the calls they were found in.
+    With ``limit`` only the first are ranked: the total is then an aggregate of its
+    own, so that the rank filter is applied before the shuffle.
     """
-    return rank_and_limit(written(all_departures(queries, feed), "hits"), limit)
+    rows = all_departures(queries, feed)
+    if limit is None:
+        whole = Window.partitionBy("query_id")
+        return ranked(rows).withColumn("total", F.count(F.lit(1)).over(whole))
+    totals = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return ranked(rows, limit).join(totals, "query_id")
 
 
 def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:

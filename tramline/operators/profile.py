@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline import KEY
@@ -32,8 +32,6 @@ FEATURES = [
     ("Trips Wheelchair Accessibility", "trips", "wheelchair_accessible"),
 ]
 
-SAMPLES = 3
-
 
 def _values(tables: dict[str, DataFrame]) -> DataFrame:
     """Distinct (table, column, value) with their row counts.
@@ -57,7 +55,7 @@ def _values(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def feed_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per column: rows, non-empty, null rate, distinct, characters, first samples.
+    """Per column: rows, non-empty, null rate, distinct, characters, first and last value.
 
     ``distinct`` counts the empty value too; ``text_bytes`` counts characters.
     """
@@ -67,19 +65,15 @@ def feed_profile(tables: dict[str, DataFrame]) -> DataFrame:
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("value") != "", F.col("n")).otherwise(0)).alias("non_empty"),
         F.count(F.lit(1)).alias("distinct"),
-        F.sum(F.length("value") * F.col("n")).alias("text_bytes"))
-    order = Window.partitionBy(*group).orderBy("value")
-    # `n > 0` keeps this branch's shuffle identical to the one above, so the
-    # exchange is computed once and reused.
-    samples = (values.filter((F.col("value") != "") & (F.col("n") > 0))
-               .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLES)
-               .groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("value")), "|")
-                                    .alias("samples")))
-    return stats.join(samples, group, "left").select(
+        F.sum(F.length("value") * F.col("n")).alias("text_bytes"),
+        F.min(F.nullif(F.col("value"), F.lit(""))).alias("first_value"),
+        F.max(F.nullif(F.col("value"), F.lit(""))).alias("last_value"))
+    return stats.select(
         *group, "rows", "non_empty",
         F.round(1 - F.col("non_empty") / F.col("rows"), 4).alias("null_rate"),
         "distinct", "text_bytes", (F.col("non_empty") == 0).alias("always_empty"),
-        F.coalesce("samples", F.lit("")).alias("samples"))
+        F.coalesce("first_value", F.lit("")).alias("first_value"),
+        F.coalesce("last_value", F.lit("")).alias("last_value"))
 
 
 def feed_features(profile: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -137,8 +131,9 @@ def feed_stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out.select(*KEY, "metric", "value")
 
 
-def route_summary(trips: DataFrame, stop_times: DataFrame, headsigns: int = 10) -> DataFrame:
-    """Per (route, direction): trips, first headsigns, first and last departure.
+def route_summary(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Per (route, direction): trips, headsigns (number, first, last), first and last
+    departure; `route_headsigns` lists the headsigns.
 
     Calls shrink to one row per trip before they meet the trips.
     """
@@ -148,18 +143,24 @@ def route_summary(trips: DataFrame, stop_times: DataFrame, headsigns: int = 10)
                  F.min(times.gtfs_seconds(F.col("departure_time"))).alias("first"),
                  F.max(times.gtfs_seconds(F.col("departure_time"))).alias("last")))
     per = (trips.join(spans, [*KEY, "trip_id"], "left")
-           .groupBy(*group).agg(F.count(F.lit(1)).alias("trips"), F.min("first").alias("first"),
-                                F.max("last").alias("last")))
-    order = Window.partitionBy(*group).orderBy("trip_headsign")
-    signs = (trips.select(*group, "trip_headsign").distinct()
-             .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= headsigns)
-             .groupBy(*group).agg(F.array_join(F.array_sort(F.collect_list("trip_headsign")), "|")
-                                  .alias("headsigns")))
-    return per.join(signs, group).select(
-        *group, "trips", "headsigns", times.gtfs_time(F.col("first")).alias("first_departure"),
+           .groupBy(*group, "trip_headsign").agg(
+               F.count(F.lit(1)).alias("trips"), F.min("first").alias("first"),
+               F.max("last").alias("last"))
+           .groupBy(*group).agg(
+               F.sum("trips").alias("trips"), F.count(F.lit(1)).alias("headsigns"),
+               F.min("trip_headsign").alias("first_headsign"),
+               F.max("trip_headsign").alias("last_headsign"), F.min("first").alias("first"),
+               F.max("last").alias("last")))
+    return per.select(
+        *group, "trips", "headsigns", "first_headsign", "last_headsign", times.gtfs_time(F.col("first")).alias("first_departure"),
         times.gtfs_time(F.col("last")).alias("last_departure"))
 
 
+def route_headsigns(trips: DataFrame) -> DataFrame:
+    return trips.groupBy(*KEY, "route_id", "direction_id", "trip_headsign").agg(
+        F.count(F.lit(1)).alias("trips"))
+
+
 def route_services(trips: DataFrame) -> DataFrame:
     return trips.groupBy(*KEY, "route_id", "service_id").agg(F.count(F.lit(1)).alias("trips"))
 

@@ -12,7 +12,7 @@ ORACLE["departures"] = v.sql(f"""
 SELECT query_id, feed_id, stop_id, route_id, route_short_name, route_long_name, route_type,
   headsign, direction_id, trip_id, stop_sequence, service_id, service_date, gtfs_time,
   departure_epoch, {v.local_iso('departure_epoch', 'zone')} AS departure_local, minutes_away,
-  after_midnight, rank, total FROM departures WHERE rank <= 50""")
+  after_midnight, rank, total FROM departures""")
 
 _T = {"a": ["agency", "calendar", "calendar_dates", "feed_info", "routes", "stop_times", "stops",
             "trips"]}
@@ -103,18 +103,16 @@ FROM (SELECT *, (at_epoch - day_start)::INTEGER AS s FROM (
     FROM board_queries JOIN zones USING (feed_id))))""")
 
 ORACLE["late_night"] = v.sql(f"""
-SELECT feed_id, rank, trip_id, stop_id, departure_time, route_id, service_id, total_calls,
+SELECT feed_id, trip_id, stop_id, departure_time, route_id, service_id, total_calls,
   distinct_trips, {v.clock('mx')} AS max_time
-FROM (SELECT c.feed_id, row_number() OVER (PARTITION BY c.feed_id ORDER BY seconds DESC, c.trip_id,
-    stop_sequence, stop_id, departure_time)::INTEGER AS rank, c.trip_id, stop_id, departure_time,
+FROM (SELECT c.feed_id, c.trip_id, stop_id, departure_time,
     t.route_id, t.service_id, count(*) OVER (PARTITION BY c.feed_id) AS total_calls,
     max(seconds) OVER (PARTITION BY c.feed_id) AS mx
   FROM (SELECT *, {v.seconds('departure_time')} AS seconds FROM stop_times_a) c
   JOIN trips_a t ON t.feed_id = c.feed_id AND t.trip_id = c.trip_id WHERE seconds >= 86400)
 JOIN (SELECT c.feed_id, count(DISTINCT c.trip_id) AS distinct_trips FROM stop_times_a c
   JOIN trips_a t ON t.feed_id = c.feed_id AND t.trip_id = c.trip_id
-  WHERE {v.seconds('departure_time')} >= 86400 GROUP BY 1) USING (feed_id)
-WHERE rank <= 50""")
+  WHERE {v.seconds('departure_time')} >= 86400 GROUP BY 1) USING (feed_id)""")
 
 ORACLE["feed_coverage"] = v.sql(f"""
 SELECT feed_id, today, service_start, service_end, (service_end - today)::INTEGER AS days_remaining,
@@ -210,14 +208,14 @@ v.VIEWS["profile"] = """
 SELECT feed_id, snapshot_id, table_name, column_name, sum(n)::BIGINT AS rows,
   sum(CASE WHEN value <> '' THEN n ELSE 0 END)::BIGINT AS non_empty, count(*) AS "distinct",
   sum(length(value) * n)::BIGINT AS text_bytes,
-  coalesce(array_to_string(list_sort(list(value ORDER BY value) FILTER (value <> ''))[1:3], '|'), '')
-    AS samples
+  coalesce(min(value) FILTER (value <> ''), '') AS first_value,
+  coalesce(max(value) FILTER (value <> ''), '') AS last_value
 FROM column_values GROUP BY ALL"""
 
 ORACLE["feed_profile"] = v.sql("""
 SELECT feed_id, snapshot_id, table_name, column_name, rows, non_empty,
   round(1 - non_empty / rows, 4) AS null_rate, "distinct", text_bytes, non_empty = 0 AS always_empty,
-  samples FROM profile""")
+  first_value, last_value FROM profile""")
 
 ORACLE["feed_features"] = v.sql("""
 SELECT feed_id, 'A' AS snapshot_id, feature,
@@ -248,7 +246,8 @@ UNION ALL SELECT feed_id, snapshot_id, 'service_ids', count(DISTINCT service_id)
 
 ORACLE["entity_summary"] = v.sql(f"""
 SELECT feed_id, route_id, direction_id, count(DISTINCT trip_id) AS trips,
-  array_to_string(list_sort(list_distinct(list(trip_headsign)))[1:10], '|') AS headsigns,
+  count(DISTINCT trip_headsign) AS headsigns, min(trip_headsign) AS first_headsign,
+  max(trip_headsign) AS last_headsign,
   {v.clock('min(s)')} AS first_departure, {v.clock('max(s)')} AS last_departure
 FROM trips_a LEFT JOIN (SELECT feed_id, trip_id, {v.seconds('departure_time')} AS s
   FROM stop_times_a WHERE departure_time <> '') USING (feed_id, trip_id)
@@ -555,7 +554,7 @@ SELECT query_id, d.feed_id, rank, d.trip_id, d.stop_id, d.stop_sequence, service
   d.zone, w.trip_id IS NOT NULL AND (w.start_date = '' OR
     w.start_date = strftime(service_date, '%Y%m%d')) AS realtime,
   w.trip_relationship, w.trip_delay, w.entity_pos
-FROM (SELECT * FROM departures WHERE rank <= 50) d
+FROM departures d
 LEFT JOIN (SELECT q.feed_id, q.at_epoch, arg_max(c.capture_id, c.fetched_epoch) AS capture_id
     FROM (SELECT DISTINCT feed_id, at_epoch FROM board_queries) q
     JOIN captures c ON c.feed_id = q.feed_id AND c.fetched_epoch <= q.at_epoch GROUP BY 1, 2) a
@@ -635,7 +634,7 @@ SELECT feed_id, query_id AS board_id, rank AS position, route_id, route_short_na
   substr(trip_id, 2)::BIGINT AS t, substr(stop_id, 2)::BIGINT AS s, departure_epoch, gtfs_time,
   CASE WHEN substr(stop_id, 2)::BIGINT % 2 = 0 THEN trip_id END AS trip_id,
   strftime({v.wall('departure_epoch', 'zone')}, '%H:%M') AS hhmm, zone
-FROM departures WHERE rank <= 50"""
+FROM departures"""
 v.VIEWS["board_o1"] = f"""
 SELECT feed_id, board_id, position, t, nullif(CASE WHEN s % 5 = 0 THEN NULL WHEN t % 7 = 0
     THEN route_id ELSE route END, '') AS route,
@@ -821,6 +820,7 @@ def _mode(x: str) -> str:
     return f"CASE WHEN {rail} AND NOT {bus} THEN 'rail' WHEN {bus} AND NOT {rail} THEN 'bus' END"
 
 
+v.VIEWS["newest"] = "SELECT page_key, max(version) AS version FROM page_captures GROUP BY 1"
 v.VIEWS["facts"] = f"""
 SELECT page_key, version, line_no, cents, is_range, date_iso, nullif(phrase, '') AS phrase,
   CASE WHEN phrase <> '' THEN {_service('phrase')} END AS service_type, mode
@@ -835,7 +835,7 @@ FROM (SELECT page_key, version, line_no,
     SELECT page_key, version, unnest(ls) AS line, (generate_subscripts(ls, 1) - 1)::INTEGER AS line_no
     FROM (SELECT page_key, version, string_split(text, chr(10)) AS ls FROM norm))))
 WHERE cents IS NOT NULL OR date_iso IS NOT NULL OR phrase <> ''"""
-ORACLE["page_extract"] = v.sql("SELECT * EXCLUDE (version) FROM facts WHERE version = 2")
+ORACLE["page_extract"] = v.sql("SELECT * EXCLUDE (version) FROM facts JOIN newest USING (page_key, version)")
 
 _FIELD = ("(SELECT page_key, 'lines[' || line_no || '].' || c AS path, val FROM (UNPIVOT (SELECT page_key,"
           " line_no, cents, date_iso, phrase, mode FROM facts WHERE version = {0}) ON cents, date_iso, "
@@ -854,7 +854,7 @@ SELECT page_key, f.i AS schedule_id, min(f.s) AS strategy, count(*) AS url_count
   SELECT page_key, CASE {_PICK} END AS f FROM (
     SELECT *, contains(lower(url), '.pdf') AS pdf FROM (
       SELECT DISTINCT page_key, unnest(list_concat(regexp_extract_all(html, {_lit(tx.URL_ATTRIBUTE)}, 1),
-        regexp_extract_all(html, {_lit(tx.URL_IN_TEXT)}))) AS url FROM page_captures WHERE version = 2)
+        regexp_extract_all(html, {_lit(tx.URL_IN_TEXT)}))) AS url FROM page_captures JOIN newest USING (page_key, version))
     WHERE NOT regexp_matches(url, '^(#|javascript:|mailto:|tel:)')))
 WHERE f IS NOT NULL GROUP BY 1, 2""")
 
@@ -922,10 +922,10 @@ _CHECK_SQL = {
       FROM join_rate""",
     "rt_wire_shape": """SELECT feed_id, coalesce(max(presence_rate) FILTER (NOT modelled), 0.0) AS x,
       x::VARCHAR AS observed, x <= 0.05 AS ok FROM census GROUP BY 1""",
-    "fares_unchanged": """SELECT feed_id, h1[1:12] AS observed, h1 = h2 AS ok FROM zones, two_captures
+    "fares_unchanged": """SELECT feed_id, h1 AS observed, h1 = h2 AS ok FROM zones, two_captures
       WHERE page_key = '1'""",
     "holidays_unchanged": "SELECT feed_id, '' AS observed, NULL::BOOLEAN AS ok FROM zones",
-    "terms_unchanged": """SELECT feed_id, h1[1:12] AS observed, false AS ok FROM zones, two_captures
+    "terms_unchanged": """SELECT feed_id, h1 AS observed, false AS ok FROM zones, two_captures
       WHERE page_key = '4'""",
 }
 
@@ -964,7 +964,7 @@ GROUP BY 1""")
 
 # -------------------------------------------------------------------- artifacts --
 v.VIEWS["snapshots"] = """
-SELECT 'web-' || page_id || '-' || c || '-' || sha256(html)[1:6] AS capture_ref, 'web' AS kind,
+SELECT 'web-' || page_id || '-' || c || '-' || sha256(html) AS capture_ref, 'web' AS kind,
   'src' || (page_id % 20) AS source, CASE WHEN page_id % 40 = 7 THEN repeat('0', 64)
     ELSE sha256(html) END AS sha256, sha256(html) AS actual,
   octet_length(encode(html))::INTEGER AS bytes, 1790000000 + page_id * 60 + c * 30 AS fetched_epoch,
@@ -972,8 +972,8 @@ SELECT 'web-' || page_id || '-' || c || '-' || sha256(html)[1:6] AS capture_ref,
 FROM (SELECT *, unnest(CASE WHEN page_id % 5 = 0 THEN [0, 1] ELSE [0] END) AS c FROM pages)"""
 
 ORACLE["snapshot_manifest"] = """
-SELECT 'web-' || strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') || '-'
-  || sha256(html)[1:6] AS capture_ref, 'web' AS kind, 'src' || (page_id % 20) AS source,
+SELECT 'web-src' || (page_id % 20) || '-' || strftime(to_timestamp(t) AT TIME ZONE 'UTC',
+  '%Y%m%dT%H%M%SZ') || '-' || sha256(html) AS capture_ref, 'web' AS kind, 'src' || (page_id % 20) AS source,
   sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes, t AS fetched_epoch,
   CASE WHEN page_id % 25 = 0 THEN 'pin-' || page_id END AS pin
 FROM (SELECT *, 1790000000 + page_id * 60 AS t FROM pages)"""
@@ -1086,7 +1086,7 @@ v.VIEWS["g_fresh"] = f"""
 SELECT query_id AS case_id, rank AS position, route_short_name, headsign,
   {v.local_iso('departure_epoch', 'zone')} AS departure_local, gtfs_time, service_date::VARCHAR
   AS service_date, trip_id, direction_id, after_midnight::VARCHAR AS after_midnight,
-  substr(trip_id, 2)::BIGINT AS t FROM departures WHERE rank <= 200"""
+  substr(trip_id, 2)::BIGINT AS t FROM departures"""
 v.VIEWS["g_pairs"] = """
 SELECT case_id, position, t % 41 <> 0 AS golden, CASE WHEN t % 41 = 0 THEN 'x' ELSE concat_ws(', ',
   CASE WHEN t % 86 = 0 AND direction_id <> '9' THEN 'direction_id' END,
@@ -1123,12 +1123,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY stop_name, stop
   count(*) OVER (PARTITION BY feed_id) AS total FROM stops_a) WHERE row BETWEEN 101 AND 150""")
 
 # ---------------------------------------------------------- landing and streams --
-ORACLE["rt_capture_scan"] = v.sql("""
-SELECT feed_id, capture_id, trip_id, stu_pos, stop_id, stop_sequence, relationship, event_delay,
-  event_time FROM stop_updates""")
-ORACLE["rt_capture_trips"] = v.sql("""
-SELECT feed_id, capture_id, trip_id, start_date, trip_relationship, trip_delay FROM trip_updates""")
-
 ORACLE["stream_freshness"] = v.sql("""
 SELECT w AS window_start, feed_id, entity_kind, count(*) AS captures,
   max(fetched_epoch - header_ts) AS worst_age,

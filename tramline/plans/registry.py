@@ -141,8 +141,8 @@ def service_day_candidates(d: Demo) -> DataFrame:
 
 @query
 def late_night(d: Demo) -> DataFrame:
-    totals, top = cal.late_night(d.stop_times(), d.trips(), "24:00:00", 50)
-    return top.select(*KEY, "rank", "trip_id", "stop_id", "departure_time", "route_id",
+    totals, calls = cal.late_night(d.stop_times(), d.trips(), "24:00:00")
+    return calls.select(*KEY, "trip_id", "stop_id", "departure_time", "route_id",
                       "service_id").join(
         totals.select(*KEY, "total_calls", "distinct_trips", "max_time"), KEY).drop("snapshot_id")
 
@@ -423,8 +423,16 @@ def page_scan(d: Demo) -> DataFrame:
                         F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 
-def _normalized(d: Demo) -> DataFrame:
-    return pages.normalize_pages(d.page_captures(), fold=False)
+def _normalized(d: Demo, captures: DataFrame | None = None) -> DataFrame:
+    """Spread by page first: a page table is few files, and the expressions are long."""
+    captures = d.page_captures() if captures is None else captures
+    return pages.normalize_pages(captures.repartition("page_key"), fold=False)
+
+
+def _newest(d: Demo) -> DataFrame:
+    """The newest capture of every page."""
+    last = d.page_captures().groupBy("page_key").agg(F.max("version").alias("version"))
+    return d.page_captures().join(last, ["page_key", "version"], "left_semi")
 
 
 @query
@@ -434,12 +442,6 @@ def page_normalize(d: Demo) -> DataFrame:
         "signal_ratio", "word_count", "line_count", "noarchive", "nosnippet")
 
 
-@query
-def page_normalize_folded(d: Demo) -> DataFrame:
-    """With compatibility folding and every HTML entity decoded (no SQL twin)."""
-    return pages.normalize_pages(d.page_captures()).select("page_key", "version", "content_hash")
-
-
 @query
 def page_drift(d: Demo) -> DataFrame:
     return pages.page_drift(d.expected_pages(), _normalized(d))
@@ -452,13 +454,13 @@ def page_line_delta(d: Demo) -> DataFrame:
 
 @query
 def page_extract(d: Demo) -> DataFrame:
-    newest = _normalized(d).filter("version = 2")
-    return pages.page_facts(newest)
+    """Facts printed on the newest capture of every page."""
+    return pages.page_facts(_normalized(d, _newest(d)))
 
 
 @query
 def page_schedule_ids(d: Demo) -> DataFrame:
-    return pages.schedule_ids(d.page_captures().filter("version = 2"))
+    return pages.schedule_ids(_newest(d))
 
 
 @query
@@ -560,9 +562,9 @@ def snapshot_manifest(d: Demo) -> DataFrame:
         F.col("html").cast("binary").alias("content"),
         (F.lit(1_790_000_000) + k * 60).alias("fetched_epoch"))
     pins = d.snapshots().filter("pin IS NOT NULL").select("pin", F.concat_ws(
-        "-", F.lit("web"), F.date_format(F.timestamp_seconds("fetched_epoch"),
-                                         "yyyyMMdd'T'HHmmss'Z'"),
-        F.substring("actual_sha256", 1, 6)).alias("capture_ref"))
+        "-", F.lit("web"), "source", F.date_format(F.timestamp_seconds("fetched_epoch"),
+                                                   "yyyyMMdd'T'HHmmss'Z'"),
+        "actual_sha256").alias("capture_ref"))
     return captures.snapshot_manifest(given, pins)
 
 
@@ -654,7 +656,7 @@ def artifact_manifest(d: Demo) -> DataFrame:
 def golden_regression(d: Demo) -> DataFrame:
     """Today's boards against a recording with deterministic differences."""
     queries = d.board_queries()
-    rows = artifacts.golden_rows(dep.departures(queries, d, 200))
+    rows = artifacts.golden_rows(dep.ranked(dep.all_departures(queries, d)))
     t = F.substring("trip_id", 2, 20).cast("bigint")
     golden = rows.filter(t % 41 != 0).withColumn("headsign", F.when(t % 43 == 0, "Depot").otherwise(
         F.col("headsign"))).withColumn("direction_id", F.when(t % 86 == 0, "9").otherwise(
@@ -670,11 +672,10 @@ def golden_regression(d: Demo) -> DataFrame:
 
 @query
 def feed_sql(d: Demo) -> DataFrame:
-    rows, truncated = artifacts.feed_sql(d.spark, d.tables(), """
+    return artifacts.feed_sql(d.spark, d.tables(), """
         SELECT feed_id, service_id, route_id, count(*) AS calls, count(DISTINCT stop_id) AS stops
         FROM stop_times JOIN trips USING (feed_id, trip_id)
         GROUP BY feed_id, service_id, route_id""")
-    return rows
 
 
 @query
@@ -707,48 +708,6 @@ def gtfs_scan(d: Demo) -> DataFrame:
     return out
 
 
-def _decoded(d: Demo) -> DataFrame:
-    """The realtime items as protobuf captures of at most 500 entities, decoded again."""
-    number = F.when(F.col("relationship") == "SKIPPED", 1).otherwise(0)
-    item = F.struct(
-        F.nullif(F.col("stop_sequence"), F.lit("")).cast("bigint").alias("stop_sequence"),
-        F.nullif(F.col("stop_id"), F.lit("")).alias("stop_id"),
-        F.struct(F.col("event_delay").alias("delay"), F.col("event_time").alias("time"))
-        .alias("departure"), number.alias("schedule_relationship"))
-    key = ["feed_id", "capture_id", "entity_pos"]
-    # The stop updates of one trip: a handful.
-    stops = d.stop_updates().groupBy(*key).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("stu_pos", item.alias("u")))), lambda x: x["u"])
-        .alias("stop_time_update"))
-    trip = F.struct("trip_id", F.nullif(F.col("start_date"), F.lit("")).alias("start_date"),
-                    F.when(F.col("trip_relationship") == "CANCELED", 3).otherwise(0)
-                    .alias("schedule_relationship"))
-    entities = d.trip_updates().join(stops, key, "left").select(
-        F.concat_ws("/", "feed_id", "capture_id",
-                    F.floor(F.col("entity_pos") / 1500).cast("string")).alias("capture_id"),
-        "entity_pos", F.to_json(F.struct(
-            F.col("entity_pos").cast("string").alias("id"),
-            F.struct(trip.alias("trip"), "stop_time_update", F.col("trip_delay").alias("delay"))
-            .alias("trip_update"))).alias("entity"))
-    return captures.decode_captures(captures.encode_entities(entities))
-
-
-@query
-def rt_capture_scan(d: Demo) -> DataFrame:
-    path = F.split("path", "/")
-    return captures.stop_updates(_decoded(d)).select(
-        path[0].alias("feed_id"), path[1].alias("capture_id"), "trip_id", "stu_pos", "stop_id",
-        "stop_sequence", "relationship", "event_delay", "event_time")
-
-
-@query
-def rt_capture_trips(d: Demo) -> DataFrame:
-    path = F.split("path", "/")
-    return captures.trip_updates(_decoded(d)).select(
-        path[0].alias("feed_id"), path[1].alias("capture_id"), "trip_id", "start_date",
-        "trip_relationship", "trip_delay")
-
-
 # -------------------------------------------------------------------- streaming --
 class _StreamDemo(Demo):
     """The demo views over the event stream instead of the event table."""

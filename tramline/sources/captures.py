@@ -1,293 +1,11 @@
-"""Landing of captured files: realtime protobuf messages, pages, the catalogue.
-
-Decoding is a small per-capture helper; Spark reads, partitions, types and
-flattens. The message layout below builds both the protobuf descriptors and the
-Spark schema.
-"""
+"""Landing of captured files: pages and the catalogue."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ------------------------------------------------------------ fixed values --
-# Message layout of the public realtime format: name=number:type, * repeated.
-LAYOUT = {
-    "FeedMessage": "header=1:FeedHeader entity=2:FeedEntity*",
-    "FeedHeader": "gtfs_realtime_version=1:string incrementality=2:Incrementality timestamp=3:uint64",
-    "FeedEntity": "id=1:string is_deleted=2:bool trip_update=3:TripUpdate "
-                  "vehicle=4:VehiclePosition alert=5:Alert",
-    "TripUpdate": "trip=1:TripDescriptor stop_time_update=2:StopTimeUpdate* "
-                  "vehicle=3:VehicleDescriptor timestamp=4:uint64 delay=5:int32",
-    "TripDescriptor": "trip_id=1:string start_time=2:string start_date=3:string "
-                      "schedule_relationship=4:TripRelationship route_id=5:string "
-                      "direction_id=6:uint32",
-    "StopTimeUpdate": "stop_sequence=1:uint32 arrival=2:StopTimeEvent departure=3:StopTimeEvent "
-                      "stop_id=4:string schedule_relationship=5:StopRelationship",
-    "StopTimeEvent": "delay=1:int32 time=2:int64 uncertainty=3:int32",
-    "VehiclePosition": "trip=1:TripDescriptor position=2:Position current_stop_sequence=3:uint32 "
-                       "current_status=4:StopStatus timestamp=5:uint64 congestion_level=6:Congestion "
-                       "stop_id=7:string vehicle=8:VehicleDescriptor occupancy_status=9:Occupancy",
-    "Position": "latitude=1:float longitude=2:float bearing=3:float odometer=4:float speed=5:float",
-    "VehicleDescriptor": "id=1:string label=2:string license_plate=3:string",
-    "Alert": "active_period=1:TimeRange* informed_entity=5:EntitySelector* cause=6:Cause "
-             "effect=7:Effect url=8:TranslatedString header_text=10:TranslatedString "
-             "description_text=11:TranslatedString",
-    "TimeRange": "start=1:uint64 end=2:uint64",
-    "EntitySelector": "agency_id=1:string route_id=2:string route_type=3:int32 "
-                      "trip=4:TripDescriptor stop_id=5:string direction_id=6:uint32",
-    "TranslatedString": "translation=1:Translation*",
-    "Translation": "text=1:string language=2:string",
-}
-# Enum names by number.
-ENUMS = {
-    "Incrementality": "0 FULL_DATASET, 1 DIFFERENTIAL",
-    "TripRelationship": "0 SCHEDULED, 1 ADDED, 2 UNSCHEDULED, 3 CANCELED, 5 REPLACEMENT",
-    "StopRelationship": "0 SCHEDULED, 1 SKIPPED, 2 NO_DATA, 3 UNSCHEDULED",
-    "StopStatus": "0 INCOMING_AT, 1 STOPPED_AT, 2 IN_TRANSIT_TO",
-    "Congestion": "0 UNKNOWN_CONGESTION_LEVEL, 1 RUNNING_SMOOTHLY, 2 STOP_AND_GO, 3 CONGESTION, "
-                  "4 SEVERE_CONGESTION",
-    "Occupancy": "0 EMPTY, 1 MANY_SEATS_AVAILABLE, 2 FEW_SEATS_AVAILABLE, 3 STANDING_ROOM_ONLY, "
-                 "4 CRUSHED_STANDING_ROOM_ONLY, 5 FULL, 6 NOT_ACCEPTING_PASSENGERS",
-    "Cause": "1 UNKNOWN_CAUSE, 2 OTHER_CAUSE, 3 TECHNICAL_PROBLEM, 4 STRIKE, 5 DEMONSTRATION, "
-             "6 ACCIDENT, 7 HOLIDAY, 8 WEATHER, 9 MAINTENANCE, 10 CONSTRUCTION, "
-             "11 POLICE_ACTIVITY, 12 MEDICAL_EMERGENCY",
-    "Effect": "1 NO_SERVICE, 2 REDUCED_SERVICE, 3 SIGNIFICANT_DELAYS, 4 DETOUR, "
-              "5 ADDITIONAL_SERVICE, 6 MODIFIED_SERVICE, 7 OTHER_EFFECT, 8 UNKNOWN_EFFECT, "
-              "9 STOP_MOVED, 10 NO_EFFECT, 11 ACCESSIBILITY_ISSUE",
-}
-SQL_TYPES = {"string": "string", "bool": "boolean", "int32": "int", "int64": "bigint",
-             "uint32": "bigint", "uint64": "decimal(20,0)", "float": "double"}
-WIRE_NAMES = {0: "varint", 1: "fixed64", 2: "length-delimited", 5: "fixed32"}
-# ----------------------------------------------------------------------------
-
-
-def _fields(message: str):
-    for part in LAYOUT[message].split():
-        name, rest = part.split("=")
-        number, kind = rest.split(":")
-        yield name, int(number), kind.rstrip("*"), kind.endswith("*")
-
-
-def spark_type(message: str = "FeedMessage") -> str:
-    """The DDL of a message: nested structs and arrays."""
-    out = []
-    for name, _, kind, repeated in _fields(message):
-        sql = spark_type(kind) if kind in LAYOUT else SQL_TYPES.get(kind, "string")
-        out.append(f"`{name}`: {f'array<{sql}>' if repeated else sql}")
-    return f"struct<{', '.join(out)}>"
-
-
-DECODED = (f"struct<message: {spark_type()}, error: string, "
-           "paths: array<struct<path: string, wire_type: string>>, "
-           "unknown: array<struct<path: string, field: int, wire: string, bytes: int, "
-           "varint: decimal(20,0)>>>")
-
-
-@lru_cache(maxsize=1)
-def message_class():
-    """The FeedMessage class, built in each Python worker on first use."""
-    try:
-        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
-    except ImportError as exc:  # optional dependency of this landing job only
-        raise RuntimeError("Decoding realtime captures needs the protobuf package.") from exc
-
-    file = descriptor_pb2.FileDescriptorProto(name="feed.proto", package="rt", syntax="proto2")
-    scalar = descriptor_pb2.FieldDescriptorProto
-    for message in LAYOUT:
-        m = file.message_type.add(name=message)
-        for name, number, kind, repeated in _fields(message):
-            f = m.field.add(name=name, number=number,
-                            label=scalar.LABEL_REPEATED if repeated else scalar.LABEL_OPTIONAL)
-            if kind in LAYOUT:
-                f.type, f.type_name = scalar.TYPE_MESSAGE, f".rt.{kind}"
-            else:  # enums travel as numbers, so unknown ones survive
-                f.type = getattr(scalar, "TYPE_" + ("UINT64" if kind in ENUMS else kind.upper()))
-    pool = descriptor_pool.DescriptorPool()
-    pool.Add(file)
-    return message_factory.GetMessageClass(pool.FindMessageTypeByName("rt.FeedMessage"))
-
-
-def _describe(message, layout: str, prefix: str, paths: set, unknown: list) -> dict:
-    """One decoded message as plain values, noting the paths seen on the way."""
-    from google.protobuf.unknown_fields import UnknownFieldSet
-
-    kinds = {name: kind for name, _, kind, _ in _fields(layout)}
-    out = {}
-    for descriptor, value in message.ListFields():
-        name, kind = descriptor.name, kinds[descriptor.name]
-        path = f"{prefix}.{name}" if prefix else name
-        many = kind in LAYOUT or kind == "string"
-        paths.add((path, WIRE_NAMES[2 if many else 5 if kind == "float" else 0]))
-        items = list(value) if descriptor.is_repeated else [value]
-        if kind in LAYOUT:
-            items = [_describe(v, kind, path, paths, unknown) for v in items]
-        elif kind in ENUMS:
-            names = dict(e.split(" ") for e in ENUMS[kind].split(", "))
-            items = [names.get(str(v), str(v)) for v in items]
-        elif kind == "float":
-            items = [round(v, 6) for v in items]
-        out[name] = items if descriptor.is_repeated else items[0]
-    for f in UnknownFieldSet(message):
-        path = f"{prefix}.?{f.field_number}" if prefix else f"?{f.field_number}"
-        wire = WIRE_NAMES.get(f.wire_type, str(f.wire_type))
-        paths.add((path, wire))
-        unknown.append({"path": path, "field": f.field_number, "wire": wire,
-                        "bytes": len(f.data) if f.wire_type == 2 else None,
-                        "varint": f.data if f.wire_type == 0 else None})
-    return out
-
-
-def decode_captures(captures: DataFrame) -> DataFrame:
-    """(path, content) captures to (path, bytes, message, error, paths, unknown).
-
-    One capture is a row and many captures run in parallel. A capture that is
-    not a valid message keeps its row, with the error named.
-    """
-    def decode(batches):
-        import json
-
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for content in batch["content"]:
-                paths, unknown = set(), []
-                try:
-                    message = message_class()()
-                    message.ParseFromString(bytes(content))
-                    body, error = _describe(message, "FeedMessage", "", paths, unknown), None
-                except Exception as exc:  # a broken capture is a finding, not a crash
-                    body, error = None, type(exc).__name__
-                out.append(json.dumps({
-                    "message": body, "error": error, "unknown": unknown,
-                    "paths": [{"path": p, "wire_type": w} for p, w in sorted(paths)]}))
-            yield pd.DataFrame({"path": batch["path"], "bytes": batch["content"].map(len),
-                                "decoded": out})
-
-    rows = captures.select("path", "content").mapInPandas(
-        decode, "path string, bytes bigint, decoded string")
-    return rows.select("path", "bytes", F.from_json("decoded", DECODED).alias("d")).select(
-        "path", "bytes", "d.*")
-
-
-def rt_capture_scan(spark: SparkSession, pattern: str) -> DataFrame:
-    """Decode every capture file matching ``pattern``."""
-    return decode_captures(spark.read.format("binaryFile").load(pattern))
-
-
-def _entities(decoded: DataFrame) -> DataFrame:
-    return decoded.select("path", F.posexplode("message.entity").alias("entity_pos", "e"))
-
-
-def headers(decoded: DataFrame) -> DataFrame:
-    h = F.col("message.header")
-    return decoded.select(
-        "path", h["timestamp"].cast("bigint").alias("header_ts"),
-        h["gtfs_realtime_version"].alias("version"), h["incrementality"].alias("incrementality"),
-        "bytes", F.coalesce(F.size("message.entity"), F.lit(0)).alias("entities"))
-
-
-def trip_updates(decoded: DataFrame) -> DataFrame:
-    tu = F.col("e.trip_update")
-    return _entities(decoded).filter(tu.isNotNull()).select(
-        "path", "entity_pos", tu["trip"]["trip_id"].alias("trip_id"),
-        tu["trip"]["route_id"].alias("route_id"),
-        F.coalesce(tu["trip"]["start_date"], F.lit("")).alias("start_date"),
-        F.coalesce(tu["trip"]["schedule_relationship"], F.lit("SCHEDULED"))
-        .alias("trip_relationship"), tu["delay"].alias("trip_delay"),
-        tu["timestamp"].cast("bigint").alias("tu_timestamp"))
-
-
-def stop_updates(decoded: DataFrame) -> DataFrame:
-    """Stop updates with the departure event, else the arrival event."""
-    tu = F.col("e.trip_update")
-    rows = _entities(decoded).filter(tu.isNotNull()).select(
-        "path", "entity_pos", tu["trip"]["trip_id"].alias("trip_id"),
-        F.posexplode(tu["stop_time_update"]).alias("stu_pos", "u"))
-    dep, arr = F.col("u.departure"), F.col("u.arrival")
-    given = F.coalesce(dep["delay"].cast("bigint"), dep["time"],
-                       dep["uncertainty"].cast("bigint")).isNotNull()
-    event = F.when(given, dep).otherwise(arr)
-    return rows.select(
-        "path", "entity_pos", "stu_pos", "trip_id",
-        F.coalesce("u.stop_id", F.lit("")).alias("stop_id"),
-        F.coalesce(F.col("u.stop_sequence").cast("string"), F.lit("")).alias("stop_sequence"),
-        F.coalesce("u.schedule_relationship", F.lit("SCHEDULED")).alias("relationship"),
-        event["delay"].alias("event_delay"), event["time"].alias("event_time"))
-
-
-def vehicles(decoded: DataFrame) -> DataFrame:
-    v = F.col("e.vehicle")
-    return _entities(decoded).filter(v.isNotNull()).select(
-        "path", "entity_pos", v["trip"]["trip_id"].alias("trip_id"),
-        v["vehicle"]["id"].alias("vehicle_id"), v["position"]["latitude"].alias("latitude"),
-        v["position"]["longitude"].alias("longitude"), v["stop_id"].alias("stop_id"),
-        v["current_status"].alias("current_status"),
-        v["timestamp"].cast("bigint").alias("vehicle_ts"))
-
-
-def alerts(decoded: DataFrame) -> DataFrame:
-    """One row per informed entity of an alert; an alert informing none keeps a row."""
-    a = F.col("e.alert")
-    rows = _entities(decoded).filter(a.isNotNull()).select(
-        "path", "entity_pos", a.alias("a"),
-        F.explode_outer(a["informed_entity"]).alias("who"))
-    text = F.col("a.header_text.translation")
-    return rows.select(
-        "path", "entity_pos", "a.cause", "a.effect", F.get(text, F.lit(0))["text"].alias("header"),
-        "who.agency_id", "who.route_id", "who.stop_id", "who.trip.trip_id")
-
-
-def field_paths(decoded: DataFrame) -> DataFrame:
-    return decoded.select("path", F.explode("paths").alias("p")).select(
-        F.col("path").alias("capture_id"), "p.path", "p.wire_type")
-
-
-def encode_entities(rows: DataFrame) -> DataFrame:
-    """(capture_id, entity_pos, entity JSON) to capture files (path, content).
-
-    The inverse of decoding, for fixtures: a message is the concatenation of its
-    encoded parts, so Spark joins the entities of a capture in feed order. The
-    caller bounds the entities per capture, as a capture is one small file.
-    """
-    def encode(batches):
-        import json
-
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for text in batch["entity"]:
-                message = message_class()()
-                _fill(message.entity.add(), json.loads(text))
-                out.append(message.SerializeToString())
-            yield pd.DataFrame({"capture_id": batch["capture_id"],
-                                "entity_pos": batch["entity_pos"], "part": out})
-
-    parts = rows.select("capture_id", "entity_pos", "entity").mapInPandas(
-        encode, "capture_id string, entity_pos bigint, part binary")
-    ordered = F.array_sort(F.collect_list(F.struct("entity_pos", F.hex("part").alias("h"))))
-    return parts.groupBy(F.col("capture_id").alias("path")).agg(ordered.alias("ps")).select(
-        "path", F.unhex(F.array_join(F.transform("ps", lambda p: p["h"]), "")).alias("content"))
-
-
-def _fill(message, values: dict) -> None:
-    for name, value in values.items():
-        if isinstance(value, dict):
-            part = getattr(message, name)
-            part.SetInParent()
-            _fill(part, value)
-        elif isinstance(value, list):
-            for item in value:
-                _fill(getattr(message, name).add(), item)
-        else:
-            setattr(message, name, value)
-
 
-# -------------------------------------------------------------------- files --
 def page_scan(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages: a Parquet table, or a folder of HTML files."""
     if path.endswith(".parquet"):
@@ -301,12 +19,13 @@ def snapshot_manifest(captures: DataFrame, pins: DataFrame) -> DataFrame:
     """Catalogue of captures: ref, kind, source, digest, bytes, time, pin.
 
     ``captures`` is (kind, source, content, fetched_epoch); ``pins`` is
-    (pin, capture_ref).
+    (pin, capture_ref). The reference names kind, source, time and whole digest,
+    so two captures share one only if they are the same.
     """
     sha = F.sha2("content", 256)
     rows = captures.select(
-        F.concat_ws("-", "kind", F.date_format(F.timestamp_seconds("fetched_epoch"),
-                                               "yyyyMMdd'T'HHmmss'Z'"), F.substring(sha, 1, 6))
+        F.concat_ws("-", "kind", "source", F.date_format(
+            F.timestamp_seconds("fetched_epoch"), "yyyyMMdd'T'HHmmss'Z'"), sha)
         .alias("capture_ref"), "kind", "source", sha.alias("sha256"),
         F.length("content").cast("bigint").alias("bytes"), "fetched_epoch")
     return rows.join(pins, "capture_ref", "left")

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.functions import times
-from tramline.session import shared_path
 
 # Fixed values of the demo feeds.
 FEEDS = 3
@@ -44,17 +43,8 @@ def inline(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFr
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
 
 
-# Tables imported by a session, by (application, folder, snapshot, table).
-_IMPORTED: dict[tuple[str, str, str, str], str] = {}
-
-
 class Demo:
-    """The demo feeds of one data folder and one snapshot.
-
-    Schedule tables and realtime items are imported once per session into the
-    shared folder, as a feed is before it is queried; operators then scan
-    stored columns, with statistics, instead of re-deriving them.
-    """
+    """The demo feeds of one data folder and one snapshot."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, snapshot: str = "A"):
         self.spark, self.dir, self.snapshot = spark, sf_dir.rstrip("/"), snapshot
@@ -66,18 +56,9 @@ class Demo:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def _spread(self, df: DataFrame, key: str) -> DataFrame:
-        """The raw columns spread by key, so that the import is not one task."""
+        """The raw columns spread by key: a test table is one file, and so one task."""
         return df.repartition(key)
 
-    def _import(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, self.snapshot, name)
-        df = build()
-        if key not in _IMPORTED:
-            path = shared_path(self.spark, f"{name}-{self.snapshot}")
-            df.write.parquet(path)
-            _IMPORTED[key] = path
-        return self.spark.read.schema(df.schema).parquet(_IMPORTED[key])
-
     def _keyed(self, df: DataFrame, feed) -> DataFrame:
         return df.withColumns({"feed_id": feed, "snapshot_id": F.lit(self.snapshot)})
 
@@ -92,9 +73,6 @@ class Demo:
 
     # ------------------------------------------------------------ schedule --
     def stops(self) -> DataFrame:
-        return self._import("stops", self._stops)
-
-    def _stops(self) -> DataFrame:
         k, b = F.col("p_partkey"), self.snapshot == "B"
         code = F.when(k % 97 == 0, "").otherwise(
             (k + 10_000 - F.when(k % 211 == 1, 1).otherwise(0)).cast("string"))
@@ -146,9 +124,6 @@ class Demo:
         ))
 
     def trips(self) -> DataFrame:
-        return self._import("trips", self._trips)
-
-    def _trips(self) -> DataFrame:
         k, c, b = F.col("o_orderkey"), F.col("o_custkey"), self.snapshot == "B"
         p = F.substring("o_orderpriority", 1, 1)
         raw = self._spread(self.raw("orders").select(
@@ -170,9 +145,6 @@ class Demo:
         )
 
     def stop_times(self) -> DataFrame:
-        return self._import("stop_times", self._stop_times)
-
-    def _stop_times(self) -> DataFrame:
         o, p, n, b = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), \
             self.snapshot == "B"
         raw = self._spread(self.raw("lineitem").select(
@@ -273,9 +245,6 @@ class Demo:
             ((F.col("value") * 10).cast("int") - 240).alias("delay"))
 
     def trip_updates(self) -> DataFrame:
-        return self._import("trip_updates", self._trip_updates)
-
-    def _trip_updates(self) -> DataFrame:
         kind = F.col("event_type")
         return self._updates().select(
             "feed_id", "capture_id", "entity_pos", "trip_id", "seen_epoch",
@@ -285,9 +254,6 @@ class Demo:
             F.when(kind.isin("view", "signup"), F.col("delay")).alias("trip_delay"))
 
     def stop_updates(self) -> DataFrame:
-        return self._import("stop_updates", self._stop_updates)
-
-    def _stop_updates(self) -> DataFrame:
         """One stop update per distinct call of the trip, named by id, number or both.
 
         Views carry none, so that the trip delay applies.
@@ -398,7 +364,7 @@ class Demo:
         sha = F.sha2(F.col("html").cast("binary"), 256)
         return self.pages().withColumn("copy", copies).select(
             F.concat_ws("-", F.lit("web"), k.cast("string"), F.col("copy").cast("string"),
-                        F.substring(sha, 1, 6)).alias("capture_ref"),
+                        sha).alias("capture_ref"),
             F.lit("web").alias("kind"),
             F.concat(F.lit("src"), (k % 20).cast("string")).alias("source"),
             F.when(k % 40 == 7, F.lit("0" * 64)).otherwise(sha).alias("sha256"),

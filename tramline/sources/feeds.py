@@ -18,38 +18,37 @@ def with_optional(df: DataFrame | None, columns: list[str]) -> DataFrame | None:
         else F.lit("").alias(c) for c in columns])
 
 
-def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str,
-              max_columns: int = 64) -> DataFrame:
+def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str) -> DataFrame:
     """One table of every feed: ``root/feed_id=*/snapshot_id=*/<files>``.
 
     ``files`` names the table's file, such as ``stops.txt``, or a pattern.
 
     Feeds order their columns differently, so a positional schema would misread
-    them: each line is cut into cells and every requested column is looked up in
-    the header of the line's own file. All values stay strings; an absent column
-    or cell is ``''``; a byte order mark is dropped. GTFS forbids line breaks
-    inside values, so large files split freely over tasks.
+    them: the files are read once for their header lines (one small row a file),
+    then, grouped by header, with that header's columns as the schema. All values
+    stay strings; an absent column or cell is ``''``; a byte order mark is dropped.
     """
-    lines = (spark.read.option("basePath", root).text(f"{root}/*/*/{files}")
-             .select(*KEY, F.regexp_replace("value", "[\\r]$", "").alias("value"),
-                     F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line")))
-    headers = (lines.filter("block = 0").groupBy("file_path")
-               .agg(F.min_by("value", "line").alias("header")))
-    names = F.transform(F.split(F.regexp_replace("header", '[\ufeff"]', ""), ","), F.trim)
-    cells = ", ".join(f"c{i} string" for i in range(max_columns))
-    body = (lines.join(headers.withColumn("names", names), "file_path")
-            .filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
-            .withColumn("cells", F.from_csv("value", cells))
-            .withColumn("cells", F.array(*[f"cells.c{i}" for i in range(max_columns)])))
-
-    def cell(name: str):
-        place = F.array_position("names", F.lit(name)).cast("int")
-        return F.coalesce(F.when(place > 0, F.get("cells", place - 1)), F.lit("")).alias(name)
-
-    return body.select(*[F.col(k).cast("string").alias(k) for k in KEY],
-                       *[cell(c) for c in columns])
+    lines = spark.read.option("basePath", root).text(f"{root}/*/*/{files}").select(
+        F.regexp_replace("value", '[\\r\ufeff"]', "").alias("header"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"))
+    firsts = lines.filter("block = 0").groupBy("file").agg(F.min_by("header", "line").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for r in firsts.sort("file").collect():  # as many rows as files, which the driver lists anyway
+        by_header.setdefault(r["header"], []).append(r["file"])
+    out = None
+    for header, paths in by_header.items():
+        names = [n.strip() for n in header.split(",")]
+        place = {n: i for i, n in reversed(list(enumerate(names)))}
+        body = (spark.read.option("basePath", root).option("header", True)
+                .schema(", ".join([*(f"c{i} string" for i in range(len(names))), *(f"{k} string" for k in KEY)]))
+                .csv(paths))
+        part = body.select(*KEY, *[
+            (F.coalesce(f"c{place[c]}", F.lit("")) if c in place else F.lit("")).alias(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*KEY, *columns]))
+    return out
 
 
 def land_zips(spark: SparkSession, pattern: str) -> DataFrame:
