@@ -3,34 +3,37 @@ from pyspark.sql import functions as F
 
 from tests.mini import TABLES, edit, feed as make, queries, rows
 from tramline.operators import artifacts, departures as dep, profile, stops as st
+from tramline.sources.feeds import Feed
 from tramline.streaming import jobs
 
+MORNING = "2027-05-12T08:30:00+00:00"
+
 
 def index(f):
     return artifacts.stops_index(f.stops(), st.serving(f.stop_times(), f.trips(), f.routes()))
 
 
 def test_index_keeps_the_lowest_stop_and_sorts_badges(spark):
-    f = make(spark, **edit("stops", "S2,15112", "S2,15111"), routes=TABLES["routes"] + "\nR2,2,Two,3,0",
-             trips=TABLES["trips"] + "\nR2,WK,T2,Two,0",
-             stop_times=TABLES["stop_times"] + "\nT2,10:00:00,10:00:00,S1,1,0,0")
+    f = make(spark, **edit("stops", "hall,420", "hall,410"), routes=TABLES["routes"] + "\nring,12,Ring,3,",
+             trips=TABLES["trips"] + "\nring,work,g1,Ring,0",
+             stop_times=TABLES["stop_times"] + "\ng1,10:00:00,10:00:00,gate,1,0,0")
     got = {r.code: (r.stop_id, r.routes, r.shadowed) for r in index(f).collect()}
-    assert got["15111"] == ("S1", "2|11|RED", 1) and got["15113"] == ("S3", "11", 0)
-    assert rows(artifacts.index_report(f.stops()), "codes", "shared_codes", "without_code") == [(4, 1, 0)]
+    assert got["410"] == ("gate", "7|12|T", 1) and got["440"] == ("quay", "sail", 0)
+    assert rows(artifacts.index_report(f.stops()), "codes", "shared_codes", "without_code") == [(6, 1, 0)]
 
 
 def test_prune_keeps_parents_of_called_platforms(spark, feed):
-    out = artifacts.compact(feed.tables(), "minimal", routes=["MLR"])
-    assert rows(out["stops"], "stop_id") == [("S1",), ("ST1",), ("ST1P",)]
-    assert rows(out["trips"], "trip_id") == [("T_RAIL_1205",)]
+    out = artifacts.compact(feed.tables(), "minimal", routes=["hill"])
+    assert rows(out["stops"], "stop_id") == [("gate",), ("hall",), ("top",), ("top-n",), ("top-s",)]
+    assert rows(out["trips"], "trip_id") == [("h1",), ("h2",)]
     assert "feed_info" not in out and "stop_lat" not in out["stops"].columns
 
 
 def test_prune_by_days_starts_at_the_feed(spark, feed):
-    # 2026-01-01 is a Thursday: three days reach Saturday, never Sunday.
-    out = artifacts.compact(feed.tables(), "balanced", days=3)
-    assert rows(out["calendar"], "service_id") == [("SA",), ("WK",)]
-    assert out["trips"].count() == 4
+    # 2027-03-01 is a Monday: five days never reach the weekend.
+    out = artifacts.compact(feed.tables(), "balanced", days=5)
+    assert rows(out["calendar"], "service_id") == [("work",)]
+    assert rows(out["trips"], "trip_id") == [("c1",), ("c9",), ("h1",), ("h2",)]
 
 
 def test_full_drops_nothing(spark, feed):
@@ -38,16 +41,30 @@ def test_full_drops_nothing(spark, feed):
     assert {n: df.columns for n, df in out.items()} == {n: df.columns for n, df in feed.tables().items()}
 
 
-def test_decisions_measure_empty_columns(spark, feed):
-    out = artifacts.prune_decisions(profile.feed_profile(feed.tables()), "balanced")
+def test_decisions_measure_empty_columns(spark):
+    f = make(spark, trips="\n".join(line + ("," if i else ",shape_id") for i, line in enumerate(TABLES["trips"].split("\n"))))
+    out = artifacts.prune_decisions(profile.feed_profile(f.tables()), "balanced")
     got = {(r.table_name, r.column_name): r.reason for r in out.collect()}
     assert got["stop_times", "stop_headsign"] == "empty_on_every_row"
     assert got["stops", "stop_lat"] == "not_in_strategy" and got["stops", "stop_code"] == ""
 
 
+def test_profile_gives_first_and_last_values(spark, feed):
+    got = {(r.table_name, r.column_name): (r.distinct, r.first_value, r.last_value)
+           for r in profile.feed_profile(feed.tables()).collect()}
+    assert got["trips", "trip_headsign"] == (4, "Hilltop", "Town Hall")
+    assert got["routes", "route_short_name"] == (3, "7", "T")
+
+
+def test_route_summary_counts_headsigns(spark, feed):
+    got = {r.route_id: (r.trips, r.headsigns, r.first_headsign, r.last_headsign, r.first_departure, r.last_departure)
+           for r in profile.route_summary(feed.trips(), feed.stop_times()).collect()}
+    assert got["coast"] == (3, 2, "Lighthouse", "Town Hall", "08:40:00", "24:50:00")
+    assert profile.route_headsigns(feed.trips()).count() == 4
+
+
 def test_pruned_feed_gives_the_same_board(spark, feed):
-    from tramline.sources.feeds import Feed
-    q = queries(spark, ("q", "15111", "2026-08-05T11:47:00-05:00", 90))
+    q = queries(spark, ("q", "410", MORNING, 90))
     small = Feed(spark, artifacts.compact(feed.tables(), "minimal"))
     cols = ("trip_id", "departure_local", "headsign")
     assert rows(dep.departures(q, small), *cols) == rows(dep.departures(q, feed), *cols)
@@ -55,13 +72,12 @@ def test_pruned_feed_gives_the_same_board(spark, feed):
 
 def test_clustered_sink_and_manifest(spark, feed, tmp_path):
     artifacts.compact_sink(artifacts.compact(feed.tables()), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out" / "stop_times"))
-    assert back.count() == 9
+    assert spark.read.parquet(str(tmp_path / "out" / "stop_times")).count() == 12
     artifacts.json_artifact_sink(index(feed), ["code"], str(tmp_path / "one"))
     artifacts.json_artifact_sink(index(feed), ["code"], str(tmp_path / "two"))
     files = artifacts.artifact_manifest(spark, {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")})
     by = {n: [r.sha256 for r in files.filter(F.col("name") == n).orderBy("file").collect()] for n in ("one", "two")}
-    assert by["one"] == by["two"] and files.agg(F.sum("rows")).first()[0] == 10
+    assert by["one"] == by["two"] and files.agg(F.sum("rows")).first()[0] == 14
 
 
 def test_paginate(spark, feed):
@@ -69,25 +85,21 @@ def test_paginate(spark, feed):
         out = artifacts.paginate(feed.stops(), ["feed_id"], ["stop_id"], offset, limit)
         return [tuple(r) for r in out.orderBy("row").select("stop_id", "total", "has_more", "next_offset").collect()]
 
-    assert page(0, 2) == [("S1", 5, True, 2), ("S2", 5, True, 2)]
-    assert page(4, 2) == [("ST1P", 5, False, None)]
-    assert page(9, 2) == []
+    assert page(0, 2) == [("gate", 7, True, 2), ("hall", 7, True, 2)]
+    assert page(6, 3) == [("top-s", 7, False, None)]
+    assert page(7, 2) == [] and len(page(0, 5000)) == 7
 
 
-def test_sql_cap_reports_truncation(spark, feed):
-    rows_, cut = artifacts.feed_sql(spark, feed.tables(), "SELECT * FROM stop_times", cap=4)
-    assert rows_.count() == 4 and cut.first().truncated
-    _, cut = artifacts.feed_sql(spark, feed.tables(), "SELECT * FROM stop_times", cap=9)
-    assert not cut.first().truncated
+def test_sql_returns_every_row(spark, feed):
+    assert artifacts.feed_sql(spark, feed.tables(), "SELECT a.* FROM stop_times a JOIN stop_times b "
+                                                    "ON true JOIN stop_times c ON true").count() == 12 ** 3
 
 
 def test_golden_names_the_first_difference(spark, feed):
-    q = queries(spark, ("same", "15111", "2026-08-05T11:47:00-05:00", 90),
-                ("gone", "404", "2026-08-05T11:47:00-05:00", 90))
+    q = queries(spark, ("same", "410", MORNING, 60), ("gone", "999", MORNING, 60))
     cases = q.select(F.col("query_id").alias("case_id"))
-    golden = artifacts.golden_rows(dep.departures(q, feed, 200))
+    golden = artifacts.golden_rows(dep.departures(q, feed))
     errors = spark.createDataFrame([("gone", "StopNotFound")], "case_id string, error string")
-    none = errors.filter("false")
 
     def reasons(fresh, fresh_errors=errors):
         out = artifacts.golden_regression(cases, golden, fresh, errors, fresh_errors)
@@ -97,7 +109,9 @@ def test_golden_names_the_first_difference(spark, feed):
     changed = golden.withColumn("headsign", F.when(F.col("position") == 2, "X").otherwise(F.col("headsign")))
     assert reasons(changed)["same"] == "departure 1 differs on: headsign"
     assert reasons(golden.filter("position = 1"))["same"] == "count changed: 2 -> 1"
-    assert reasons(golden, none)["gone"] == "expected StopNotFound but got departures"
+    assert reasons(golden, errors.filter("false"))["gone"] == "expected StopNotFound but got departures"
+    with pytest.raises(ValueError):
+        artifacts.golden_regression(cases.filter("false"), golden, golden, errors, errors)
 
 
 def snapshots(spark, n):
@@ -121,8 +135,8 @@ def updates(spark, *records):
                                  "delay int, seen_epoch bigint")
 
 
-def test_trip_state_across_batches(spark):
-    state = jobs.TripState(spark)
+def test_trip_state_across_batches(spark, tmp_path):
+    state = jobs.TripState(spark, str(tmp_path))
     state.merge(updates(spark, ("a", 100, 0, 1, 1000), ("a", 300, 1, 3, 1001), ("a", 200, 2, 2, 1002),
                         ("b", 100, 3, 9, 1000)), 0)
     # A late header changes nothing, copies change nothing, silence expires.
@@ -131,8 +145,8 @@ def test_trip_state_across_batches(spark):
     assert rows(got, "trip_id", "header_ts", "delay", "last_seen") == [("a", 300, 3, 1100), ("c", 1, 0, 8205)]
 
 
-def test_replayed_batch_is_idempotent(spark):
-    state = jobs.TripState(spark)
+def test_replayed_batch_is_idempotent(spark, tmp_path):
+    state = jobs.TripState(spark, str(tmp_path))
     batch = updates(spark, ("a", 100, 0, 1, 1000))
     state.merge(batch, 0)
     state.merge(updates(spark, ("a", 50, 0, 5, 1010)), 1)
@@ -146,7 +160,23 @@ def test_stream_equals_batch_however_it_is_cut(spark, tmp_path, files):
     data = updates(spark, *[(f"t{i % 5}", i * 7 % 50, i, i, 1000 + i) for i in range(60)])
     data.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", files).parquet(source)
-    got = rows(jobs.TripState(spark).run(stream), "trip_id", "header_ts", "last_seen")
+    got = rows(jobs.TripState(spark, str(tmp_path / "state")).run(stream), "trip_id", "header_ts", "last_seen")
     want = rows(data.groupBy("trip_id").agg(F.max("header_ts").alias("h"), F.max("seen_epoch").alias("l")),
                 "trip_id", "h", "l")
     assert got == want
+
+
+def test_trip_state_carries_on_after_a_restart(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "state")
+    first = updates(spark, ("a", 100, 0, 1, 1000), ("b", 100, 1, 2, 1000))
+
+    def run():
+        stream = spark.readStream.schema(first.schema).parquet(source)
+        return rows(jobs.TripState(spark, root).run(stream), "trip_id", "header_ts", "last_seen")
+
+    first.filter("false").write.parquet(source)
+    assert run() == []
+    first.write.mode("append").parquet(source)
+    assert run() == [("a", 100, 1000), ("b", 100, 1000)] == run()
+    updates(spark, ("a", 90, 2, 3, 1500)).write.mode("append").parquet(source)
+    assert run() == [("a", 100, 1500), ("b", 100, 1000)]

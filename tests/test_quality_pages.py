@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from tests.mini import TABLES, edit, feed as make, rows
@@ -5,47 +7,51 @@ from tramline.functions import text as tx
 from tramline.operators import pages, quality
 
 
-def suite(spark, f, today="2026-08-05", **inputs):
+CODED = re.sub(r"(?m)^([\w-]+),(\d{3}),", r"\1,7\2,", TABLES["stops"])  # codes of four digits
+
+
+def suite(spark, today="2027-05-12", zone="Atlantic/Azores", baseline=None, stops=CODED, rt_health=None, **changes):
+    f = make(spark, stops=stops, **changes)
     days = f.zones().select("feed_id", "snapshot_id", F.lit(today).cast("date").alias("today"))
-    out = quality.assumptions(quality.Inputs(tables=f.tables(), feeds=days, **inputs))
+    zones = spark.createDataFrame([("M", zone)], "feed_id string, zone string") if zone else None
+    out = quality.assumptions(quality.Inputs(tables=f.tables(), feeds=days, zones=zones, rt_health=rt_health,
+                                             baseline=baseline and baseline.tables()))
     return {r.id: (r.status, r.observed) for r in out.collect()}
 
 
-def test_healthy_feed_passes_and_missing_inputs_skip(spark, feed):
-    got = suite(spark, feed)
-    assert {k for k, v in got.items() if v[0] == "pass"} == {
-        k for k, _, category, _ in quality.ASSUMPTIONS if category == "static"}
-    assert all(got[k] == ("skip", None) for k, _, c, _ in quality.ASSUMPTIONS if c != "static")
+def test_healthy_feed_passes_and_missing_inputs_skip(spark):
+    got = suite(spark)
+    static = {k for k, _, category, _ in quality.ASSUMPTIONS if category == "static"}
+    assert {k for k, v in got.items() if v[0] == "pass"} == static
+    assert all(got[k] == ("skip", None) for k in got if k not in static)
+    assert suite(spark, zone=None)["timezone_unchanged"] == ("skip", None)
 
 
 def test_each_assumption_breaks_on_its_own(spark):
     def one(name, **changes):
-        return suite(spark, make(spark, **changes))[name]
+        return suite(spark, **changes)[name]
 
-    assert one("stop_code_unique", **edit("stops", "S2,15112", "S2,15111")) == ("fail", "1")
-    assert one("stop_code_present", **edit("stops", "S2,15112", "S2,")) == ("fail", "0.75")
-    assert one("stop_code_format", **edit("stops", "S2,15112", "S2,ABC")) == ("fail", "0.8")
-    assert one("max_time_bounded", **edit("stop_times", "24:22:00,24:22:00", "29:00:00,29:00:00")) == (
-        "fail", "29:00:00")
-    assert one("max_time_bounded", **edit("stop_times", "12:10:00,12:10:00", "9:05:00,9:05:00"))[0] == "pass"
-    assert one("max_time_bounded", **edit("stop_times", "12:10:00,12:10:00", "noon,12:10:00"))[0] == "fail"
-    assert one("timezone_unchanged", **edit("agency", "Chicago", "Denver")) == ("fail", "America/Denver")
-    assert one("no_fare_files", fare_rules="fare_id\nF1") == ("opportunity", "fare_rules")
-    assert one("no_frequencies_file", frequencies="trip_id\nT") == ("fail", "1")
+    assert one("stop_code_unique", stops=CODED.replace("hall,7420", "hall,7410")) == ("fail", "1")
+    assert one("stop_code_present", stops=CODED.replace("hall,7420", "hall,"))[0] == "fail"
+    assert one("stop_code_format", stops=CODED.replace("hall,7420", "hall,H-20"))[0] == "fail"
+    assert one("max_time_bounded", **edit("stop_times", "24:50:00,24:50:00", "28:10:00,28:10:00")) == ("fail", "28:10:00")
+    assert one("max_time_bounded", **edit("stop_times", "08:52:00,08:52:00", "8:52:00,8:52:00"))[0] == "pass"
+    assert one("max_time_bounded", **edit("stop_times", "08:52:00,08:52:00", "later,08:52:00"))[0] == "fail"
+    assert one("timezone_unchanged", zone="Europe/Lisbon") == ("fail", "Atlantic/Azores")
+    assert one("no_fare_files", fare_products="fare_product_id\nday") == ("opportunity", "fare_products")
+    assert one("no_frequencies_file", frequencies="trip_id\nh1\nh2") == ("fail", "2")
 
 
-def test_expiry(spark, feed):
-    assert suite(spark, feed, "2026-09-24")["feed_not_expiring"] == ("fail", "6")
-    assert suite(spark, feed, "2026-10-05")["feed_not_expiring"] == ("fail", "-5")
+def test_expiry(spark):
+    assert suite(spark, "2027-10-26")["feed_not_expiring"] == ("fail", "5")
+    assert suite(spark, "2027-11-02")["feed_not_expiring"] == ("fail", "-2")
 
 
-def test_baseline_checks(spark, feed):
-    base = make(spark, **edit("stops", "S3,15113", "S3,25113"))
-    got = suite(spark, feed, baseline=base.tables())
-    assert got["stop_ids_stable"] == ("fail", "0.8")
-    assert got["rail_route_ids_stable"] == ("pass", "-0/+0")
-    no_rail = make(spark, routes="\n".join(TABLES["routes"].split("\n")[:2]))
-    assert suite(spark, feed, baseline=no_rail.tables())["rail_route_ids_stable"][0] == "skip"
+def test_baseline_checks(spark):
+    got = suite(spark, baseline=make(spark, stops=CODED.replace("quay,7440", "quay,7449")))
+    assert got["stop_ids_stable"][0] == "fail" and got["rail_route_ids_stable"] == ("pass", "-0/+0")
+    no_rail = make(spark, stops=CODED, routes=TABLES["routes"].replace("\nhill,T,Hill Tram,0,AA0000", ""))
+    assert suite(spark, baseline=no_rail)["rail_route_ids_stable"][0] == "skip"
 
 
 def health(spark, age, ago, kinds=("trip_updates", "vehicle_positions", "alerts")):
@@ -55,9 +61,9 @@ def health(spark, age, ago, kinds=("trip_updates", "vehicle_positions", "alerts"
                                        "age_at_fetch bigint, fetched_ago bigint")
 
 
-def test_rt_fresh(spark, feed):
+def test_rt_fresh(spark):
     def status(*a, **k):
-        return suite(spark, feed, rt_health=health(spark, *a, **k))["rt_fresh"][0]
+        return suite(spark, rt_health=health(spark, *a, **k))["rt_fresh"][0]
 
     assert [status(60, 10), status(400, 10), status(60, 900),
             status(60, 10, kinds=("alerts",))] == ["pass", "fail", "skip", "fail"]

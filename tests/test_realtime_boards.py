@@ -1,12 +1,15 @@
+"""Realtime overlays and board comparison on the mini feed's morning."""
+
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.mini import queries, rows
 from tramline.operators import boards, departures as dep, realtime as rt
 
-NOON = int(datetime.fromisoformat("2026-08-05T12:00:00-05:00").timestamp())
-AT = "2026-08-05T11:47:00-05:00"
+MORNING = "2027-05-12T08:30:00+00:00"
+DUE = int(datetime.fromisoformat("2027-05-12T08:40:00+00:00").timestamp())  # of c1 at the gate
 TU = ("feed_id string, capture_id string, entity_pos bigint, trip_id string, start_date string, "
       "trip_relationship string, trip_delay int")
 SU = ("feed_id string, capture_id string, entity_pos bigint, stu_pos int, stop_id string, "
@@ -14,147 +17,141 @@ SU = ("feed_id string, capture_id string, entity_pos bigint, stu_pos int, stop_i
 CAP = "feed_id string, capture_id string, fetched_epoch bigint"
 
 
-def overlay(spark, feed, stus=(), tus=None, captures=None):
-    """The 12:00 departure of trip T_WK_1200 at S1 (sequence 1) under these updates."""
-    q = queries(spark, ("q", "15111", AT, 90))
-    tus = tus if tus is not None else [("M", "c", 0, "T_WK_1200", "", "SCHEDULED", None)]
-    captures = captures if captures is not None else [("M", "c", NOON - 3600)]
-    out = rt.overlay(dep.departures(q, feed), q, spark.createDataFrame(tus, TU),
-                     spark.createDataFrame(list(stus), SU), spark.createDataFrame(captures, CAP))
-    return {r.trip_id: r for r in out.collect()}["T_WK_1200"]
-
-
-def stu(delay=None, time=None, stop="S1", seq="1", pos=0, rel="SCHEDULED"):
-    return ("M", "c", 0, pos, stop, seq, rel, delay, time)
-
-
-CHAIN = [
-    ([stu(delay=120)], "SCHEDULED", 120, 15),
-    ([stu(delay=-180)], "SCHEDULED", -180, 10),
-    ([stu(delay=0)], "SCHEDULED", 0, 13),
-    ([stu(delay=150)], "SCHEDULED", 150, 15),          # half to even: 2.5 -> 2
-    ([stu(delay=210)], "SCHEDULED", 210, 17),          # 3.5 -> 4
-    ([stu(time=NOON - 60)], "SCHEDULED", -60, 12),
-    ([stu(time=NOON + 300, delay=60)], "SCHEDULED", 300, 18),   # time wins
-    ([stu(time=NOON + 50_000)], "IMPLAUSIBLE_DELAY", 50_000, None),
-    ([stu(time=9_000_000_000)], "IMPLAUSIBLE_DELAY", 9_000_000_000, None),
-    ([stu(delay=90_000)], "IMPLAUSIBLE_DELAY", 90_000, None),
-    ([stu()], "NO_PREDICTION", None, None),
-    ([stu(rel="NO_DATA")], "NO_DATA", None, None),
-    ([stu(delay=60, rel="SKIPPED")], "SKIPPED", None, None),
-    ([stu(delay=60, stop="", seq="1")], "SCHEDULED", 60, 14),   # by number only
-    ([stu(delay=60, stop="S2", seq="2")], "NO_DATA", None, None),
-    ([stu(delay=60, stop="S2", seq="1", pos=0), stu(delay=600, pos=1)], "SCHEDULED", 60, 14),
-]
-
-
-def test_prediction_chain(spark, feed):
-    """Each case is a query a second later with a capture of its own."""
-    start = int(datetime.fromisoformat("2026-08-05T11:46:01-05:00").timestamp())
-    at = [datetime.fromtimestamp(start + i, timezone.utc).isoformat() for i in range(len(CHAIN))]
-    q = queries(spark, *[(str(i), "15111", at[i], 90) for i in range(len(CHAIN))])
-    tus = [("M", f"c{i}", 0, "T_WK_1200", "", "SCHEDULED", None) for i in range(len(CHAIN))]
-    stus = [(u[0], f"c{i}", *u[2:]) for i, case in enumerate(CHAIN) for u in case[0]]
-    caps = [("M", f"c{i}", start + i) for i in range(len(CHAIN))]
+def update(capture="x", pos=0, start="", relationship="SCHEDULED", delay=None):
+    return ("M", capture, pos, "c1", start, relationship, delay)
+
+
+def stop(delay=None, time=None, stop_id="gate", seq="10", pos=0, relationship="SCHEDULED"):
+    return (pos, stop_id, seq, relationship, delay, time)
+
+
+def overlaid(spark, feed, cases):
+    """The 08:40 departure under each case's stop updates, each case a query a second
+    later with a capture of its own."""
+    first = int(datetime.fromisoformat("2027-05-12T08:29:01+00:00").timestamp())
+    at = [datetime.fromtimestamp(first + i, timezone.utc).isoformat() for i in range(len(cases))]
+    q = queries(spark, *[(str(i), "410", t, 60) for i, t in enumerate(at)])
+    tus = [update(f"x{i}") for i in range(len(cases))]
+    stus = [("M", f"x{i}", 0, *u) for i, case in enumerate(cases) for u in case]
+    caps = [("M", f"x{i}", first + i) for i in range(len(cases))]
     out = rt.overlay(dep.departures(q, feed), q, spark.createDataFrame(tus, TU),
                      spark.createDataFrame(stus, SU), spark.createDataFrame(caps, CAP))
-    got = {int(r.query_id): (r.realtime, r.status, r.delay_seconds, r.minutes_predicted)
-           for r in out.filter("trip_id = 'T_WK_1200'").collect()}
-    assert got == {i: (True, *case[1:]) for i, case in enumerate(CHAIN)}
+    got = {int(r.query_id): (r.status, r.delay_seconds, r.minutes_predicted)
+           for r in out.filter("trip_id = 'c1'").collect()}
+    return [got[i] for i in range(len(cases))]
+
+
+def test_predictions(spark, feed):
+    cases = {
+        "late": ([stop(delay=240)], ("SCHEDULED", 240, 14)),
+        "early": ([stop(delay=-300)], ("SCHEDULED", -300, 5)),
+        "half a minute down to even": ([stop(delay=270)], ("SCHEDULED", 270, 14)),
+        "half a minute up to even": ([stop(delay=330)], ("SCHEDULED", 330, 16)),
+        "by time": ([stop(time=DUE + 120)], ("SCHEDULED", 120, 12)),
+        "time before delay": ([stop(time=DUE - 120, delay=900)], ("SCHEDULED", -120, 8)),
+        "absurd time": ([stop(time=DUE + 43_260)], ("IMPLAUSIBLE_DELAY", 43_260, None)),
+        "absurd delay": ([stop(delay=-43_260)], ("IMPLAUSIBLE_DELAY", -43_260, None)),
+        "nothing said": ([stop()], ("NO_PREDICTION", None, None)),
+        "no data": ([stop(relationship="NO_DATA")], ("NO_DATA", None, None)),
+        "skipped": ([stop(delay=60, relationship="SKIPPED")], ("SKIPPED", None, None)),
+        "number only": ([stop(delay=180, stop_id="")], ("SCHEDULED", 180, 13)),
+        "another stop": ([stop(delay=180, stop_id="hall", seq="20")], ("NO_DATA", None, None)),
+        "sequence before stop": ([stop(delay=60, stop_id="hall"), stop(delay=600, seq="99", pos=1)], ("SCHEDULED", 60, 11)),
+    }
+    got = overlaid(spark, feed, [c for c, _ in cases.values()])
+    assert dict(zip(cases, got)) == {k: want for k, (_, want) in cases.items()}
+
+
+def overlay(spark, feed, tus, captures=(("M", "x", DUE - 7200),)):
+    q = queries(spark, ("q", "410", MORNING, 60))
+    out = rt.overlay(dep.departures(q, feed), q, spark.createDataFrame(tus, TU),
+                     spark.createDataFrame([], SU), spark.createDataFrame(list(captures), CAP))
+    return out.filter("trip_id = 'c1'").first()
 
 
-def test_trip_level_fallback_cancel_and_start_date(spark, feed):
-    r = overlay(spark, feed, tus=[("M", "c", 0, "T_WK_1200", "", "SCHEDULED", 60)])
-    assert (r.status, r.delay_seconds) == ("SCHEDULED", 60)
-    r = overlay(spark, feed, tus=[("M", "c", 0, "T_WK_1200", "", "CANCELED", 60)])
+def test_trip_updates(spark, feed):
+    r = overlay(spark, feed, [update(delay=90)])
+    assert (r.status, r.delay_seconds) == ("SCHEDULED", 90)
+    r = overlay(spark, feed, [update(delay=90, relationship="CANCELED")])
     assert (r.realtime, r.status, r.predicted_epoch) == (True, "CANCELED", None)
-    r = overlay(spark, feed, tus=[("M", "c", 0, "T_WK_1200", "20260804", "SCHEDULED", 60)])
+    r = overlay(spark, feed, [update(delay=90, start="20270511")])
     assert (r.realtime, r.status) == (False, "SCHEDULED_ONLY")
-
-
-def test_last_update_of_a_trip_wins(spark, feed):
-    tus = [("M", "c", 0, "T_WK_1200", "", "SCHEDULED", 60), ("M", "c", 5, "T_WK_1200", "", "SCHEDULED", 120)]
-    assert overlay(spark, feed, tus=tus).delay_seconds == 120
+    assert overlay(spark, feed, [update(delay=90), update(pos=3, delay=150)]).delay_seconds == 150
 
 
 def test_newest_capture_known_at_the_time(spark, feed):
-    tus = [("M", c, 0, "T_WK_1200", "", "SCHEDULED", d) for c, d in (("a", 60), ("b", 120), ("c", 180))]
-    at = int(datetime.fromisoformat(AT).timestamp())
-    caps = [("M", "a", at - 90_000), ("M", "b", at), ("M", "c", at + 1)]
-    assert overlay(spark, feed, tus=tus, captures=caps).delay_seconds == 120
-    assert overlay(spark, feed, tus=tus, captures=caps[:1]).delay_seconds == 60
-    assert overlay(spark, feed, tus=tus, captures=caps[2:]).status == "SCHEDULED_ONLY"
+    at = DUE - 600
+    tus = [update(c, delay=d) for c, d in (("old", 30), ("now", 90), ("later", 300))]
+    caps = [("M", "old", at - 200_000), ("M", "now", at), ("M", "later", at + 1)]
+    assert overlay(spark, feed, tus, caps).delay_seconds == 90
+    assert overlay(spark, feed, tus, caps[:1]).delay_seconds == 30
+    assert overlay(spark, feed, tus, caps[2:]).status == "SCHEDULED_ONLY"
 
 
 def test_join_rate_is_unmeasured_without_trips(spark, feed):
-    tus = spark.createDataFrame([("M", "c", 0, "T_WK_1200", "", "", 1), ("M", "c", 1, "ghost", "", "", 1)], TU)
-    assert rt.join_rate(tus, feed.trips()).first().join_rate == 0.5
+    tus = spark.createDataFrame([("M", "x", i, t, "", "", 1) for i, t in enumerate(("c1", "h1", "s1", "bogus"))], TU)
+    assert rt.join_rate(tus, feed.trips()).first().join_rate == 0.75
     assert rt.join_rate(tus.filter("false"), feed.trips()).count() == 0
 
 
 def test_expected_board_orders_by_prediction_and_explains_empty(spark, feed):
-    q = queries(spark, ("q", "15111", AT, 90), ("none", "404", AT, 90))
-    tus = spark.createDataFrame([("M", "c", 0, "T_WK_1200", "", "SCHEDULED", 720)], TU)
-    out = boards.expected_board(q, feed, tus, spark.createDataFrame([], SU),
-                                spark.createDataFrame([("M", "c", NOON - 3600)], CAP))
+    q = queries(spark, ("q", "410", MORNING, 60), ("none", "999", MORNING, 60))
+    out = boards.expected_board(q, feed, spark.createDataFrame([update(delay=420)], TU),
+                                spark.createDataFrame([], SU), spark.createDataFrame([("M", "x", DUE - 7200)], CAP))
     got = sorted(map(tuple, out.select("query_id", "position", "trip_id", "stop_code", "reason").collect()),
                  key=lambda r: (r[0], r[1] or 0))
-    assert got == [("none", None, None, None, "STOP_NOT_FOUND"), ("q", 1, "T_RAIL_1205", "15111", None),
-                   ("q", 2, "T_WK_1200", "15111", None)]
+    assert got == [("none", None, None, None, "STOP_NOT_FOUND"), ("q", 1, "h1", "410", None), ("q", 2, "c1", "410", None)]
 
 
-E = {"route": "11", "route_id": "R11", "headsign": "Main", "departure": "2026-08-05T12:00:00-05:00",
-     "stop_id": "S1", "stop_code": "15111", "trip_id": "T1", "minutes_away": "13", "realtime": "false"}
+SHOWN = {"route": "7", "route_id": "coast", "headsign": "Lighthouse", "departure": "2027-05-12T08:40:00+00:00",
+         "stop_id": "gate", "stop_code": "410", "trip_id": "c1", "minutes_away": "10", "realtime": "false"}
 
 
-def reconcile(spark, feed, *boards_):
-    """Outcomes per board of (expected, observed) record lists."""
-    cols = sorted({*E, "board_id", "feed_id", "position"})
+def reconciled(spark, feed, *pairs):
+    """Outcomes of each (expected, observed) pair of boards."""
+    cols = sorted({*SHOWN, "board_id", "feed_id", "position"})
     schema = ", ".join(f"{c} {'int' if c == 'position' else 'string'}" for c in cols)
 
-    def df(side):
+    def side(k):
         full = [{"feed_id": "M", "board_id": str(b), "position": i, **r}
-                for b, pair in enumerate(boards_) for i, r in enumerate(pair[side])]
+                for b, pair in enumerate(pairs) for i, r in enumerate(pair[k])]
         return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in full], schema)
 
-    out = boards.reconcile(df(0), df(1), feed.zones())
     got = {}
-    for b, *rest in rows(out, "board_id", "mode", "outcome", "differing"):
+    for b, *rest in rows(boards.reconcile(side(0), side(1), feed.zones()), "board_id", "mode", "outcome", "differing"):
         got.setdefault(int(b), []).append(tuple(rest))
-    return [got[b] for b in range(len(boards_))]
-
-
-RECONCILE = [
-    ([E], [("trip_id", "matched", "")]),
-    ([{**E, "headsign": " MAIN "}], [("trip_id", "matched", "")]),
-    ([{**E, "minutes_away": "13.0", "realtime": "False"}], [("trip_id", "matched", "")]),
-    ([{**E, "route": "R11"}], [("trip_id", "matched", "")]),
-    ([{**E, "stop_id": "15111"}], [("trip_id", "matched", "")]),
-    ([{**E, "route": "99", "route_id": None}], [("trip_id", "differing", "route")]),
-    ([{**E, "departure": "2026-08-05T17:00:00Z"}], [("trip_id", "matched", "")]),
-    ([{**E, "departure": "12:01"}], [("trip_id", "differing", "departure")]),
-    ([{**E, "trip_id": None}], [("departure_route", "matched", "")]),
-    ([{**E, "trip_id": None, "route": None, "route_id": None}], [("departure", "matched", "")]),
-    ([{**E, "departure": "soon", "trip_id": None}], [("position", "differing", "departure")]),
-    ([], [("departure", "missing", "")]),
-    ([E, {**E, "trip_id": "T2"}], [("trip_id", "extra", ""), ("trip_id", "matched", "")]),
-]
+    return [got[b] for b in range(len(pairs))]
 
 
 def test_reconcile(spark, feed):
-    assert reconcile(spark, feed, *[([E], observed) for observed, _ in RECONCILE]) == [
-        want for _, want in RECONCILE]
+    same = ("trip_id", "matched", "")
+    cases = [
+        ([SHOWN], [same]),
+        ([{**SHOWN, "headsign": "LIGHTHOUSE "}], [same]),
+        ([{**SHOWN, "minutes_away": "10.0", "realtime": "FALSE"}], [same]),
+        ([{**SHOWN, "route": "coast"}], [same]),
+        ([{**SHOWN, "stop_id": "410"}], [same]),
+        ([{**SHOWN, "departure": "2027-05-12T09:40:00+01:00"}], [same]),
+        ([{**SHOWN, "route": "8", "route_id": None}], [("trip_id", "differing", "route")]),
+        ([{**SHOWN, "departure": "8:43"}], [("trip_id", "differing", "departure")]),
+        ([{**SHOWN, "trip_id": None}], [("departure_route", "matched", "")]),
+        ([{**SHOWN, "trip_id": None, "route": None, "route_id": None}], [("departure", "matched", "")]),
+        ([{**SHOWN, "departure": "due", "trip_id": None}], [("position", "differing", "departure")]),
+        ([], [("departure", "missing", "")]),
+        ([SHOWN, {**SHOWN, "trip_id": "h9"}], [("trip_id", "extra", ""), same]),
+    ]
+    assert reconciled(spark, feed, *[([SHOWN], observed) for observed, _ in cases]) == [want for _, want in cases]
 
 
 def test_reconcile_pairs_repeats_in_order_and_past_midnight(spark, feed):
-    late = {**E, "departure": "24:12:00", "trip_id": None}
-    shown = {**E, "departure": "2026-08-06T00:12:00-05:00", "trip_id": None}
-    assert reconcile(spark, feed, ([late, late], [shown])) == [[
-        ("departure_route", "matched", ""), ("departure_route", "missing", "")]]
+    night = {**SHOWN, "departure": "24:35:00", "trip_id": None}
+    device = {**SHOWN, "departure": "2027-05-13T00:35:00+00:00", "trip_id": None}
+    assert reconciled(spark, feed, ([night, night, night], [device])) == [[
+        ("departure_route", "matched", ""), ("departure_route", "missing", ""), ("departure_route", "missing", "")]]
 
 
-def test_occurrence_numbers_span_chunks(spark, monkeypatch):
-    monkeypatch.setattr(boards, "CHUNK", 10)
-    df = spark.range(95).select(F.lit("k").alias("k"), F.col("id").alias("p"))
-    out = boards._occurrence(df, ["k"], "p")
-    assert rows(out, "p", "occurrence") == [(i, i + 1) for i in range(95)]
+@pytest.mark.parametrize("chunk", [7, 40])
+def test_occurrence_numbers_span_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(boards, "CHUNK", chunk)
+    df = spark.range(81).select(F.lit("k").alias("k"), F.col("id").alias("p"))
+    assert rows(boards._occurrence(df, ["k"], "p"), "p", "occurrence") == [(i, i + 1) for i in range(81)]

