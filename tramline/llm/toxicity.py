@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.session import written
@@ -28,7 +28,7 @@ from tramline.session import written
 # Common English insults.
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron",
            "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
-LABELLED_ROWS = 40_000   # most labelled rows voters are induced from
+LABELLED_ROWS = 20_000   # most labelled rows voters are induced from (a share by hash)
 TRAINING_ROWS = 20_000   # most labelled rows the classifier is trained on
 FEATURES = 2048          # words and beginnings the classifier knows
 VOTERS = 256             # most induced lexicon voters
@@ -235,23 +235,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.withColumn("held_out", F.coalesce(
-        F.crc32(F.col("id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False)))
+    def is_held_out(i: Column) -> Column:
+        return F.coalesce(F.crc32(i.cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
+
+    rows = rows.withColumn("held_out", is_held_out(F.col("id")))
     known = (labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
-             .agg(F.max(F.col(label_col).cast("int")).alias("label")))
-    learned = rows.where("NOT held_out").join(known, "id").select("id", "text", "label")
-    # A bounded share by hash: the sample's size is a parameter, not a matter of the order of rows.
+             .agg(F.max(F.col(label_col).cast("int")).alias("label")).where(~is_held_out(F.col("id"))))
     n = known.count()
-    share = min(1.0, LABELLED_ROWS * folds / (folds - 1) / max(n, 1))
-    part = F.pmod(F.xxhash64("id", F.lit("labelled")), F.lit(1 << 20)) < int(share * (1 << 20))
-    counts = (learned.where(part).select("text", "label")
-              .mapInArrow(_term_counts, "term string, clean long, toxic long")
+
+    def learned(size: int, purpose: str) -> DataFrame:
+        """The labelled rows of a share of the ids by hash, ``size`` or so: few enough to
+        send their ids to every task, so that no text moves."""
+        part = F.pmod(F.xxhash64("id", F.lit(purpose)), F.lit(1 << 30)) < int(min(1.0, size / max(n, 1)) * (1 << 30))
+        return rows.join(F.broadcast(known.where(part)), "id").select("text", "label")
+
+    counts = (learned(LABELLED_ROWS, "labelled").mapInArrow(_term_counts, "term string, clean long, toxic long")
               .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    counts = written(counts.where((F.col("term") == "") | (F.col("toxic") + F.col("clean") >= LEAST_ROWS)), "terms")
     total = counts.where("term = ''").first()
     n_clean, n_toxic = (max(total["clean"], 1), max(total["toxic"], 1)) if total else (1, 1)
     toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
     rate = toxic / (n_toxic + 1), clean / (n_clean + 1)
-    told = counts.where((F.col("term") != "") & (F.col("toxic") + F.col("clean") >= LEAST_ROWS)).select(
+    told = counts.where("term <> ''").select(
         "term", "clean", "toxic",
         # log odds, less what chance may have added
         (F.log(rate[0] / rate[1]) - CHANCE * F.sqrt(1 / toxic + 1 / clean)).alias("odds"),
@@ -271,9 +276,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model.fit(patterns_seen)
     # The classifier, from the posterior labels of a bounded share of the labelled rows, where
     # the label is one more voter.
-    part = F.pmod(F.xxhash64("id", F.lit("training")), F.lit(1 << 20)) < int(
-        min(1.0, TRAINING_ROWS * folds / (folds - 1) / max(n, 1)) * (1 << 20))
-    sample = (learned.where(part).select("text", "label")
+    sample = (learned(TRAINING_ROWS, "training")
               .mapInArrow(_featured(vocabulary, voters), "features array<int>, votes array<int>, label int").toArrow())
     target = model.posterior([np.array(v, np.int64) for v in sample.column("votes").to_pylist()],
                              sample.column("label").to_numpy())
