@@ -10,6 +10,7 @@ from tramline.functions import times
 from tramline.operators import departures as dep
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
+from tramline.session import written
 
 # Rows numbered per task when counting repeats of one pairing key.
 CHUNK = 10_000
@@ -45,7 +46,8 @@ def expected_board(queries: DataFrame, feed, trip_updates: DataFrame, stop_updat
         F.lit(None).cast("string").alias("reason"))
     order = Window.partitionBy("query_id").orderBy(
         "shown_epoch", "route", "trip_id", "stop_sequence", "stop_id", "service_date", "headsign")
-    shown = shown.withColumn("position", F.row_number().over(order))
+    # Written once to the shared folder: the boards are the result and decide emptiness.
+    shown = written(shown.withColumn("position", F.row_number().over(order)), "boards")
     empty = queries.join(shown.select("query_id").distinct(), "query_id", "left_anti")
     why = dep.explain_empty(empty, feed).select("query_id", F.col("verdict").alias("reason"))
     return shown.unionByName(why, allowMissingColumns=True)

@@ -372,7 +372,8 @@ def _board_sides(d: Demo) -> tuple[DataFrame, DataFrame]:
 
     Boards differ in what they carry, so that every way of pairing occurs.
     """
-    rows = dep.departures(d.board_queries(), d)
+    # Both sides are read several times.
+    rows = written(dep.ranked(dep.all_departures(d.board_queries(), d)), "boards")
     t = F.substring("trip_id", 2, 20).cast("bigint")
     s = F.substring("stop_id", 2, 20).cast("bigint")
     base = rows.select(
@@ -662,7 +663,7 @@ def artifact_manifest(d: Demo) -> DataFrame:
 def golden_regression(d: Demo) -> DataFrame:
     """Today's boards against a recording with deterministic differences."""
     queries = d.board_queries()
-    rows = artifacts.golden_rows(dep.ranked(dep.all_departures(queries, d)))
+    rows = artifacts.golden_rows(written(dep.ranked(dep.all_departures(queries, d)), "boards"))
     t = F.substring("trip_id", 2, 20).cast("bigint")
     golden = rows.filter(t % 41 != 0).withColumn("headsign", F.when(t % 43 == 0, "Depot").otherwise(
         F.col("headsign"))).withColumn("direction_id", F.when(t % 86 == 0, "9").otherwise(
