@@ -125,6 +125,26 @@ def local_iso(e: str, zone: str) -> str:
             f"lpad((abs({off}) % 3600 // 60)::VARCHAR, 2, '0'))")
 
 
+def _charters(b: bool) -> str:
+    start = "(DATE '2026-01-01' + (c_custkey * 7 % 340)::INTEGER)"
+    length = "CASE WHEN c_custkey % 11 = 0 THEN 20 ELSE 13 END" if b else "13"
+    days = ", ".join(f"(c_custkey // {2 ** i} % 2)::VARCHAR AS {c}"
+                     for i, c in enumerate(demo.CALENDAR_COLUMNS[1:8]))
+    return f"""
+UNION ALL BY NAME SELECT 'F' || (c_custkey % 3) AS feed_id, '{'B' if b else 'A'}' AS snapshot_id,
+  'H' || c_custkey AS service_id, {days}, strftime({start}, '%Y%m%d') AS start_date,
+  strftime({start} + {length}, '%Y%m%d') AS end_date
+FROM customer {'WHERE c_custkey % 53 <> 0' if b else ''}"""
+
+
+def _charter_days(b: bool) -> str:
+    return f"""
+UNION ALL BY NAME SELECT 'F' || (user_id % 3) AS feed_id, '{'B' if b else 'A'}' AS snapshot_id,
+  'H' || user_id AS service_id, strftime(ts::DATE + 1009, '%Y%m%d') AS date,
+  max(CASE WHEN event_type = 'error' THEN '2' ELSE '1' END) AS exception_type
+FROM events {'WHERE user_id % 7 <> 0' if b else ''} GROUP BY ALL"""
+
+
 VIEWS: dict[str, str] = {}
 for _b, _s in ((False, "a"), (True, "b")):
     _S = _s.upper()
@@ -132,9 +152,9 @@ for _b, _s in ((False, "a"), (True, "b")):
     VIEWS[f"routes_{_s}"] = _routes(_b)
     VIEWS[f"trips_{_s}"] = _trips(_b)
     VIEWS[f"stop_times_{_s}"] = _stop_times(_b)
-    VIEWS[f"calendar_{_s}"] = _per_feed(demo.CALENDAR[_S], demo.CALENDAR_COLUMNS, _S)
+    VIEWS[f"calendar_{_s}"] = _per_feed(demo.CALENDAR[_S], demo.CALENDAR_COLUMNS, _S) + _charters(_b)
     VIEWS[f"calendar_dates_{_s}"] = _per_feed(
-        demo.CALENDAR_DATES[_S], ["service_id", "date", "exception_type"], _S)
+        demo.CALENDAR_DATES[_S], ["service_id", "date", "exception_type"], _S) + _charter_days(_b)
     VIEWS[f"agency_{_s}"] = ("SELECT * FROM " + _values(
         [(f, _S, "A1", f"Agency {f}", z) for f, z in demo.ZONES.items()],
         ["feed_id", "snapshot_id", "agency_id", "agency_name", "agency_timezone"]))
