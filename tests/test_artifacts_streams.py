@@ -36,6 +36,20 @@ def test_prune_by_days_starts_at_the_feed(spark, feed):
     assert rows(out["trips"], "trip_id") == [("c1",), ("c9",), ("h1",), ("h2",)]
 
 
+def test_compact_drops_what_the_decisions_call_empty(spark):
+    f = make(spark, trips="\n".join(line + ("," if i else ",shape_id") for i, line in enumerate(TABLES["trips"].split("\n"))))
+    written = artifacts.compact(f.tables(), "balanced")
+    kept = {(r.table_name, r.column_name)
+            for r in artifacts.prune_decisions(profile.feed_profile(f.tables()), "balanced").collect() if r.kept}
+    assert kept == {(n, c) for n, df in written.items() for c in df.columns if c not in ("feed_id", "snapshot_id")}
+    assert "shape_id" not in written["trips"].columns
+
+
+def test_unknown_routes_are_an_error(spark, feed):
+    with pytest.raises(ValueError, match="metro"):
+        artifacts.compact(feed.tables(), "minimal", routes=["hill", "metro"])
+
+
 def test_full_drops_nothing(spark, feed):
     out = artifacts.compact(feed.tables(), "full")
     assert {n: df.columns for n, df in out.items()} == {n: df.columns for n, df in feed.tables().items()}

@@ -130,9 +130,11 @@ def prune_decisions(profile: DataFrame, strategy: str) -> DataFrame:
     """One row per table and column: kept or dropped, why, estimated bytes saved.
 
     ``profile`` is `operators.profile.feed_profile`: a column is called empty
-    because it was counted, per feed.
+    because it was counted, in every feed that shares the table.
     """
-    rows = profile.select(*KEY, "table_name", "column_name", "rows", "always_empty", "text_bytes")
+    column = ["table_name", "column_name"]
+    empty = profile.groupBy(*column).agg(F.bool_and("always_empty").alias("always_empty"))
+    rows = profile.select(*KEY, *column, "rows", "text_bytes").join(empty, column)
     dropped_table = ~F.col("table_name").isin([
         t for t in [*ESSENTIAL_TABLES, *BALANCED_TABLES, *FULL_ONLY_TABLES]
         if kept_table(t, strategy)])
@@ -153,17 +155,38 @@ def prune_decisions(profile: DataFrame, strategy: str) -> DataFrame:
         .alias("bytes_saved"))
 
 
+def empty_columns(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns without a value in any feed: one map-side aggregate per table, of which
+    one row reaches the driver, for it decides a schema."""
+    out = {}
+    for name, df in tables.items():
+        columns = [c for c in df.columns if c not in KEY]
+        filled = df.agg(*[F.coalesce(F.max(F.coalesce(F.col(c), F.lit("")) != ""), F.lit(False)).alias(c)
+                          for c in columns]).first()
+        out[name] = [c for c in columns if not filled[c]]
+    return out
+
+
+def unknown_routes(tables: dict[str, DataFrame], routes: list[str]) -> list[str]:
+    """The asked route ids that no feed has."""
+    known = tables["routes"].filter(F.col("route_id").isin(routes)).select("route_id").distinct()
+    return sorted(set(routes) - {r["route_id"] for r in known.collect()})
+
+
 def compact(tables: dict[str, DataFrame], strategy: str = "balanced",
-            routes: list[str] | None = None, days: int | None = None,
-            empty_columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+            routes: list[str] | None = None, days: int | None = None) -> dict[str, DataFrame]:
     """The pruned tables of every feed.
 
     Rows follow a semi-join chain: services of the first ``days`` service days
     -> trips (and ``routes``) -> calls -> stops with their parents. The window
     starts at each feed's first service date, so the result does not depend on
-    the day it was made. ``empty_columns`` are the measured empty ones.
+    the day it was made. Columns that are empty on every row of every feed are
+    dropped, as `prune_decisions` says. Unknown route ids are an error.
     """
     out = {n: df for n, df in tables.items() if kept_table(n, strategy)}
+    if routes is not None and (unknown := unknown_routes(tables, routes)):
+        raise ValueError(f"No feed has the routes {', '.join(unknown)}.")
+    empties = empty_columns(out) if strategy != "full" else {}
     trips, calls = out["trips"], out["stop_times"]
     if days is not None:
         span = cal.coverage(out["calendar"], out["calendar_dates"])
@@ -190,7 +213,7 @@ def compact(tables: dict[str, DataFrame], strategy: str = "balanced",
     out["trips"], out["stop_times"] = trips, calls
     if strategy != "full":
         for name, df in out.items():
-            empty = set((empty_columns or {}).get(name, []))
+            empty = set(empties[name])
             keep = [c for c in df.columns if c not in KEY and c not in empty]
             plan = COLUMN_PLAN.get(name, {}).get(strategy)
             if plan is not None:

@@ -110,15 +110,18 @@ def asof_capture(instants: DataFrame, captures: DataFrame, on: list[str] = FEED)
             .filter(F.col("capture_id").isNotNull()))
 
 
-def _first_by(stop_updates: DataFrame, winners: DataFrame, key: str, name: str,
-              on: list[str]) -> DataFrame:
-    """First stop update of the winning entity per value of ``key``."""
+def _first_by_key(stop_updates: DataFrame, winners: DataFrame, on: list[str]) -> DataFrame:
+    """First stop update of the winning entity per stop id and per stop sequence: one
+    aggregation over (name, key), where name says which of the two the key is."""
     record = F.struct("stu_pos", "relationship", "event_delay", "event_time")
-    return (stop_updates.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-            .join(winners.select(*on, "capture_id", "trip_id", "entity_pos"),
-                  [*on, "capture_id", "entity_pos"], "left_semi")
-            .groupBy(*on, "capture_id", "entity_pos", F.col(key).cast("string").alias(key))
-            .agg(F.min(record).alias(name)))
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key"))
+        for c in ("stop_id", "stop_sequence")]))
+    return (stop_updates.join(winners.select(*on, "capture_id", "entity_pos"),
+                              [*on, "capture_id", "entity_pos"], "left_semi")
+            .withColumn("k", keys).filter("k.key <> ''")
+            .groupBy(*on, "capture_id", "entity_pos", "k.name", "k.key")
+            .agg(F.min(record).alias("first")))
 
 
 def overlay(departures: DataFrame, queries: DataFrame, trip_updates: DataFrame,
@@ -133,9 +136,16 @@ def overlay(departures: DataFrame, queries: DataFrame, trip_updates: DataFrame,
     canceled trip is reported as such.
     """
     known = asof_capture(queries, captures, on)
-    winners = latest_update(trip_updates, on)
-    by_stop = _first_by(stop_updates, winners, "stop_id", "by_stop", on)
-    by_seq = _first_by(stop_updates, winners, "stop_sequence", "by_seq", on)
+    # Only captures known at an asked instant matter, of all ever made.
+    asked = known.select(*on, "capture_id").distinct()
+    winners = latest_update(trip_updates.join(asked, [*on, "capture_id"], "left_semi"), on)
+    firsts = _first_by_key(stop_updates.join(asked, [*on, "capture_id"], "left_semi"), winners, on)
+
+    def first_by(name: str, out: str) -> DataFrame:
+        return firsts.filter(F.col("name") == name).select(
+            *on, "capture_id", "entity_pos", F.col("key").alias(name), F.col("first").alias(out))
+
+    by_stop, by_seq = first_by("stop_id", "by_stop"), first_by("stop_sequence", "by_seq")
 
     tu = winners.select(*on, "capture_id", "trip_id", "entity_pos",
                         F.coalesce("start_date", F.lit("")).alias("start_date"),

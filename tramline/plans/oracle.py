@@ -1057,7 +1057,10 @@ def _sized(t: str, columns: list[str], prefix: str) -> str:
             f"FROM {prefix} GROUP BY 1")
 
 
-ORACLE["compact_sink"] = _kept(lambda t: _sized(t, _sink_columns(t), f"k_{t}"))
+ORACLE["compact_sink"] = _kept(lambda t: f"""
+SELECT *, (SELECT string_agg(DISTINCT column_name, ',' ORDER BY column_name) FROM profile
+  WHERE table_name = '{t}' AND non_empty > 0 AND column_name IN ({', '.join(map(repr, _sink_columns(t)))})) AS columns
+FROM ({_sized(t, _sink_columns(t), f"k_{t}")})""")
 ORACLE["gtfs_scan"] = v.sql(" UNION ALL ".join(_sized(t, _COLS[t], f"{t}_a") for t in _T["a"]))
 
 

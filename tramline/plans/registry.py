@@ -632,7 +632,8 @@ def compact_sink(d: Demo) -> DataFrame:
         size = sum(F.length(F.coalesce(c, F.lit(""))) for c in back.columns if c not in KEY)
         part = back.groupBy("feed_id").agg(F.count(F.lit(1)).alias("rows"),
                                            F.sum(size).alias("characters")).select(
-            "feed_id", F.lit(name).alias("table_name"), "rows", "characters")
+            "feed_id", F.lit(name).alias("table_name"), "rows", "characters",
+            F.lit(",".join(sorted(c for c in back.columns if c not in KEY))).alias("columns"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -710,7 +711,8 @@ def gtfs_scan(d: Demo) -> DataFrame:
         size = sum(F.length(c) for c in columns)
         part = back.groupBy("feed_id").agg(F.count(F.lit(1)).alias("rows"),
                                            F.sum(size).alias("characters")).select(
-            "feed_id", F.lit(name).alias("table_name"), "rows", "characters")
+            "feed_id", F.lit(name).alias("table_name"), "rows", "characters",
+            F.lit(",".join(sorted(c for c in back.columns if c not in KEY))).alias("columns"))
         out = part if out is None else out.unionByName(part)
     return out
 
