@@ -130,6 +130,21 @@ ORACLE = {
         SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines,
                len(coalesce(removed, [])) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed
         FROM documents d LEFT JOIN gone USING (doc_id)""",
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')
+                          AS words FROM documents),
+             p AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS passage
+                   FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j
+                      FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY passage) AS low FROM p)
+                      WHERE low < doc_id),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text
+                      FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w)
+                      ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+             n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
     "op9_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
