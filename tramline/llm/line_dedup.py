@@ -25,25 +25,30 @@ _SPACES = r"[\x20\x09-\x0D]+"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """One row per line that has words: where it stands, its words, two hashes of them."""
-    norm = F.trim(F.regexp_replace("line", _SPACES, " "))
+    """One row per line that has words: where it stands, its words parted by one space,
+    two hashes of them."""
+    plain = F.trim("line")
+    odd = F.contains(plain, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(plain, F.lit(c))
+    norm = F.when(odd, F.trim(F.regexp_replace("line", _SPACES, " "))).otherwise(plain)
     return (rows.select("id", "r", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
             .select("id", "r", "line_no", norm.alias("norm")).where("norm <> ''")
-            .select("id", "r", "line_no", F.split("norm", " ").alias("words"), F.xxhash64("norm").alias("h"),
+            .select("id", "r", "line_no", "norm", F.xxhash64("norm").alias("h"),
                     F.xxhash64("norm", F.lit("second")).alias("g")))
 
 
-def _halves() -> Column:
+def _halves(words: Column) -> Column:
     """Hashes of the first and second halves. A near line may have one word less or more,
     so the halves are taken for the length of the shorter one, if that is this line and
     if it is not."""
-    n = F.size("words")
+    n = F.size(words)
     keys = []
     for shorter in (n - 1, n):
         first = F.floor(shorter / 2).cast("int")
         second = shorter - first
-        keys += [F.xxhash64(F.lit("first"), shorter, F.slice("words", F.lit(1), first)),
-                 F.xxhash64(F.lit("second"), shorter, F.slice("words", n - second + 1, second))]
+        keys += [F.xxhash64(F.lit("first"), shorter, F.slice(words, F.lit(1), first)),
+                 F.xxhash64(F.lit("second"), shorter, F.slice(words, n - second + 1, second))]
     return F.array(*keys)
 
 
@@ -59,19 +64,23 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """The keys of each line's deletion neighbourhood."""
-    words = lines.select("h", "g", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    """The keys of each line's deletion neighbourhood. If it shares only first halves, the
+    word that differs is in the second half, and so the other way round."""
+    words = lines.select("h", "g", "first", "in_first", "in_second", F.size("words").alias("n"),
+                         F.posexplode("words").alias("i", "word"))
     whole = Window.partitionBy("h", "g")
     so_far = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x, y = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    rows = words.select("h", "g", "first", "n", "i", x.alias("x"), y.alias("y")).select(
-        "h", "g", "first", "n", "i", "x", F.bit_xor("x").over(whole).alias("full"),
-        F.bit_xor("x").over(so_far).alias("before"), F.bit_xor("y").over(so_far).alias("moved"),
-        F.bit_xor("y").over(whole).alias("all_moved"))
+    rows = words.withColumns({"x": x, "y": y}).drop("word").withColumns({
+        "full": F.bit_xor("x").over(whole), "before": F.bit_xor("x").over(so_far),
+        "moved": F.bit_xor("y").over(so_far), "all_moved": F.bit_xor("y").over(whole)})
     # Words before i in place, words after i moved up by one.
     variant = F.col("before").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("moved"))
+    middle = F.floor((F.col("n") - 1) / 2)
+    asked = (F.col("in_first") & (F.col("i") <= middle)) | (F.col("in_second") & (F.col("i") >= middle))
     keys = F.array_compact(F.array(
-        F.xxhash64(F.lit("replaced"), "n", "i", variant), F.xxhash64(F.lit("line"), F.col("n") - 1, variant),
+        F.when(asked, F.xxhash64(F.lit("replaced"), "n", "i", variant)),
+        F.when(asked, F.xxhash64(F.lit("line"), F.col("n") - 1, variant)),
         F.when(F.col("i") == 0, F.xxhash64(F.lit("line"), "n", "full"))))
     return rows.select("h", "g", "first", F.explode(keys).alias("key"))
 
@@ -89,20 +98,23 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("r", F.xxhash64("text"))
     lines = _lines(rows)
-    many = F.size("words") >= min_words
     place = F.struct("id", "line_no", "r")
-    halves = F.when(many, _halves())
+    words = F.split("norm", " ")
+    # Of lines with too few words the halves are null.
+    halved = lines.select("h", "g", place.alias("place"), words.alias("words")).select(
+        "h", "g", "place", F.when(F.size("words") >= min_words, _halves(F.col("words"))).alias("k"))
     different = written(
-        lines.select("h", "g", place.alias("place"), *(halves[i].alias(f"k{i}") for i in range(4)))
-        .groupBy("h", "g").agg(F.min("place").alias("first"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))),
-        "lines")
-    keyed = different.where("k0 IS NOT NULL").select(
-        "h", "g", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("key"))
+        halved.groupBy("h", "g").agg(F.min("place").alias("first"), *(
+            F.min(F.get("k", F.lit(i))).alias(f"k{i}") for i in range(4))), "lines")
+    key = F.explode(F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i % 2 == 1).alias("second"))
+                              for i in range(4))))
+    keyed = different.where("k0 IS NOT NULL").select("h", key.alias("k")).select("h", "k.*")
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
-    some = written(keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
-                   .join(different.select("h", "g", "first"), ["h", "g"]), "candidates")
-    texts = written(BlockedBloom(some, "h").possible(lines.select("h", "g", "words"), "h").join(some, ["h", "g"])
-                    .dropDuplicates(["h", "g"]), "texts")
+    some = (keyed.join(shared, "key", "left_semi").groupBy("h")
+            .agg(F.bool_or("second").alias("in_first"), F.bool_or(~F.col("second")).alias("in_second")))
+    some = written(some.join(different.select("h", "g", "first"), "h"), "candidates")
+    texts = written(BlockedBloom(some, "h").possible(lines.select("h", "g", "norm"), "h").join(some, ["h", "g"])
+                    .dropDuplicates(["h", "g"]).withColumn("words", words).drop("norm"), "texts")
     variants = _variants(texts)
     low = variants.groupBy("key").agg(F.min(F.struct("first", "h", "g")).alias("low"))
     pairs = (variants.join(low, "key").where("low.first < first")
