@@ -185,6 +185,22 @@ def test_lines(spark, nothing):
     assert text == "a\nc"
 
 
+def test_longer_lines_around_a_shorter_one(spark):
+    """Two lines one word longer than a third, at different places, hide it from neither."""
+    rng = random.Random(12)
+    short, alone = "a b c d e", "f g h i j k"
+    longer = [" ".join([*short.split()[:i], w, *short.split()[i:]]) for i in range(6) for w in ("x", "y")]
+    rng.shuffle(longer)
+    cases = [["x a b c d e", short, "a b c d e y"], ["x f g h i j k", "f g h i j k y"],
+             [*longer[:6], short, *longer[6:]], [short, *longer], [*longer, short],
+             [alone + " y", "x " + alone, alone]]
+    for case in cases:
+        rows = list(enumerate(case))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(((r.doc_id, r.n_lines, r.removed) for r in line_dedup.duplicate_lines(docs).collect()), key=repr)
+        assert got == brute.lines(rows)
+
+
 def test_packing(docs, nothing, rows):
     out = packing.pack(docs, lengths=(64, 128, 256)).collect()
     by_doc = {}

@@ -4,8 +4,10 @@ Two lines are near when one word inserted, deleted or replaced turns one into th
 other. A line emits, as hashed keys, itself and all variants with one word deleted:
 lines that differ by a replacement share the variant without that word, lines that
 differ by a deletion share the longer one's variant and the shorter one itself. Equal
-keys meet; each line is paired with the earliest line of a key only, and the pair is
-verified word by word.
+keys meet; each line is paired with the earliest only of those near by that key, and the
+pair is verified word by word. Lines that share the place and the variant of a
+replacement are all near; of those that share a shorter line, the longer ones are near to
+it but not always to each other, so they meet the line itself, and it meets the earliest.
 
 Near lines also share their first or their second half, so only lines that share a
 half with another line emit variants. Variants are hashed by running exclusive-ors
@@ -64,7 +66,8 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """The keys of each line's deletion neighbourhood. If it shares only first halves, the
+    """The keys of each line's deletion neighbourhood; whether a key stands for the line
+    itself (plain) or for the line less a word (shorter). If it shares only first halves, the
     word that differs is in the second half, and so the other way round."""
     words = lines.select("h", "g", "first", "in_first", "in_second", F.size("words").alias("n"),
                          F.posexplode("words").alias("i", "word"))
@@ -78,11 +81,15 @@ def _variants(lines: DataFrame) -> DataFrame:
     variant = F.col("before").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("moved"))
     middle = F.floor((F.col("n") - 1) / 2)
     asked = (F.col("in_first") & (F.col("i") <= middle)) | (F.col("in_second") & (F.col("i") >= middle))
+
+    def key(hashed: Column, plain: bool, shorter: bool) -> Column:
+        return F.struct(hashed.alias("key"), F.lit(plain).alias("plain"), F.lit(shorter).alias("shorter"))
+
     keys = F.array_compact(F.array(
-        F.when(asked, F.xxhash64(F.lit("replaced"), "n", "i", variant)),
-        F.when(asked, F.xxhash64(F.lit("line"), F.col("n") - 1, variant)),
-        F.when(F.col("i") == 0, F.xxhash64(F.lit("line"), "n", "full"))))
-    return rows.select("h", "g", "first", F.explode(keys).alias("key"))
+        F.when(asked, key(F.xxhash64(F.lit("replaced"), "n", "i", variant), False, False)),
+        F.when(asked, key(F.xxhash64(F.lit("line"), F.col("n") - 1, variant), False, True)),
+        F.when(F.col("i") == 0, key(F.xxhash64(F.lit("line"), "n", "full"), True, False))))
+    return rows.select("h", "g", "first", F.explode(keys).alias("k")).select("h", "g", "first", "k.*")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -116,8 +123,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(BlockedBloom(some, "h").possible(lines.select("h", "g", "norm"), "h").join(some, ["h", "g"])
                     .dropDuplicates(["h", "g"]).withColumn("words", words).drop("norm"), "texts")
     variants = _variants(texts)
-    low = variants.groupBy("key").agg(F.min(F.struct("first", "h", "g")).alias("low"))
-    pairs = (variants.join(low, "key").where("low.first < first")
+    line = F.struct("first", "h", "g")
+    low = variants.groupBy("key").agg(F.min(F.when(F.col("plain"), line)).alias("low_plain"),
+                                      F.min(F.when(~F.col("plain"), line)).alias("low_variant"))
+    pairs = (variants.join(low, "key")
+             .withColumn("low", F.when(F.col("shorter"), F.col("low_plain")).otherwise(F.col("low_variant")))
+             .where("low.first < first")
              .select("h", "g", F.col("low.h").alias("low_h"), F.col("low.g").alias("low_g")).distinct())
     a, b = texts.select("h", "g", F.col("words").alias("own")), texts.select(
         F.col("h").alias("low_h"), F.col("g").alias("low_g"), F.col("words").alias("low"))
