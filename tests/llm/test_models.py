@@ -189,3 +189,37 @@ def test_pipeline_keeps_rows_without_ids_or_texts(spark):
         out = stage(spark, docs, SF)
         assert out.count() == (2 if name == "exact_dedup" else 3), name
     assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    """Rows without an id, or under one id, stand or go by their own texts."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select(*(f.split()[0] for f in schema.split(", ")))
+    toxic = (toxicity.toxicity_scores(base, spark.read.parquet(f"{SF}/labels.parquet"), digest=True)
+             .where("predicted = 1").join(base, "doc_id").orderBy("doc_id").first().text)
+    a, b, c, d, e = (prose(80) for _ in range(5))
+
+    mixed = base.where(F.col("doc_id") < 10 ** 9).unionByName(table([(None, toxic), (None, a), (-7, toxic), (-7, b)]))
+    kept = stages["toxicity"](spark, mixed, SF).where("doc_id IS NULL OR doc_id = -7")
+    assert texts(kept) == sorted([(None, a), (-7, b)], key=repr)
+
+    copies = table([(None, a), (None, a), (5, b), (5, b), (5, b.upper()), (4, b), (5, c), (None, d), (6, d)])
+    kept = texts(stages["exact_dedup"](spark, copies, SF))
+    assert sorted((i, t.lower()) for i, t in kept if i is not None) == sorted([(5, b), (5, c), (6, d)])
+    assert [t for i, t in kept if i is None] == [a]
+
+    near = table([(1, a + " x"), (None, a + " y"), (None, b), (None, b + " z"), (None, c), (3, d), (3, d + " w"), (3, e)])
+    kept = texts(stages["ngram_jaccard_join"](spark, near, SF))
+    assert {(1, a + " x"), (None, c), (3, e)} < set(kept) and len(kept) == 5
+    assert len({(None, b), (None, b + " z")} & set(kept)) == len({(3, d), (3, d + " w")} & set(kept)) == 1
+
+    repeats = table([(None, a + " x"), (None, a + " y"), (3, b + " v"), (3, b + " w"), (None, c), (9, c + " u")])
+    cut = texts(stages["substring_dedup"](spark, repeats, SF))
+    assert len(cut) == 6 and {(None, ""), (9, c + " u")} < set(cut)
+    for i, passage in ((None, a), (3, b)):
+        assert sum(passage in t for k, t in cut if k == i) == 1

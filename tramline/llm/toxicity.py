@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.words import text_digest
 from tramline.session import written
 
 # Common English insults.
@@ -215,15 +216,16 @@ def _scored(vocabulary: dict[str, int], w: np.ndarray, b: float) -> Callable:
             z = np.array([b + sum([weight[t] for t in sorted(terms(text) & weight.keys())])
                           for text in batch.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2),
-                                              pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))],
-                                             names=["id", "held_out", "score"])
+                                              pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))), *batch.columns[3:]],
+                                             names=["id", "held_out", "score", *batch.schema.names[3:]])
     return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic", folds: int = 3, held_out_fold: int = 1,
-                    threshold: float = 0.7) -> DataFrame:
-    """One row per input row: id_col, held_out, score (0 to 1), predicted (0 or 1).
+                    threshold: float = 0.7, digest: bool = False) -> DataFrame:
+    """One row per input row: id_col, held_out, score (0 to 1), predicted (0 or 1); with
+    ``digest``, also h and g, two hashes of its text (see ``words.text_digest``).
 
     ``labels`` has id_col and label_col (0 or 1; other values and nulls are ignored). Labels of
     rows whose crc32(id as text) modulo ``folds`` is ``held_out_fold`` are not learned
@@ -281,7 +283,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     target = model.posterior([np.array(v, np.int64) for v in sample.column("votes").to_pylist()],
                              sample.column("label").to_numpy())
     w, b = train([np.array(f, np.int64) for f in sample.column("features").to_pylist()], target, len(vocabulary))
-    scored = rows.select("id", "text", "held_out").mapInArrow(
-        _scored(vocabulary, w, b), f"id {kind}, held_out boolean, score double")
+    hashes = text_digest("text") if digest else []
+    scored = rows.select("id", "text", "held_out", *hashes).mapInArrow(
+        _scored(vocabulary, w, b), f"id {kind}, held_out boolean, score double" + ", h long, g long" * digest)
     return scored.select(F.col("id").alias(id_col), "held_out", "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"),
+                         *(["h", "g"] if digest else []))

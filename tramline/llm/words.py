@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLAB_BYTES = 2 << 20
 
@@ -38,6 +40,12 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def text_digest(text_col: str) -> list[Column]:
+    """Two hashes of a text, h and g; null counts as empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit("second")).alias("g")]
+
+
 def slabs(texts: list[bytes], limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` bytes together (or one text)."""
     first = size = 0
