@@ -223,3 +223,19 @@ def test_pipeline_stages_decide_by_row(spark):
     assert len(cut) == 6 and {(None, ""), (9, c + " u")} < set(cut)
     for i, passage in ((None, a), (3, b)):
         assert sum(passage in t for k, t in cut if k == i) == 1
+
+
+def test_repeated_query_rows_have_whole_lists(spark):
+    x = np.random.default_rng(7).standard_normal((40, 8))
+    rows = [(i, x[i].tolist()) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [(0, 0), (1, 1), (1, 39), (2, 2)]  # id 1 with two vectors
+    queries = spark.createDataFrame([rows[0]] * 4 + [(i, rows[j][1]) for i, j in asked], vectors.schema)
+    want = []
+    for i, j in asked:
+        d = np.sqrt(((x - x[j]) ** 2).sum(1))
+        d[i] = np.inf
+        want += [(i, n, int(v)) for n, v in enumerate(np.argsort(d, kind="stable")[:10], start=1)]
+    for block_rows in (100, 12):
+        got = ann.nearest(vectors, queries, recall=1.0, block_rows=block_rows).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)

@@ -99,7 +99,8 @@ def _search(centre: np.ndarray, rotation: np.ndarray, radius: int, k: int) -> Ca
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         q_ids, ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-        out_q, out_v, out_d = [], [], []
+        keys = queries.column("q").to_numpy()
+        out_q, out_k, out_v, out_d = [], [], [], []
         if len(q_ids) and len(ids):
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], vectors(rows)[order]
@@ -116,10 +117,11 @@ def _search(centre: np.ndarray, rotation: np.ndarray, radius: int, k: int) -> Ca
                 near = distances(x[found], q[i])
                 best = np.argsort(near, kind="stable")[:k]  # ids ascend, so ties go to the smaller
                 out_q.append(np.full(len(best), q_ids[i]))
+                out_k.append(np.full(len(best), keys[i]))
                 out_v.append(ids[found[best]])
                 out_d.append(near[best])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
-        return pa.table({"query_id": join(out_q, np.int64), "vec_id": join(out_v, np.int64),
+        return pa.table({"query_id": join(out_q, np.int64), "q": join(out_k, np.int64), "vec_id": join(out_v, np.int64),
                          "score": join(out_d, np.float64)})
     return run
 
@@ -134,7 +136,7 @@ def _packed(batches):
                 x = np.array(v, np.float64)
                 if np.isfinite(x).all() and x.any():
                     keep.append(i)
-                    out.append(x.tobytes())
+                    out.append((x + 0.0).tobytes())  # no negative zeros: equal vectors have equal bytes
         take = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(out, pa.binary())], names=["id", "v"])
 
@@ -148,7 +150,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     ``queries`` has the same columns as ``vectors``. A candidate is every row but those
     with the query's id. Vectors that are null, zero, hold null or non-finite components,
     or have another length than the most rows take no part, nor do rows with a null id;
-    rows that repeat an id count each. Rotation and radius are learned on at most
+    candidates that repeat an id count each. Queries equal in id and vector are asked once;
+    queries that share an id but not the vector have a list each, ranked apart. Rotation and radius are learned on at most
     ``SAMPLE`` vectors, the first by a hash of their id; every row is indexed.
     """
     def packed(df: DataFrame) -> DataFrame:
@@ -170,12 +173,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     rotation = learn_rotations(x - centre, bits)
     radius = learn_radius(x, encode(x, centre, rotation), k, recall)
     blocks, groups = -(-n // block_rows), -(-n_queries // GROUP_ROWS)
-    block, group = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.pmod(F.xxhash64("id"), F.lit(groups))
-    left = packed(queries).withColumn("g", group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Copies of one row are dealt to all blocks, by a salt; queries are different already.
+    key, salt = F.xxhash64("id", "v"), F.monotonically_increasing_id()
+    block, group = F.pmod(F.xxhash64("id", "v", salt), F.lit(blocks)), F.pmod(F.col("q"), F.lit(groups))
+    left = (packed(queries).distinct().withColumn("q", key).withColumn("g", group)
+            .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     right = rows.withColumn("b", block).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cast = lambda df: df.select(F.col("g").cast("int").alias("g"), F.col("b").cast("int").alias("b"), "id", "v")
-    found = (cast(left).groupBy("g", "b").cogroup(cast(right).groupBy("g", "b"))
-             .applyInArrow(_search(centre, rotation, radius, k), "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    cast = lambda df, *more: df.select(F.col("g").cast("int").alias("g"), F.col("b").cast("int").alias("b"), "id", "v", *more)
+    found = (cast(left, "q").groupBy("g", "b").cogroup(cast(right).groupBy("g", "b"))
+             .applyInArrow(_search(centre, rotation, radius, k), "query_id long, q long, vec_id long, score double"))
+    order = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
