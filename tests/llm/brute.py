@@ -2,9 +2,12 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 
 def lowered(text):
     return (text or "").encode().lower()
@@ -109,3 +112,48 @@ def lines(rows, least=5):
         out.append((i, len(split), [n for n, w in enumerate(split)
                                     if w and (w in near_lines or first[w] != (i, n))]))
     return sorted(out, key=repr)
+
+
+def near_components(rows, percent=80):
+    """(id, set size, smallest id reached, kept), for rows with different ids."""
+    sets = []
+    for _, t in rows:
+        w = lowered(t).split()
+        k = min(2, len(w))
+        sets.append({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set())
+    least = [i for i, _ in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+             if i < j and a and b and 100 * len(a & b) >= percent * len(a | b)]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            low = min(least[i], least[j])
+            if (least[i], least[j]) != (low, low):
+                least[i] = least[j] = low
+                moved = True
+    return sorted((d, len(s), c, d == c) for (d, _), s, c in zip(rows, sets, least))
+
+
+def fill_in_middle(i, text):
+    """(units, form, characters of prefix and middle, output)."""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    hexes = hashlib.sha256(f"1:{i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(hexes[8 * k:8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def whitened(vectors, k=8):
+    """Coordinates, deviations and shares of the trace."""
+    x = np.floor(1024 * vectors).astype(int) + 100_000
+    n, s = len(x), x.sum(axis=0)
+    centred = x - s / n
+    values, turn = np.linalg.eigh(centred.T @ centred / n)
+    values, turn = values[::-1], turn[:, ::-1]
+    return (centred @ turn[:, :k] / np.sqrt(values[:k]), ((n * x - s) ** 2).sum(axis=1).tolist(), values[:k] / values.sum())

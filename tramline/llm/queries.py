@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm import ann, bpe, exact_dedup, line_dedup, lm_score, ngram_join, packing, substring_dedup, toxicity, url_filter
+from tramline.llm import (ann, bpe, exact_dedup, fim, hyperminhash, line_dedup, lm_score, ngram_join, packing, substring_dedup,
+                          toxicity, url_filter, whitening)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,23 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates on pairs of words, by HyperMinHash."""
+    return hyperminhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of each document, digests of the output and of the text rebuilt from it."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the eight leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_score": op2_lm_score,
@@ -89,6 +107,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ann": op10_ann,
+    "op11_minhash_dedup": op11_minhash_dedup,
+    "op12_fim": op12_fim,
+    "op13_whitening": op13_whitening,
 }
 
 # A-Z only: DuckDB's lower() would fold other letters too.
@@ -150,4 +171,37 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op11_minhash_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')
+                          AS words FROM documents),
+             s AS (SELECT DISTINCT doc_id, words[i] || ' ' || words[i + 1] AS shingle
+                   FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w WHERE len(words) >= 2)
+                   UNION ALL SELECT doc_id, words[1] FROM w WHERE len(words) = 1),
+             z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+                   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b
+                   WHERE 100 * common >= 80 * (x.n + y.n - common)),
+             r AS (SELECT doc_id AS node, doc_id AS seen FROM documents
+                   UNION SELECT l.a, r.seen FROM l JOIN r ON r.node = l.b),
+             c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents LEFT JOIN z USING (doc_id) JOIN c ON c.node = doc_id""",
+    "op12_fim": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
+                          regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                          sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+             d AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a,
+                          ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                                    OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                               WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+             c AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(a, b)], '') AS p,
+                          array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+                          array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM d)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM c""",
 }
