@@ -157,3 +157,89 @@ def whitened(vectors, k=8):
     values, turn = np.linalg.eigh(centred.T @ centred / n)
     values, turn = values[::-1], turn[:, ::-1]
     return (centred @ turn[:, :k] / np.sqrt(values[:k]), ((n * x - s) ** 2).sum(axis=1).tolist(), values[:k] / values.sum())
+
+
+def lattice_scores(rows, path, smoothing=0.1, folds=7, fold=2):
+    """log10 probabilities of texts, rows: (id, text, class); by plain sums over all words."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    size = len(model)
+    order = np.argsort(np.argsort([-model.get_score(i) for i in range(size)], kind="stable"))
+    prior = 1 / (10.0 + order)
+    prior = prior / prior.sum()
+    pieces = {model.id_to_piece(i): i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    raw = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
+
+    def arcs(text, i):
+        out = [(j, (pieces[text[i:j]],)) for j in range(i + 1, min(len(text), i + 64) + 1) if text[i:j] in pieces]
+        if not out or out[0][0] != i + 1:
+            out.append((i + 1, tuple(raw[b] for b in text[i].encode())))
+        return out
+
+    def sums(text, logp):
+        """Log probabilities of all beginnings."""
+        a = [0.0] + [-math.inf] * len(text)
+        for i in range(len(text)):
+            for j, ks in arcs(text, i):
+                a[j] = np.logaddexp(a[j], a[i] + sum(logp[k] for k in ks))
+        return a
+
+    classes = sorted({c for i, _, c in rows if not held_out(i, folds, fold)}, key=lambda c: (c is not None, c or ""))
+    counts = {c: Counter() for c in classes}
+    words, ends = {b""}, Counter()
+    for i, t, c in rows:
+        found = lowered(t).split()
+        words.update(found)
+        if not held_out(i, folds, fold):
+            counts[c].update([*found, b""])
+            ends[c] += 1
+    whole = sum(counts.values(), Counter())
+    n = prior * smoothing * size
+    logs = np.log(prior)
+    for word, count in whole.items():
+        if not word:
+            continue
+        text = "▁" + word.decode()
+        a = sums(text, logs)
+        b = [-math.inf] * len(text) + [0.0]
+        for i in range(len(text) - 1, -1, -1):
+            for j, ks in arcs(text, i):
+                b[i] = np.logaddexp(b[i], b[j] + sum(logs[k] for k in ks))
+        for i in range(len(text)):
+            for j, ks in arcs(text, i):
+                for k in ks:
+                    n[k] += count * math.exp(a[i] + sum(logs[q] for q in ks) + b[j] - a[-1])
+    n = np.append(n, sum(ends.values()) + 1.0)
+    logp = np.log(n / n.sum())
+    logz = {w: sums("▁" + w.decode(), logp)[-1] if w else logp[-1] for w in words}
+    totals = {c: sum(counts[c].values()) for c in classes}
+    mass = [sum(math.exp(logz[w]) for w, k in whole.items() if w and k >= 1 + less) for less in (0, 1)]
+
+    def parts(word, c, less):
+        count = max(whole[word] - less, 0)
+        return [max(counts[c][word] - less, 0) / max(totals[c] - less, 1), count / max(sum(totals.values()) - less, 1),
+                math.exp(logz[word]), 0.0 if count else math.exp(logz[word]) / max(1 - mass[less], 1e-3)]
+
+    known = [(counts[c][w], np.array(parts(w, c, 1))) for w in whole for c in classes if counts[c][w]]
+    weights = np.full(4, 0.25)
+    for _ in range(25):
+        new = np.zeros(4)
+        for k, p in known:
+            share = weights * p
+            new += k * share / share.sum()
+        weights = new / new.sum()
+    weights = weights * sum(k for k, _ in known) + [0, 1, 1, 1]
+    weights /= weights.sum()
+
+    def score(word, c):
+        p = weights[0] * counts[c][word] / max(totals[c], 1) + weights[1] * whole[word] / max(sum(totals.values()), 1)
+        spelled = logz[word] + math.log(weights[2] + (0 if whole[word] else weights[3] / max(1 - mass[0], 1e-3)))
+        return float(np.logaddexp(math.log(p) if p else -math.inf, spelled))
+
+    out = {}
+    for i, t, _ in rows:
+        tokens = [*lowered(t).split(), b""]
+        by = [math.log((ends[c] + 1) / (sum(ends.values()) + len(classes))) + sum(score(w, c) for w in tokens) for c in classes]
+        out[i] = float(np.logaddexp.reduce(by)) / math.log(10)
+    return out

@@ -127,6 +127,32 @@ def test_scores(docs, nothing, rows):
     assert lm_score.score_documents(nothing, path).count() == 0
 
 
+def test_scores_by_path(spark):
+    """The score against one worked out from the counts; unseen words by their pieces alone."""
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    rows = [(i, prose(40, rng), "en" if i % 2 else "de") for i in range(60)]
+    held = [i for i in range(100, 400) if brute.held_out(i, 7, 2)]
+    odd = ["", "zqx", "zqxzqx", "zqx" * 400, "abcd abcd", "plausibly", "pxqzvkjw", "漢字\U0001f600"]
+    rows += [(held[k], t, None) for k, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lm_score.score_documents(docs, path).collect()}
+    want = brute.lattice_scores(rows, path)
+    # The weights are means over tasks of those that each task fits, here of a few words.
+    assert all(got[i] == pytest.approx(want[i], rel=0.02, abs=0.02) for i in got) and len(got) == len(rows)
+    by = {t: got[held[k]] for k, t in enumerate(odd)}
+    assert by["zqx" * 400] < 100 * by["zqx"] < 0 and by["zqxzqx"] < by["zqx"] < by[""] and by["pxqzvkjw"] < by["plausibly"]
+
+
+def test_scores_of_rows_without_an_id_or_under_one(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 500)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [prose(9) for _ in range(20)] + ["a b c"] * 30 + [None]
+    rows = [(None if k % 2 else 7, t, "en") for k, t in enumerate(texts)]
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()
+    assert len(got) == len(rows) and all(r.score < 0 for r in got)
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == sorted((i is None, len((t or "").split()) + 1) for i, t, _ in rows)
+
+
 def test_lattice_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces, _, raw, prior = lm_score.vocabulary(path)

@@ -7,14 +7,14 @@ text's probability is the product over its words and one end. The file's scores,
 which order the pieces, start the piece probabilities; one expectation step over all
 training words, in which each segmentation counts by its posterior, fits them to the
 corpus. A training word is a path of the lattice by itself, too, with its frequency
-in one of a few classes of texts (such as languages) and overall, and a word never
-seen is the vocabulary's unknown piece, which stands for as many words as the counts
-of words seen once and twice foretell. The weights of the four kinds of path come
-from leave-one-out counts. The class of a text is unknown when it is scored and is
-summed over, like the segmentation.
+in one of a few classes of texts (such as languages) and overall. A word never seen
+has its segmentations only; that it is one has a weight of its own, which such words
+share as their pieces spell them, so the more pieces a word takes the less likely it
+is. The weights of the four kinds of path come from leave-one-out counts. The class of
+a text is unknown when it is scored and is summed over, like the segmentation.
 
 Counts and marginals are found once for each different word. Documents are dealt to
-buckets of bounded size by a hash of their id; a bucket asks once for each of its
+buckets of bounded size by a hash of id, text and place; a bucket asks once for each of its
 words, so what travels are its different words, not all of them.
 """
 
@@ -36,6 +36,7 @@ from tramline.session import written
 BUCKET_BYTES = 32 << 20
 FLUSH_WORDS = 400_000
 SMOOTHING = 0.1
+LEAST_UNSEEN = 1e-3
 CLASSES = 32
 _WORD = "▁"
 
@@ -64,22 +65,30 @@ class Lattice:
     """Marginals of words under given log probabilities of the pieces."""
 
     def __init__(self, path: str, logp: np.ndarray):
-        self.pieces, self.prefixes, self.raw, _ = vocabulary(path)
+        pieces, prefixes, self.raw, _ = vocabulary(path)
         self.logp = logp.tolist()
+        # What each prefix of a piece is by itself: log probability and numbers, or nothing.
+        self.steps = {p: (self.logp[k], (k,)) if (k := pieces.get(p)) is not None else None for p in prefixes}
+
+    def _spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """A character without a piece of its own, in bytes."""
+        ks = tuple(self.raw[b] for b in char.encode())
+        return sum(self.logp[k] for k in ks), ks
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """From each character: where a piece may end, its log probability, its numbers."""
-        text, out, logp, pieces, prefixes = _WORD + word, [], self.logp, self.pieces, self.prefixes
+        text, out, steps = _WORD + word, [], self.steps
         n = len(text)
         for i in range(n):
-            here, j = [], i + 1
-            while j <= n and (part := text[i:j]) in prefixes:
-                if (k := pieces.get(part)) is not None:
-                    here.append((j, logp[k], (k,)))
-                j += 1
-            if not here or here[0][0] != i + 1:  # a character without a piece is spelled in bytes
-                ks = tuple(self.raw[b] for b in text[i].encode())
-                here.append((i + 1, sum(logp[k] for k in ks), ks))
+            here = []
+            for j in range(i + 1, n + 1):
+                step = steps.get(text[i:j], here)
+                if step is here:  # no piece goes on like this
+                    break
+                if step is not None:
+                    here.append((j, *step))
+            if not here or here[0][0] != i + 1:
+                here.append((i + 1, *self._spelled(text[i])))
             out.append(here)
         return out
 
@@ -102,7 +111,30 @@ class Lattice:
         return alpha
 
     def log_marginal(self, word: str) -> float:
-        return self.forward(self.edges(word))[-1]
+        """The last value of ``forward``, without keeping the lattice."""
+        text, steps = _WORD + word, self.steps
+        n = len(text)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for i in range(n + 1):
+            t = into[i]
+            if len(t) == 1:
+                a = t[0]
+            else:
+                m = max(t)
+                a = m + math.log(sum([math.exp(x - m) for x in t]))
+            if i == n:
+                return a
+            whole = False
+            for j in range(i + 1, n + 1):
+                step = steps.get(text[i:j], t)
+                if step is t:
+                    break
+                if step is not None:
+                    into[j].append(a + step[0])
+                    whole = whole or j == i + 1
+            if not whole:
+                into[i + 1].append(a + self._spelled(text[i])[0])
 
     def expect(self, word: str, weight: float, into: dict[int, float]) -> None:
         """Add the expected number of each piece, over all segmentations, times weight."""
@@ -175,40 +207,55 @@ def _marginals(path: str, logp: np.ndarray) -> Callable:
     return run
 
 
-def _paths(batch: pa.RecordBatch, totals: np.ndarray, unseen: float, less: int) -> tuple[np.ndarray, ...]:
-    """Counts (words x classes), and of each the probability of the path by class
-    frequency, by frequency, by pieces, and as one of the unseen words; ``less`` is left
-    out of the own count."""
+def _paths(batch: pa.RecordBatch, totals: np.ndarray, spelled: float, less: int) -> tuple[np.ndarray, ...]:
+    """Counts (words x classes), and of each the log probability of the path by class
+    frequency, by frequency, by pieces, and by pieces as a word not seen; ``less`` is left
+    out of the own count. ``spelled`` is the log of the probability that pieces spell a
+    word not seen, so that all such words share the last path's weight."""
     c = batch.column("c").to_numpy()
     by_class = batch.column("by_class").values.to_numpy().reshape(-1, len(totals))
-    rest = np.maximum(c - less, 0)
-    return (by_class, np.maximum(by_class - less, 0) / np.maximum(totals - less, 1),
-            *(np.broadcast_to(p[:, None], by_class.shape) for p in (
-                rest / max(totals.sum() - less, 1), np.exp(batch.column("logz").to_numpy()), (rest == 0) / unseen)))
+    rest, logz = np.maximum(c - less, 0), batch.column("logz").to_numpy()
+    with np.errstate(divide="ignore"):
+        frequent = np.log(np.maximum(by_class - less, 0) / np.maximum(totals - less, 1))
+        others = (np.log(rest / max(totals.sum() - less, 1)), logz, np.where(rest == 0, logz - spelled, -np.inf))
+    return (by_class, frequent, *(np.broadcast_to(p[:, None], by_class.shape) for p in others))
+
+
+def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of probabilities given by their logs; one of them at least is not zero."""
+    top = np.maximum.reduce(parts)
+    return top + np.log(sum(np.exp(p - top) for p in parts))
 
 
-def _weights(totals: np.ndarray, unseen: float) -> Callable:
+def _weights(totals: np.ndarray, spelled: float) -> Callable:
     """Expectation-maximisation of the path weights on a task's words, which are dealt by
     hash and so a fair part of all; rows: the weights times the tokens they stand for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, *paths = _paths(batch, totals, unseen, 1)
+            n, *paths = _paths(batch, totals, spelled, 1)
+            seen = n > 0
+            n, paths = n[seen], [p[seen] for p in paths]
             w = np.full(len(paths), 1 / len(paths))
-            for _ in range(25):
-                parts = [x * y for x, y in zip(w, paths)]
-                whole = np.maximum(sum(parts), 1e-300)
-                w = np.array([(n * p / whole).sum() for p in parts])
-                w /= max(w.sum(), 1e-300)
+            if len(n):
+                top = np.maximum.reduce(paths)
+                shares = [np.exp(p - top) for p in paths]
+                for _ in range(25):
+                    parts = [x * y for x, y in zip(w, shares)]
+                    whole = np.maximum(sum(parts), 1e-300)
+                    w = np.array([(n * p / whole).sum() for p in parts])
+                    w /= max(w.sum(), 1e-300)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in w * n.sum()],
                                              names=[f"w{i}" for i in range(len(w))])
     return run
 
 
-def _class_scores(totals: np.ndarray, unseen: float, weights: np.ndarray) -> Callable:
+def _class_scores(totals: np.ndarray, spelled: float, weights: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, *paths = _paths(batch, totals, unseen, 0)
-            score = np.log10(sum(w * p for w, p in zip(weights, paths))).astype(np.float32)
+            _, *paths = _paths(batch, totals, spelled, 0)
+            with np.errstate(divide="ignore"):
+                logs = [np.log(w) + p for w, p in zip(weights, paths)]
+            score = (_log_sum(logs) / math.log(10)).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("c"), pa.array([r.tobytes() for r in score], pa.binary())],
                 names=["word", "c", "scores"])
@@ -278,13 +325,12 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     words = counts.where("word IS NOT NULL")
     head = counts.select(
         F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0)),
-        *(F.count_if(F.col("word").isNotNull() & test) for test in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)),
+        F.count_if(F.col("word").isNotNull() & (F.col("c") > 0)),
         *(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("by_class")[k])), F.lit(0)) for k in range(classes)),
         *(F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("by_class")[k])), F.lit(0)) for k in range(classes)),
     ).first()
-    size, different, once, twice = head[:4]
-    unseen = max(1.0, once * once / (2 * (twice + 1)))
-    totals, ends = np.array(head[4:4 + classes], np.int64), np.array(head[4 + classes:], np.int64)
+    size, different = head[:2]
+    totals, ends = np.array(head[2:2 + classes], np.int64), np.array(head[2 + classes:], np.int64)
     total = int(totals.sum())
     prior = vocabulary(path)[3]
     learned = (words.where("c > 0 AND length(word) > 0").select("word", "c")
@@ -297,14 +343,20 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     logp = np.log(n / n.sum())
     model = written(words.mapInArrow(_marginals(path, logp),
                                      "word binary, c bigint, by_class array<bigint>, logz double"), "model")
-    found = model.mapInArrow(_weights(totals, unseen), "w0 double, w1 double, w2 double, w3 double").agg(
+    # What pieces spell of the words seen; of those seen twice, as each word is left out once.
+    mass = model.where("length(word) > 0").agg(
+        *(F.coalesce(F.sum(F.when(F.col("c") >= k, F.exp("logz"))), F.lit(0.0)) for k in (1, 2))).first()
+    seen, again = (math.log(max(1 - x, LEAST_UNSEEN)) for x in mass)
+    found = model.mapInArrow(_weights(totals, again), "w0 double, w1 double, w2 double, w3 double").agg(
         *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(4))).first()
     weights = np.array(found) + [0.0, 1.0, 1.0, 1.0]  # each text stays possible
     buckets = size // BUCKET_BYTES + 1
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).select(
+    # Rows that share an id, or have none, are parted by their texts, copies by their place.
+    deal = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    dealt = rows.withColumn("bucket", F.pmod(deal, F.lit(buckets)).cast("int")).select(
         "bucket", "id", "text", "held_out")
     answered = (dealt.groupBy("bucket").applyInArrow(_asked, "bucket int, word binary")
-                .join(model.mapInArrow(_class_scores(totals, unseen, weights / weights.sum()),
+                .join(model.mapInArrow(_class_scores(totals, seen, weights / weights.sum()),
                                        "word binary, c bigint, scores binary"), "word")
                 .select("bucket", "word", "c", "scores"))
     out = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(
