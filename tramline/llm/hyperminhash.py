@@ -8,12 +8,12 @@ agree in all registers of a band meet under its key.
 
 Of the classes under a key the one that meets most others is the hub. Every class is
 checked against its best hub first, which joins most copies with one comparison each.
-Then only classes not yet joined are compared: by sketches inside a key, first each with
-its best partner, then all that are left. A comparison is an estimate of the similarity
-from the registers, corrected for those that agree by chance, with a margin that no
-linked pair misses in practice; pairs that pass it are decided by their whole shingle
-sets. Keys with many classes are compared in blocks, and only across parts not yet
-joined, so no task holds a hot group and copies are not expanded into pairs.
+Then only parts not yet joined are compared, by sketches inside a key; those that may
+link form clusters, whose rows are compared by whole shingle sets, again across parts
+only. A sketch comparison is an estimate of the similarity from the registers, corrected
+for those that agree by chance, with a margin that no linked pair misses in practice;
+whole sets decide. Large keys and clusters are compared in blocks, and what leaves a task
+are the edges that join parts, so no task holds a hot group and no group becomes pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ SHINGLE, PERCENT = 2, 80
 BANDS, BUCKETS, MANTISSA = 40, 5, 10
 MARGIN_SIGMAS = 4.5
 BLOCK = 1024
-BUCKET_ROWS = 40_000
+BLOCK_CELLS = 1 << 19
 _FACTORS = np.random.default_rng(29).integers(1, 1 << 62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLICE = np.uint32((1 << 32) // BUCKETS)
 
@@ -117,14 +117,14 @@ def _signed(width: int) -> Callable:
                 sizes = np.diff(ends, prepend=0)
                 some = np.flatnonzero(sizes)
                 found = sketches(values, (ends - sizes)[some]) if len(some) else np.zeros((0, 0), np.uint16)
-                nodes, signs = [None] * (last - first), [None] * (last - first)
+                words, signs = [None] * (last - first), [None] * (last - first)
                 for row, at in enumerate(some.tolist()):
-                    nodes[at] = _key(h[w.bounds[at]:w.bounds[at + 1]])
+                    words[at] = _key(h[w.bounds[at]:w.bounds[at + 1]])
                     signs[at] = found[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(first, last - first) for c in (0, 2, 3)]
-                    + [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
-                    names=["id", "h", "g", "node", "n", "sketch"])
+                    + [pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
+                    names=["id", "h", "g", "words", "n", "sketch"])
     return run
 
 
@@ -157,48 +157,97 @@ def _estimated(percent: int) -> Callable:
     return run
 
 
-def _across(percent: int, best: bool) -> Callable:
-    """Pairs of one key, or of two of its blocks, that lie in different parts and that
-    their sketches allow; with ``best``, each class's most similar one only."""
+def _spanning(a: np.ndarray, b: np.ndarray, part: list[int]) -> list[int]:
+    """Places of the pairs that join two parts not yet joined; ``part`` is where each row
+    stands before and, in the end, after."""
+    def top(x: int) -> int:
+        while part[x] != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            part[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def _compared(group: pa.Table, test: Callable) -> pa.Table:
+    """Edges (a, b) that join the parts (``root``) of each ``place`` as far as ``test`` links
+    rows of different parts; where rows have sides, only across them. ``test(i, rest)`` says
+    which of the rows ``rest`` link to row i. At most one edge less than parts leaves."""
+    nodes, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
+    side, place = group.column("side").to_numpy(), group.column("place").to_numpy()
+    order = np.argsort(place, kind="stable")
+    out_a, out_b = [], []
+    for members in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        _, first, number = np.unique(roots[members], return_index=True, return_inverse=True)
+        if len(first) == 1:
+            continue
+        part, cross = list(range(len(first))), side[members].any()
+        for i, m in enumerate(members[:-1]):
+            own = number[i]
+            rest = members[i + 1:]
+            open_ = number[i + 1:] != own
+            if cross:
+                open_ &= side[rest] != side[m]
+            at = np.flatnonzero(open_)
+            if not len(at):
+                continue
+            at = at[test(m, rest[at])]
+            joined = _spanning(np.full(len(at), own), number[i + 1 + at], part)
+            out_a += [m] * len(joined)
+            out_b += rest[at[joined]].tolist()
+    return pa.table({"a": pa.array(nodes[out_a], pa.int64()), "b": pa.array(nodes[out_b], pa.int64())})
+
+
+def _alike(percent: int) -> Callable:
+    """Edges between the parts that meet under one key and that sketches allow to link."""
     def run(group: pa.Table) -> pa.Table:
-        nodes, roots = group.column("node").to_pylist(), group.column("root").to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        part = np.array([number[r] for r in roots])
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
-        n, side = group.column("n").to_numpy(), group.column("side").to_numpy()
-        place = group.column("place").to_numpy()
-        order = np.argsort(place, kind="stable")
-        pairs = set()
-        for members in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
-            cross = side[members].any()
-            for i, m in enumerate(members):
-                rest = members if best else members[i + 1:]
-                rest = rest[part[rest] != part[m]]
-                if cross:
-                    rest = rest[side[rest] != side[m]]
-                if not len(rest):
-                    continue
-                equal = (sketch[rest] == sketch[m]).mean(axis=1)
-                good = np.flatnonzero(_possible(equal, np.full(len(rest), n[m]), n[rest], percent))
-                if best and len(good):
-                    good = good[[int(np.argmax(equal[good]))]]
-                for other in rest[good]:
-                    pairs.add((min(nodes[m], nodes[other]), max(nodes[m], nodes[other])))
-        pairs = sorted(pairs)
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(group.num_rows, -1)
+        n = group.column("n").to_numpy()
+
+        def test(i: int, rest: np.ndarray) -> np.ndarray:
+            return _possible((sketch[rest] == sketch[i]).mean(axis=1), np.full(len(rest), n[i]), n[rest], percent)
+
+        return _compared(group, test)
+    return run
+
+
+def _linked(percent: int) -> Callable:
+    """Edges between the parts of one candidate cluster that whole sets link."""
+    def run(group: pa.Table) -> pa.Table:
+        sets = group.column("cells").combine_chunks()
+        n = group.column("n").to_numpy()
+        flat, at = sets.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])  # sorted as such
+        cells = [flat[x:y] for x, y in zip(at, at[1:])]
+
+        def test(i: int, rest: np.ndarray) -> np.ndarray:
+            near = (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            for k in np.flatnonzero(near):
+                other = cells[rest[k]]
+                found = np.searchsorted(cells[i], other)
+                found[found == n[i]] = 0
+                shared = int((cells[i][found] == other).sum())
+                near[k] = 100 * shared >= percent * (int(n[i]) + len(other) - shared)
+            return near
+
+        return _compared(group, test)
     return run
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """Pairs with the table's columns of either end. An end that stands in many pairs is
+    """Pairs with the table's columns of either end. An end b that stands in many pairs is
     copied once for each ``block`` of them, so that no task gets them all."""
-    fan = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__fan"))
-    copies = F.explode(F.sequence(F.lit(0), F.floor(F.col("__fan") / block).cast("int")))
-    right = (table.join(fan, table["node"] == fan["b"]).select("b", copies.alias("__copy"), "__fan",
-                                                               *(F.col(c).alias(f"b_{c}") for c in columns)))
-    left = (pairs.join(fan, "b").withColumn("__copy", F.pmod(F.xxhash64("a"), F.floor(F.col("__fan") / block) + 1).cast("int"))
-            .drop("__fan").join(table.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)), "a"))
-    return left.join(right.drop("__fan"), ["b", "__copy"]).drop("__copy")
+    fan = pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / block).cast("int").alias("__fan"))
+    right = table.join(fan, table["node"] == fan["b"]).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("__fan"))).alias("__copy"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    left = (pairs.join(fan, "b").withColumn("__copy", F.pmod(F.xxhash64("a"), F.col("__fan") + 1).cast("int")).drop("__fan")
+            .join(table.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)), "a"))
+    return left.join(right, ["b", "__copy"]).drop("__copy")
 
 
 def _shingled(width: int) -> Callable:
@@ -231,96 +280,100 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     h, g = text_digest(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), h, g)
     kind = rows.schema["id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signed(shingle), f"id {kind}, h long, g long, node binary, n long, sketch binary"), "signed")
-    # The first row of a class stands for it; equal word sequences have equal sketches.
+    signed = written(rows.mapInArrow(_signed(shingle), f"id {kind}, h long, g long, words binary, n long, sketch binary"), "signed")
+    # The first row of a class stands for it; equal word sequences have equal sketches. A
+    # class's number is fixed when the table is written.
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "g")
-    classes = written(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(first).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    entries = classes.select("node", "sketch").mapInArrow(_banded, "key long, node binary")
+    classes = written(signed.where("words IS NOT NULL").groupBy("words").agg(
+        F.min(first).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    entries = classes.select("node", "sketch").mapInArrow(_banded, "key long, node long")
     keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.min("node").alias("low"),
-                                      F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("of > 1")
+                                      F.bit_xor(F.xxhash64("node")).alias("members")).where("of > 1")
     # Keys of different bands that hold the same classes are looked at once.
     keys = keys.groupBy("of", "low", "members").agg(F.min("key").alias("key"))
     met = written(entries.join(keys.select("key", "of"), "key"), "met")
 
     degree = met.groupBy("node").agg(F.sum("of").alias("degree"))
     score = F.struct("degree", "node")
-    graded = met.join(degree, "node")
-    hubs = graded.groupBy("key").agg(F.max(score).alias("hub"))
-    best_hub = met.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
-    stars = written(best_hub.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "stars")
+    hubs = met.join(degree, "node").groupBy("key").agg(F.max(score).alias("hub"))
+    stars = met.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
+    stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "stars")
 
     # The shingle sets of the classes that met, each from its first row.
-    members = written(met.select("node").distinct().join(classes, "node"), "members")
+    members = written(met.select("node").distinct().join(classes.drop("words"), "node"), "members")
     wanted = BlockedBloom(members.select(F.col("first.h").alias("h")), "h")
     m, d = members.alias("m"), wanted.possible(rows, "h").alias("d")
     same = F.col("m.first.h") == F.col("d.h")
     for c in ("g", "id"):
         same = same & F.col(f"m.first.{c}").eqNullSafe(F.col(f"d.{c}"))
-    cells = written(m.join(d, same).select("d.text", "m.node").mapInArrow(_shingled(shingle), "node binary, cells array<bigint>")
+    cells = written(m.join(d, same).select("d.text", "m.node").mapInArrow(_shingled(shingle), "node long, cells array<bigint>")
                     .dropDuplicates(["node"]), "cells")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough."""
-        both = _with_both(pairs, cells, ["cells"], block)
-        shared = F.size(F.array_intersect("a_cells", "b_cells"))
-        union = F.size("a_cells") + F.size("b_cells") - shared
-        return both.where(100 * shared >= percent * union).select("a", "b")
-
-    small = members.select("node", "n", "sketch")
-    tried = _with_both(stars, small, ["n", "sketch"], block).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
-    edges = written(linked(tried.mapInArrow(_estimated(percent), "a binary, b binary")), "edges")
+    tried = _with_both(stars, members, ["n", "sketch"], block).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    tried = tried.mapInArrow(_estimated(percent), "a long, b long")
+    both = _with_both(tried, cells, ["cells"], block)
+    shared = F.size(F.array_intersect("a_cells", "b_cells"))
+    both = both.where(100 * shared >= percent * (F.size("a_cells") + F.size("b_cells") - shared))
+    edges = written(both.select("a", "b"), "edges")
     roots = components(edges)
-    for best in (True, False):
-        pairs = written(_open_pairs(met, small, roots, percent, block, best), "pairs")
-        if pairs.isEmpty():  # then no other pair is open either
-            break
-        more = written(linked(pairs), "more")
+
+    sketched = members.select("node", "n", "sketch")
+    placed = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = _dealt(placed.withColumn("size", F.lit(1)), "key", block).join(sketched, "node")
+    maybe = written(open_.groupBy("task").applyInArrow(_alike(percent), "a long, b long"), "maybe")
+    if not maybe.isEmpty():
+        # Clusters of parts that may link; their rows are compared by whole sets.
+        part = members.select("node", "n").join(roots, "node", "left").select(
+            "node", F.coalesce("root", "node").alias("root"), F.col("n").alias("size"))
+        ends = maybe
+        for c in ("a", "b"):
+            ends = ends.join(part.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c)
+        clusters = components(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        grouped = part.join(clusters.select(F.col("node").alias("root"), F.col("root").alias("key")), "root")
+        dealt = _dealt(grouped, "key", BLOCK_CELLS).join(cells.withColumn("n", F.size("cells").cast("long")), "node")
+        more = written(dealt.groupBy("task").applyInArrow(_linked(percent), "a long, b long"), "more")
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = components(edges)
+            roots = components(edges.unionByName(more))
 
-    named = classes.select("node", "first.id").join(roots, "node", "left").select(
-        "node", "id", F.coalesce("root", "node").alias("root"))
+    named = classes.select("words", "node", "first.id").join(roots, "node", "left").select(
+        "words", "id", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(ids, "root").select("node", "component_id")
-    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return (signed.select("id", "node", "n").join(named, "node", "left")
+    named = named.join(ids, "root").select("words", "component_id")
+    own = F.when(F.col("words").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return (signed.select("id", "words", "n").join(named, "words", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"),
                     F.col("id").eqNullSafe(own).alias("kept")))
 
 
-def _open_pairs(met: DataFrame, small: DataFrame, roots: DataFrame, percent: int, block: int, best: bool) -> DataFrame:
-    """Different pairs that share a key, lie in different parts and may link by their sketches.
+def _dealt(placed: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (node, root, size) of keys with several parts, dealt to tasks: task, place, side.
 
-    A key's largest part is its major one: its classes are dealt to blocks that each meet
-    every block of the others, and are not compared among themselves; the others' blocks
-    meet each other too.
+    A key whose sizes add up to more than ``block`` is cut. Its largest part is its major
+    one: it is dealt to blocks that each meet every block of the others, and is not
+    compared in itself; the others' blocks meet each other too. Small keys share tasks.
     """
-    placed = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.sum("c").alias("of"), F.max(F.struct("c", "root")).alias("major"),
-                                     F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    held = placed.join(mixed, "key")
-    is_major = F.col("root") == F.col("major.root")
+    parts = placed.groupBy(key, "root").agg(F.sum("size").alias("c"))
+    mixed = parts.groupBy(key).agg(F.sum("c").alias("of"), F.max(F.struct("c", "root")).alias("major"),
+                                   F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    held = placed.join(mixed, key)
 
     def blocks(c: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
 
-    one = F.col("of") <= block
-    majors, minors = blocks(F.col("major.c")), blocks(F.col("of") - F.col("major.c"))
-    held = held.select("key", "node", "root", "of", is_major.alias("is_major"), one.alias("one"), majors.alias("majors"), minors.alias("minors"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
-    # (first block, second block): minors count from 0, majors from -1 down.
-    mine = F.when(F.col("is_major"), -1 - F.col("own")).otherwise(F.col("own"))
+    held = held.select(key, "node", "root", "size", (F.col("root") == F.col("major.root")).alias("is_major"),
+                       (F.col("of") <= block).alias("one"), blocks(F.col("major.c")).alias("majors"),
+                       blocks(F.col("of") - F.col("major.c")).alias("minors"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    # Blocks of minors count from 0, of majors from -1 down.
+    mine = F.when(F.col("is_major"), -1 - own).otherwise(own)
     others = F.when(F.col("one"), F.array(F.lit(0))).when(
         F.col("is_major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(
         F.sequence(-F.col("majors"), F.col("minors") - 1))
     dealt = held.withColumn("mine", mine).withColumn("other", F.explode(others))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    place = F.when(F.col("one"), F.xxhash64("key")).otherwise(F.xxhash64("key", lo, hi))
+    place = F.when(F.col("one"), F.xxhash64(key)).otherwise(F.xxhash64(key, lo, hi))
     side = F.when(F.col("one") | (lo == hi), 0).otherwise((F.col("mine") == hi).cast("int"))
-    n = met.count()
-    task = F.when(F.col("one"), F.pmod(F.xxhash64("key"), F.lit(n // BUCKET_ROWS + 1))).otherwise(place)
-    dealt = dealt.select(task.alias("task"), place.alias("place"), side.alias("side"), "node", "root").join(small, "node")
-    return dealt.groupBy("task").applyInArrow(_across(percent, best), "a binary, b binary").distinct()
+    total = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    task = F.when(F.col("one"), F.pmod(F.xxhash64(key), F.lit(total // (16 * block) + 1))).otherwise(place)
+    return dealt.select(task.alias("task"), place.alias("place"), side.alias("side"), "node", "root")
