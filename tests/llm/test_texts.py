@@ -227,6 +227,21 @@ def test_longer_lines_around_a_shorter_one(spark):
         assert got == brute.lines(rows)
 
 
+def test_line_twin_compares_plain_lines_with_variants_only():
+    import duckdb
+
+    from tramline.llm import queries
+    for case in (["x f g h i j k", "f g h i j k y"], ["x a b c d e", "a b c d e", "a b c d e y"],
+                 ["f g h i j k y", "x f g h i j k", "f g h i j k"], ["a b c d e\na b c x e", "a b c d"]):
+        rows = list(enumerate(case))
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        got = con.execute(queries.ORACLE["op4_line_dedup"]).fetchall()
+        want = [(i, n, len(gone), ",".join(map(str, gone))) for i, n, gone in brute.lines(rows)]
+        assert sorted(got) == want
+
+
 def test_packing(docs, nothing, rows):
     out = packing.pack(docs, lengths=(64, 128, 256)).collect()
     by_doc = {}

@@ -140,10 +140,12 @@ ORACLE = {
              v AS (SELECT norm, place, len(w) AS n, i,
                           list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))) AS rest
                    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
-             k AS (SELECT norm, place, (n, i, rest) AS key FROM v
-                   UNION ALL SELECT norm, place, (n - 1, 0, rest) FROM v
-                   UNION ALL SELECT norm, place, (len(w), 0, w) FROM f WHERE len(w) >= 5),
-             near AS (SELECT DISTINCT norm FROM (SELECT norm, place, min(place) OVER (PARTITION BY key) AS low FROM k)
+             k AS (SELECT norm, place, (n, i, rest) AS key, false AS plain, false AS shorter FROM v
+                   UNION ALL SELECT norm, place, (n - 1, 0, rest), false, true FROM v
+                   UNION ALL SELECT norm, place, (len(w), 0, w), true, false FROM f WHERE len(w) >= 5),
+             near AS (SELECT DISTINCT norm FROM (SELECT norm, place, CASE WHEN shorter
+                        THEN min(place) FILTER (plain) OVER (PARTITION BY key)
+                        ELSE min(place) FILTER (NOT plain) OVER (PARTITION BY key) END AS low FROM k)
                       WHERE low < place),
              gone AS (SELECT n.doc_id, list_sort(list(n.line_no)) AS removed
                       FROM n JOIN f USING (norm) LEFT JOIN near USING (norm)
