@@ -1,3 +1,7 @@
+import os
+import random
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,40 +148,55 @@ def test_snapshot_catalogue(spark):
 
 
 def updates(spark, *records):
-    return spark.createDataFrame([("M", *r) for r in records],
+    rows = spark.createDataFrame([("M", *r) for r in records],
                                  "feed_id string, trip_id string, header_ts bigint, entity_pos bigint, "
                                  "delay int, seen_epoch bigint")
-
-
-def test_trip_state_across_batches(spark, tmp_path):
-    state = jobs.TripState(spark, str(tmp_path))
-    state.merge(updates(spark, ("a", 100, 0, 1, 1000), ("a", 300, 1, 3, 1001), ("a", 200, 2, 2, 1002),
-                        ("b", 100, 3, 9, 1000)), 0)
-    # A late header changes nothing, copies change nothing, silence expires.
-    state.merge(updates(spark, ("a", 250, 4, 7, 1100), ("a", 300, 1, 3, 1001), ("c", 1, 5, 0, 8205)), 1)
-    got = spark.read.parquet(state._version(1)).select("trip_id", "s.header_ts", "s.delay", "last_seen")
-    assert rows(got, "trip_id", "header_ts", "delay", "last_seen") == [("a", 300, 3, 1100), ("c", 1, 0, 8205)]
-
-
-def test_replayed_batch_is_idempotent(spark, tmp_path):
-    state = jobs.TripState(spark, str(tmp_path))
-    batch = updates(spark, ("a", 100, 0, 1, 1000))
-    state.merge(batch, 0)
-    state.merge(updates(spark, ("a", 50, 0, 5, 1010)), 1)
-    state.merge(updates(spark, ("a", 50, 0, 5, 1010)), 1)
-    assert rows(spark.read.parquet(state._version(1)).select("trip_id", "s.delay"), "trip_id", "delay") == [("a", 1)]
-
-
-@pytest.mark.parametrize("files", [1, 3])
-def test_stream_equals_batch_however_it_is_cut(spark, tmp_path, files):
-    source = str(tmp_path / "in")
-    data = updates(spark, *[(f"t{i % 5}", i * 7 % 50, i, i, 1000 + i) for i in range(60)])
-    data.repartition(3).write.parquet(source)
-    stream = spark.readStream.schema(data.schema).option("maxFilesPerTrigger", files).parquet(source)
-    got = rows(jobs.TripState(spark, str(tmp_path / "state")).run(stream), "trip_id", "header_ts", "last_seen")
-    want = rows(data.groupBy("trip_id").agg(F.max("header_ts").alias("h"), F.max("seen_epoch").alias("l")),
-                "trip_id", "h", "l")
-    assert got == want
+    return rows.withColumn("ts", F.timestamp_seconds("seen_epoch"))
+
+
+def poured(spark, folder, files, schema=None):
+    """Write each file in turn, an hour apart as its name says, and read one per batch."""
+    for n, data in enumerate(files):
+        data.coalesce(1).write.mode("append").parquet(folder)
+        for name in os.listdir(folder):
+            if name.endswith(".parquet") and os.path.getmtime(f"{folder}/{name}") > 2e9 - 1:
+                continue
+            if name.endswith(".parquet"):
+                os.utime(f"{folder}/{name}", (2e9 + n * 3600, 2e9 + n * 3600))
+    return spark.readStream.schema(schema or files[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def newest_of_spell(records, silence=7200, delay=21600):
+    """What is left of trips in the end, by a plain loop over all updates in order of time."""
+    trips, newest = {}, max(r[4] for r in records)
+    for trip, header, pos, late, seen in sorted(records, key=lambda r: r[4]):
+        best, last = trips.get(trip, (None, None))
+        record = (header, pos, late, seen)
+        trips[trip] = (record if last is None or seen - last > silence else max(best, record), seen)
+    return sorted((t, *best, last) for t, (best, last) in trips.items()
+                  if last >= newest - silence and last + silence > newest - delay)
+
+
+def test_trip_state_is_the_same_for_every_split_and_order(spark, tmp_path):
+    """Seven hours of updates with silences of more than two, late headers and copies; rows come
+    up to five hours late."""
+    rng = random.Random(5)
+    records = []
+    for trip in range(6):
+        at = rng.randrange(600)
+        while at < 25_000:
+            records.append((f"t{trip}", at - rng.randrange(4000), len(records), rng.randrange(99), at))
+            at += rng.choice([40, 600, 1800, 7200, 7201, 9000])
+    want = newest_of_spell(records)
+    assert len({t for t, *_ in records}) == 6 and 0 < len(want) <= 6
+    by_time = sorted(records, key=lambda r: r[4])
+    cuts = {"whole": [by_time + by_time[:9]],
+            "by time": [by_time[:10], by_time[10:40], by_time[40:], by_time[-9:]],
+            "mixed": [sorted(by_time, key=lambda r: r[2] % 3)[i::3] for i in range(3)]}
+    for name, parts in cuts.items():
+        stream = poured(spark, str(tmp_path / f"in {name}"), [updates(spark, *p) for p in parts])
+        got = jobs.TripState(spark, str(tmp_path / f"state {name}")).run(stream)
+        assert rows(got, "trip_id", "header_ts", "entity_pos", "delay", "seen_epoch", "last_seen") == want, name
 
 
 def test_trip_state_carries_on_after_a_restart(spark, tmp_path):
@@ -194,3 +213,62 @@ def test_trip_state_carries_on_after_a_restart(spark, tmp_path):
     assert run() == [("a", 100, 1000), ("b", 100, 1000)] == run()
     updates(spark, ("a", 90, 2, 3, 1500)).write.mode("append").parquet(source)
     assert run() == [("a", 100, 1500), ("b", 100, 1000)]
+    # A silence of three hours: the old header no longer counts, the other trip has left.
+    updates(spark, ("a", 80, 3, 4, 12_400)).write.mode("append").parquet(source)
+    assert run() == [("a", 80, 12_400)]
+
+
+def test_silent_trips_leave_the_state(spark, tmp_path):
+    root = str(tmp_path / "state")
+    stream = poured(spark, str(tmp_path / "in"), [updates(spark, ("a", 1, 0, 1, 1000)), updates(spark, ("b", 1, 1, 1, 60_000))])
+    jobs.TripState(spark, root).run(stream)
+    changes = spark.read.schema(jobs.CHANGES).parquet(f"{root}/changes")
+    assert rows(changes, "trip_id", "version", "expired") == [("a", 1, False), ("a", 2, True), ("b", 1, False)]
+
+
+def board_inputs(spark):
+    """One trip on three days, updates of two captures a few hours apart, one with a start date."""
+    day = 86_400
+    departures = spark.createDataFrame(
+        [("M", "t", f"s{n}", str(n), date(2027, 5, d), (20_584 + d) * day + 36_000 + n * 600, 0) for d in (11, 12, 13) for n in (1, 2)],
+        "feed_id string, trip_id string, stop_id string, stop_sequence string, service_date date, departure_epoch bigint, minutes_away int")
+    noon = (20_584 + 12) * day + 30_000
+    status = spark.createDataFrame([("M", "c1", 0, "", "SCHEDULED", None), ("M", "c2", 0, "", "SCHEDULED", None),
+                                    ("M", "c2", 1, "20270513", "SCHEDULED", None)],
+                                   "feed_id string, capture_id string, entity_pos bigint, start_date string, trip_relationship string, trip_delay int")
+    stops = spark.createDataFrame(
+        [("M", "c1", 0, 0, "t", "s1", "", "SCHEDULED", 60, None, noon), ("M", "c1", 0, 1, "t", "", "2", "SCHEDULED", 61, None, noon),
+         ("M", "c2", 0, 0, "t", "s1", "1", "SCHEDULED", 120, None, noon + 3000), ("M", "c2", 0, 1, "t", "s1", "", "SCHEDULED", 121, None, noon + 3000),
+         ("M", "c2", 1, 0, "t", "s1", "", "SCHEDULED", 999, None, noon + 3000)],
+        "feed_id string, capture_id string, entity_pos bigint, stu_pos int, trip_id string, stop_id string, stop_sequence string, "
+        "relationship string, event_delay int, event_time bigint, seen_epoch bigint")
+    return departures, status, stops
+
+
+def test_live_board_shows_the_newest_update_of_dates_in_reach(spark, tmp_path):
+    departures, status, stops = board_inputs(spark)
+    old, new = stops.filter("capture_id = 'c1'"), stops.filter("capture_id = 'c2'")
+    for name, files in {"one": [stops], "two": [old, new], "late": [new, old], "again": [old, new, old, stops]}.items():
+        stream = poured(spark, str(tmp_path / f"in {name}"), files, stops.schema)
+        board = jobs.LiveBoard(spark, str(tmp_path / f"board {name}")).run(jobs.live_board(stream, status, departures))
+        assert rows(board, "service_date", "stop_id", "capture_id", "stu_pos", "delay_seconds") == [
+            (date(2027, 5, 12), "s1", "c2", 0, 120), (date(2027, 5, 12), "s2", "c1", 1, 61)], name
+
+
+def polls(spark, *epochs):
+    return spark.createDataFrame([("M", "alerts", t) for t in epochs], "feed_id string, entity_kind string, fetched_epoch bigint").withColumn(
+        "ts", F.timestamp_seconds("fetched_epoch"))
+
+
+def test_outages_show_a_silence_inside_an_hour(spark, tmp_path):
+    before, after = list(range(0, 181, 30)), list(range(3180, 3700, 30))
+    end = polls(spark, 90_000)
+    orders = {"in order": [polls(spark, *before), polls(spark, *after), end], "late": [polls(spark, *after), polls(spark, *before), end],
+              "mixed": [polls(spark, *(before + after)[::2]), polls(spark, *(before + after)[1::2]), end]}
+    for name, files in orders.items():
+        spells, late = jobs.run_counted(jobs.poll_spells(poured(spark, str(tmp_path / f"in {name}"), files)), str(tmp_path / f"out {name}"))
+        assert rows(spells, "spell_start", "last_fetch", "captures") == [(0, 180, 7), (3180, 3690, 18)] and late == 0
+        assert rows(jobs.outages(spells), "silent_from", "silent_until", "seconds", "longest") == [(180, 3180, 3000, 1)]
+    files = [polls(spark, *after), end, polls(spark, *before)]
+    _, late = jobs.run_counted(jobs.poll_spells(poured(spark, str(tmp_path / "in late"), files)), str(tmp_path / "out very late"))
+    assert late > 0

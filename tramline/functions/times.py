@@ -8,6 +8,8 @@ The session zone must be UTC (``tramline.session.configure``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +17,22 @@ DAY = 86_400
 HALF_DAY = 43_200
 
 
-def gtfs_seconds(value: Column) -> Column:
-    """``H+:MM:SS`` to INT seconds; NULL when it is not three whole numbers.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it.
 
-    One split and one cast of the pieces: the generated code stays small enough
-    for the JVM to compile, wherever the expression is inlined.
+    Column expressions are inlined wherever they are named, and grow past what the JVM
+    compiles; the variable of a one-element transform is not.
     """
-    parts = F.split(value, ":").try_cast("array<bigint>")
-    total = F.try_multiply(parts[0], F.lit(3600)) + parts[1] * 60 + parts[2]
-    return F.when((F.size(parts) == 3) & (F.array_min(parts) >= 0), total.try_cast("int"))
+    return F.transform(F.array(value), body)[0]
+
+
+def gtfs_seconds(value: Column) -> Column:
+    """``H+:MM:SS`` to INT seconds; NULL when it is not three whole numbers."""
+    def total(parts: Column) -> Column:
+        secs = F.try_multiply(parts[0], F.lit(3600)) + parts[1] * 60 + parts[2]
+        return F.when((F.size(parts) == 3) & (F.array_min(parts) >= 0), secs.try_cast("int"))
+
+    return bound(F.split(value, ":").try_cast("array<bigint>"), total)
 
 
 def _two_digits(number: Column) -> Column:
@@ -33,10 +42,12 @@ def _two_digits(number: Column) -> Column:
 
 def gtfs_time(seconds: Column) -> Column:
     """Seconds to ``HH:MM:SS``, hours padded to two digits and not wrapped."""
-    s = seconds.cast("int")
-    hours, rest = F.floor(s / 3600).cast("int"), F.pmod(s, F.lit(3600))
-    return F.concat(_two_digits(hours), F.lit(":"), _two_digits(F.floor(rest / 60).cast("int")),
-                    F.lit(":"), _two_digits(F.pmod(s, F.lit(60))))
+    def text(s: Column) -> Column:
+        hours, rest = F.floor(s / 3600).cast("int"), F.pmod(s, F.lit(3600))
+        return F.concat(_two_digits(hours), F.lit(":"), _two_digits(F.floor(rest / 60).cast("int")),
+                        F.lit(":"), _two_digits(F.pmod(s, F.lit(60))))
+
+    return bound(seconds.cast("int"), text)
 
 
 def service_date(value: Column) -> Column:
@@ -65,15 +76,18 @@ def local_date(epoch: Column, zone: Column) -> Column:
 
 def local_iso(epoch: Column, zone: Column) -> Column:
     """``2026-11-01T01:30:00-05:00``; the offset tells the repeated hour apart."""
-    wall = local_clock(epoch, zone)
-    offset = (F.unix_seconds(wall) - epoch).cast("int")
-    size = F.abs(offset)
-    return F.concat(
-        F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(offset < 0, "-").otherwise("+"),
-        _two_digits(F.floor(size / 3600).cast("int")), F.lit(":"),
-        _two_digits(F.floor(F.pmod(size, F.lit(3600)) / 60).cast("int")),
-    )
+    def text(clocks: Column) -> Column:
+        wall = clocks["wall"]
+        offset = (F.unix_seconds(wall) - clocks["epoch"]).cast("int")
+        size = F.abs(offset)
+        return F.concat(
+            F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
+            F.when(offset < 0, "-").otherwise("+"),
+            _two_digits(F.floor(size / 3600).cast("int")), F.lit(":"),
+            _two_digits(F.floor(F.pmod(size, F.lit(3600)) / 60).cast("int")),
+        )
+
+    return bound(F.struct(local_clock(epoch, zone).alias("wall"), epoch.alias("epoch")), text)
 
 
 def local_hhmm(epoch: Column, zone: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline import KEY
 from tramline.operators import calendar as cal
-
+from tramline.session import written
+from tramline.sources.feeds import feed_gate, row_counts
 
 
 # --------------------------------------------------------------- snapshots --
@@ -333,24 +337,96 @@ def golden_regression(cases: DataFrame, golden: DataFrame, fresh: DataFrame,
 # ------------------------------------------------------------ SQL and paging --
 def feed_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
     """An ad-hoc SELECT, in Spark SQL, over temporary views of the feed's tables."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
-
-
-def paginate(df: DataFrame, group: list[str], order: list, offset: int = 0,
+    names = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, view in names.items():
+        tables[name].createOrReplaceTempView(view)
+    # The caller's views of these names stay: the query sees ours by common table expressions.
+    ours = ", ".join(f"`{name}` AS (SELECT * FROM `{view}`)" for name, view in names.items())
+    try:
+        head = re.match(r"(?is)\s*WITH\s+(RECURSIVE\s+)?", query)
+        return spark.sql(f"WITH {head.group(1) or ''}{ours}, {query[head.end():]}" if head else f"WITH {ours} {query}")
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``row``, their number from 1 in the group's order, and ``total``.
+
+    Rows are sorted into ranges over group, order and the other columns and written; a
+    row's number is its place in its range plus the sizes of the group's earlier ranges.
+    No task holds a group; the sizes are ranges x groups.
+    """
+    rest = [c for c in df.columns if c not in (*group, *order)]
+    ranged = written(df.repartitionByRange(*group, *order, *rest).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"__before": F.coalesce(F.sum("n").over(before), F.lit(0)),
+                               "total": F.sum("n").over(Window.partitionBy(*group))}).drop("n")
+    place = Window.partitionBy(*group, "__range").orderBy(*order, *rest)
+    return ranged.join(sizes, [*group, "__range"]).withColumn(
+        "row", F.col("__before") + F.row_number().over(place)).drop("__before", "__range")
+
+
+def paginate(df: DataFrame, group: list[str], order: list[str], offset: int = 0,
              limit: int = 50) -> DataFrame:
     """One page of ``limit`` rows per group in a total order, with total, has_more and next_offset.
 
-    Totals are aggregated apart from the ranking, so the rank bound is applied
-    before the shuffle and a group is never sorted whole.
+    However deep the page, only ranges are sorted (see ``numbered``); rows equal in
+    ``order`` are told apart by their other columns.
     """
     size, offset = max(1, limit), max(0, offset)
-    window = Window.partitionBy(*group).orderBy(*order)
-    page = df.withColumn("row", F.row_number().over(window)).filter(
-        F.col("row") <= offset + size).filter(F.col("row") > offset)
-    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
+    page = numbered(df, group, order).filter(F.col("row").between(offset + 1, offset + size))
     more = F.col("total") > offset + size
-    return page.join(totals, group).withColumns({
-        "has_more": more,
-        "next_offset": F.when(more, F.lit(offset + size))})
+    return page.withColumns({"row": F.col("row").cast("int"), "has_more": more,
+                             "next_offset": F.when(more, F.lit(offset + size))})
+
+
+# ---------------------------------------------------------------- publishing --
+def publish(tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Publish the feeds' tables version by version; the verdict per (feed, snapshot).
+
+    Tables are staged below a new version, read back and audited by the gate: row counts
+    must be those of the input, and the feed must be accepted. Only then does one small
+    commit name the version for the accepted feeds. Readers (``published``) follow the
+    commits, so until then, and for a refused feed or a write that breaks off, the
+    version before stays what they read; its files are never touched.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.partitionBy(*KEY).parquet(f"{root}/data/{name}/version={version}")
+    given = row_counts(tables)
+    staged = row_counts({name: _version(spark, root, name, version, df.schema) for name, df in tables.items()})
+    lost = given.exceptAll(staged).unionByName(staged.exceptAll(given)).select(*KEY).distinct().withColumn("lost", F.lit(True))
+    verdict = feed_gate(given).join(lost, KEY, "left")
+    verdict = verdict.withColumns({"accepted": F.col("accepted") & F.col("lost").isNull(), "reason": F.when(
+        F.col("accepted") & F.col("lost").isNotNull(), "STAGED_ROWS_DIFFER").otherwise(F.col("reason"))}).drop("lost")
+    verdict = written(verdict, "verdict")
+    commits = verdict.filter("accepted").select(*KEY, F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("at"))
+    commits.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return verdict
+
+
+COMMITS = "feed_id string, snapshot_id string, version string, at bigint"
+
+
+def _version(spark: SparkSession, root: str, name: str, version: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("basePath", f"{root}/data/{name}/version={version}").parquet(
+        f"{root}/data/{name}/version={version}")
+
+
+def published(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    """The table ``name`` of every feed and snapshot, as last published.
+
+    The commits, one row per publication, say which versions are read; other folders
+    are not opened.
+    """
+    commits = spark.read.schema(COMMITS).parquet(f"{root}/commits")
+    current = commits.groupBy(*KEY).agg(F.max_by("version", F.struct("at", "version")).alias("version"))
+    out = spark.createDataFrame([], schema)
+    for version in sorted(r[0] for r in current.select("version").distinct().collect()):
+        rows = _version(spark, root, name, version, schema)
+        mine = current.filter(F.col("version") == version).select(*KEY)
+        out = out.unionByName(rows.join(mine, KEY, "left_semi"))
+    return out

@@ -11,44 +11,110 @@ from tramline.functions import times
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 
-def runs_on(day: Column) -> Column:
-    """The weekly pattern's flag for the weekday of ``day`` is '1'."""
-    flag = F.lit(None).cast("string")
+# Days of one word of a service's bitmap.
+WORD = 64
+_WEEKLY = [sum(1 << i for i in range(r, WORD, 7)) for r in range(7)]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def word_of(day: Column) -> Column:
+    """The number of the 64-day word a date falls in."""
+    return F.floor(F.unix_date(day) / WORD).cast("int")
+
+
+def bit_of(day: Column) -> Column:
+    """The date's place in its word."""
+    return F.pmod(F.unix_date(day), F.lit(WORD))
+
+
+def _one_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
+def _weekly_bits() -> Column:
+    """Days of ``word`` that the weekly pattern and the service's first and last day
+    (``lo``, ``hi``, as days since 1970) allow."""
+    base = F.col("word") * WORD
+    masks = F.array(*[F.lit(_signed(m)).cast("bigint") for m in _WEEKLY])
+    bits = F.lit(0).cast("bigint")
     for i, name in enumerate(WEEKDAYS):
-        flag = F.when(F.weekday(day) == i, F.col(name)).otherwise(flag)
-    return F.trim(flag) == "1"
+        # Day 0 of the word has weekday (base + 3) % 7, as 1970 began on a Thursday.
+        first = F.pmod(F.lit(i - 3) - base, F.lit(7))
+        bits = bits.bitwiseOR(F.when(F.trim(name) == "1", F.get(masks, first)).otherwise(0))
+    every = F.lit(-1).cast("bigint")
+    since = F.call_function("shiftleft", every, F.greatest(F.col("lo") - base, F.lit(0)))
+    until = F.call_function("shiftrightunsigned", every, F.lit(WORD - 1) - F.least(F.col("hi") - base, F.lit(WORD - 1)))
+    return bits.bitwiseAND(since).bitwiseAND(until)
+
+
+def service_words(calendar: DataFrame, calendar_dates: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """(feed, snapshot, service_id, word, weekly, active): the days of each service, 64 in a
+    word; only words that hold one of ``dates`` (feed, snapshot, service_date), if given.
+
+    The weekly pattern sets bits, exception type 1 sets one, any other type clears one,
+    and clearing wins. Everything is or-ed together, so several rows of a service count
+    as one; no row stands for a day.
+    """
+    start, end = times.service_date(F.col("start_date")), times.service_date(F.col("end_date"))
+    weekly = (calendar.withColumns({"lo": F.unix_date(start), "hi": F.unix_date(end)}).filter("lo <= hi")
+              .withColumn("word", F.explode(F.sequence(word_of(start), word_of(end))))
+              .select(*KEY, "service_id", "word", _weekly_bits().alias("weekly"),
+                      *[F.lit(0).cast("bigint").alias(c) for c in ("added", "removed")]))
+    day, none = times.service_date(F.col("date")), F.lit(0).cast("bigint")
+    adds = F.trim("exception_type") == "1"
+    exceptions = calendar_dates.filter(day.isNotNull()).select(
+        *KEY, "service_id", word_of(day).alias("word"), none.alias("weekly"),
+        F.when(adds, _one_bit(bit_of(day))).otherwise(none).alias("added"),
+        F.when(adds, none).otherwise(_one_bit(bit_of(day))).alias("removed"))
+    words = weekly.unionByName(exceptions)
+    if dates is not None:
+        asked = dates.select(*KEY, word_of(F.col("service_date")).alias("word")).distinct()
+        words = words.join(asked, [*KEY, "word"], "left_semi")
+    kept = F.bitwise_not(F.col("removed"))
+    return (words.groupBy(*KEY, "service_id", "word")
+            .agg(*[F.bit_or(c).alias(c) for c in ("weekly", "added", "removed")])
+            .select(*KEY, "service_id", "word", F.col("weekly").bitwiseAND(kept).alias("weekly"),
+                    F.col("weekly").bitwiseOR(F.col("added")).bitwiseAND(kept).alias("active"))
+            .filter("active <> 0"))
+
+
+def service_bitmaps(words: DataFrame) -> DataFrame:
+    """(feed, snapshot, service_id, service_days): one map of word to bits per service."""
+    return words.groupBy(*KEY, "service_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "active"))).alias("service_days"))
+
+
+def runs_on(service_days: Column, day: Column) -> Column:
+    """Whether the bitmap has the date."""
+    bits = F.coalesce(F.try_element_at(service_days, word_of(day)), F.lit(0).cast("bigint"))
+    return F.getbit(bits, bit_of(day)) == 1
+
+
+def active_days(words: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """(feed, snapshot, service_id, service_date, origin) of every bit, or of those of ``dates``."""
+    if dates is not None:
+        asked = dates.select(*KEY, "service_date").distinct().withColumn("word", word_of(F.col("service_date")))
+        rows = words.join(asked, [*KEY, "word"])
+    else:
+        rows = words.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).withColumn(
+            "service_date", F.date_from_unix_date(F.col("word") * WORD + F.col("place")))
+    place = bit_of(F.col("service_date"))
+    return rows.filter(F.getbit("active", place) == 1).select(
+        *KEY, "service_id", "service_date",
+        F.when(F.getbit("weekly", place) == 1, "weekly").otherwise("exception").alias("origin"))
 
 
 def service_calendar(calendar: DataFrame, calendar_dates: DataFrame,
                      dates: DataFrame | None = None) -> DataFrame:
     """(feed, snapshot, service_id, service_date, origin) of every active day.
 
-    The weekly pattern is expanded, exception type 1 adds a day, any other type
-    removes it, and removal wins. ``dates`` (feed, snapshot, service_date)
-    restricts the expansion to requested days. Size: services x days.
+    ``dates`` (feed, snapshot, service_date) restricts them to requested days.
+    Size: services x days; only the result has a row per day.
     """
-    start, end = times.service_date(F.col("start_date")), times.service_date(F.col("end_date"))
-    weekly = (calendar.filter(start <= end)
-              .withColumn("service_date", F.explode(F.sequence(start, end)))
-              .filter(runs_on(F.col("service_date")))
-              .select(*KEY, "service_id", "service_date", F.lit(1).alias("weekly"),
-                      F.lit(0).alias("added"), F.lit(0).alias("removed")))
-    adds = F.trim("exception_type") == "1"
-    exceptions = calendar_dates.select(
-        *KEY, "service_id", times.service_date(F.col("date")).alias("service_date"),
-        F.lit(0).alias("weekly"), adds.cast("int").alias("added"),
-        (~adds).cast("int").alias("removed"))
-    days = weekly.unionByName(exceptions)
-    if dates is not None:
-        days = days.join(dates.select(*KEY, "service_date").distinct(),
-                         [*KEY, "service_date"], "left_semi")
-    # One aggregation in place of union-distinct plus an anti join.
-    return (days.groupBy(*KEY, "service_id", "service_date")
-            .agg(F.max("weekly").alias("weekly"), F.max("added").alias("added"),
-                 F.max("removed").alias("removed"))
-            .filter("removed = 0 and (weekly = 1 or added = 1)")
-            .select(*KEY, "service_id", "service_date",
-                    F.when(F.col("weekly") == 1, "weekly").otherwise("exception").alias("origin")))
+    return active_days(service_words(calendar, calendar_dates, dates), dates)
 
 
 def zoned_days(days: DataFrame, zones: DataFrame) -> DataFrame:

@@ -38,31 +38,28 @@ def boardable(stop_times: DataFrame, trips: DataFrame,
         "departure_time", "pickup_type")
 
 
-def window_slots(instants: DataFrame, services: DataFrame, zones: DataFrame,
-                 span: DataFrame) -> DataFrame:
-    """What each distinct (at_epoch, window_minutes) may board: service and seconds.
-
-    ``instants`` lists them. Every instant is spread over its candidate dates and the services active on
-    them, and its window becomes a range [from_s, to_s] of GTFS seconds there.
-    All time-zone work is done here, once per instant instead of once per query
-    or call. ``span`` (feed, snapshot, lo, hi) is the range of call seconds;
-    dates outside it are dropped (mostly the two days back).
+def window_slots(instants: DataFrame, zones: DataFrame, span: DataFrame) -> DataFrame:
+    """The service dates each distinct instant may board, and the seconds on them.
+
+    ``instants`` lists (at_epoch, window_minutes). Each is spread over its candidate
+    dates, and its window becomes a range [from_s, to_s] of GTFS seconds there. All
+    time-zone work is done here, once per instant instead of once per query or call.
+    ``span`` (feed, snapshot, lo, hi) is the range of call seconds; dates outside it are
+    dropped (mostly the two days back).
     """
     days = cal.candidate_dates(instants, zones).join(span, KEY)
     days = days.withColumn("day_start", times.day_start(F.col("service_date"), F.col("zone")))
-    days = days.withColumns({
+    return days.withColumns({
         "from_s": F.greatest(F.col("at_epoch") - F.col("day_start"), F.col("lo")),
         "to_s": F.least(F.col("at_epoch") + F.col("window_minutes") * 60 - F.col("day_start"),
-                        F.col("hi"))}).filter(F.col("from_s") <= F.col("to_s"))
-    return days.join(services.select(*KEY, "service_id", "service_date"),
-                     [*KEY, "service_date"]).drop("lo", "hi")
+                        F.col("hi"))}).filter(F.col("from_s") <= F.col("to_s")).drop("lo", "hi")
 
 
 def query_days(queries: DataFrame, resolved: DataFrame, slots: DataFrame) -> DataFrame:
-    """(query, stop_id, service_id, service_date, bucket) a call must match.
+    """(query, stop_id, service_date, bucket) a call must match; its service's bitmap then
+    says whether it runs that day, so queries never meet the calendar.
 
-    The buckets a window touches are, with stop and service, the equi keys of
-    the window join.
+    The buckets a window touches are, with the stop, the equi keys of the window join.
     """
     first, last = (F.floor(F.col(c) / BUCKET_SECONDS) for c in ("from_s", "to_s"))
     slots = slots.withColumn("bucket", F.explode(F.sequence(first, last)))
@@ -79,19 +76,25 @@ def call_span(stop_times: DataFrame) -> DataFrame:
 
 
 def window_join(days: DataFrame, calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """Calls whose instant lies in [at, at + window], both ends included.
+    """Calls whose instant lies in [at, at + window], both ends included, and whose
+    service runs on the date.
 
-    Routes join the hits, which are few, rather than travelling with all calls.
+    Range and bit are tested inside the join. Routes join the hits, which are few,
+    rather than travelling with all calls.
     """
     keyed = calls.withColumn("bucket", F.floor(F.col("seconds") / BUCKET_SECONDS))
-    hits = days.join(keyed, [*KEY, "stop_id", "service_id", "bucket"]).filter(
-        F.col("seconds").between(F.col("from_s"), F.col("to_s")))
-    hits = st.with_route(hits, routes)
-    if "route_filter" in days.columns:
-        hits = hits.filter(F.col("route_filter").isNull()
-                           | (F.col("route_filter") == F.col("route_id"))
-                           | (F.col("route_filter") == F.col("route_short_name")))
-    return hits
+    hits = days.join(keyed, [*KEY, "stop_id", "bucket"]).filter(
+        F.col("seconds").between(F.col("from_s"), F.col("to_s"))
+        & cal.runs_on(F.col("service_days"), F.col("service_date"))).drop("service_days")
+    return of_route(st.with_route(hits, routes))
+
+
+def of_route(hits: DataFrame) -> DataFrame:
+    """Hits of the route that the query names by id or badge, if it names one."""
+    if "route_filter" not in hits.columns:
+        return hits
+    return hits.filter(F.col("route_filter").isNull() | (F.col("route_filter") == F.col("route_id"))
+                       | (F.col("route_filter") == F.col("route_short_name")))
 
 
 def shaped(hits: DataFrame) -> DataFrame:
@@ -107,6 +110,12 @@ def shaped(hits: DataFrame) -> DataFrame:
         (F.col("seconds") >= times.DAY).alias("after_midnight"), "zone", "at_epoch")
 
 
+def running_trips(feed, dates: DataFrame) -> DataFrame:
+    """Trips whose service runs near the asked dates, with its bitmap for them."""
+    bitmaps = cal.service_bitmaps(cal.service_words(feed.calendar(), feed.calendar_dates(), dates))
+    return feed.trips().join(bitmaps, [*KEY, "service_id"])
+
+
 def resolved_stops(queries: DataFrame, feed) -> DataFrame:
     """The resolution of the queries' needles."""
     return st.resolve_stops(queries, feed.stops())
@@ -122,10 +131,9 @@ def all_departures(queries: DataFrame, feed, resolved: DataFrame | None = None)
     zones = feed.zones()
     spans = queries.select(*KEY, "at_epoch", "window_minutes").distinct()
     dates = cal.candidate_dates(spans, zones).select(*KEY, "service_date").distinct()
-    services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
     targets = resolved.filter(F.col("stop_id").isNotNull()).select(*KEY, "stop_id").distinct()
-    rows = boardable(feed.stop_times(), feed.trips(), targets)
-    slots = window_slots(spans, services, zones, call_span(feed.stop_times()))
+    rows = boardable(feed.stop_times(), running_trips(feed, dates), targets)
+    slots = window_slots(spans, zones, call_span(feed.stop_times()))
     return shaped(window_join(query_days(queries, resolved, slots), rows, feed.routes()))
 
 
@@ -150,11 +158,11 @@ def departures(queries: DataFrame, feed, limit: int | None = None) -> DataFrame:
     return ranked(rows, limit).join(totals, "query_id")
 
 
-def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:
+def network_departures(feed, dates: DataFrame | None = None, details: bool = False) -> DataFrame:
     """Every departure of every stop on the requested service dates.
 
-    A day's instant is resolved per (feed, date); calls add their seconds. Use
-    it as a table partitioned by service_date to serve stop lookups.
+    A day's instant is resolved per (feed, date); calls add their seconds. With
+    ``details`` the columns that a board shows of the route come along.
     """
     services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), dates)
     days = cal.zoned_days(services, feed.zones())
@@ -164,15 +172,51 @@ def network_departures(feed, dates: DataFrame | None = None) -> DataFrame:
         *KEY, "service_date", "stop_id", "stop_sequence", "trip_id", "route_id",
         "route_short_name", headsign().alias("headsign"), "direction_id", "service_id",
         "seconds", instant.alias("departure_epoch"),
-        (F.col("seconds") >= times.DAY).alias("after_midnight"))
+        (F.col("seconds") >= times.DAY).alias("after_midnight"),
+        *(["route_long_name", "route_type", "stop_headsign", "trip_headsign"] if details else []))
+
+
+EVENT_PLACE = [*KEY, "stop_id", "bucket"]
+
+
+def write_stop_events(feed, dates: DataFrame, table: str, path: str, buckets: int = 16) -> DataFrame:
+    """Write every departure of the requested dates as a table for stop lookups.
+
+    Partitioned by service date and bucketed by feed, stop and hour, the keys that boards
+    are joined on: a board reads the dates it asks for, and its join moves no call.
+    """
+    events = network_departures(feed, dates, details=True).withColumn("bucket", F.floor(F.col("seconds") / BUCKET_SECONDS))
+    (events.repartition(buckets, "service_date", *EVENT_PLACE).write.partitionBy("service_date")
+     .bucketBy(buckets, *EVENT_PLACE).sortBy(*EVENT_PLACE).option("path", path).saveAsTable(table))
+    return feed.zones().sparkSession.table(table)
+
+
+def looked_up(queries: DataFrame, feed, events: DataFrame) -> DataFrame:
+    """Every departure of every query, from a table of stop events.
+
+    The asked service dates, as many as days at most, are given to the scan as a list, so
+    that other partitions are not read. The date is compared inside the join, whose keys
+    are then just those of the table's buckets.
+    """
+    resolved, zones = resolved_stops(queries, feed), feed.zones()
+    spans = queries.select(*KEY, "at_epoch", "window_minutes").distinct()
+    span = events.groupBy(*KEY).agg(F.min("seconds").cast("bigint").alias("lo"), F.max("seconds").cast("bigint").alias("hi"))
+    slots = window_slots(spans, zones, span)
+    asked = [r[0] for r in slots.select("service_date").distinct().sort("service_date").collect()]
+    days = query_days(queries, resolved, slots).withColumnRenamed("service_date", "asked_date")
+    rows = events.filter(F.col("service_date").isin(asked))
+    hits = days.join(rows, EVENT_PLACE).filter(
+        (F.datediff("asked_date", "service_date") == 0) & F.col("seconds").between(F.col("from_s"), F.col("to_s")))
+    return shaped(of_route(hits))
 
 
 def departures_per_local_day(days: DataFrame, feed, targets: DataFrame) -> DataFrame:
     """(stop_id, local_date, n): departures between two local midnights, both included.
 
-    A local day lasts 23 or 25 hours on a clock change. Counted from the calls
-    of the target stops on the service dates that can reach the asked days, so
-    the work is calls x days, however many queries ask.
+    A local day lasts 23 or 25 hours on a clock change, so it is a few ranges of seconds
+    on the service dates that can reach it. The ranges are few and alike on most days:
+    calls are counted per stop, service and range first, and only those counts meet the
+    asked days, by the service's bitmap.
     """
     day = days.select(
         *KEY, "local_date", times.midnight(F.col("local_date"), F.col("zone")).alias("at_epoch"),
@@ -181,17 +225,21 @@ def departures_per_local_day(days: DataFrame, feed, targets: DataFrame) -> DataF
         .alias("window_minutes")).distinct()
     zones = feed.zones()
     reach = cal.candidate_dates(day, zones).select(*KEY, "service_date").distinct()
-    services = cal.service_calendar(feed.calendar(), feed.calendar_dates(), reach)
-    slots = window_slots(day, services, zones, call_span(feed.stop_times())).select(
-        *KEY, "service_id", "local_date", "from_s", "to_s")
+    slots = window_slots(day, zones, call_span(feed.stop_times())).select(
+        *KEY, "service_date", "local_date", "from_s", "to_s")
     stops = targets.select(*KEY, "stop_id").distinct()
     # Calls of one stop, service and second are alike here: count them first.
-    routed = boardable(feed.stop_times(), feed.trips(), stops).join(
+    routed = boardable(feed.stop_times(), running_trips(feed, reach), stops).join(
         feed.routes().select(*KEY, "route_id"), [*KEY, "route_id"], "left_semi")
-    rows = routed.groupBy(*KEY, "stop_id", "service_id", "seconds").agg(
-        F.count(F.lit(1)).alias("calls"))
-    return (rows.join(slots, [*KEY, "service_id"])
-            .filter(F.col("seconds").between(F.col("from_s"), F.col("to_s")))
+    place = [*KEY, "stop_id", "service_id"]
+    rows = routed.groupBy(*place, "seconds").agg(
+        F.count(F.lit(1)).alias("calls"), F.any_value("service_days").alias("service_days"))
+    ranges = slots.select(*KEY, "from_s", "to_s").distinct()
+    counts = (rows.join(ranges, KEY).filter(F.col("seconds").between(F.col("from_s"), F.col("to_s")))
+              .groupBy(*place, "from_s", "to_s").agg(F.sum("calls").alias("calls"),
+                                                     F.any_value("service_days").alias("service_days")))
+    return (counts.join(slots, [*KEY, "from_s", "to_s"])
+            .filter(cal.runs_on(F.col("service_days"), F.col("service_date")))
             .groupBy(*KEY, "stop_id", "local_date").agg(F.sum("calls").alias("n")))
 
 
@@ -212,7 +260,9 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
     local = q.join(instants, [*KEY, "at_epoch"])
     ends = feed.feed_info().groupBy(*KEY).agg(
         F.max(times.service_date(F.col("feed_end_date"))).alias("feed_end"))
-    services = cal.service_calendar(feed.calendar(), feed.calendar_dates())
+    asked = instants.select(*KEY, "local_date", "zone").distinct()
+    services = cal.service_calendar(feed.calendar(), feed.calendar_dates(),
+                                    asked.withColumnRenamed("local_date", "service_date"))
     active = services.groupBy(*KEY, F.col("service_date").alias("local_date")).agg(
         F.count(F.lit(1)).alias("services"))
 
@@ -221,7 +271,6 @@ def explain_empty(queries: DataFrame, feed) -> DataFrame:
     ever = targets.join(per_stop, [*KEY, "stop_id"]).groupBy(*KEY, "needle").agg(
         F.sum("n").alias("calls"))
 
-    asked = instants.select(*KEY, "local_date", "zone").distinct()
     today = (targets.join(departures_per_local_day(asked, feed, targets), [*KEY, "stop_id"])
              .groupBy(*KEY, "needle", "local_date").agg(F.sum("n").alias("today")))
 

@@ -7,7 +7,7 @@ sides compares many snapshot pairs in one job. Results are in long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline import FEED
@@ -327,3 +327,34 @@ def diff_findings(files: DataFrame, routes: DataFrame, stops: DataFrame, surviva
     for name, value in SEVERITY_RANK.items():
         rank = F.when(F.col("severity") == name, value).otherwise(rank)
     return out.withColumn("severity_rank", rank.cast("int"))
+
+
+def id_life_spans(stops: DataFrame, snapshots: DataFrame, on: list[str] = FEED) -> DataFrame:
+    """Life of every stop id and stop code over all snapshots of a feed.
+
+    ``stops`` has (feed, snapshot_id, stop_id, stop_code), ``snapshots`` (feed, snapshot_id,
+    fetched_epoch) orders them (ties by id). Per (feed, kind, value): first and last
+    snapshot, ``seen`` (snapshots it is in), ``spells`` (runs of consecutive snapshots),
+    ``longest_gap`` (snapshots missed in between), ``alive`` (in the newest one), and
+    ``holders``: how many different stop ids a code stood for, or codes an id had. Reduced
+    to one row per value and snapshot first; a window then sees the snapshots of one value.
+    """
+    order = Window.partitionBy(*on).orderBy("fetched_epoch", "snapshot_id")
+    places = snapshots.select(*on, "snapshot_id", "fetched_epoch").distinct().withColumn("n", F.row_number().over(order))
+    newest = places.groupBy(*on).agg(F.max("n").alias("newest"))
+    cells = F.explode(F.array(
+        F.struct(F.lit("id").alias("kind"), F.col("stop_id").alias("value"), F.col("stop_code").alias("other")),
+        F.struct(F.lit("code").alias("kind"), F.col("stop_code").alias("value"), F.col("stop_id").alias("other")))).alias("c")
+    rows = stops.select(*on, "snapshot_id", cells).select(*on, "snapshot_id", "c.*").filter("value <> ''")
+    key = [*on, "kind", "value"]
+    holders = rows.select(*key, "other").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("holders"))
+    held = rows.select(*key, "snapshot_id").distinct().join(places, [*on, "snapshot_id"])
+    life = Window.partitionBy(*key).orderBy("n")
+    gap = F.col("n") - F.lag("n").over(life) - 1
+    spans = held.withColumn("gap", gap).groupBy(*key).agg(
+        F.min_by("snapshot_id", "n").alias("first_snapshot"), F.max_by("snapshot_id", "n").alias("last_snapshot"),
+        F.count(F.lit(1)).alias("seen"), (F.count_if(F.col("gap") > 0) + 1).alias("spells"),
+        F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"), F.max("n").alias("last_n"))
+    return (spans.join(holders, key).join(newest, on)
+            .select(*key, "first_snapshot", "last_snapshot", "seen", "spells", "longest_gap",
+                    (F.col("last_n") == F.col("newest")).alias("alive"), "holders"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import text as tx
+from tramline.session import written
 
 SEVERITY_RANK = {"alarming": 0, "notable": 1, "routine": 2}
 
@@ -45,10 +48,11 @@ def normalize_pages(captures: DataFrame, fold: bool = True) -> DataFrame:
 def newest_two(captures: DataFrame) -> DataFrame:
     """One row per page: newest and previous capture, and how many there are.
 
-    The rank filter runs before the shuffle, so a page with very many captures
-    sends two rows per task.
+    Captures of one second are told apart by their content, the larger hash first. The
+    rank filter runs before the shuffle, so a page with very many captures sends two
+    rows per task.
     """
-    order = Window.partitionBy("page_key").orderBy(F.desc("fetched_epoch"))
+    order = Window.partitionBy("page_key").orderBy(F.desc("fetched_epoch"), F.desc("content_hash"))
     fields = [c for c in captures.columns if c not in ("page_key", "html")]
     top = captures.drop("html").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
     pair = top.groupBy("page_key").agg(*[
@@ -105,6 +109,43 @@ def field_delta(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("value_b").isNull(), "removed").otherwise("changed"))
 
 
+def json_fields(rows: DataFrame) -> DataFrame:
+    """(page_key, path, value) of every scalar in the JSON text ``record`` of each page.
+
+    Records may nest to any depth: each round opens one level of what is left as
+    VARIANT, so the number of rounds is the depth of the deepest record. Paths are dotted
+    (``a.b[0].c``); nulls and records that are not JSON give no row.
+    """
+    level = rows.select("page_key", F.lit("").alias("path"), F.try_parse_json("record").alias("node")).filter("node IS NOT NULL")
+    out = None
+    while True:
+        kind = F.schema_of_variant("node")
+        level = written(level.select("page_key", "path", "node", kind.alias("kind")), "json-level")
+        leaves = level.filter(~F.col("kind").rlike("^(OBJECT|ARRAY)<") & (F.col("kind") != "VOID")).select(
+            "page_key", "path", F.try_variant_get("node", "$", "string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = level.filter(F.col("kind").rlike("^(OBJECT|ARRAY)<"))
+        if inner.isEmpty():
+            return out
+        step = (F.when(F.col("key").isNull(), F.format_string("%s[%d]", "path", "pos"))
+                .when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key")))
+        inner.createOrReplaceTempView(view := f"json_level_{uuid.uuid4().hex}")
+        opened = rows.sparkSession.sql(f"SELECT page_key, path, e.* FROM {view}, LATERAL variant_explode_outer(node) e")
+        level = opened.filter("value IS NOT NULL").select("page_key", step.alias("path"), F.col("value").alias("node"))
+        rows.sparkSession.catalog.dropTempView(view)
+
+
+def record_delta(captures: DataFrame) -> DataFrame:
+    """Fields that differ between the records of a page's two newest captures.
+
+    ``captures`` has page_key, fetched_epoch, content_hash and record, a JSON text of any
+    depth. A page captured once has nothing to compare.
+    """
+    both = newest_two(captures.select("page_key", "fetched_epoch", "content_hash", "record")).filter("before IS NOT NULL")
+    before, now = (json_fields(both.select("page_key", f"{side}.record")) for side in ("before", "now"))
+    return field_delta(before, now)
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
     """Prices, dates and service phrases per text line of (page_key, text)."""
     lines = pages.select("page_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

@@ -54,6 +54,36 @@ def _values(tables: dict[str, DataFrame]) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def column_sketches(tables: dict[str, DataFrame], accuracy: int = 14) -> DataFrame:
+    """(feed, snapshot, table_name, column_name, rows, non_empty, characters, first_value,
+    last_value, sketch) of every column: the cells are folded into a HyperLogLog sketch of
+    2 ** ``accuracy`` registers per task, so no value is shuffled."""
+    out = None
+    for name in sorted(tables):
+        columns = [c for c in tables[name].columns if c not in KEY]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c), F.lit("")).alias("value"))
+                                    for c in columns])).alias("cell")
+        part = tables[name].select(*KEY, F.lit(name).alias("table_name"), cells).select(*KEY, "table_name", "cell.*")
+        out = part if out is None else out.unionByName(part)
+    value = F.col("value")
+    return out.groupBy(*KEY, "table_name", "column_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(value != "", 1)).alias("non_empty"),
+        F.sum(F.length(value)).alias("characters"), F.min(F.when(value != "", value)).alias("first_value"),
+        F.max(F.when(value != "", value)).alias("last_value"), F.hll_sketch_agg(value, F.lit(accuracy)).alias("sketch"))
+
+
+def sketched_profile(sketches: DataFrame, on: list[str] = KEY) -> DataFrame:
+    """The profile of every column, merged over what ``on`` leaves out (snapshots, or feeds
+    too), with ``distinct_estimate`` from the merged sketches (standard error 0.8 % at the
+    default accuracy). The exact count is ``feed_profile``."""
+    rows, filled = F.sum("rows"), F.sum("non_empty")
+    return sketches.groupBy(*on, "table_name", "column_name").agg(
+        rows.alias("rows"), filled.alias("non_empty"), F.round(1 - filled / F.nullif(rows, F.lit(0)), 4).alias("null_rate"),
+        F.sum("characters").alias("characters"), F.min("first_value").alias("first_value"), F.max("last_value").alias("last_value"),
+        # Sketches leave out the empty value, which counts as one.
+        (F.hll_sketch_estimate(F.hll_union_agg("sketch")) + (rows > filled).cast("int")).alias("distinct_estimate"))
+
+
 def feed_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Per column: rows, non-empty, null rate, distinct, characters, first and last value.
 

@@ -41,21 +41,42 @@ def boardable_stops(stops: DataFrame) -> DataFrame:
     return stops.filter(F.coalesce("location_type", F.lit("")).isin("", "0"))
 
 
-def _matching_terms(text: Column, terms: list[str], chunk: int = 500):
-    """Arrays of the terms contained in ``text``, a bounded literal list each."""
-    for i in range(0, len(terms), chunk):
-        yield F.filter(F.array(*[F.lit(t) for t in terms[i:i + chunk]]),
-                       lambda t: F.contains(text, F.lower(t)))
-
-
-def stop_search(stops: DataFrame, terms: list[str]) -> DataFrame:
-    """Stops whose lower-cased name contains a term, literally; one row per hit."""
-    name = F.lower(F.coalesce("stop_name", F.lit("")))
-    out = None
-    for hits in _matching_terms(name, terms):
-        part = stops.select("*", F.explode(hits).alias("term"))
-        out = part if out is None else out.unionByName(part)
-    return out
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Different runs of ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1))),
+                                        lambda i: F.substring(text, i, size)))
+
+
+def containing(rows: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
+    """``rows`` x ``term`` for each term that the text contains, letter case aside.
+
+    A term of three characters or more is looked up by its rarest trigram in an inverted
+    index of the texts, a shorter one by itself, and every candidate is verified. Terms
+    are a table (term) of any size: the plan does not grow with it. Grams no term asks for
+    leave the index before it is shuffled; an empty term is in every text.
+    """
+    wanted = terms.select("term").distinct().withColumn("needle", F.lower("term"))
+    size = F.least(F.char_length("needle"), F.lit(GRAM))
+    options = wanted.withColumn("gram", F.explode(_grams(F.col("needle"), size)))
+    held = rows.withColumn("__text", text)
+    every = F.explode(F.array_distinct(F.flatten(F.array(
+        F.array(F.lit("")), *[_grams(F.col("__text"), F.lit(n)) for n in range(1, GRAM + 1)]))))
+    index = held.select("__text", every.alias("gram"))
+    counts = index.join(options.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A term with a gram that no text has is not found.
+    rarest = options.join(counts, "gram", "left").groupBy("term", "needle").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select(
+        "term", "needle", F.col("g.gram").alias("gram"))
+    found = held.withColumn("gram", every).join(rarest, "gram").filter(F.contains("__text", F.col("needle")))
+    return found.select(*rows.columns, "term")
+
+
+def stop_search(stops: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stops whose lower-cased name contains a term (term), literally; one row per hit."""
+    return containing(stops, F.lower(F.coalesce("stop_name", F.lit(""))), terms)
 
 
 def stops_by_code(stops: DataFrame, codes: DataFrame) -> DataFrame:
@@ -70,18 +91,14 @@ def stops_on_routes(stops: DataFrame, serving: DataFrame) -> DataFrame:
     return stops.join(serving.select(*KEY, "stop_id", "route_id"), [*KEY, "stop_id"])
 
 
-def route_search(routes: DataFrame, trips: DataFrame, terms: list[str],
+def route_search(routes: DataFrame, trips: DataFrame, terms: DataFrame,
                  route_type: str | None = None) -> DataFrame:
-    """Routes matching a term in any column, with trip count and type name."""
+    """Routes matching a term (term) in any column, with trip count and type name."""
     fields = [c for c in routes.columns if c not in KEY]
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
     rows = routes if route_type is None else routes.filter(F.trim("route_type") == route_type)
     counts = trips.groupBy(*KEY, "route_id").agg(F.count(F.lit(1)).alias("trip_count"))
-    out = None
-    for hits in _matching_terms(hay, terms):
-        part = rows.select("*", F.explode(hits).alias("term"))
-        out = part if out is None else out.unionByName(part)
-    return (out.join(counts, [*KEY, "route_id"], "left")
+    return (containing(rows, hay, terms).join(counts, [*KEY, "route_id"], "left")
             .withColumn("trip_count", F.coalesce("trip_count", F.lit(0)))
             .withColumn("route_type_name", route_type_name(F.col("route_type"))))
 
@@ -130,11 +147,7 @@ def resolve_stops(queries: DataFrame, stops: DataFrame) -> DataFrame:
 
 
 def serving_pairs(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
-    """Distinct (stop_id, route_id), computed once and reused.
-
-    Calls are reduced to distinct (stop, trip) before the join, and the join's
-    output to distinct pairs map-side before the final shuffle.
-    """
+    """Distinct (stop_id, route_id), reduced map-side before the final shuffle."""
     return (stop_times.select(*KEY, "stop_id", "trip_id")
             .join(trips.select(*KEY, "trip_id", "route_id"), [*KEY, "trip_id"])
             .select(*KEY, "stop_id", "route_id").distinct())
@@ -150,7 +163,8 @@ def serving(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataF
 
 
 def trip_calls(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
-    """stop_times x trips with the columns a departure needs, and parsed seconds."""
+    """stop_times x trips with the columns a departure needs, and parsed seconds; the
+    trips' ``service_days`` too, if they carry them."""
     optional = {"stop_headsign": "", "pickup_type": "0"}
     st = stop_times.withColumns({c: F.lit(v) for c, v in optional.items()
                                  if c not in stop_times.columns})
@@ -160,8 +174,8 @@ def trip_calls(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
             .select(*KEY, "trip_id", "stop_id", "stop_sequence", "departure_time",
                     "pickup_type", "stop_headsign",
                     times.gtfs_seconds(F.col("departure_time")).alias("seconds"))
-            .join(tr.select(*KEY, "trip_id", "route_id", "service_id", "trip_headsign",
-                            "direction_id"), [*KEY, "trip_id"]))
+            .join(tr.select(*KEY, "trip_id", "route_id", "service_id", "trip_headsign", "direction_id",
+                            *[c for c in ("service_days",) if c in tr.columns]), [*KEY, "trip_id"]))
 
 
 def with_route(rows: DataFrame, routes: DataFrame, how: str = "inner") -> DataFrame:

@@ -714,8 +714,7 @@ SELECT page_id::VARCHAR AS page_key, page_id, url, v AS version,
   page_id % 13 <> 5 OR v = 1 AS extraction_ok
 FROM (SELECT *, replace(html, '<article>', '<article><p>Served 2026-10-0' || v || 'T08:00:00Z by '
     || md5(page_id || '-' || v) || ' style.css?ver=1.' || v || '</p>') AS h
-  FROM (SELECT *, unnest(CASE WHEN page_id % 17 = 3 THEN []::INT[] WHEN page_id % 10 = 0 THEN [1]
-    ELSE [1, 2] END) AS v FROM pages))"""
+  FROM (SELECT *, unnest(CASE WHEN page_id % 10 = 0 THEN [1] ELSE [1, 2] END) AS v FROM pages))"""
 
 
 def _lit(s: str) -> str:
@@ -764,7 +763,7 @@ SELECT page_key, max(CASE WHEN rn = 1 THEN content_hash END) AS h1,
   max(CASE WHEN rn = 2 THEN content_hash END) AS h2, max(CASE WHEN rn = 1 THEN text END) AS t1,
   max(CASE WHEN rn = 2 THEN text END) AS t2, bool_or(rn = 1 AND extraction_ok) AS ok,
   max(fetched_epoch) AS last_fetched, max(n) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY fetched_epoch DESC) AS rn,
+FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY fetched_epoch DESC, content_hash DESC) AS rn,
   count(*) OVER (PARTITION BY page_key) AS n FROM norm) GROUP BY 1"""
 
 v.VIEWS["drift"] = """
@@ -775,7 +774,9 @@ SELECT page_key, severity, CASE severity WHEN 'alarming' THEN 0 WHEN 'notable' T
   coalesce(h1 <> h2, false) AS changed, coalesce(n, 0) AS captures, h1 AS current_hash,
   h2 AS previous_hash, last_fetched
 FROM (SELECT page_id::VARCHAR AS page_key, CASE page_id % 4 WHEN 0 THEN 'alarming' WHEN 1
-  THEN 'notable' ELSE 'routine' END AS severity FROM pages) LEFT JOIN two_captures USING (page_key)"""
+  THEN 'notable' ELSE 'routine' END AS severity FROM pages
+  UNION ALL SELECT 'planned-' || page_id, 'notable' FROM pages WHERE page_id % 17 = 3)
+LEFT JOIN two_captures USING (page_key)"""
 ORACLE["page_drift"] = v.sql("SELECT * FROM drift")
 
 ORACLE["page_line_delta"] = v.sql("""
@@ -836,14 +837,16 @@ FROM (SELECT page_key, version, line_no,
 WHERE cents IS NOT NULL OR date_iso IS NOT NULL OR phrase <> ''"""
 ORACLE["page_extract"] = v.sql("SELECT * EXCLUDE (version) FROM facts JOIN newest USING (page_key, version)")
 
-_FIELD = ("(SELECT page_key, 'lines[' || line_no || '].' || c AS path, val FROM (UNPIVOT (SELECT page_key,"
-          " line_no, cents, date_iso, phrase, mode FROM facts WHERE version = {0}) ON cents, date_iso, "
-          "phrase, mode INTO NAME c VALUE val))")
+_FIELD = ("(SELECT page_key, 'lines.' || line_no || '.' || c AS path, val FROM (UNPIVOT (SELECT page_key,"
+          " line_no, cents, date_iso, phrase, mode FROM facts JOIN ranked USING (page_key, version) WHERE rn = {0})"
+          " ON cents, date_iso, phrase, mode INTO NAME c VALUE val))")
+v.VIEWS["ranked"] = """SELECT page_key, version, row_number() OVER (PARTITION BY page_key
+  ORDER BY fetched_epoch DESC, content_hash DESC) AS rn, count(*) OVER (PARTITION BY page_key) AS n FROM norm"""
 ORACLE["page_field_delta"] = v.sql(f"""
 SELECT page_key, path, a.val AS value_a, b.val AS value_b, CASE WHEN a.val IS NULL THEN 'added'
   WHEN b.val IS NULL THEN 'removed' ELSE 'changed' END AS status
-FROM {_FIELD.format(1)} a FULL JOIN {_FIELD.format(2)} b USING (page_key, path)
-WHERE a.val IS DISTINCT FROM b.val""")
+FROM {_FIELD.format(2)} a FULL JOIN {_FIELD.format(1)} b USING (page_key, path)
+WHERE a.val IS DISTINCT FROM b.val AND page_key IN (SELECT page_key FROM ranked WHERE n > 1)""")
 
 _PICK = " ".join(
     f"WHEN {_rx('url', p, 1)} <> ''{' AND pdf' if pdf else ''} THEN "
@@ -1061,7 +1064,8 @@ ORACLE["compact_sink"] = _kept(lambda t: f"""
 SELECT *, (SELECT string_agg(DISTINCT column_name, ',' ORDER BY column_name) FROM profile
   WHERE table_name = '{t}' AND non_empty > 0 AND column_name IN ({', '.join(map(repr, _sink_columns(t)))})) AS columns
 FROM ({_sized(t, _sink_columns(t), f"k_{t}")})""")
-ORACLE["gtfs_scan"] = v.sql(" UNION ALL ".join(_sized(t, _COLS[t], f"{t}_a") for t in _T["a"]))
+ORACLE["gtfs_scan"] = v.sql(" UNION ALL ".join(
+    f"SELECT *, '{','.join(sorted(_COLS[t]))}' AS columns FROM ({_sized(t, _COLS[t], f'{t}_a')})" for t in _T["a"]))
 
 
 def _json(fields: list[tuple[str, str, bool]]) -> str:
@@ -1125,6 +1129,36 @@ SELECT feed_id, row, stop_id, stop_name, total, total > 150 AS has_more,
 FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY stop_name, stop_id)::INTEGER AS row,
   count(*) OVER (PARTITION BY feed_id) AS total FROM stops_a) WHERE row BETWEEN 101 AND 150""")
 
+ORACLE["departures_lookup"] = ORACLE["departures"]
+
+ORACLE["stop_search_words"] = v.sql("""
+SELECT feed_id, term, count(*) AS stops, min(stop_id) AS first_stop FROM stops_a JOIN (
+    SELECT list_last(string_split(p_name, ' ')) AS term FROM part UNION SELECT lower(n_name) FROM nation)
+  ON contains(lower(stop_name), lower(term)) GROUP BY 1, 2""")
+
+ORACLE["feed_publish"] = v.sql("""
+SELECT feed_id, 'A' AS snapshot_id, 'routes' AS table_name, count(*) AS rows FROM routes_a GROUP BY 1
+UNION ALL SELECT feed_id, 'B', 'routes', count(*) FROM routes_b GROUP BY 1
+UNION ALL SELECT feed_id, 'A', 'stops', count(*) FROM stops_a GROUP BY 1
+UNION ALL SELECT feed_id, 'B', 'stops', count(*) FROM stops_b GROUP BY 1
+UNION ALL SELECT feed_id, 'A', 'trips', count(*) FROM trips_a WHERE feed_id = 'F1' OR direction_id = '0' GROUP BY 1
+UNION ALL SELECT feed_id, 'B', 'trips', count(*) FROM trips_b GROUP BY 1""")
+
+ORACLE["id_life_spans"] = """
+WITH h AS (SELECT 'F' || f AS feed_id, n, 'S' || k AS stop_id, CASE WHEN k % 97 = 0 THEN '' ELSE
+      (10000 + CASE WHEN k % 7 = 1 AND n > 4 AND k > 1 THEN k - 1 ELSE k END)::VARCHAR END AS stop_code
+    FROM (SELECT p_partkey AS k, unnest(range(1, 7)) AS n FROM part), (SELECT unnest([0, 1, 2]) AS f)
+    WHERE NOT ((k % 7 = 0 AND n > 4) OR (k % 11 = 0 AND n IN (2, 3)) OR (k % 13 = 0 AND n = 5) OR (k % 17 = 0 AND n < 3))),
+  c AS (SELECT feed_id, n, 'id' AS kind, stop_id AS value, stop_code AS other FROM h
+    UNION ALL SELECT feed_id, n, 'code', stop_code, stop_id FROM h WHERE stop_code <> ''),
+  s AS (SELECT *, n - lag(n) OVER (PARTITION BY feed_id, kind, value ORDER BY n) - 1 AS gap
+    FROM (SELECT DISTINCT feed_id, n, kind, value FROM c)),
+  o AS (SELECT feed_id, kind, value, count(DISTINCT other) AS holders FROM c GROUP BY 1, 2, 3)
+SELECT feed_id, kind, value, 'W' || min(n) AS first_snapshot, 'W' || max(n) AS last_snapshot, count(*) AS seen,
+  count(*) FILTER (gap > 0) + 1 AS spells, coalesce(max(gap), 0)::INTEGER AS longest_gap, max(n) = 6 AS alive,
+  any_value(holders) AS holders
+FROM s JOIN o USING (feed_id, kind, value) GROUP BY 1, 2, 3"""
+
 # ---------------------------------------------------------- landing and streams --
 ORACLE["stream_freshness"] = v.sql("""
 SELECT w AS window_start, feed_id, entity_kind, count(*) AS captures,
@@ -1135,13 +1169,35 @@ SELECT w AS window_start, feed_id, entity_kind, count(*) AS captures,
 FROM (SELECT *, fetched_epoch // 3600 * 3600 AS w, (SELECT max(fetched_epoch) FROM headers) AS latest
   FROM headers) WHERE w + 3600 <= latest - 600 GROUP BY 1, 2, 3""")
 
+# Spells: a fetch more than five minutes after the last opens one. Those the watermark, six
+# hours behind the newest fetch, has not closed are still open.
+ORACLE["stream_outages"] = v.sql("""
+SELECT *, row_number() OVER (PARTITION BY feed_id, entity_kind ORDER BY seconds DESC, silent_from)::INTEGER AS longest
+FROM (SELECT feed_id, entity_kind, lag(last_fetch) OVER p AS silent_from, spell_start AS silent_until,
+    spell_start - lag(last_fetch) OVER p AS seconds
+  FROM (SELECT feed_id, entity_kind, min(fetched_epoch) AS spell_start, max(fetched_epoch) AS last_fetch, max(ts) AS last_ts,
+      any_value(newest) AS newest
+    FROM (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY feed_id, entity_kind ORDER BY ts) AS spell
+      FROM (SELECT *, ts >= lag(ts) OVER (PARTITION BY feed_id, entity_kind ORDER BY ts) + INTERVAL 5 MINUTE AS apart,
+          max(ts) OVER () AS newest FROM headers))
+    GROUP BY feed_id, entity_kind, spell)
+  WHERE last_ts + INTERVAL 5 MINUTE <= newest - INTERVAL 6 HOUR
+  WINDOW p AS (PARTITION BY feed_id, entity_kind ORDER BY spell_start))
+WHERE silent_from IS NOT NULL""")
+
+# The newest header since the trip's last silence of more than two hours.
 ORACLE["stream_latest_trip_state"] = """
+WITH u AS (SELECT 'F' || (user_id % 3) AS feed_id, 'T' || user_id AS trip_id, t, {'h': t - k * 60,
+      'e': event_id, 'd': trunc(value * 10)::INTEGER - 240, 't': t} AS r
+    FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, json_extract_string(props, '$.k')::BIGINT AS k FROM events)),
+  s AS (SELECT *, max(t) OVER () AS all_seen, max(t) OVER (PARTITION BY feed_id) AS feed_seen,
+      count(*) FILTER (again) OVER (PARTITION BY feed_id, trip_id ORDER BY t) AS spell
+    FROM (SELECT *, t - lag(t) OVER (PARTITION BY feed_id, trip_id ORDER BY t) > 7200 AS again FROM u)),
+  n AS (SELECT feed_id, trip_id, spell, max(r) AS s, max(t) AS last_seen, any_value(all_seen) AS all_seen,
+      any_value(feed_seen) AS feed_seen FROM s GROUP BY feed_id, trip_id, spell
+    QUALIFY spell = max(spell) OVER (PARTITION BY feed_id, trip_id))
 SELECT feed_id, trip_id, s.h AS header_ts, s.e AS entity_pos, s.d AS delay, s.t AS seen_epoch, last_seen
-FROM (SELECT *, max(last_seen) OVER (PARTITION BY feed_id) AS feed_seen FROM (
-  SELECT 'F' || (user_id % 3) AS feed_id, 'T' || user_id AS trip_id, max({'h': t - k * 60,
-    'e': event_id, 'd': trunc(value * 10)::INTEGER - 240, 't': t}) AS s, max(t) AS last_seen
-  FROM (SELECT *, floor(epoch(ts))::BIGINT AS t, json_extract_string(props, '$.k')::BIGINT AS k
-    FROM events) GROUP BY 1, 2)) WHERE last_seen >= feed_seen - 7200"""
+FROM n WHERE last_seen >= feed_seen - 7200 AND last_seen + 7200 > all_seen - 21600"""
 
 ORACLE["stream_live_board"] = v.sql("""
 SELECT feed_id, service_date, trip_id, stop_id, stop_sequence, departure_epoch, capture_id, entity,
@@ -1163,4 +1219,9 @@ FROM (SELECT *, realtime AND trip_relationship <> 'CANCELED' AND relationship <>
     JOIN stop_updates u ON u.feed_id = n.feed_id AND u.trip_id = n.trip_id
       AND (u.stop_id = n.stop_id OR u.stop_sequence = n.stop_sequence)
     JOIN trip_updates t ON t.feed_id = u.feed_id AND t.capture_id = u.capture_id
-      AND t.entity_pos = u.entity_pos))""")
+      AND t.entity_pos = u.entity_pos
+    JOIN updates c ON c.feed_id = u.feed_id AND c.capture_id = u.capture_id AND c.entity_pos = u.entity_pos
+    WHERE n.departure_epoch BETWEEN c.seen_epoch - 21600 AND c.seen_epoch + 64799
+      AND (t.start_date = '' OR t.start_date = strftime(n.service_date, '%Y%m%d'))
+    QUALIFY row_number() OVER (PARTITION BY n.feed_id, n.service_date, n.trip_id, n.stop_id, n.stop_sequence
+      ORDER BY c.seen_epoch DESC, u.entity_pos DESC, u.stu_pos) = 1))""")

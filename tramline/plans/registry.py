@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline import KEY
@@ -42,6 +42,17 @@ def departures(d: Demo) -> DataFrame:
     return dep.departures(d.board_queries(), d).select(*BOARD_COLUMNS)
 
 
+@query
+def departures_lookup(d: Demo) -> DataFrame:
+    """The same boards, read from a written table of stop events."""
+    dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date").distinct()
+    path = shared_path(d.spark, "stop-events")
+    events = dep.write_stop_events(d, dates, path.rsplit("/", 1)[-1].replace("-", "_"), path)
+    rows = dep.ranked(dep.looked_up(d.board_queries(), d, events))
+    total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    return rows.withColumn("total", total).select(*BOARD_COLUMNS)
+
+
 # ------------------------------------------------------ sources, projections --
 @query
 def feed_gate(d: Demo) -> DataFrame:
@@ -61,9 +72,13 @@ def optional_columns(d: Demo) -> DataFrame:
 SEARCH_TERMS = ["red", "RING", "_", "ll w"]
 
 
+def _terms(d: Demo, terms: list[str]) -> DataFrame:
+    return d.spark.createDataFrame([(t,) for t in terms], "term string")
+
+
 @query
 def stop_search(d: Demo) -> DataFrame:
-    return st.stop_search(d.stops(), SEARCH_TERMS).select(
+    return st.stop_search(d.stops(), _terms(d, SEARCH_TERMS)).select(
         "feed_id", "term", "stop_id", "stop_code", "stop_name")
 
 
@@ -82,11 +97,22 @@ def stop_search_by_route(d: Demo) -> DataFrame:
 
 @query
 def route_search(d: Demo) -> DataFrame:
-    return st.route_search(d.routes(), d.trips(), ["nation_1", "l2", "%"]).select(
+    return st.route_search(d.routes(), d.trips(), _terms(d, ["nation_1", "l2", "%"])).select(
         "feed_id", "term", "route_id", "route_short_name", "route_long_name", "route_type",
         "route_type_name", "trip_count")
 
 
+@query
+def stop_search_words(d: Demo) -> DataFrame:
+    """Every stop against the first word of every supplier's and customer's nation and every
+    part's last word: as many terms as the tables have."""
+    last = d.raw("part").select(F.element_at(F.split("p_name", " "), -1).alias("term"))
+    names = d.raw("nation").select(F.lower("n_name").alias("term"))
+    terms = last.unionByName(names).distinct()
+    found = st.stop_search(d.stops(), terms)
+    return found.groupBy("feed_id", "term").agg(F.count(F.lit(1)).alias("stops"), F.min("stop_id").alias("first_stop"))
+
+
 @query
 def boardable_filter(d: Demo) -> DataFrame:
     calls = st.boardable_calls(d.stop_times()).groupBy(*KEY).agg(F.count(F.lit(1)).alias("calls"))
@@ -218,6 +244,13 @@ def feed_profile(d: Demo) -> DataFrame:
     return profile.feed_profile(d.tables())
 
 
+@query
+def feed_profile_sketched(d: Demo) -> DataFrame:
+    """Columns of both snapshots together, with estimated numbers of different values."""
+    both = profile.column_sketches(d.tables()).unionByName(profile.column_sketches(d.at("B").tables()))
+    return profile.sketched_profile(both, ["feed_id"])
+
+
 @query
 def feed_features(d: Demo) -> DataFrame:
     return profile.feed_features(profile.feed_profile(d.tables()), d.zones())
@@ -280,6 +313,12 @@ def id_survival(d: Demo) -> DataFrame:
     return diffs.id_survival(d.stops(), d.at("B").stops())
 
 
+@query
+def id_life_spans(d: Demo) -> DataFrame:
+    """Ids and codes of the stops over six snapshots."""
+    return diffs.id_life_spans(d.stop_history(), d.stop_snapshots())
+
+
 @query
 def diff_calendar(d: Demo) -> DataFrame:
     b = d.at("B")
@@ -466,17 +505,13 @@ def page_schedule_ids(d: Demo) -> DataFrame:
 
 @query
 def page_field_delta(d: Demo) -> DataFrame:
-    """Facts of both versions as dotted paths, and how they differ."""
-    def fields(version: int) -> DataFrame:
-        facts = pages.page_facts(_normalized(d).filter(F.col("version") == version))
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
-                                    for c in ("cents", "date_iso", "phrase", "mode")]))
-        return facts.select("page_key", "line_no", cells.alias("x")).filter("x.v IS NOT NULL") \
-            .select("page_key", F.concat(F.lit("lines["), F.col("line_no").cast("string"),
-                                         F.lit("]."), "x.c").alias("path"),
-                    F.col("x.v").alias("value"))
-
-    return pages.field_delta(fields(1), fields(2))
+    """Facts of the two newest captures as nested records, and how they differ by path."""
+    normal = written(_normalized(d).select("page_key", "version", "fetched_epoch", "content_hash", "text"), "captures")
+    facts = pages.page_facts(normal.withColumn("page_key", F.struct("page_key", "version"))).select(
+        "page_key.*", F.col("line_no").cast("string").alias("line"), F.struct("cents", "date_iso", "phrase", "mode").alias("fact"))
+    records = facts.groupBy("page_key", "version").agg(F.to_json(F.struct(F.map_from_entries(
+        F.collect_list(F.struct("line", "fact"))).alias("lines"))).alias("record"))
+    return pages.record_delta(normal.drop("text").join(records, ["page_key", "version"], "left"))
 
 
 @query
@@ -678,6 +713,18 @@ def golden_regression(d: Demo) -> DataFrame:
         queries.select(F.col("query_id").alias("case_id")), golden, rows, recorded, unresolved)
 
 
+@query
+def feed_publish(d: Demo) -> DataFrame:
+    """Publish two snapshots, then one without stops, which is refused; read what stands."""
+    root = shared_path(d.spark, "published")
+    tables = {n: d.tables()[n] for n in ("routes", "stops", "trips")}
+    artifacts.publish(tables, root)
+    artifacts.publish({n: d.at("B").tables()[n] for n in tables}, root)
+    artifacts.publish({**tables, "stops": tables["stops"].filter("feed_id <> 'F1'"),
+                       "trips": tables["trips"].filter("direction_id = '0'")}, root)
+    return feeds.row_counts({n: artifacts.published(d.spark, root, n, df.schema) for n, df in tables.items()})
+
+
 @query
 def feed_sql(d: Demo) -> DataFrame:
     return artifacts.feed_sql(d.spark, d.tables(), """
@@ -743,7 +790,15 @@ def _trip_stream(d: Demo) -> DataFrame:
         F.concat(F.lit("F"), (F.col("user_id") % 3).cast("string")).alias("feed_id"),
         F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("trip_id"),
         (seen - k * 60).alias("header_ts"), F.col("event_id").alias("entity_pos"),
-        ((F.col("value") * 10).cast("int") - 240).alias("delay"), seen.alias("seen_epoch"))
+        ((F.col("value") * 10).cast("int") - 240).alias("delay"), seen.alias("seen_epoch"),
+        F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query
+def stream_outages(d: Demo) -> DataFrame:
+    """Silences of five minutes or more of each feed and kind."""
+    live = _StreamDemo(d.spark, d.dir).headers().withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.outages(jobs.run_available(jobs.poll_spells(live), shared_path(d.spark, "spells")))
 
 
 @query
@@ -754,9 +809,12 @@ def stream_latest_trip_state(d: Demo) -> DataFrame:
 
 @query
 def stream_live_board(d: Demo) -> DataFrame:
-    """Streamed stop updates against every departure on the board dates."""
+    """Streamed stop updates against the departures on the board dates that captures reach."""
     stream = _StreamDemo(d.spark, d.dir).stop_updates()
     dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date").distinct()
+    day = F.date_from_unix_date((F.col("fetched_epoch") / 86_400).cast("int"))
+    reached = d.captures().select("feed_id", F.explode(F.sequence(F.date_sub(day, 3), F.date_add(day, 2))).alias("service_date"))
+    dates = dates.join(reached.distinct(), ["feed_id", "service_date"], "left_semi")
     static = dep.network_departures(d, dates).withColumn("minutes_away", F.lit(0))
     status = d.trip_updates().select("feed_id", "capture_id", "entity_pos", "start_date",
                                      "trip_relationship", "trip_delay")
@@ -764,4 +822,4 @@ def stream_live_board(d: Demo) -> DataFrame:
         "feed_id", "service_date", "trip_id", "stop_id", "stop_sequence", "departure_epoch",
         "capture_id", "entity", "stu_pos", "realtime", "status", "delay_seconds",
         "predicted_epoch")
-    return jobs.run_available(board, shared_path(d.spark, "live-board"))
+    return jobs.LiveBoard(d.spark, shared_path(d.spark, "live-board")).run(board)

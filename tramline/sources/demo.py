@@ -102,6 +102,26 @@ class Demo:
             df = df.filter(k % 53 != 0)
         return self._per_feed(df.drop("p_partkey"))
 
+    def stop_history(self) -> DataFrame:
+        """Stops in six snapshots: some come late, some go, some are missing for a while, and
+        codes of stops that went are given to others."""
+        k, n = F.col("p_partkey"), F.col("n")
+        rows = self.raw("part").select("p_partkey").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(6))))
+        gone = ((k % 7 == 0) & (n > 4)) | ((k % 11 == 0) & n.isin(2, 3)) | ((k % 13 == 0) & (n == 5)) | ((k % 17 == 0) & (n < 3))
+        taken = F.when((k % 7 == 1) & (n > 4) & (k > 1), k - 1).otherwise(k)
+        feeds = F.explode(F.array(*[F.lit(f"F{i}") for i in range(FEEDS)])).alias("feed_id")
+        return rows.filter(~gone).select(
+            feeds, F.concat(F.lit("W"), n.cast("string")).alias("snapshot_id"), F.concat(F.lit("S"), k.cast("string")).alias("stop_id"),
+            F.when(k % 97 == 0, "").otherwise((taken + 10_000).cast("string")).alias("stop_code"))
+
+    def stop_snapshots(self) -> DataFrame:
+        """The six snapshots, a week apart."""
+        n = F.col("n")
+        rows = self.spark.range(1, 7).select(F.col("id").cast("int").alias("n"))
+        feeds = F.explode(F.array(*[F.lit(f"F{i}") for i in range(FEEDS)])).alias("feed_id")
+        return rows.select(feeds, F.concat(F.lit("W"), n.cast("string")).alias("snapshot_id"),
+                           (F.lit(1_790_000_000) + n * 604_800).cast("bigint").alias("fetched_epoch"))
+
     def routes(self) -> DataFrame:
         k, r, b = F.col("n_nationkey"), F.col("n_regionkey"), self.snapshot == "B"
         kind = F.when(r == 0, "0").when(r == 4, "3 ").otherwise("3")
@@ -308,7 +328,7 @@ class Demo:
             .alias("relationship"),
             F.when((e % 5 != 4), F.when(e % 50 == 3, F.lit(90_000)).otherwise(
                 F.col("delay") + 30 * pos)).cast("int").alias("event_delay"),
-            F.when(kind == "purchase", at).cast("bigint").alias("event_time")))
+            F.when(kind == "purchase", at).cast("bigint").alias("event_time"), "seen_epoch"))
 
     def captures(self) -> DataFrame:
         return self._updates().groupBy("feed_id", "capture_id").agg(
@@ -355,11 +375,10 @@ class Demo:
     def page_captures(self) -> DataFrame:
         """Two captures per page that differ in noise only, and in content for every ninth.
 
-        Every tenth page was captured once, every seventeenth never.
+        Every tenth page was captured once.
         """
         k = F.col("page_id")
-        version = F.explode(F.when(k % 17 == 3, F.array().cast("array<int>")).when(
-            k % 10 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))))
+        version = F.explode(F.when(k % 10 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))))
         v = F.col("version")
         noise = F.concat(F.lit("<article><p>Served 2026-10-0"), v.cast("string"),
                          F.lit("T08:00:00Z by "),
@@ -379,9 +398,12 @@ class Demo:
             ((k % 13 != 5) | (v == 1)).alias("extraction_ok"))
 
     def expected_pages(self) -> DataFrame:
+        """Every page, and some that are expected but were never captured."""
         k = F.col("page_id")
+        planned = self.pages().filter(k % 17 == 3).select(
+            F.concat(F.lit("planned-"), "page_key").alias("page_key"), F.lit("notable").alias("severity"))
         return self.pages().select("page_key", F.when(k % 4 == 0, "alarming").when(
-            k % 4 == 1, "notable").otherwise("routine").alias("severity"))
+            k % 4 == 1, "notable").otherwise("routine").alias("severity")).unionByName(planned)
 
     def snapshots(self) -> DataFrame:
         """Catalogue rows of the raw pages: digest, size, time, pin; every fifth stored twice."""

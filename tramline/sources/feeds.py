@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def with_optional(df: DataFrame | None, columns: list[str]) -> DataFrame | None:
         else F.lit("").alias(c) for c in columns])
 
 
-def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str) -> DataFrame:
+def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str, quoted_lines: bool = True) -> DataFrame:
     """One table of every feed: ``root/feed_id=*/snapshot_id=*/<files>``.
 
     ``files`` names the table's file, such as ``stops.txt``, or a pattern.
@@ -27,9 +29,11 @@ def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str) ->
     them: the files are read once for their header lines (one small row a file),
     then, grouped by header, with that header's columns as the schema. All values
     stay strings; an absent column or cell is ``''``; a byte order mark is dropped.
+    Quoted fields may hold commas, doubled quotes and, with ``quoted_lines``, line feeds; a
+    file is then one task, so turn it off for files of many gigabytes without them.
     """
     lines = spark.read.option("basePath", root).text(f"{root}/*/*/{files}").select(
-        F.regexp_replace("value", '[\\r\ufeff"]', "").alias("header"),
+        F.regexp_replace("value", "[\\r\ufeff]", "").alias("header"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"))
     firsts = lines.filter("block = 0").groupBy("file").agg(F.min_by("header", "line").alias("header"))
@@ -38,9 +42,10 @@ def gtfs_scan(spark: SparkSession, root: str, columns: list[str], files: str) ->
         by_header.setdefault(r["header"], []).append(r["file"])
     out = None
     for header, paths in by_header.items():
-        names = [n.strip() for n in header.split(",")]
+        names = [n.strip() for n in next(csv.reader([header]), [""])]
         place = {n: i for i, n in reversed(list(enumerate(names)))}
-        body = (spark.read.option("basePath", root).option("header", True)
+        body = (spark.read.option("basePath", root).option("header", True).option("escape", '"')
+                .option("multiLine", quoted_lines)
                 .schema(", ".join([*(f"c{i} string" for i in range(len(names))), *(f"{k} string" for k in KEY)]))
                 .csv(paths))
         part = body.select(*KEY, *[
