@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.mini import TABLES, feed as make, queries, rows
-from tramline.operators import artifacts, calendar as cal, departures as dep, diffs, pages, profile, stops as st
+from tramline.operators import artifacts, calendar as cal, departures as dep, diffs, pages, printed, profile, stops as st
 
 MORNING = "2027-05-12T08:30:00+00:00"
 
@@ -158,3 +158,43 @@ def test_queries_keep_the_callers_views(spark, feed):
     assert artifacts.feed_sql(spark, feed.tables(), "WITH s AS (SELECT * FROM stops) SELECT count(*) AS n FROM s").first().n == 7
     assert spark.table("stops").count() == 3
     spark.catalog.dropTempView("stops")
+
+
+def test_fare_rows_keep_what_cannot_be_read_apart(spark):
+    table = [({"Fare Type": "Day Pass", "Mode": "Bus", "Price": "$5"}, "bus-day-pass", 500, None),
+             ({"PASS": "day-pass", "mode ": "bus", "Cost": "5.50"}, "bus-day-pass-2", 550, None),
+             ({"Product": "Child", "Rider Type": "Under 5", "Amount": "Free"}, "under-5-child", 0, None),
+             ({"Product": "Mystery"}, None, None, "NO_PRICE"), ({"Product": "Zone", "Price": "$1-$3"}, None, None, "NOT_A_PRICE"),
+             ({"Product": "Odd", "Price": "1.234"}, None, None, "TOO_MANY_DECIMALS"),
+             ({"Product": "Week", "Price": " ", "Price USD": "$1,027.00", "Notes": "7 days"}, "week", 102_700, None)]
+    df = spark.createDataFrame([("p", i, c) for i, (c, *_) in enumerate(table)], "page_key string, row_no int, cells map<string,string>")
+    got = {r.row_no: r for r in printed.fare_rows(df).collect()}
+    assert [(got[i].fare_id, got[i].price_cents, got[i].reason) for i in range(len(table))] == [t[1:] for t in table]
+    assert got[6].price == "$1027.00" and got[6].notes == "7 days" and got[2].price == "$0.00"
+    assert printed.fare_rows(df.filter("false")).count() == 0
+
+
+def test_holiday_rows_never_merge_modes(spark):
+    table = [({"Holiday": "Spring Day", "Date": "May 4", "Bus": "Sunday Service", "Light Rail": "Weekend", "Van": "No service"}),
+             ({"Event": "Feast", "Observed": "5/9/2027", "BUS": "Regular", "Train": "Normal"}), ({"Day": "Old", "When": "2026-01-01", "Bus": "Sunday"}),
+             ({"Day": "Some day", "Date": "the second Tuesday", "Bus": "Sunday"}), ({"Day": "Quiet", "Date": "20270606"}),
+             ({"Day": "Snow", "Date": "6/7", "Bus": "Snow plan"})]
+    df = spark.createDataFrame([("p", i, c) for i, c in enumerate(table)], "page_key string, row_no int, cells map<string,string>")
+    out = printed.holiday_rows(df, 2027)
+    got = sorted(map(tuple, out.select("row_no", F.col("date").cast("string"), "mode", "service_type", "modes_differ", "reason").collect()), key=repr)
+    assert got == sorted([(0, "2027-05-04", "bus", "sunday", True, None), (0, "2027-05-04", "rail", "weekend", True, None),
+                          (0, "2027-05-04", "paratransit", "no_service", True, None), (1, "2027-05-09", "bus", "regular", False, None),
+                          (1, "2027-05-09", "rail", "regular", False, None), (2, "2026-01-01", None, None, False, "OTHER_YEAR"),
+                          (3, None, None, None, False, "DATE_UNREADABLE"), (4, "2027-06-06", None, None, False, "NO_SERVICE_NAMED"),
+                          (5, "2027-06-07", "bus", "unrecognised", False, None)], key=repr)
+    assert {r.weekday for r in out.filter("row_no = 0").collect()} == {"Tuesday"}
+    assert rows(printed.modes_missing(printed.holiday_rows(df.filter("row_no = 5"), 2027)), "page_key", "missing") == [("p", "rail")]
+
+
+def test_robots_and_kept_chrome(spark):
+    html = ["<main><p>x</p></main><META CONTENT='NoArchive' data-x=1 NAME=\"Robots\">", "<meta name=googlebot content=noindex><nav>only</nav>",
+            "<meta name='description' content='noindex'><body><nav>gone</nav><p>kept</p></body>", ""]
+    df = spark.createDataFrame([(str(i), 1, h) for i, h in enumerate(html)], "page_key string, fetched_epoch bigint, html string")
+    assert rows(pages.normalize_pages(df), "page_key", "strategy", "text", "noarchive", "nosnippet", "noindex") == [
+        ("0", "main_element", "x", True, False, False), ("1", "whole_document+chrome_kept", "only", False, False, True),
+        ("2", "body", "kept", False, False, False), ("3", "whole_document+chrome_kept", "", False, False, False)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import text as tx
@@ -13,10 +13,20 @@ from tramline.session import written
 SEVERITY_RANK = {"alarming": 0, "notable": 1, "routine": 2}
 
 
-def normalize_pages(captures: DataFrame, fold: bool = True) -> DataFrame:
+def robots(html) -> Column:
+    """The robots directives of a page, in lower case, joined; attributes in any order."""
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    named = F.filter(metas, lambda m: m.rlike(r"(?i)\bname\s*=\s*[\"']?(?:robots|googlebot)[\"'\s/>]"))
+    quoted = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+    return F.lower(F.array_join(F.transform(named, lambda m: F.concat(
+        *[F.regexp_extract(m, quoted, i) for i in (1, 2, 3)])), ", "))
+
+
+def normalize_pages(captures: DataFrame, fold: bool = False) -> DataFrame:
     """Text, hash and measures of (page_key, fetched_epoch, html) captures.
 
-    The hash covers the main content only. ``fold`` adds compatibility folding
+    The hash covers the main content only; ``+chrome_kept`` in the strategy says that
+    leaving site chrome out would have left nothing. ``fold`` adds compatibility folding
     and full entity decoding, which need Python.
     """
     region = captures.withColumn("region", tx.content_region(F.col("html")))
@@ -24,25 +34,23 @@ def normalize_pages(captures: DataFrame, fold: bool = True) -> DataFrame:
     if fold:
         stripped = tx.nfkc(stripped)
     rows = region.withColumn("text", tx.scrub(stripped))
-    # Chrome is kept when leaving it out would leave nothing.
     kept = tx.strip_markup(F.col("region.html"), chrome=False)
-    rows = rows.withColumn("text", F.when(F.col("text") == "", tx.scrub(kept))
-                           .otherwise(F.col("text")))
-    robots = F.lower(F.concat_ws(", ", F.regexp_extract_all(
-        "html", F.lit(r"(?i)<meta\s+name=[\"'](?:robots|googlebot)[\"']\s+content=[\"']([^\"']*)"),
-        F.lit(1))))
+    bare = F.col("text") == ""
+    rows = rows.withColumns({"text": F.when(bare, tx.scrub(kept)).otherwise(F.col("text")), "strategy": F.concat(
+        F.col("region.strategy"), F.when(bare, "+chrome_kept").otherwise("")), "robots": robots("html")})
+    said = F.col("robots")
     empty = F.col("text") == ""
     raw, size = F.octet_length("html"), F.octet_length("text")
     return rows.withColumns({
         "content_hash": F.sha2(F.col("text").cast("binary"), 256),
-        "strategy": F.col("region.strategy"),
         "bytes_raw": raw, "bytes_text": size,
         "signal_ratio": F.round(size / F.nullif(raw, F.lit(0)), 4),
         "word_count": F.when(empty, 0).otherwise(F.size(F.split("text", r"[ \n]+"))),
         "line_count": F.when(empty, 0).otherwise(F.size(F.split("text", "\n"))),
-        "noarchive": F.contains(robots, F.lit("noarchive")),
-        "nosnippet": F.contains(robots, F.lit("nosnippet")),
-    }).drop("region")
+        "noarchive": F.contains(said, F.lit("noarchive")),
+        "nosnippet": F.contains(said, F.lit("nosnippet")),
+        "noindex": F.contains(said, F.lit("noindex")),
+    }).drop("region", "robots")
 
 
 def newest_two(captures: DataFrame) -> DataFrame:

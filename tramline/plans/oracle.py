@@ -710,7 +710,11 @@ SELECT page_id::VARCHAR AS page_key, page_id, url, v AS version,
   CASE WHEN v = 2 AND page_id % 9 = 0 THEN replace(h, '</article>', '<p>Fares: $2.50 - $5.00 from '
     || 'September 7, 2026</p><p>Bus: Sunday schedule</p><a href="/pdfs/P' || (page_id % 5)
     || '/r.pdf">PDF</a><a href="https://x.example/?pickId=Q' || (page_id % 3)
-    || '">next</a></article>') ELSE h END AS html,
+    || '">next</a></article>') ELSE h END AS html0,
+  CASE WHEN page_id % 19 = 4 THEN replace(replace(html0, '<article>', '<article><nav>'), '</article>', '</nav></article>')
+    ELSE html0 END AS html1,
+  CASE WHEN page_id % 6 = 1 THEN replace(html1, '<article>', '<meta content="NoIndex, noarchive" id="r" name="robots"><article>')
+    ELSE html1 END AS html,
   page_id % 13 <> 5 OR v = 1 AS extraction_ok
 FROM (SELECT *, replace(html, '<article>', '<article><p>Served 2026-10-0' || v || 'T08:00:00Z by '
     || md5(page_id || '-' || v) || ' style.css?ver=1.' || v || '</p>') AS h
@@ -746,16 +750,17 @@ def _page_text(html: str, chrome: bool) -> str:
 
 v.VIEWS["norm"] = f"""
 SELECT *, sha256(text) AS content_hash FROM (SELECT page_key, page_id, version, fetched_epoch, html,
-  extraction_ok, 'single_article' AS strategy,
-  {_page_text("regexp_extract(html, '(?is)<article\\b.*</article\\s*>')", True)} AS text
-  FROM page_captures)"""
+  extraction_ok, 'single_article' || CASE WHEN t = '' THEN '+chrome_kept' ELSE '' END AS strategy,
+  CASE WHEN t = '' THEN {_page_text("regexp_extract(html, '(?is)<article\\b.*</article\\s*>')", False)} ELSE t END AS text
+  FROM (SELECT *, {_page_text("regexp_extract(html, '(?is)<article\\b.*</article\\s*>')", True)} AS t FROM page_captures))"""
 
 ORACLE["page_normalize"] = v.sql("""
 SELECT page_key, version, strategy, content_hash, octet_length(encode(html))::INTEGER AS bytes_raw,
   octet_length(encode(text))::INTEGER AS bytes_text,
   round(octet_length(encode(text)) / octet_length(encode(html)), 4) AS signal_ratio,
   len(string_split_regex(text, '[ \\n]+'))::INTEGER AS word_count,
-  len(string_split(text, chr(10)))::INTEGER AS line_count, false AS noarchive, false AS nosnippet
+  len(string_split(text, chr(10)))::INTEGER AS line_count,
+  page_id % 6 = 1 AS noarchive, false AS nosnippet, page_id % 6 = 1 AS noindex
 FROM norm""")
 
 v.VIEWS["two_captures"] = """
@@ -886,6 +891,35 @@ FROM (SELECT o_orderkey, d, CASE o_orderkey % 6 WHEN 0 THEN strftime(d, '%Y-%m-%
       WHEN 2 THEN ' light rail weekend service' ELSE '' END AS words
   FROM (SELECT *, o_orderdate::DATE AS d FROM orders))"""
 
+_PRICES = ORACLE["price_normalize"]
+ORACLE["fare_rows"] = f"""
+SELECT page_key, row_no, CASE WHEN reason IS NULL THEN slug || CASE WHEN turn > 1 THEN '-' || turn ELSE '' END END AS fare_id,
+  mode, category, label, cents AS price_cents, '$' || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS price,
+  cell AS price_as_published, notes, reason
+FROM (SELECT *, row_number() OVER (PARTITION BY page_key, CASE WHEN reason IS NULL THEN slug END ORDER BY row_no) AS turn
+  FROM (SELECT *, trim(regexp_replace(lower(mode || ' ' || category || ' ' || label), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+    FROM (SELECT 'src' || (p_partkey % 20) AS page_key, p_partkey AS row_no,
+        CASE p_partkey % 4 WHEN 0 THEN 'Bus' WHEN 1 THEN 'Rail' ELSE '' END AS mode, 'Size ' || p_size AS category,
+        p_name AS label, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE cell END AS cell,
+        CASE WHEN p_partkey % 17 <> 0 THEN cents END AS cents, CASE WHEN p_partkey % 9 = 0 THEN 'Valid today' ELSE '' END AS notes,
+        CASE WHEN p_partkey % 17 = 0 THEN 'NO_PRICE' ELSE nullif(problem, '') END AS reason
+      FROM ({_PRICES}) JOIN part USING (p_partkey))))"""
+
+_DAYS = ORACLE["holiday_normalize"].replace("'2026-'", "'1995-'")
+ORACLE["holiday_rows"] = f"""
+SELECT page_key, row_no, name, date_as_published, date, strftime(date, '%A') AS weekday, s.m AS mode, s.p AS published,
+  CASE WHEN s.p <> '' THEN {_service('s.p')} END AS service_type, modes_differ, reason
+FROM (SELECT *, unnest(CASE WHEN reason IS NULL THEN list_filter([{{'m': 'bus', 'p': bus}}, {{'m': 'rail', 'p': rail}}],
+      lambda x: x.p <> '') ELSE [NULL] END) AS s
+  FROM (SELECT *, bus <> '' AND rail <> '' AND {_service('bus')} <> {_service('rail')} AS modes_differ,
+      CASE WHEN date IS NULL THEN 'DATE_UNREADABLE' WHEN year(date) <> 1995 THEN 'OTHER_YEAR'
+        WHEN bus = '' AND rail = '' THEN 'NO_SERVICE_NAMED' END AS reason
+    FROM (SELECT 'src' || (o_orderkey % 15) AS page_key, o_orderkey AS row_no, 'H' || (o_orderkey % 50) AS name,
+        printed AS date_as_published, day AS date,
+        CASE o_orderkey % 4 WHEN 0 THEN 'Sunday schedule' WHEN 1 THEN 'No Service' WHEN 2 THEN '' ELSE 'Regular' END AS bus,
+        CASE o_orderkey % 5 WHEN 0 THEN 'Weekend' WHEN 1 THEN '' WHEN 2 THEN 'Sunday' WHEN 3 THEN 'Snow' ELSE 'Holiday' END AS rail
+      FROM ({_DAYS}))))"""
+
 # ---------------------------------------------------------------------- quality --
 _CHECK_SQL = {
     "stop_code_present": """SELECT feed_id, round(avg(CASE WHEN stop_code <> '' THEN 1.0 ELSE 0.0 END),

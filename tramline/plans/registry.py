@@ -11,7 +11,7 @@ from tramline import KEY
 from tramline.functions import text, times
 from tramline.operators import calendar as cal
 from tramline.operators import departures as dep
-from tramline.operators import artifacts, boards, diffs, pages, profile, quality
+from tramline.operators import artifacts, boards, diffs, pages, printed, profile, quality
 from tramline.operators import realtime as rt
 from tramline.operators import stops as st
 from tramline.session import configure, written, shared_path
@@ -479,7 +479,7 @@ def _newest(d: Demo) -> DataFrame:
 def page_normalize(d: Demo) -> DataFrame:
     return _normalized(d).select(
         "page_key", "version", "strategy", "content_hash", "bytes_raw", "bytes_text",
-        "signal_ratio", "word_count", "line_count", "noarchive", "nosnippet")
+        "signal_ratio", "word_count", "line_count", "noarchive", "nosnippet", "noindex")
 
 
 @query
@@ -514,32 +514,65 @@ def page_field_delta(d: Demo) -> DataFrame:
     return pages.record_delta(normal.drop("text").join(records, ["page_key", "version"], "left"))
 
 
-@query
-def price_normalize(d: Demo) -> DataFrame:
-    """Printed prices of every part, in the spellings price tables use."""
+def _price_cell():
+    """Printed prices of parts, in the spellings price tables use."""
     k, price = F.col("p_partkey"), F.col("p_retailprice").cast("decimal(12,2)").cast("string")
-    cell = (F.when(k % 7 == 0, "Free").when(k % 11 == 0, F.concat(F.lit("$"), price, F.lit("-$9")))
+    return (F.when(k % 7 == 0, "Free").when(k % 11 == 0, F.concat(F.lit("$"), price, F.lit("-$9")))
             .when(k % 13 == 0, F.concat(price, F.lit("9"))).when(
                 k % 5 == 0, F.concat(F.lit("$1,"), F.lpad((k % 1000).cast("string"), 3, "0")))
             .otherwise(F.concat(F.lit("$ "), price)))
-    rows = d.raw("part").select("p_partkey", cell.alias("cell"))
+
+
+@query
+def price_normalize(d: Demo) -> DataFrame:
+    rows = d.raw("part").select("p_partkey", _price_cell().alias("cell"))
     return rows.withColumn("p", text.price_cell(F.col("cell"))).select("p_partkey", "cell", "p.*")
 
 
+@query
+def fare_rows(d: Demo) -> DataFrame:
+    """Fare tables of twenty pages, made of every part, under headings that vary."""
+    k = F.col("p_partkey")
+    cells = F.create_map(
+        F.when(k % 3 == 0, "Fare Type").otherwise(" PRODUCT:"), F.col("p_name"), F.lit("Service"),
+        F.when(k % 4 == 0, "Bus").when(k % 4 == 1, " Rail ").otherwise(""), F.lit("Rider Category"),
+        F.concat(F.lit("Size "), F.col("p_size").cast("string")), F.when(k % 2 == 0, "Price").otherwise("Price (USD)"),
+        F.when(k % 17 == 0, " ").otherwise(_price_cell()), F.lit("Notes"), F.when(k % 9 == 0, "Valid today").otherwise(""))
+    return printed.fare_rows(d.raw("part").select(
+        F.concat(F.lit("src"), (k % 20).cast("string")).alias("page_key"), k.alias("row_no"), cells.alias("cells")))
+
+
+@query
+def holiday_rows(d: Demo) -> DataFrame:
+    """Holiday tables of fifteen pages, made of every order, for one year."""
+    k = F.col("o_orderkey")
+    cells = F.create_map(
+        F.lit("Holiday"), F.concat(F.lit("H"), (k % 50).cast("string")), F.when(k % 2 == 0, "Date").otherwise("Observed"),
+        _printed_day(), F.lit("Bus"), F.when(k % 4 == 0, "Sunday schedule").when(k % 4 == 1, "No Service").when(
+            k % 4 == 2, "").otherwise("Regular"), F.lit("Light Rail"), F.when(k % 5 == 0, "Weekend").when(k % 5 == 1, "").when(
+            k % 5 == 2, "Sunday").when(k % 5 == 3, "Snow").otherwise("Holiday"))
+    return printed.holiday_rows(d.raw("orders").select(
+        F.concat(F.lit("src"), (k % 15).cast("string")).alias("page_key"), k.alias("row_no"), cells.alias("cells")), 1995)
+
+
+def _printed_day():
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    return (F.when(k % 6 == 0, F.date_format(day, "yyyy-MM-dd"))
+            .when(k % 6 == 1, F.date_format(day, "yyyyMMdd"))
+            .when(k % 6 == 2, F.date_format(day, "M/d/yy"))
+            .when(k % 6 == 3, F.date_format(day, "M/d"))
+            .when(k % 6 == 4, F.date_format(day, "EEEE, MMMM d, yyyy"))
+            .otherwise(F.concat(F.date_format(day, "MMM"), F.lit(". "), F.dayofmonth(day))))
+
+
 @query
 def holiday_normalize(d: Demo) -> DataFrame:
     """Printed dates and service wording made from every order."""
-    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    printed = (F.when(k % 6 == 0, F.date_format(day, "yyyy-MM-dd"))
-               .when(k % 6 == 1, F.date_format(day, "yyyyMMdd"))
-               .when(k % 6 == 2, F.date_format(day, "M/d/yy"))
-               .when(k % 6 == 3, F.date_format(day, "M/d"))
-               .when(k % 6 == 4, F.date_format(day, "EEEE, MMMM d, yyyy"))
-               .otherwise(F.concat(F.date_format(day, "MMM"), F.lit(". "), F.dayofmonth(day))))
+    k = F.col("o_orderkey")
     words = F.concat(F.col("o_orderpriority"), F.when(k % 4 == 0, " Sunday schedule").when(
         k % 4 == 1, " No Service").when(k % 4 == 2, " light rail weekend service").otherwise(""))
     return d.raw("orders").select(
-        "o_orderkey", printed.alias("printed"), words.alias("words")).select(
+        "o_orderkey", _printed_day().alias("printed"), words.alias("words")).select(
         "o_orderkey", "printed", text.holiday_date(F.col("printed"), F.lit(2026)).alias("day"),
         text.service_type(F.col("words")).alias("service"),
         text.mode_of(F.col("words")).alias("mode"))

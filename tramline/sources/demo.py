@@ -392,6 +392,11 @@ class Demo:
         html = F.replace("html", F.lit("<article>"), noise)
         html = F.when((v == 2) & (k % 9 == 0), F.replace(html, F.lit("</article>"), news)) \
             .otherwise(html)
+        # Some pages are all navigation, some ask robots to stay away.
+        html = F.when(k % 19 == 4, F.replace(F.replace(html, F.lit("<article>"), F.lit("<article><nav>")),
+                                             F.lit("</article>"), F.lit("</nav></article>"))).otherwise(html)
+        html = F.when(k % 6 == 1, F.replace(html, F.lit("<article>"), F.lit(
+            '<meta content="NoIndex, noarchive" id="r" name="robots"><article>'))).otherwise(html)
         return self.pages().withColumn("version", version).select(
             "page_key", "page_id", "url", "version",
             (F.lit(1_790_000_000) + k + v * 86_400).alias("fetched_epoch"), html.alias("html"),
