@@ -67,16 +67,18 @@ class Lattice:
     def __init__(self, path: str, logp: np.ndarray):
         pieces, prefixes, self.raw, _ = vocabulary(path)
         self.logp = logp.tolist()
-        # What each prefix of a piece is by itself: log probability and numbers, or nothing.
-        self.steps = {p: (self.logp[k], (k,)) if (k := pieces.get(p)) is not None else None for p in prefixes}
+        # What each prefix of a piece is by itself: log probability, numbers, probability; or nothing.
+        self.steps = {p: (self.logp[k], (k,), math.exp(self.logp[k])) if (k := pieces.get(p)) is not None else None
+                      for p in prefixes}
 
-    def _spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
+    def _spelled(self, char: str) -> tuple[float, tuple[int, ...], float]:
         """A character without a piece of its own, in bytes."""
         ks = tuple(self.raw[b] for b in char.encode())
-        return sum(self.logp[k] for k in ks), ks
+        lp = sum(self.logp[k] for k in ks)
+        return lp, ks, math.exp(lp)
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """From each character: where a piece may end, its log probability, its numbers."""
+    def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...], float]]]:
+        """From each character: where a piece may end, its log probability, numbers, probability."""
         text, out, steps = _WORD + word, [], self.steps
         n = len(text)
         for i in range(n):
@@ -106,7 +108,7 @@ class Lattice:
                 a = m + math.log(sum([math.exp(x - m) for x in t]))
             alpha.append(a)
             if i < len(edges):
-                for j, lp, _ in edges[i]:
+                for j, lp, _, _ in edges[i]:
                     into[j].append(a + lp)
         return alpha
 
@@ -137,16 +139,34 @@ class Lattice:
                 into[i + 1].append(a + self._spelled(text[i])[0])
 
     def expect(self, word: str, weight: float, into: dict[int, float]) -> None:
-        """Add the expected number of each piece, over all segmentations, times weight."""
+        """Add the expected number of each piece, over all segmentations, times weight. Words
+        whose probability a double holds are summed as they are, others in log space."""
         edges = self.edges(word)
+        n = len(edges)
+        a, b = [0.0] * (n + 1), [0.0] * (n + 1)
+        a[0] = 1.0
+        for x, here in zip(a, edges):  # a is filled ahead of x
+            for j, _, _, p in here:
+                a[j] += x * p
+        if a[n] > 1e-250:
+            b[n] = weight / a[n]
+            for i in range(n - 1, -1, -1):
+                x, total = a[i], 0.0
+                for j, _, ks, p in edges[i]:
+                    rest = p * b[j]
+                    total += rest
+                    for k in ks:
+                        into[k] += x * rest
+                b[i] = total
+            return
         alpha = self.forward(edges)
         total, beta = alpha[-1], [0.0] * (len(edges) + 1)
         for i in range(len(edges) - 1, -1, -1):
-            t = [lp + beta[j] for j, lp, _ in edges[i]]
+            t = [lp + beta[j] for j, lp, _, _ in edges[i]]
             m = max(t)
             beta[i] = m if len(t) == 1 else m + math.log(sum([math.exp(x - m) for x in t]))
             base = alpha[i] - total
-            for x, (_, _, ks) in zip(t, edges[i]):
+            for x, (_, _, ks, _) in zip(t, edges[i]):
                 p = math.exp(base + x)
                 if p > 1e-12:
                     for k in ks:
