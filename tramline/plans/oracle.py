@@ -489,7 +489,7 @@ SELECT feed_id, capture_id, entity_pos, pos AS stu_pos, trip_id,
     ELSE delay + 30 * pos END END)::INTEGER AS event_delay,
   CASE WHEN event_type = 'purchase' THEN CASE WHEN value > 300 THEN 9000000000 ELSE
     CASE feed_id WHEN 'F0' THEN 1793512800 WHEN 'F1' THEN 1793509200 ELSE 1793516400 END
-      + seconds + delay END END AS event_time
+      + seconds + delay END END AS event_time, seen_epoch
 FROM updates JOIN (SELECT *, (row_number() OVER (PARTITION BY feed_id, trip_id
     ORDER BY stop_sequence, stop_id) - 1)::INTEGER AS pos
   FROM (SELECT DISTINCT feed_id, trip_id, stop_id, stop_sequence,
@@ -1245,17 +1245,19 @@ FROM (SELECT *, realtime AND trip_relationship <> 'CANCELED' AND relationship <>
     AND (e IS NOT NULL OR dl IS NOT NULL) AS live,
     CASE WHEN e IS NULL THEN dl WHEN e BETWEEN -3000000000 AND 6000000000
       THEN e - departure_epoch END AS dv
-  FROM (SELECT n.feed_id, n.service_date, n.trip_id, n.stop_id, n.stop_sequence, n.departure_epoch,
-      u.capture_id, u.entity_pos AS entity, u.stu_pos, t.start_date = '' OR t.start_date
-        = strftime(n.service_date, '%Y%m%d') AS realtime, t.trip_relationship, u.relationship,
-      u.event_time AS e, u.event_delay::BIGINT AS dl
-    FROM (SELECT e.* FROM events_on_days e JOIN board_dates USING (feed_id, service_date)) n
-    JOIN stop_updates u ON u.feed_id = n.feed_id AND u.trip_id = n.trip_id
-      AND (u.stop_id = n.stop_id OR u.stop_sequence = n.stop_sequence)
-    JOIN trip_updates t ON t.feed_id = u.feed_id AND t.capture_id = u.capture_id
-      AND t.entity_pos = u.entity_pos
-    JOIN updates c ON c.feed_id = u.feed_id AND c.capture_id = u.capture_id AND c.entity_pos = u.entity_pos
-    WHERE n.departure_epoch BETWEEN c.seen_epoch - 21600 AND c.seen_epoch + 64799
-      AND (t.start_date = '' OR t.start_date = strftime(n.service_date, '%Y%m%d'))
-    QUALIFY row_number() OVER (PARTITION BY n.feed_id, n.service_date, n.trip_id, n.stop_id, n.stop_sequence
-      ORDER BY c.seen_epoch DESC, u.entity_pos DESC, u.stu_pos) = 1))""")
+  FROM (WITH n AS MATERIALIZED (SELECT e.feed_id, e.service_date, e.trip_id, e.stop_id, e.stop_sequence, e.departure_epoch
+        FROM events_on_days e JOIN (SELECT feed_id, unnest([d - 1, d, d + 1]) AS service_date FROM (SELECT feed_id,
+          DATE '1970-01-01' + (max(seen_epoch) // 86400)::INTEGER AS d FROM updates SEMI JOIN trips_a USING (feed_id, trip_id) GROUP BY 1))
+        USING (feed_id, service_date)),
+      u AS MATERIALIZED (SELECT u.feed_id, u.trip_id, u.capture_id, u.entity_pos, u.stu_pos, u.stop_id AS at, u.stop_sequence AS nth,
+          u.relationship, u.event_time, u.event_delay, u.seen_epoch, t.start_date, t.trip_relationship
+        FROM stop_updates u JOIN trip_updates t ON t.feed_id = u.feed_id AND t.capture_id = u.capture_id
+          AND t.entity_pos = u.entity_pos),
+      m AS (SELECT * FROM n JOIN u ON u.feed_id = n.feed_id AND u.trip_id = n.trip_id AND u.at = n.stop_id
+        UNION ALL SELECT * FROM n JOIN u ON u.feed_id = n.feed_id AND u.trip_id = n.trip_id AND u.nth = n.stop_sequence)
+    SELECT feed_id, service_date, trip_id, stop_id, stop_sequence, departure_epoch, capture_id, entity_pos AS entity, stu_pos,
+      true AS realtime, trip_relationship, relationship, event_time AS e, event_delay::BIGINT AS dl
+    FROM m WHERE departure_epoch - seen_epoch BETWEEN -21600 AND 64799
+      AND (start_date = '' OR start_date = strftime(service_date, '%Y%m%d'))
+    QUALIFY row_number() OVER (PARTITION BY feed_id, service_date, trip_id, stop_id, stop_sequence
+      ORDER BY seen_epoch DESC, entity_pos DESC, stu_pos) = 1))""")

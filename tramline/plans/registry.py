@@ -842,12 +842,14 @@ def stream_latest_trip_state(d: Demo) -> DataFrame:
 
 @query
 def stream_live_board(d: Demo) -> DataFrame:
-    """Streamed stop updates against the departures on the board dates that captures reach."""
+    """Streamed stop updates against the departures around each feed's newest capture of a
+    trip it knows."""
     stream = _StreamDemo(d.spark, d.dir).stop_updates()
-    dates = cal.candidate_dates(d.board_queries(), d.zones()).select(*KEY, "service_date").distinct()
-    day = F.date_from_unix_date((F.col("fetched_epoch") / 86_400).cast("int"))
-    reached = d.captures().select("feed_id", F.explode(F.sequence(F.date_sub(day, 3), F.date_add(day, 2))).alias("service_date"))
-    dates = dates.join(reached.distinct(), ["feed_id", "service_date"], "left_semi")
+    day = F.date_from_unix_date(F.floor(F.max("seen_epoch") / 86_400).cast("int"))
+    known = d.trip_updates().join(d.trips().select("feed_id", "trip_id"), ["feed_id", "trip_id"], "left_semi")
+    newest = known.groupBy("feed_id").agg(day.alias("day"))
+    dates = newest.join(d.zones(), "feed_id").select(
+        *KEY, F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))).alias("service_date"))
     static = dep.network_departures(d, dates).withColumn("minutes_away", F.lit(0))
     status = d.trip_updates().select("feed_id", "capture_id", "entity_pos", "start_date",
                                      "trip_relationship", "trip_delay")
