@@ -208,8 +208,8 @@ def stop_summary(stops: DataFrame, stop_times: DataFrame, serving: DataFrame) ->
                           "route_ids": F.coalesce("route_ids", F.lit(""))}))
 
 
-def sign_number(stops: DataFrame, example: str = "15111") -> DataFrame:
-    """Which field holds the number printed on stop signs, per feed."""
+def sign_number(stops: DataFrame, example: str) -> DataFrame:
+    """Which field holds the number printed on stop signs, such as ``example``, per feed."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("value"))
         for c in ("stop_code", "stop_id") if c in stops.columns]))

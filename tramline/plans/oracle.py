@@ -282,7 +282,7 @@ FROM (
       AS numeric_share,
     coalesce(array_to_string(list_sort(list_distinct(list(length(value))
       FILTER (regexp_full_match(value, '[0-9]+')))), '|'), '') AS lengths,
-    count(*) FILTER (value = '15111') AS example_hits
+    count(*) FILTER (value = '10042') AS example_hits
   FROM (SELECT feed_id, 'stop_code' AS field, stop_code AS value FROM stops_a UNION ALL
         SELECT feed_id, 'stop_id', stop_id FROM stops_a) GROUP BY 1, 2)
 WINDOW w AS (PARTITION BY feed_id)""")

@@ -284,7 +284,7 @@ def stop_detail(d: Demo) -> DataFrame:
 
 @query
 def sign_number(d: Demo) -> DataFrame:
-    return profile.sign_number(d.stops()).drop("snapshot_id")
+    return profile.sign_number(d.stops(), "10042").drop("snapshot_id")
 
 
 # ------------------------------------------------------------------------ diffs --
