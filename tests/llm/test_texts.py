@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,27 @@ def test_lattice_sums_all_segmentations():
             2 * sum(ch in pieces for ch in "▁" + word))
 
 
+def test_bpe_keeps_words_in_use(monkeypatch):
+    class Asked:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode(self, text, **options):
+            self.texts.append(text)
+            return self.tokenizer.encode(text, **options)
+
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 10)
+    enc = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    enc.tokenizer = Asked(enc.tokenizer)
+    texts = [" harbour\t", "", None, "\x0bHarbour\x1clight\x85 \x01 a\x01b <|endoftext|>", "  ", *[f"harbour w{n}x y{n}" for n in range(40)]]
+    for text in texts:
+        ids, decoded = enc.slab(pa.array([text or "", "harbour", text or ""]))
+        want = enc.tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert ids.to_pylist()[0] == ids.to_pylist()[2] == want
+        assert decoded.to_pylist()[0] == enc.tokenizer.tokenizer.decode(want, skip_special_tokens=False)
+    assert sum(t.split().count("harbour") for t in enc.tokenizer.texts) == 1
+
+
 @pytest.mark.parametrize("leaf", [bpe.LEAF_CHARS, 50])
 def test_bpe_equals_the_library(docs, nothing, rows, leaf):
     from tokenizers import Tokenizer

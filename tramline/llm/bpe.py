@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ from tramline.llm.words import slabs, texts_of
 
 LEAF_CHARS = 32768
 WINDOW_TOKENS = 8
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
+SLAB_BYTES = 4 << 20
+# Words in one call of the tokenizer; more at once take longer a word.
+CALL_WORDS = 250
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _MARK = "\x01"
@@ -69,9 +73,12 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode()
                        for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.names = pa.array(self.tokens, pa.binary()).cast(pa.string())
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark = self.direct(_MARK, 0).ids.tolist()
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        # Ids (as int32 bytes) of the words met lately, and of those met before them.
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def direct(self, text: str, at: int) -> Tokens:
         """The tokens of a text that starts at character ``at``."""
@@ -79,33 +86,54 @@ class Encoder:
         spans = np.array(e.offsets, np.int64).reshape(-1, 2) + at
         return Tokens(np.array(e.ids, np.int32), spans[:, 0], spans[:, 1])
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that the memo lacks, many in one call, parted by a one-token mark."""
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Encode words that the memo lacks, many in one call, parted by a one-token mark.
+
+        Words not met again leave, those in use are kept.
+        """
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
+            self.memo, self.older = {}, self.memo
+        new = []
+        for w in words:
+            if w not in self.memo:
+                known = self.older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self.memo[w] = known
         if len(self.mark) != 1:
             parts, odd = [], new
         else:
             odd = [w for w in new if _MARK.encode() in w]
             parts = [w for w in new if _MARK.encode() not in w] if odd else new
-        for at in range(0, len(parts), 2000):
-            some = parts[at:at + 2000]
+        for at in range(0, len(parts), CALL_WORDS):
+            some = parts[at:at + CALL_WORDS]
             ids = np.array(self.tokenizer.encode(f" {_MARK} ".join([w.decode() for w in some]),
                                                  add_special_tokens=False).ids, np.int32)
-            for w, found in zip(some, np.split(ids, np.flatnonzero(ids == self.mark[0]))):
-                self._keep(w, found if w is some[0] else found[1:])
+            cuts = np.flatnonzero(ids == self.mark[0])
+            raw, starts, ends = ids.tobytes(), [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
+            for w, first, last in zip(some, starts, ends):
+                self.memo[w] = raw[first:last]
         for w in odd:
-            self._keep(w, self.direct(w.decode(), 0).ids)
-
-    def _keep(self, word: bytes, ids: np.ndarray) -> None:
-        tokens = self.tokens
-        self.memo[word] = (ids.tobytes(), b" ".join([tokens[i] for i in ids.tolist()]))
-
-    def short(self, text: bytes) -> tuple[bytes, bytes]:
-        """Ids (as int32 bytes) and decoded text of a text whose words are in the memo."""
-        found = [self.memo[w] for w in text.split()]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+            self.memo[w] = self.direct(w.decode(), 0).ids.tobytes()
+
+    def short(self, text: bytes) -> bytes:
+        """Ids (as int32 bytes) of a text whose words are in the memo."""
+        return b"".join([self.memo[w] for w in text.split()])
+
+    def slab(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of several texts, each distinct word looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        at, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+        words = coded.dictionary.cast(kind).to_pylist()
+        self.learn([w for w in words if w])
+        found = [self.memo[w] if w else b"" for w in words]
+        sizes = np.array([len(ids) // 4 for ids in found], np.int32)
+        known = pa.ListArray.from_arrays(_offsets(sizes), np.frombuffer(b"".join(found), np.int32))
+        ids = pa.ListArray.from_arrays(_offsets(sizes[at])[bounds], known.take(coded.indices).flatten())
+        return ids, pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
 
     def tail(self, text: str, k: int) -> Tokens:
         """At least the last k tokens of a text (all, if fewer), read back to a space."""
@@ -163,7 +191,7 @@ class Encoder:
         """A leaf's ids; its words may be cut at either end."""
         raw = text.encode()
         self.learn(set(raw.split()))
-        return Piece(text, np.frombuffer(self.short(raw)[0], np.int32))
+        return Piece(text, np.frombuffer(self.short(raw), np.int32))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join([self.tokens[i] for i in ids.tolist()])
@@ -174,25 +202,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _output(ids: list, raw: list[bytes], decoded: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
-    sizes = np.array([len(r) // 4 for r in raw], np.int32)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(ids, kind), lists,
-                                       pa.array(decoded, pa.binary()).cast(pa.string())],
-                                      names=["id", "ids", "decoded"])
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
 
 def _encode_short(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for first, last in slabs(texts):
-                enc.learn(set().union(*(t.split() for t in texts[first:last])))
-                done = [enc.short(t) for t in texts[first:last]]
-                yield _output(ids[first:last], [d[0] for d in done], [d[1] for d in done],
-                              batch.schema.field(0).type)
+            ids, texts = batch.columns
+            for first, last in slabs(texts_of(texts), SLAB_BYTES):
+                some = slice(first, last)
+                yield pa.RecordBatch.from_arrays([ids[some], *enc.slab(texts[some])], names=["id", "ids", "decoded"])
     return run
 
 
